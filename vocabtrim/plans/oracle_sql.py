@@ -65,6 +65,12 @@ TOKENS_NS = r"""tokens_ns AS (
 STOP = "stop(word) AS (VALUES " + stop_words_sql_values() + ")"
 
 
+# the pair corpus under its own names, so it can sit next to the documents CTEs
+PAIR_CTES = (PAIRS.replace("corpus AS (", "pcorpus AS (", 1),
+             TEXTS.replace("texts AS (", "ptexts AS (", 1).replace("FROM corpus", "FROM pcorpus"),
+             WORDS.replace("words AS (", "pwords AS (", 1).replace("FROM texts", "FROM ptexts"))
+
+
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
