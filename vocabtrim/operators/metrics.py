@@ -65,7 +65,8 @@ def matthews(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def pearson(preds: DataFrame, by: Sequence[str] = (), x: str = "label", y: str = "score") -> DataFrame:
     """Pearson correlation (``corr`` aggregate)."""
-    return labelled(preds).groupBy(*by).agg(F.corr(x, y).alias("pearsonr"))
+    from .report import safe_corr
+    return labelled(preds).groupBy(*by).agg(safe_corr(x, y).alias("pearsonr"))
 
 
 def average_ranks(df: DataFrame, col: str, by: Sequence[str] = (), name: str | None = None) -> DataFrame:
@@ -80,7 +81,8 @@ def spearman(preds: DataFrame, by: Sequence[str] = (), x: str = "label", y: str
     """Spearman correlation = Pearson of tie-averaged ranks."""
     p = labelled(preds).select(*by, "example_id", x, y)
     r = average_ranks(average_ranks(p, x, by, "_rx"), y, by, "_ry")
-    return r.groupBy(*by).agg(F.corr("_rx", "_ry").alias("spearmanr"))
+    from .report import safe_corr
+    return r.groupBy(*by).agg(safe_corr("_rx", "_ry").alias("spearmanr"))
 
 
 def all_metrics_long(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:

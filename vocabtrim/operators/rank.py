@@ -121,3 +121,33 @@ def with_batch(df: DataFrame, batch_size: int, order: Sequence[Column], name: st
     """Batch number ``floor((row_number - 1) / batch_size)`` in input order."""
     r = with_row_number(df, order, name="_bn")
     return r.withColumn(name, F.floor((F.col("_bn") - 1) / F.lit(batch_size)).cast("long"))
+
+
+def keep_by_percent_grouped(counts: DataFrame, p: float, by: Sequence[str], score: str = "cnt",
+                            min_tokens: int = 5, special_ids: Sequence[int] = SPECIAL_IDS,
+                            random_seed: int | None = None) -> DataFrame:
+    """W2 / W4 for many corpora in one job (one keep list per ``by`` group).
+
+    Budgets come from a per-group count table (one row per group) joined back
+    by key; ranks are numbered per group with the distributed row number.
+    ``random_seed`` switches to the random keep (W4 budget on non-special tokens).
+    Output ``(by..., token_id, new_id)``.
+    """
+    by = list(by)
+    ns_df = counts.filter(~F.col("token_id").isin(list(special_ids)))
+    base = ns_df if random_seed is not None else counts
+    n = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    sub = 0 if random_seed is not None else len(special_ids)
+    k = n.select(*by, F.greatest(F.lit(min_tokens), F.floor((F.col("_n") - sub) * (1 - p / 100)).cast("long"))
+                 .alias("_k"))
+    if random_seed is not None:
+        order = [random_order(random_seed, F.col("token_id")).asc(), F.col("token_id").asc()]
+    else:
+        order = [F.col(score).desc(), F.col("token_id").asc()]
+    ranked = with_row_number(ns_df, order, name="rank", groups=by)
+    top = ranked.join(k, by).filter(F.col("rank") <= F.col("_k")).select(
+        *by, F.col("token_id").cast("int"), (F.col("rank") + len(special_ids) - 1).cast("int").alias("new_id"))
+    spec = n.select(*by, F.explode(F.array(*[F.struct(F.lit(int(t)).alias("token_id"), F.lit(i).alias("new_id"))
+                                          for i, t in enumerate(special_ids)])).alias("_s")) \
+         .select(*by, "_s.token_id", "_s.new_id")
+    return spec.unionByName(top)

@@ -72,8 +72,8 @@ SPEAR = r"""rk AS (
          rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2.0 AS rx,
          rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ry
   FROM lp),
-spear AS (SELECT corr(rx, ry) AS spearmanr FROM rk),
-pear AS (SELECT corr(label, score) AS pearsonr FROM lp)"""
+spear AS (SELECT CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS spearmanr FROM rk),
+pear AS (SELECT CASE WHEN var_pop(label) > 0 AND var_pop(score) > 0 THEN corr(label, score) END AS pearsonr FROM lp)"""
 
 LONG = r"""long AS (
   SELECT 'accuracy_score' AS metric, accuracy_score AS value FROM binm

@@ -1 +1,110 @@
-"""Registered queries."""
+"""Method comparison over per-language tasks.
+
+Each document language is one task; its ``train`` split fits a keep list per
+method (all languages in one job), and a method's score is the share of the
+task's ``test`` word occurrences that survive pruning.  The comparison then
+follows the reference's report: drop from the unpruned baseline in percentage
+points, dataset sizes, ordering by the baseline, and the fit against log10(size).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.rank import keep_by_percent_grouped
+from ..operators.report import log10_size, order_by_baseline, performance_drop, size_correlation
+from ..operators.tokens import token_counts_from_words
+from .common import Inputs
+from .oracle_sql import doc_ctes, with_ctes
+from .registry import register
+
+P = 20.0
+SEED = 42
+METHODS = ("NO PRUNING", "TRAIN TOKENS ONLY", "FREQUENCY", "RANDOM")
+
+
+def method_results(inp: Inputs):
+    """Long results ``(dataset, method, split='test', value)`` and sizes per dataset."""
+    docs = inp.table("documents").select(F.col("doc_id").alias("example_id"), "lang")
+    w = inp.words().join(docs, "example_id")
+    counts = token_counts_from_words(w, inp.vocab(), by=["lang", "split"])
+    fit = counts.filter(F.col("split") == "train").drop("split")
+    test = counts.filter(F.col("split") == "test").select("lang", "token_id", F.col("cnt").alias("tcnt"))
+    keeps = {
+        "TRAIN TOKENS ONLY": fit.select("lang", "token_id"),
+        "FREQUENCY": keep_by_percent_grouped(fit, P, ["lang"]).select("lang", "token_id"),
+        "RANDOM": keep_by_percent_grouped(fit, P, ["lang"], random_seed=SEED).select("lang", "token_id"),
+    }
+    total = test.groupBy("lang").agg(F.sum("tcnt").alias("_t"))
+    out = total.select(F.upper("lang").alias("dataset"), F.lit("NO PRUNING").alias("method"),
+                       F.lit(1.0).alias("value"))
+    for name, keep in keeps.items():
+        kept = (test.join(keep.withColumn("_k", F.lit(1)), ["lang", "token_id"], "left")
+                    .groupBy("lang").agg((F.sum(F.when(F.col("_k").isNotNull(), F.col("tcnt")).otherwise(0))
+                                          / F.sum("tcnt")).alias("value")))
+        out = out.unionByName(kept.select(F.upper("lang").alias("dataset"), F.lit(name).alias("method"), "value"))
+    sizes = docs.groupBy(F.upper("lang").alias("dataset")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "dataset", F.when(F.col("_n") >= 1000, F.concat(F.format_number(F.col("_n") / 1000.0, 1), F.lit("k")))
+        .otherwise(F.col("_n").cast("string")).alias("size"))
+    return out.withColumn("split", F.lit("test")), sizes
+
+
+RESULTS_SQL = r"""lt AS (SELECT t.*, d.lang FROM tokens_ns t JOIN documents d ON t.example_id = d.doc_id),
+fit AS (SELECT lang, token_id, count(*) AS cnt FROM lt WHERE split = 'train' GROUP BY lang, token_id),
+fn AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE token_id NOT IN (0, 1, 2, 3, 4)) AS ns FROM fit GROUP BY lang),
+fr AS (SELECT lang, token_id,
+              row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, token_id) AS r,
+              row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || CAST(token_id AS VARCHAR)), token_id) AS rr
+       FROM fit WHERE token_id NOT IN (0, 1, 2, 3, 4)),
+fk AS (SELECT fr.lang, fr.token_id FROM fr JOIN fn ON fr.lang = fn.lang
+       WHERE r <= greatest(5, CAST(floor((n - 5) * (1 - CAST(20 AS DOUBLE) / 100)) AS BIGINT))
+       UNION ALL SELECT lang, CAST(range AS INTEGER) FROM fn, range(5)),
+rkp AS (SELECT fr.lang, fr.token_id FROM fr JOIN fn ON fr.lang = fn.lang
+        WHERE rr <= greatest(5, CAST(floor(ns * (1 - CAST(20 AS DOUBLE) / 100)) AS BIGINT))
+        UNION ALL SELECT lang, CAST(range AS INTEGER) FROM fn, range(5)),
+te AS (SELECT lang, token_id, count(*) AS cnt FROM lt WHERE split = 'test' GROUP BY lang, token_id),
+res AS (
+  SELECT upper(lang) AS dataset, 'NO PRUNING' AS method, 1.0 AS value FROM te GROUP BY lang
+  UNION ALL SELECT upper(t.lang), 'TRAIN TOKENS ONLY', sum(CASE WHEN f.token_id IS NOT NULL THEN t.cnt ELSE 0 END) / CAST(sum(t.cnt) AS DOUBLE)
+  FROM te t LEFT JOIN fit f ON t.lang = f.lang AND t.token_id = f.token_id GROUP BY t.lang
+  UNION ALL SELECT upper(t.lang), 'FREQUENCY', sum(CASE WHEN f.token_id IS NOT NULL THEN t.cnt ELSE 0 END) / CAST(sum(t.cnt) AS DOUBLE)
+  FROM te t LEFT JOIN fk f ON t.lang = f.lang AND t.token_id = f.token_id GROUP BY t.lang
+  UNION ALL SELECT upper(t.lang), 'RANDOM', sum(CASE WHEN f.token_id IS NOT NULL THEN t.cnt ELSE 0 END) / CAST(sum(t.cnt) AS DOUBLE)
+  FROM te t LEFT JOIN rkp f ON t.lang = f.lang AND t.token_id = f.token_id GROUP BY t.lang),
+sizes AS (SELECT upper(lang) AS dataset, count(*) AS n,
+                 CASE WHEN count(*) >= 1000 THEN printf('%.1fk', count(*) / 1000.0) ELSE CAST(count(*) AS VARCHAR) END AS size
+          FROM documents GROUP BY upper(lang)),
+base AS (SELECT dataset, value AS b FROM res WHERE method = 'NO PRUNING'),
+ordr AS (SELECT dataset, row_number() OVER (ORDER BY b DESC, dataset) AS ord FROM base)"""
+
+
+@register("m15_compare_methods", with_ctes(*doc_ctes(RESULTS_SQL), body="""
+SELECT r.dataset, s.size, r.method, round(r.value, 6) AS value,
+       round(CASE WHEN r.method <> 'NO PRUNING' THEN (b.b - r.value) * 100 END, 6) AS drop_pp,
+       CAST(o.ord AS INTEGER) AS "order"
+FROM res r JOIN base b ON r.dataset = b.dataset JOIN sizes s ON r.dataset = s.dataset
+JOIN ordr o ON r.dataset = o.dataset"""))
+def m15_compare_methods(spark, sf_dir):
+    """M15 (+A20, J11, W8): per-language method scores, drop from the baseline, sizes, order."""
+    res, sizes = method_results(Inputs(spark, sf_dir))
+    d = performance_drop(res).join(sizes, "dataset")
+    d = order_by_baseline(d.withColumn("value", F.col("value")))
+    return d.select("dataset", "size", "method", F.round("value", 6).alias("value"),
+                    F.round("drop_pp", 6).alias("drop_pp"), F.col("order").cast("int").alias("order"))
+
+
+@register("a21_size_correlation", with_ctes(*doc_ctes(RESULTS_SQL), body="""
+, x AS (SELECT r.method, r.value, log10(CASE WHEN lower(s.size) LIKE '%k' THEN CAST(rtrim(lower(s.size), 'k') AS DOUBLE) * 1000
+                                             ELSE CAST(s.size AS DOUBLE) END) AS lsize
+        FROM res r JOIN sizes s ON r.dataset = s.dataset)
+SELECT method, round(CASE WHEN var_pop(lsize) > 0 AND var_pop(value) > 0 THEN corr(lsize, value) END, 6) AS corr,
+       round(CASE WHEN var_pop(lsize) > 0 THEN regr_slope(value, lsize) END, 6) AS slope,
+       round(CASE WHEN var_pop(lsize) > 0 THEN regr_intercept(value, lsize) END, 6) AS intercept, count(*) AS n
+FROM x GROUP BY method"""))
+def a21_size_correlation(spark, sf_dir):
+    """A21 (+P14): per method, correlation of the score with log10(size) and the linear fit."""
+    res, sizes = method_results(Inputs(spark, sf_dir))
+    x = res.join(sizes, "dataset").withColumn("lsize", log10_size("size"))
+    c = size_correlation(x, "lsize", "value")
+    return c.select("method", *[F.round(k, 6).alias(k) for k in ("corr", "slope", "intercept")],
+                    F.col("n").cast("long"))
