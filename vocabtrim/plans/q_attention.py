@@ -1,0 +1,99 @@
+"""Attention-based importance.
+
+No model runs here: the attention weights enter as a table.  The stand-in is a
+deterministic weight table over the model inputs of the train + validation
+texts (``[CLS]`` + words + ``[SEP]``, truncated and padded to ``L`` = 16):
+``u = 0.01 + h/65535`` with ``h`` the first four hex digits of
+``md5(example:layer:head:q:k)``, normalised over ``k`` per (example, layer,
+head, q) like a softmax row.  Padding rows and columns are included (as the
+reference does).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators.encoding import encode_pair, pair_arrays
+from ..operators.importance import attention_importance
+from ..operators.rank import keep_by_percent
+from ..operators.tokens import encode, token_counts_from_words
+from .common import Inputs
+from .oracle_sql import STOP, doc_ctes, with_ctes
+from .q_encode import sql_pair_encoding
+from .q_prune import sql_percent_map
+from .registry import register
+
+L, LAYERS, HEADS = 16, 2, 2
+P = 20.0
+
+
+def model_inputs(inp: Inputs):
+    corpus = inp.corpus().filter(F.col("split").isin("train", "validation"))
+    enc = encode_pair(pair_arrays(encode(inp.words(corpus), inp.vocab())), L, pad=True)
+    return corpus, enc.select("example_id", "input_ids", "attention_mask")
+
+
+def attention_weights(enc):
+    """(example_id, layer, head, q_pos, k_pos, is_pad, weight) for every input."""
+    n = LAYERS * HEADS * L * L
+    g = enc.select("example_id", "attention_mask", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
+    g = g.select("example_id", "attention_mask",
+                 (F.col("_i") / (HEADS * L * L)).cast("int").alias("layer"),
+                 ((F.col("_i") / (L * L)).cast("int") % HEADS).alias("head"),
+                 ((F.col("_i") / L).cast("int") % L).alias("q_pos"),
+                 (F.col("_i") % L).alias("k_pos"))
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in ("example_id", "layer", "head", "q_pos", "k_pos")])
+    u = F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("double") / 65535.0 + 0.01
+    g = g.withColumn("_u", u).withColumn(
+        "is_pad", F.element_at("attention_mask", F.col("q_pos") + 1) == 0)
+    row = Window.partitionBy("example_id", "layer", "head", "q_pos")  # L cells per row: bounded
+    return g.select("example_id", "layer", "head", "q_pos", "k_pos", "is_pad",
+                    (F.col("_u") / F.sum("_u").over(row)).alias("weight"))
+
+
+def attention_scores(inp: Inputs):
+    corpus, enc = model_inputs(inp)
+    w = attention_weights(enc)
+    toks = enc.select("example_id", F.posexplode("input_ids").alias("pos", "token_id"))
+    # token set: every id of the fitted texts (specials included) plus the padding id
+    counts = token_counts_from_words(inp.words(corpus, specials=True), inp.vocab()).select("token_id")
+    ids = counts.unionByName(toks.select("token_id")).distinct()
+    return attention_importance(w, toks, ids)
+
+
+ATT_SQL = r"""ac AS (SELECT * FROM corpus WHERE split IN ('train', 'validation')),
+aw AS (SELECT w.* FROM words w WHERE w.split IN ('train', 'validation')),
+""" + sql_pair_encoding("aw", True, max_length=L) + rf""",
+cells AS (
+  SELECT e.example_id, l.range AS layer, h.range AS head, q.range AS q_pos, k.range AS k_pos,
+         CAST(CAST('0x' || substr(md5(CAST(e.example_id AS VARCHAR) || ':' || CAST(l.range AS VARCHAR) || ':' ||
+              CAST(h.range AS VARCHAR) || ':' || CAST(q.range AS VARCHAR) || ':' || CAST(k.range AS VARCHAR)), 1, 4)
+              AS INTEGER) AS DOUBLE) / 65535.0 + 0.01 AS u
+  FROM enc e, range({LAYERS}) l, range({HEADS}) h, range({L}) q, range({L}) k),
+wts AS (SELECT *, u / sum(u) OVER (PARTITION BY example_id, layer, head, q_pos) AS weight FROM cells),
+perkey AS (SELECT example_id, k_pos, sum(weight) / {LAYERS * HEADS} AS imp FROM wts GROUP BY example_id, k_pos),
+toks AS (SELECT e.example_id, u.i - 1 AS pos, u.id AS token_id
+         FROM enc e, LATERAL (SELECT unnest(e.ids) AS id, generate_subscripts(e.ids, 1) AS i) u),
+pertok AS (SELECT t.token_id, avg(p.imp) AS imp FROM perkey p JOIN toks t ON p.example_id = t.example_id AND p.k_pos = t.pos
+           GROUP BY t.token_id),
+aids AS (SELECT DISTINCT token_id FROM tokens WHERE split IN ('train', 'validation')
+         UNION SELECT token_id FROM toks),
+att AS (SELECT a.token_id, round(coalesce(p.imp, 0.0), 6) AS importance FROM aids a LEFT JOIN pertok p ON a.token_id = p.token_id)"""
+
+
+@register("a6_attention_importance", with_ctes(*doc_ctes(), ATT_SQL, body="SELECT token_id, importance FROM att"))
+def a6_attention_importance(spark, sf_dir):
+    """Attention received per token (column sums over queries, mean over heads
+    and layers, mean over occurrences; unseen tokens 0)."""
+    a = attention_scores(Inputs(spark, sf_dir))
+    return a.select("token_id", F.round("importance", 6).alias("importance"))
+
+
+@register("m6_prune_attention", with_ctes(*doc_ctes(), ATT_SQL, sql_percent_map("amap", "att", "importance"),
+                                          body="SELECT token_id AS old_id, new_id FROM amap"))
+def m6_prune_attention(spark, sf_dir):
+    """M6 = A6 -> W1 -> W2 -> W5: attention token map at a 20 % token budget."""
+    a = attention_scores(Inputs(spark, sf_dir)).select("token_id", F.round("importance", 6).alias("importance"))
+    tm = keep_by_percent(a, P, score="importance")
+    return tm.select(F.col("token_id").alias("old_id"), "new_id")
