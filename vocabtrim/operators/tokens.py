@@ -111,3 +111,54 @@ def token_counts_from_words(word_rows: DataFrame, vocab: DataFrame, by=(), unk:
     # if the vocabulary itself has a row for ``unk`` (the [UNK] marker) it can only
     # be counted via unknown words, so the union has at most one ``unk`` row per group
     return known.unionByName(unk_counts)
+
+
+def subword_pieces(vocab: DataFrame, word_rows: DataFrame, top_words: int = 500, marker: str = "##") -> DataFrame:
+    """Piece inventory for P4, derived from the vocabulary: the ``top_words`` most
+    frequent words and every character seen, each as an initial piece and as a
+    ``##`` continuation piece.  Bounded by ``2 * (top_words + alphabet)`` rows."""
+    top = vocab.filter((F.col("token_id") >= 5) & (F.col("token_id") < 5 + top_words)).select("word")
+    chars = word_rows.select(F.explode(F.split("word", "")).alias("word")).filter(F.col("word") != "").distinct()
+    base = top.unionByName(chars).distinct()
+    return base.select(F.col("word").alias("piece")).unionByName(
+        base.select(F.concat(F.lit(marker), F.col("word")).alias("piece"))).distinct()
+
+
+def encode_subwords(words_df: DataFrame, pieces: DataFrame, marker: str = "##", unk: str = "[UNK]",
+                    max_rounds: int = 1000) -> DataFrame:
+    """Greedy longest-match subword segmentation of *distinct* words.
+
+    Each round extends every unfinished word by its longest matching piece
+    (continuation pieces carry ``marker``): all prefixes of the rest are joined
+    to the (small, bounded) piece table and the longest wins.  Words that cannot
+    be segmented become ``unk``.  Rounds are checkpointed; output
+    ``(word, pieces ARRAY<STRING>)``.
+    """
+    from .ordering import scalar as _scalar
+    pcs = F.broadcast(pieces.select("piece"))
+    state = (words_df.select("word").distinct()
+             .select("word", F.lit(0).alias("off"), F.array().cast("array<string>").alias("pieces"))
+             .checkpoint(eager=True))
+    finished_parts = []  # each round's finished words, read from that round's checkpoint
+    for _ in range(max_rounds):
+        active = state.filter(F.col("off") < F.length("word"))
+        finished_parts.append(state.filter(F.col("off") >= F.length("word")))
+        if _scalar(active, F.count(F.lit(1))) == 0:
+            break
+        cand = active.select("word", "off", "pieces",
+                             F.explode(F.sequence(F.lit(1), F.length("word") - F.col("off"))).alias("l"))
+        sub = F.substring(F.col("word"), F.col("off") + 1, F.col("l"))
+        cand = cand.withColumn("piece", F.when(F.col("off") == 0, sub).otherwise(F.concat(F.lit(marker), sub)))
+        best = (cand.join(pcs, "piece", "left_semi")
+                    .groupBy("word", "off").agg(F.max_by(F.struct("l", "piece"), "l").alias("b")))
+        step = active.join(best, ["word", "off"], "left")
+        stuck = step.filter(F.col("b").isNull()).select("word", F.length("word").alias("off"),
+                                                        F.array(F.lit(unk)).alias("pieces"))
+        moved = step.filter(F.col("b").isNotNull()).select(
+            "word", (F.col("off") + F.col("b.l")).alias("off"),
+            F.concat("pieces", F.array(F.col("b.piece"))).alias("pieces"))
+        state = moved.unionByName(stuck).checkpoint(eager=True)
+    done = finished_parts[0]
+    for part in finished_parts[1:]:
+        done = done.unionByName(part)
+    return done.select("word", "pieces")

@@ -206,3 +206,47 @@ def a19_split_pivot(spark, sf_dir):
     from ..operators.report import split_pivot
     p = split_pivot(_m11(spark, sf_dir).filter(F.col("split") != "Overlap"), STAT_COLS, ["Train", "Test"])
     return p.select("task", *[r6(F.col(c)).alias(c) for c in p.columns if c != "task"])
+
+
+# ---------------------------------------------------------------- P4 / P5
+def _p4_sql() -> str:
+    from .oracle_sql import PAIR_CTES
+    ctes = list(doc_ctes(*PAIR_CTES))
+    ctes.append(r"""base AS (
+  SELECT word FROM vocab WHERE token_id >= 5 AND token_id < 505
+  UNION SELECT DISTINCT c AS word FROM (SELECT unnest(string_split(word, '')) AS c FROM words) WHERE c <> ''),
+pieces AS (SELECT word AS piece FROM base UNION SELECT '##' || word FROM base),
+dw AS (SELECT DISTINCT word FROM pwords)""")
+    ctes.append(r"""seg(word, off, pcs) AS (
+  SELECT word, 0, CAST([] AS VARCHAR[]) FROM dw
+  UNION ALL
+  SELECT s.word, s.off + b.l, list_append(s.pcs, b.p)
+  FROM seg s, LATERAL (
+    SELECT c.l, c.p FROM (
+      SELECT range AS l,
+             CASE WHEN s.off = 0 THEN substr(s.word, s.off + 1, range) ELSE '##' || substr(s.word, s.off + 1, range) END AS p
+      FROM range(1, length(s.word) - s.off + 1)) c
+    WHERE c.p IN (SELECT piece FROM pieces) ORDER BY c.l DESC LIMIT 1) b
+  WHERE s.off < length(s.word))""")
+    body = """
+, fullseg AS (SELECT word, pcs FROM seg WHERE off = length(word))
+SELECT d.word, array_to_string(coalesce(f.pcs, ['[UNK]']), ' ') AS pieces,
+       CASE WHEN f.pcs IS NULL THEN '[UNK]' ELSE array_to_string(list_transform(f.pcs, lambda x: replace(x, '##', '')), '') END
+         AS rejoined
+FROM dw d LEFT JOIN fullseg f ON d.word = f.word"""
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
+
+
+@register("p4_subword_encode", _p4_sql())
+def p4_subword_encode(spark, sf_dir):
+    """P4 (+P5): greedy longest-match subword segmentation of the pair corpus's
+    distinct words over pieces derived from the vocabulary; pieces re-joined
+    after stripping the ``##`` marker."""
+    from ..functions.text import strip_marker
+    from ..operators.tokens import encode_subwords, subword_pieces
+    inp = Inputs(spark, sf_dir)
+    pieces = subword_pieces(inp.vocab(), inp.words(), 500)
+    seg = encode_subwords(inp.words(inp.pairs()), pieces)
+    rejoined = F.when(F.array_contains("pieces", "[UNK]"), F.lit("[UNK]")).otherwise(
+        F.array_join(F.transform("pieces", lambda x: strip_marker(x)), ""))
+    return seg.select("word", F.array_join("pieces", " ").alias("pieces"), rejoined.alias("rejoined"))
