@@ -269,3 +269,59 @@ def j9_align_history(spark, sf_dir):
     """History truncated to the shortest series per phase, aligned by position."""
     a = align_history(metric_history(train_events(Inputs(spark, sf_dir))))
     return a.withColumn("value", r6(F.col("value")))
+
+
+# ---------------------------------------------------------------- M12 / M13 (data side of the runs)
+@register("m12_cross_validate", _fold_sql("SELECT fold, metric, round(value, 6) AS value FROM fm"))
+def m12_cross_validate(spark, sf_dir):
+    """M12 (+U5): every D4 fold scored in one grouped job; the per-fold tables unioned."""
+    f = fold_metrics(Inputs(spark, sf_dir))
+    return f.select("fold", "metric", r6(F.col("value")).alias("value"))
+
+
+def _m13_sql() -> str:
+    from .oracle_sql import STOP, doc_ctes
+    from .q_encode import D2_PARTS
+    from .q_prune import BODY_FACTOR, CNTS, DIM, FMAP
+    return with_ctes(*doc_ctes(STOP), CNTS, FMAP, *D2_PARTS, PRED.replace("preds AS (", "preds0 AS (", 1)
+                     .replace("dp AS (SELECT *, CASE WHEN score > 0.65 THEN 1.0 ELSE 0.0 END AS pred FROM preds),",
+                              "preds AS (SELECT p.* FROM preds0 p JOIN parts t ON p.example_id = t.example_id WHERE t.part = 'test'),\n"
+                              "dp AS (SELECT *, CASE WHEN score > 0.65 THEN 1.0 ELSE 0.0 END AS pred FROM preds),"),
+                     BIN, body=f"""
+, red AS (SELECT count(DISTINCT new_id) AS kept, (SELECT v FROM vsize) AS v FROM fmap),
+unk AS (SELECT avg(CASE WHEN m.new_id IS NULL THEN 1.0 ELSE 0.0 END) AS r
+        FROM tokens t JOIN parts p ON t.example_id = p.example_id LEFT JOIN fmap m ON t.token_id = m.token_id
+        WHERE p.part = 'test')
+SELECT 'test_accuracy_score' AS metric, round(accuracy_score, 6) AS value FROM binm
+UNION ALL SELECT 'test_f1_score', round(f1_score, 6) FROM binm
+UNION ALL SELECT 'vocab_reduction_pct', round((1 - kept / CAST(v AS DOUBLE)) * 100, 6) FROM red
+UNION ALL SELECT 'total_reduction_pct', round((v - kept) * {DIM} / CAST((1 + {BODY_FACTOR}) * v * {DIM} AS DOUBLE) * 100, 6) FROM red
+UNION ALL SELECT 'test_unk_rate', round(r, 6) FROM unk""")
+
+
+@register("m13_standard_run", _m13_sql())
+def m13_standard_run(spark, sf_dir):
+    """Frequency pruning -> D2 -> J1 on the test part -> A16 metrics + A11 reduction
+    + the share of test tokens that became UNK, as one long table."""
+    from ..operators.rank import keep_by_percent
+    from ..operators.remap import reduction_report
+    from ..operators.tokens import encode
+    from .q_encode import d2_split
+    from .q_prune import BODY_FACTOR, DIM, P, train_counts
+    inp = Inputs(spark, sf_dir)
+    parts = d2_split(inp)
+    test_ids = parts.filter(F.col("part") == "test").select("example_id")
+    tm = keep_by_percent(train_counts(inp), P)
+    b = binary_metrics(predictions(inp).join(test_ids, "example_id"))
+    v = inp.vocab_rows()
+    rep = reduction_report(tm, v, DIM, BODY_FACTOR * v * DIM)
+    toks = encode(inp.words(inp.corpus(), specials=True), inp.vocab()).join(test_ids, "example_id")
+    unk = (toks.join(tm.withColumn("_k", F.lit(1)).select("token_id", "_k"), "token_id", "left")
+               .agg(F.avg(F.when(F.col("_k").isNull(), 1.0).otherwise(0.0)).alias("test_unk_rate")))
+
+    def one(df, src, name):
+        return df.select(F.lit(name).alias("metric"), r6(F.col(src)).alias("value"))
+    return (one(b, "accuracy_score", "test_accuracy_score").unionByName(one(b, "f1_score", "test_f1_score"))
+            .unionByName(one(rep, "vocab_reduction_pct", "vocab_reduction_pct"))
+            .unionByName(one(rep, "total_reduction_pct", "total_reduction_pct"))
+            .unionByName(one(unk, "test_unk_rate", "test_unk_rate")))
