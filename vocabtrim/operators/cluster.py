@@ -238,3 +238,46 @@ def eps_clusters(vecs: DataFrame, eps: float = 0.3, col: str = "vec") -> DataFra
     firsts = comp.select("component").distinct()
     dense = with_row_number(firsts, [F.col("component").asc()], name="_c")
     return comp.join(dense, "component").select("token_id", (F.col("_c") - 1).cast("int").alias("cluster"))
+
+
+def split_clusters(labels: DataFrame, vecs: DataFrame, n: int, seed: int = 42, rounds: int = 5,
+                   col: str = "vec", max_rounds: int = 64) -> DataFrame:
+    """Grow ``labels (token_id, cluster)`` to ``n`` clusters by repeatedly
+    splitting the largest clusters (size, then id, descending) with 2-means.
+
+    All clusters chosen in a round are split in one job keyed by cluster id:
+    each has two centres (its two smallest ``md5(seed:token_id)`` members), so the
+    centre table is bounded by twice the number of splits.  The second half of
+    the i-th split gets id ``max + 1 + i``.
+    """
+    lab = labels.select("token_id", "cluster").join(vecs.select("token_id", col), "token_id").checkpoint(eager=True)
+    for _ in range(max_rounds):
+        sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+        current = int(scalar(sizes, F.count(F.lit(1))))
+        if current >= n:
+            break
+        splittable = sizes.filter(F.col("size") >= 2)
+        r = with_row_number(splittable, [F.col("size").desc(), F.col("cluster").desc()], name="_o")
+        chosen = r.filter(F.col("_o") <= n - current).select("cluster", "_o")
+        if scalar(chosen, F.count(F.lit(1))) == 0:
+            break
+        top = int(scalar(lab, F.max("cluster")))
+        pts = lab.join(chosen, "cluster")
+        h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("token_id").cast("string")))
+        init = with_row_number(pts.withColumn("_h", h), [F.col("_h").asc(), F.col("token_id").asc()],
+                               name="_r", groups=["cluster"])
+        cents = init.filter(F.col("_r") <= 2).select("cluster", (F.col("_r") - 1).alias("sub"),
+                                                     F.col(col).alias("centre"))
+        for _ in range(rounds + 1):
+            d = pts.join(cents, "cluster").withColumn("_d", sq_dist(F.col(col), F.col("centre")))
+            best = d.groupBy("token_id", "cluster").agg(F.min_by("sub", F.struct("_d", "sub")).alias("sub"))
+            assigned = pts.join(best, ["token_id", "cluster"])
+            new = mean_vectors(assigned.withColumn("_key", F.struct("cluster", "sub")), col, key="_key") \
+                .select("_key.cluster", "_key.sub", "centre")
+            cents = new.unionByName(cents.join(new.select("cluster", "sub"), ["cluster", "sub"], "left_anti")) \
+                       .checkpoint(eager=True)
+        moved = assigned.select("token_id", F.when(F.col("sub") == 1, F.lit(top) + F.col("_o")).otherwise(F.col("cluster"))
+                                .cast("int").alias("cluster"), col)
+        lab = lab.join(chosen.select("cluster"), "cluster", "left_anti").unionByName(
+            moved.select("token_id", "cluster", col)).select("token_id", "cluster", col).checkpoint(eager=True)
+    return lab.select("token_id", "cluster")

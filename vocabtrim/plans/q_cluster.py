@@ -243,3 +243,13 @@ bimp AS (
 def m4_prune_importance_oov(spark, sf_dir):
     """M4 = M3 ranking -> C5 -> U4 -> C6 hybrid map."""
     return _oov_method(spark, sf_dir, "importance")
+
+
+@register("c2b_split_clusters", None)
+def c2b_split_clusters(spark, sf_dir):
+    """The k-means clusters (k = 8) grown to 12 by splitting the largest ones
+    with 2-means.  No oracle (iterative); unit tests check sizes and ids."""
+    from ..operators.cluster import split_clusters
+    vecs = vectors(Inputs(spark, sf_dir))
+    lab, _ = kmeans(vecs, K_DEMO, SEED, ROUNDS)
+    return split_clusters(lab, vecs, 12, SEED)
