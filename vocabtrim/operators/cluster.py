@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import l2_normalise
-from .ordering import scalar, with_row_number
+from .ordering import materialize, scalar, with_row_number
 
 MAX_CENTRES = 50_000
 
@@ -152,7 +152,7 @@ def cluster_removed(removed_ids: DataFrame, keep: DataFrame, vecs: DataFrame, k:
     """K-means the removed tokens that have vectors (P11) into ``min(k, n)``
     clusters; representative = nearest to the centre.  Returns
     ``(oov (token_id, rep_id), keep' = keep + representatives appended in cluster order)``."""
-    pts = removed_ids.select("token_id").join(vecs, "token_id", "inner")
+    pts = materialize(removed_ids.select("token_id").join(vecs, "token_id", "inner"))
     n = int(scalar(pts, F.count(F.lit(1))))
     if n == 0:
         spark = keep.sparkSession
@@ -173,7 +173,7 @@ def prune_by_cluster(token_ids: DataFrame, vecs: DataFrame, p: float, seed: int
     """C4: keep the ``n_special`` smallest ids, cluster the rest (normalised vectors)
     into ``(n - 5) - int(n * p / 100)`` clusters and keep one representative per
     cluster, nearest to the raw mean.  Returns the keep list ``(token_id, new_id)``."""
-    pts = token_ids.select("token_id").distinct().join(vecs, "token_id", "inner")
+    pts = materialize(token_ids.select("token_id").distinct().join(vecs, "token_id", "inner"))
     r = with_row_number(pts.select("token_id"), [F.col("token_id").asc()], name="_r")
     n = int(scalar(r, F.count(F.lit(1))))
     specials = r.filter(F.col("_r") <= n_special).select("token_id", (F.col("_r") - 1).cast("int").alias("new_id"))

@@ -59,6 +59,14 @@ def with_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
                .drop(_PID, _LOCAL, _FIRST, _OFF))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a frame that several later steps read (a budget count, a ranking, a
+    join) to the shared checkpoint folder once, instead of recomputing its
+    lineage for each of them.  Used for vocabulary-sized tables, not corpora."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scalar(df: DataFrame, expr: Column):
     """Evaluate a one-row aggregate on the driver (budgets and loop counts only)."""
     return df.agg(expr.alias("v")).first()["v"]

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import scalar, with_row_number
+from .ordering import materialize, scalar, with_row_number
 
 SPECIAL_IDS = (0, 1, 2, 3, 4)
 
@@ -59,6 +59,7 @@ def keep_top(ranked: DataFrame, k: int, special_ids: Sequence[int] = SPECIAL_IDS
 def keep_by_percent(counts: DataFrame, p: float, score: str = "cnt", min_tokens: int = 5,
                     special_ids: Sequence[int] = SPECIAL_IDS) -> DataFrame:
     """W2 on a ``(token_id, score)`` table: the token budget of the ranked methods."""
+    counts = materialize(counts.select("token_id", score))
     n = int(scalar(counts, F.count(F.lit(1))))
     k = percent_keep_count(n, p, min_tokens, len(special_ids))
     return keep_top(rank_tokens(counts, score, exclude=special_ids), k, special_ids)
@@ -69,6 +70,7 @@ def keep_by_parameters(counts: DataFrame, p: float, vocab_rows: int, dim: int, t
                        special_ids: Sequence[int] = SPECIAL_IDS) -> DataFrame:
     """Keep under a parameter budget; if the corpus vocabulary already meets it,
     keep exactly the corpus tokens (by score order, no specials added)."""
+    counts = materialize(counts.select("token_id", score))
     n = int(scalar(counts, F.count(F.lit(1))))
     ranked = rank_tokens(counts, score, exclude=special_ids)
     ns = int(scalar(ranked, F.count(F.lit(1))))
@@ -87,7 +89,7 @@ def random_order(seed: int, token_id: Column) -> Column:
 def keep_random(counts: DataFrame, p: float, seed: int = 42, min_tokens: int = 5,
                 special_ids: Sequence[int] = SPECIAL_IDS) -> DataFrame:
     """Keep ``max(min_tokens, int(ns * (1 - p/100)))`` non-special tokens at random."""
-    ns_df = counts.filter(~F.col("token_id").isin(list(special_ids)))
+    ns_df = materialize(counts.select("token_id").filter(~F.col("token_id").isin(list(special_ids))))
     ns = int(scalar(ns_df, F.count(F.lit(1))))
     k = max(min_tokens, int(ns * (1 - p / 100)))
     ranked = with_row_number(ns_df.withColumn("_h", random_order(seed, F.col("token_id"))),
@@ -134,6 +136,7 @@ def keep_by_percent_grouped(counts: DataFrame, p: float, by: Sequence[str], scor
     Output ``(by..., token_id, new_id)``.
     """
     by = list(by)
+    counts = materialize(counts.select(*by, "token_id", score))
     ns_df = counts.filter(~F.col("token_id").isin(list(special_ids)))
     base = ns_df if random_seed is not None else counts
     n = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import with_row_number
+from .ordering import materialize, with_row_number
 from .tokens import token_counts_from_words
 
 COVERAGE_POINTS = (0.1, 0.2, 0.5)
@@ -33,7 +33,7 @@ def ranked_counts(counts: DataFrame, by=("split",)) -> DataFrame:
 def token_stats(word_rows: DataFrame, vocab: DataFrame, vocab_rows: int, by=("split",)) -> DataFrame:
     """A7 per group: total, unique, vocabulary coverage, top-p coverage (W6), overlap."""
     by = list(by)
-    counts = token_counts_from_words(word_rows, vocab, by)
+    counts = materialize(token_counts_from_words(word_rows, vocab, by))
     ranked = ranked_counts(counts, by)
     sizes = counts.groupBy(*by).agg(F.sum("cnt").alias("total_tokens"),
                                     F.count(F.lit(1)).alias("unique_tokens"))

@@ -181,3 +181,14 @@ def m10_prepare_datasets(spark, sf_dir):
     out = standardise_label(out)
     return out.select("example_id", "part", _ids("input_ids").alias("ids"), _ids("attention_mask").alias("mask"),
                       "labels")
+
+
+# ---------------------------------------------------------------- P19 / P20
+@register("p19_head_sample", with_ctes(*PAIR_CTES, body="""
+SELECT example_id, concat_ws(' ', text_a, text_b) AS text FROM pcorpus ORDER BY example_id LIMIT 100"""))
+def p19_head_sample(spark, sf_dir):
+    """P19 + P20: the first 100 pairs in id order (the sample is the feature), texts joined by a space."""
+    from ..functions.text import concat_pair
+    from ..operators.encoding import head_sample
+    s = head_sample(Inputs(spark, sf_dir).pairs(), 100)
+    return s.select("example_id", concat_pair(F.col("text_a"), F.col("text_b")).alias("text"))

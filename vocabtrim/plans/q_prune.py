@@ -34,8 +34,10 @@ def train_corpus(inp: Inputs):
 
 
 def train_counts(inp: Inputs):
-    """A2+A3 on the pruning corpus: ``(token_id, cnt, df)``."""
-    return token_counts_from_words(inp.words(train_corpus(inp), specials=True), inp.vocab())
+    """A2+A3 on the pruning corpus: ``(token_id, cnt, df)``, materialised once per
+    query because the budget, the ranking and the reports all read it."""
+    from ..operators.ordering import materialize
+    return materialize(token_counts_from_words(inp.words(train_corpus(inp), specials=True), inp.vocab()))
 
 
 def as_map(tm):
@@ -276,7 +278,7 @@ def j1_remap_join(spark, sf_dir):
 
 @register("j1_remap_map", J1_SQL)
 def j1_remap_map(spark, sf_dir):
-    """J1 (+P3): same result through a size-checked MAP literal and ``transform``."""
+    """J1 (+P3): same result through a size-checked dense lookup row and ``transform`` (no shuffle)."""
     return _j1(spark, sf_dir, "map")
 
 
