@@ -9,7 +9,8 @@ from vocabtrim.operators.rank import (keep_by_parameters, keep_by_percent, keep_
 
 def test_row_number_matches_window(spark):
     df = spark.range(0, 997).select((F.col("id") % 7).alias("g"), ((F.col("id") * 37) % 101).alias("v"), "id")
-    got = with_row_number(df, [F.col("v").desc(), F.col("id").asc()], groups=["g"], num_partitions=5)
+    got = with_row_number(df, [F.col("v").desc(), F.col("id").asc()], groups=["g"], num_partitions=5,
+                          single_task_rows=None)
     got = {(r.id, r.rn) for r in got.collect()}
     rows = sorted(df.collect(), key=lambda r: (r.g, -r.v, r.id))
     exp, last, k = set(), None, 0
@@ -22,7 +23,7 @@ def test_row_number_matches_window(spark):
 
 def test_global_row_number_dense(spark):
     df = spark.range(0, 1000).withColumn("v", F.col("id") % 13)
-    got = with_row_number(df, [F.col("v").asc(), F.col("id").asc()], num_partitions=7)
+    got = with_row_number(df, [F.col("v").asc(), F.col("id").asc()], num_partitions=7, single_task_rows=None)
     rns = sorted(r.rn for r in got.collect())
     assert rns == list(range(1, 1001))
 
@@ -88,3 +89,25 @@ def test_parameter_budget_map(spark):
     tm = keep_by_parameters(c, 20, vocab_rows=500, dim=10, total_params=500 * 10 * 4)
     ids = sorted(r.new_id for r in tm.collect())
     assert ids == list(range(len(ids)))
+
+
+def test_small_and_distributed_paths_agree(spark):
+    df = spark.range(0, 500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7) % 50).alias("v"), "id")
+    order = [F.col("v").desc(), F.col("id").asc()]
+    a = {(r.id, r.rn) for r in with_row_number(df, order, groups=["g"], single_task_rows=None).collect()}
+    b = {(r.id, r.rn) for r in with_row_number(df, order, groups=["g"]).collect()}
+    assert a == b
+
+
+def test_queries_identical_on_distributed_path(spark, monkeypatch):
+    """Registered queries give the same rows when every numbering takes the range-shuffle path."""
+    import __spark_entry__ as E
+    from vocabtrim.operators import ordering
+    from vocabtrim.plans import common
+    sf = "/root/testdata/sf0.001"
+    names = ["m1_prune_frequency", "a7_token_stats", "d4_kfold", "a15_spearman"]
+    base = {n: sorted(map(tuple, E.queries()[n](spark, sf).collect())) for n in names}
+    monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", 0)
+    monkeypatch.setattr(common, "_VOCAB_CACHE", {})
+    for n in names:
+        assert sorted(map(tuple, E.queries()[n](spark, sf).collect())) == base[n], n

@@ -19,6 +19,10 @@ from ..session import ensure_checkpoint_dir
 
 _PID, _LOCAL, _N, _FIRST, _OFF = "_vt_pid", "_vt_local", "_vt_n", "_vt_first", "_vt_off"
 
+# Below this many rows (checked with a count) one sorted task is cheaper than a
+# range shuffle, and the bound is proven: e.g. an aggregated vocabulary.
+SINGLE_TASK_ROWS = 2_000_000
+
 
 def _num_partitions(df: DataFrame, requested: int | None) -> int:
     if requested:
@@ -28,15 +32,25 @@ def _num_partitions(df: DataFrame, requested: int | None) -> int:
 
 def with_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
                     groups: Sequence[str] = (), num_partitions: int | None = None,
-                    checkpoint: bool = True) -> DataFrame:
+                    checkpoint: bool = True, single_task_rows: int | None | str = "auto") -> DataFrame:
     """Add a 1-based ``name`` = row_number() over (partition by groups order by order).
 
     ``order`` must be a total order inside each group (add a unique tie-breaker),
     which makes the numbering repeatable after a task or executor is lost.  With
     ``checkpoint`` the sorted frame is written to the shared checkpoint folder so
     the offsets and the rows come from one materialisation.
+
+    A frame whose row count is at most ``single_task_rows`` (checked first) is
+    numbered with a plain window instead: the bound makes one task safe, and it
+    skips the sampling pass and the range shuffle.  Pass ``None`` to always use
+    the distributed path.
     """
     keys = [F.col(g).asc() for g in groups] + list(order)
+    if single_task_rows == "auto":
+        single_task_rows = SINGLE_TASK_ROWS
+    if single_task_rows and scalar(df, F.count(F.lit(1))) <= single_task_rows:
+        w = Window.partitionBy(*groups).orderBy(*order) if groups else Window.orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
     n = _num_partitions(df, num_partitions)
     ranged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)

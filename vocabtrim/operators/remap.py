@@ -48,16 +48,20 @@ def _choose(token_map: DataFrame, strategy: str) -> tuple[str, int]:
 
 
 def _explode_join_rebuild(df: DataFrame, col: str, lookup: DataFrame, value_expr, keys) -> DataFrame:
+    """Explode ``col``, look every id up, and rebuild the arrays per text.
+
+    Other columns ride along (``first`` per text) instead of being joined back,
+    so the input is computed once.  Empty arrays produce no exploded rows and
+    are kept by the caller.
+    """
     others = [c for c in df.columns if c not in keys and c != col]
-    ex = df.select(*keys, F.posexplode(col).alias("_pos", "_old"))
+    ex = df.select(*keys, *others, F.posexplode(col).alias("_pos", "_old"))
     j = ex.join(lookup, ex["_old"] == lookup["_k"], "left")
-    j = j.select(*keys, "_pos", value_expr.cast("int").alias("_new"))
-    rebuilt = (j.groupBy(*keys)
-                .agg(F.array_sort(F.collect_list(F.struct("_pos", "_new"))).alias("_ps"))
-                .select(*keys, F.transform("_ps", lambda s: s["_new"]).alias(col)))
-    if others:
-        rebuilt = rebuilt.join(df.select(*keys, *others), list(keys), "inner")
-    return rebuilt
+    j = j.select(*keys, *others, "_pos", value_expr.cast("int").alias("_new"))
+    return (j.groupBy(*keys)
+             .agg(F.array_sort(F.collect_list(F.struct("_pos", "_new"))).alias("_ps"),
+                  *[F.first(c).alias(c) for c in others])
+             .select(*keys, *others, F.transform("_ps", lambda s: s["_new"]).alias(col)))
 
 
 def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int = 0,

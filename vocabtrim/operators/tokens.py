@@ -98,18 +98,23 @@ def word_counts(word_rows: DataFrame, by=()) -> DataFrame:
 def token_counts_from_words(word_rows: DataFrame, vocab: DataFrame, by=(), unk: int = UNK_ID) -> DataFrame:
     """A2+A3 via the word level: ``(by..., token_id, cnt, df)``.
 
-    Known words map 1:1 to ids, so their counts carry over; words missing from
-    the vocabulary are pooled into ``unk`` (df counted over distinct texts).
+    Known words map 1:1 to ids, so their counts carry over after one
+    word-level join.  Words missing from the vocabulary are found at the word
+    level too; only if there are any does a second pass over the occurrences
+    (a semi-join with those words) count the texts that contain one, which is
+    the document frequency of ``unk``.
     """
-    wc = word_counts(word_rows, by)
+    from .ordering import materialize
+    by = list(by)
+    wc = materialize(word_counts(word_rows, by))
     known = wc.join(vocab, "word", "inner").select(*by, "token_id", "cnt", "df")
-    unknown_rows = word_rows.join(vocab, "word", "left_anti")
+    unknown_words = wc.join(vocab, "word", "left_anti")
+    if scalar(unknown_words, F.count(F.lit(1))) == 0:
+        return known
+    unknown_rows = word_rows.join(unknown_words.select(*by, "word"), [*by, "word"], "left_semi")
     unk_counts = (unknown_rows.groupBy(*by)
                   .agg(F.count(F.lit(1)).alias("cnt"), F.count_distinct("example_id", "side").alias("df"))
-                  .filter(F.col("cnt") > 0)
                   .select(*by, F.lit(unk).cast("int").alias("token_id"), "cnt", "df"))
-    # if the vocabulary itself has a row for ``unk`` (the [UNK] marker) it can only
-    # be counted via unknown words, so the union has at most one ``unk`` row per group
     return known.unionByName(unk_counts)
 
 
