@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import l2_normalise
-from .ordering import materialize, scalar, with_row_number
+from .ordering import checkpoint_once, materialize, scalar, with_row_number
 
 MAX_CENTRES = 50_000
 
@@ -105,13 +105,13 @@ def kmeans(vecs: DataFrame, k: int, seed: int = 42, rounds: int = 5, col: str =
     if k > MAX_CENTRES:
         raise ValueError(f"k={k} centres exceed the broadcast budget; use engine='mllib'")
     # the points are read every round: materialise them once (shared checkpoint folder)
-    vecs = vecs.select("token_id", col).checkpoint(eager=True)
-    centres = initial_centres(vecs, k, seed, col).checkpoint(eager=True)
+    vecs = checkpoint_once(vecs.select("token_id", col))
+    centres = checkpoint_once(initial_centres(vecs, k, seed, col))
     for _ in range(rounds):
         lab = assign(vecs, centres, col)
         new = mean_vectors(lab, col)
         kept = centres.join(new.select("cluster"), "cluster", "left_anti")  # empty clusters keep theirs
-        centres = new.unionByName(kept).checkpoint(eager=True)  # cut lineage every round
+        centres = checkpoint_once(new.unionByName(kept))  # cut lineage every round
     return assign(vecs, centres, col), centres
 
 
@@ -214,15 +214,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     """Min-label propagation: ``(token_id, component)`` = smallest id reachable.
     One checkpoint per round keeps the plan short; stops when nothing changes."""
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    und = und.checkpoint(eager=True)  # read every round
-    lab = nodes.select("token_id", F.col("token_id").alias("component")).checkpoint(eager=True)
+    und = checkpoint_once(und)  # read every round
+    lab = checkpoint_once(nodes.select("token_id", F.col("token_id").alias("component")))
     for _ in range(max_rounds):
         nb = (und.join(lab.withColumnRenamed("token_id", "b"), "b")
                  .groupBy("a").agg(F.min("component").alias("_m")))
         new = (lab.join(nb.withColumnRenamed("a", "token_id"), "token_id", "left")
                   .select("token_id", F.least("component", F.coalesce("_m", "component")).alias("component"),
                           (F.coalesce(F.col("_m"), F.col("component")) < F.col("component")).alias("_chg")))
-        new = new.checkpoint(eager=True)
+        new = checkpoint_once(new)
         changed = int(scalar(new, F.sum(F.col("_chg").cast("int"))) or 0)
         lab = new.drop("_chg")
         if changed == 0:
@@ -250,7 +250,7 @@ def split_clusters(labels: DataFrame, vecs: DataFrame, n: int, seed: int = 42, r
     centre table is bounded by twice the number of splits.  The second half of
     the i-th split gets id ``max + 1 + i``.
     """
-    lab = labels.select("token_id", "cluster").join(vecs.select("token_id", col), "token_id").checkpoint(eager=True)
+    lab = checkpoint_once(labels.select("token_id", "cluster").join(vecs.select("token_id", col), "token_id"))
     for _ in range(max_rounds):
         sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         current = int(scalar(sizes, F.count(F.lit(1))))
@@ -274,10 +274,10 @@ def split_clusters(labels: DataFrame, vecs: DataFrame, n: int, seed: int = 42, r
             assigned = pts.join(best, ["token_id", "cluster"])
             new = mean_vectors(assigned.withColumn("_key", F.struct("cluster", "sub")), col, key="_key") \
                 .select("_key.cluster", "_key.sub", "centre")
-            cents = new.unionByName(cents.join(new.select("cluster", "sub"), ["cluster", "sub"], "left_anti")) \
-                       .checkpoint(eager=True)
+            cents = checkpoint_once(
+                new.unionByName(cents.join(new.select("cluster", "sub"), ["cluster", "sub"], "left_anti")))
         moved = assigned.select("token_id", F.when(F.col("sub") == 1, F.lit(top) + F.col("_o")).otherwise(F.col("cluster"))
                                 .cast("int").alias("cluster"), col)
-        lab = lab.join(chosen.select("cluster"), "cluster", "left_anti").unionByName(
-            moved.select("token_id", "cluster", col)).select("token_id", "cluster", col).checkpoint(eager=True)
+        lab = checkpoint_once(lab.join(chosen.select("cluster"), "cluster", "left_anti").unionByName(
+            moved.select("token_id", "cluster", col)).select("token_id", "cluster", col))
     return lab.select("token_id", "cluster")

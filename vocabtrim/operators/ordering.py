@@ -58,8 +58,7 @@ def with_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
                 .withColumn(_LOCAL, F.monotonically_increasing_id()
                             - F.shiftleft(F.col(_PID).cast("long"), 33)))
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        ranged = ranged.checkpoint(eager=True)
+        ranged = checkpoint_once(ranged)
     per_part = (ranged.groupBy(_PID, *groups)
                 .agg(F.count(F.lit(1)).alias(_N), F.min(_LOCAL).alias(_FIRST)))
     w = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,12 +72,27 @@ def with_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
                .drop(_PID, _LOCAL, _FIRST, _OFF))
 
 
+def checkpoint_once(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint to the shared folder that computes ``df`` only once.
+
+    ``checkpoint(eager=True)`` runs one job to evaluate the frame and a second
+    one to write the files; without a persisted copy the second job recomputes
+    the whole lineage.  The copy is dropped as soon as the files exist.
+    """
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame that several later steps read (a budget count, a ranking, a
     join) to the shared checkpoint folder once, instead of recomputing its
     lineage for each of them.  Used for vocabulary-sized tables, not corpora."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpoint_once(df)
 
 
 def scalar(df: DataFrame, expr: Column):

@@ -53,10 +53,12 @@ def build_vocabulary(word_rows: DataFrame) -> DataFrame:
     Counting is a partial+final hash aggregate; the dense numbering uses the
     range-partitioned row number, so no single task sees the whole vocabulary.
     """
-    counts = word_rows.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    from .ordering import materialize
+    counts = materialize(word_rows.groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
     ranked = with_row_number(counts, [F.col("cnt").desc(), F.col("word").asc()])
     vocab = ranked.select("word", (F.col("rn") + 4).cast("int").alias("token_id"))
-    return vocab.unionByName(specials_df(word_rows.sparkSession))
+    # every encoding query reads it: written once to the checkpoint folder
+    return materialize(vocab.unionByName(specials_df(word_rows.sparkSession)))
 
 
 def vocab_size(vocab: DataFrame) -> int:
@@ -139,11 +141,10 @@ def encode_subwords(words_df: DataFrame, pieces: DataFrame, marker: str = "##",
     be segmented become ``unk``.  Rounds are checkpointed; output
     ``(word, pieces ARRAY<STRING>)``.
     """
-    from .ordering import scalar as _scalar
+    from .ordering import checkpoint_once, scalar as _scalar
     pcs = F.broadcast(pieces.select("piece"))
-    state = (words_df.select("word").distinct()
-             .select("word", F.lit(0).alias("off"), F.array().cast("array<string>").alias("pieces"))
-             .checkpoint(eager=True))
+    state = checkpoint_once(words_df.select("word").distinct()
+                            .select("word", F.lit(0).alias("off"), F.array().cast("array<string>").alias("pieces")))
     finished_parts = []  # each round's finished words, read from that round's checkpoint
     for _ in range(max_rounds):
         active = state.filter(F.col("off") < F.length("word"))
@@ -162,7 +163,7 @@ def encode_subwords(words_df: DataFrame, pieces: DataFrame, marker: str = "##",
         moved = step.filter(F.col("b").isNotNull()).select(
             "word", (F.col("off") + F.col("b.l")).alias("off"),
             F.concat("pieces", F.array(F.col("b.piece"))).alias("pieces"))
-        state = moved.unionByName(stuck).checkpoint(eager=True)
+        state = checkpoint_once(moved.unionByName(stuck))
     done = finished_parts[0]
     for part in finished_parts[1:]:
         done = done.unionByName(part)
