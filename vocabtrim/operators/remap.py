@@ -24,6 +24,8 @@ from ..functions.text import clamp
 from .ordering import scalar
 
 MAP_LITERAL_LIMIT = 200_000
+# a map whose largest id is below this is broadcast in the join strategy (<= ~16 MB)
+BROADCAST_MAP_IDS = 2_000_000
 
 
 def _lookup_row(spark, token_map: DataFrame, key: str, value: str, size: int, unk: int) -> DataFrame:
@@ -51,16 +53,16 @@ def _explode_join_rebuild(df: DataFrame, col: str, lookup: DataFrame, value_expr
     """Explode ``col``, look every id up, and rebuild the arrays per text.
 
     Other columns ride along (``first`` per text) instead of being joined back,
-    so the input is computed once.  Empty arrays produce no exploded rows and
-    are kept by the caller.
+    and ``posexplode_outer`` keeps empty arrays as one NULL row, so the input is
+    read once.
     """
     others = [c for c in df.columns if c not in keys and c != col]
-    ex = df.select(*keys, *others, F.posexplode(col).alias("_pos", "_old"))
+    ex = df.select(*keys, *others, F.posexplode_outer(col).alias("_pos", "_old"))
     j = ex.join(lookup, ex["_old"] == lookup["_k"], "left")
     j = j.select(*keys, *others, "_pos", value_expr.cast("int").alias("_new"))
+    cell = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_new"))  # NULL cells are not collected
     return (j.groupBy(*keys)
-             .agg(F.array_sort(F.collect_list(F.struct("_pos", "_new"))).alias("_ps"),
-                  *[F.first(c).alias(c) for c in others])
+             .agg(F.array_sort(F.collect_list(cell)).alias("_ps"), *[F.first(c).alias(c) for c in others])
              .select(*keys, *others, F.transform("_ps", lambda s: s["_new"]).alias(col)))
 
 
@@ -75,10 +77,11 @@ def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int
         return j.withColumn(col, F.transform(col, lambda x: F.coalesce(
             F.try_element_at(F.col("_lut"), x + 1), F.lit(unk)))).drop("_one", "_lut")
     lookup = token_map.select(F.col("token_id").alias("_k"), F.col("new_id").alias("_v"))
-    # empty texts have no exploded rows: keep them with an empty array
-    out = _explode_join_rebuild(df, col, lookup, F.coalesce(F.col("_v"), F.lit(unk)), keys)
-    empty = df.filter(F.size(col) == 0)
-    return out.unionByName(empty.select(*out.columns))
+    if size <= BROADCAST_MAP_IDS:
+        # the id space is bounded (checked above): ship the map, keep the corpus in place,
+        # so the rebuild reuses the input's partitioning by text
+        lookup = F.broadcast(lookup)
+    return _explode_join_rebuild(df, col, lookup, F.coalesce(F.col("_v"), F.lit(unk)), keys)
 
 
 def hybrid_lookup(token_map: DataFrame, oov: DataFrame, mode: str = "intended",
