@@ -178,3 +178,23 @@ def test_split_clusters(spark):
     out = split_clusters(lab, vec, 4)
     ids = sorted({r.cluster for r in out.collect()})
     assert ids == [0, 1, 2, 3] and out.count() == 30
+
+
+def test_pipelines_prune_and_compare(spark):
+    from vocabtrim.plans.common import Inputs
+    from vocabtrim.plans.pipelines import compare_methods, prepare, prune, summarise_runs
+    inp = Inputs(spark, "/root/testdata/sf0.001")
+    train = inp.corpus().filter(F.col("split") == "train")
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        F.col("vec_id").cast("int").alias("token_id"), "embedding")
+    for method in ("frequency", "random", "train_only", "importance", "frequency_oov", "clustering"):
+        r = prune(method, train, inp.vocab(), inp.vocab_rows(), emb, p=20, dim=64)
+        ids = sorted(x.new_id for x in r.token_map.select("new_id").distinct().collect())
+        assert ids == list(range(len(ids))), method
+        assert r.report.first().kept_tokens == len(ids)
+    out = prepare(inp.corpus(), inp.vocab(), prune("frequency", train, inp.vocab(), inp.vocab_rows()))
+    assert out.count() == inp.corpus().count()
+    cmp = compare_methods(spark, _write(SUMMARY, "SUMMARY.csv"))
+    assert cmp.filter(F.col("size") == "393k").count() > 0
+    logs = summarise_runs(spark, _write(LOG, "cola_x.log"))
+    assert logs.first()["test_accuracy"] == 0.83

@@ -1,0 +1,131 @@
+"""User-level jobs (M1-M15): one call per pruning method or report, as a
+DataFrame program.  ``prune(method, ...)`` is the pluggable-method registry.
+
+Every job returns lazily planned DataFrames (budgets are the only values
+computed on the driver); model training and inference are outside: predictions
+and attention weights come in as tables.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.cluster import cluster_removed, prune_by_cluster
+from ..operators.encoding import encode_pair, pair_arrays
+from ..operators.importance import attention_importance, count_texts, tfidf_importance, word_importance
+from ..operators.metrics import all_metrics_long, best_fold, cv_summary
+from ..operators.rank import keep_by_parameters, keep_by_percent, keep_random, removed, sorted_map
+from ..operators.remap import hybrid_lookup, reduce_embeddings, reduction_report, remap, remap_hybrid
+from ..operators.report import parse_logs, performance_drop, read_summary, run_summary, scan_logs, with_sizes
+from ..operators.split import kfold, split_train_test
+from ..operators.stats import token_stats, vocab_overlap
+from ..operators.tokens import encode, texts, token_counts_from_words, words
+from ..sources.corpus import task_metadata
+
+
+@dataclass
+class PruneResult:
+    token_map: DataFrame            # (token_id, new_id)
+    oov: DataFrame | None           # (token_id, rep_id) for the OOV methods
+    embeddings: DataFrame | None    # (new_id, embedding)
+    report: DataFrame               # one row of reduction figures (A11)
+
+
+def _counts(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
+    return token_counts_from_words(words(texts(corpus), add_special_tokens=True), vocab)
+
+
+def prune(method: str, corpus: DataFrame, vocab: DataFrame, vocab_rows: int, embeddings: DataFrame | None = None,
+          p: float = 20.0, dim: int = 768, total_params: int | None = None, param_based: bool = False,
+          seed: int = 42, num_clusters: int = 50, importance_type: int = 3, attention: DataFrame | None = None,
+          attention_tokens: DataFrame | None = None, mode: str = "intended") -> PruneResult:
+    """M1-M9 by name: frequency, frequency_oov, importance, importance_oov, random,
+    attention, clustering, train_only, no_pruning.  ``corpus`` is the fitting
+    corpus (e.g. the train split); ``embeddings`` is ``(token_id, embedding)``."""
+    counts = _counts(corpus, vocab)
+    body = (total_params - vocab_rows * dim) if total_params else 0
+    oov = None
+    if method == "no_pruning":
+        tm = vocab.select("token_id", F.col("token_id").alias("new_id"))
+    elif method == "train_only":
+        tm = sorted_map(counts)
+    elif method in ("frequency", "frequency_oov", "importance", "importance_oov", "attention"):
+        if method.startswith("importance"):
+            tf = None if importance_type == 0 else tfidf_importance(words(texts(corpus)), count_texts(texts(corpus)),
+                                                                     importance_type)
+            scores = word_importance(counts, vocab, tf).select("token_id", F.round("importance", 6).alias("cnt"))
+        elif method == "attention":
+            scores = attention_importance(attention, attention_tokens, counts).select(
+                "token_id", F.round("importance", 6).alias("cnt"))
+        else:
+            scores = counts
+        if param_based and total_params:
+            tm = keep_by_parameters(scores, p, vocab_rows, dim, total_params)
+        else:
+            tm = keep_by_percent(scores, p)
+        if method.endswith("_oov"):
+            vecs = embeddings.select("token_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+            oov, tm = cluster_removed(removed(counts, tm), tm, vecs, num_clusters, seed)
+    elif method == "random":
+        tm = keep_random(counts, p, seed)
+    elif method == "clustering":
+        vecs = embeddings.select("token_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+        tm = prune_by_cluster(counts, vecs, p, seed)
+    else:
+        raise ValueError(f"unknown pruning method {method!r}")
+    emb = reduce_embeddings(tm, embeddings) if embeddings is not None else None
+    rep = reduction_report(tm, vocab_rows, dim, body)
+    return PruneResult(tm, oov, emb, rep)
+
+
+def prepare(corpus: DataFrame, vocab: DataFrame, result: PruneResult, max_length: int = 128) -> DataFrame:
+    """Encode every split to fixed length and rewrite it with the token map."""
+    enc = encode_pair(pair_arrays(encode(words(texts(corpus)), vocab)), max_length)
+    enc = enc.join(corpus.select("example_id", "split", "label"), "example_id")
+    tm = result.token_map
+    if result.oov is not None:
+        return remap_hybrid(enc, tm, result.oov, keys=("example_id",))
+    return remap(enc, tm, keys=("example_id",))
+
+
+def token_statistics(corpus: DataFrame, vocab: DataFrame, vocab_rows: int, seed: int = 42) -> DataFrame:
+    """Stratified 0.9 / 0.1 split of the train split, statistics per part and the overlap."""
+    parts = split_train_test(corpus.filter(F.col("split") == "train").select("example_id", "label"), 0.9, seed)
+    w = words(texts(corpus.drop("split").join(parts.select("example_id", F.col("part").alias("split")),
+                                                  "example_id")))
+    stats = token_stats(w, vocab, vocab_rows)
+    c = token_counts_from_words(w, vocab, by=["split"])
+    return stats, vocab_overlap(c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test"))
+
+
+def cross_validate(pool: DataFrame, predictions: DataFrame, k: int = 5, seed: int = 42):
+    """M12 (data side): folds, per-fold metrics in one grouped job, summary, best fold."""
+    folds = kfold(pool, k, 0.1, seed).filter(F.col("part") == "train").select("example_id", "fold")
+    fm = all_metrics_long(predictions.join(folds, "example_id"), ["fold"])
+    return fm, cv_summary(fm), best_fold(fm)
+
+
+def standard_run(test_predictions: DataFrame, tasks: DataFrame, result: PruneResult) -> DataFrame:
+    """M13 (data side): the task's metrics on the test part next to the reduction figures."""
+    m = all_metrics_long(test_predictions).join(tasks.select(F.explode("metrics").alias("metric")), "metric")
+    rep = result.report.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+        for c in result.report.columns])).alias("r")).select("r.metric", "r.value")
+    return m.select(F.concat(F.lit("test_"), F.col("metric")).alias("metric"), "value").unionByName(rep)
+
+
+def summarise_runs(spark, log_glob: str, strict_legacy: bool = False) -> DataFrame:
+    """Every run log -> one row of test metrics and reductions."""
+    logs = scan_logs(spark, log_glob)
+    m = parse_logs(logs, strict_legacy).withColumn(
+        "task", F.regexp_extract("path", r"([^/]+?)(?:_[^/_]*)?\.log$", 1))
+    return run_summary(m)
+
+
+def compare_methods(spark, summary_path: str) -> DataFrame:
+    """The summary file -> drop from the baseline (pp) with dataset sizes."""
+    res = read_summary(spark, summary_path)
+    return with_sizes(performance_drop(res), task_metadata(spark))
