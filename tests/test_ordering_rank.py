@@ -109,5 +109,6 @@ def test_queries_identical_on_distributed_path(spark, monkeypatch):
     base = {n: sorted(map(tuple, E.queries()[n](spark, sf).collect())) for n in names}
     monkeypatch.setattr(ordering, "SINGLE_TASK_ROWS", 0)
     monkeypatch.setattr(common, "_VOCAB_CACHE", {})
+    monkeypatch.setattr(common, "_SHARED", {})
     for n in names:
         assert sorted(map(tuple, E.queries()[n](spark, sf).collect())) == base[n], n

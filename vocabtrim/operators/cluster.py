@@ -198,9 +198,11 @@ def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec") -> DataFrame:
     buckets (an equi-join on the bucket key), then filtered exactly.
     """
     radius = (2 * eps) ** 0.5
-    pivot = vecs.orderBy("token_id").limit(1).select(F.col(col).alias("_pv"), F.lit(1).alias("_one"))
-    b = (vecs.withColumn("_one", F.lit(1)).join(F.broadcast(pivot), "_one")
-             .withColumn("_bk", F.floor(F.sqrt(sq_dist(F.col(col), F.col("_pv"))) / radius).cast("long"))
+    first = vecs.orderBy("token_id").select(col).first()  # one vector: the pivot, as a literal
+    if first is None:
+        return vecs.sparkSession.createDataFrame([], "a int, b int")
+    pv = F.array(*[F.lit(float(x)) for x in first[0]])
+    b = (vecs.withColumn("_bk", F.floor(F.sqrt(sq_dist(F.col(col), pv)) / radius).cast("long"))
              .select("token_id", col, "_bk"))
     left = b.select(F.col("token_id").alias("a"), F.col(col).alias("va"), "_bk")
     right = b.select(F.col("token_id").alias("b"), F.col(col).alias("vb"),

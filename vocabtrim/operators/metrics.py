@@ -56,8 +56,11 @@ def matthews(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                              F.sum(F.when(F.col("label") == F.col("pred"), 1.0).otherwise(0.0)).alias("c"))
     if by:
         j = tot.join(m, by)
-    else:  # two one-row aggregates side by side
-        j = tot.withColumn("_k", F.lit(1)).join(m.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    else:  # two one-row aggregates: stack them and sum, no pairing of tables
+        zero = F.lit(0.0)
+        j = (tot.select("s", "c", zero.alias("tp_sum"), zero.alias("tt"), zero.alias("pp"))
+                .unionByName(m.select(zero.alias("s"), zero.alias("c"), "tp_sum", "tt", "pp"))
+                .agg(*[F.sum(x).alias(x) for x in ("s", "c", "tp_sum", "tt", "pp")]))
     num = F.col("c") * F.col("s") - F.col("tp_sum")
     den = F.sqrt((F.col("s") ** 2 - F.col("pp")) * (F.col("s") ** 2 - F.col("tt")))
     return j.select(*by, F.when(den != 0, num / den).otherwise(F.lit(0.0)).alias("matthews_corrcoef"))

@@ -15,6 +15,7 @@ from ..sources.corpus import documents_corpus, pair_corpus, table
 from ..operators.tokens import build_vocabulary, texts, vocab_size, words
 
 _VOCAB_CACHE: dict[tuple[int, str], tuple[DataFrame, int]] = {}
+_SHARED: dict[tuple[int, str, str], DataFrame] = {}
 
 
 @dataclass
@@ -49,3 +50,12 @@ class Inputs:
             v = build_vocabulary(self.words())
             _VOCAB_CACHE[key] = (v, vocab_size(v))
         return _VOCAB_CACHE[key]
+
+    def shared(self, name: str, build):
+        """A corpus-level intermediate (e.g. the train-split token counts) that
+        several jobs read: materialised once per session in the checkpoint folder."""
+        key = (id(self.spark), self.sf_dir, name)
+        if key not in _SHARED:
+            from ..operators.ordering import materialize
+            _SHARED[key] = materialize(build())
+        return _SHARED[key]

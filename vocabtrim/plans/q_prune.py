@@ -35,9 +35,9 @@ def train_corpus(inp: Inputs):
 
 def train_counts(inp: Inputs):
     """A2+A3 on the pruning corpus: ``(token_id, cnt, df)``, materialised once per
-    query because the budget, the ranking and the reports all read it."""
-    from ..operators.ordering import materialize
-    return materialize(token_counts_from_words(inp.words(train_corpus(inp), specials=True), inp.vocab()))
+    session because the budgets, rankings and reports of every method read it."""
+    return inp.shared("train_counts", lambda: token_counts_from_words(
+        inp.words(train_corpus(inp), specials=True), inp.vocab()))
 
 
 def as_map(tm):
