@@ -175,9 +175,9 @@ def with_sizes(results: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def order_by_baseline(results: DataFrame, baseline: str = "NO PRUNING") -> DataFrame:
     """Datasets ranked by the baseline's value (descending); other rows follow."""
+    from .ordering import with_row_number
     base = results.filter(F.col("method") == baseline).select("dataset", F.col("value").alias("_b")).distinct()
-    w = Window.orderBy(F.col("_b").desc(), F.col("dataset").asc())  # one row per dataset: small
-    rk = base.withColumn("order", F.row_number().over(w)).drop("_b")
+    rk = with_row_number(base, [F.col("_b").desc(), F.col("dataset").asc()], name="order").drop("_b")
     return results.join(rk, "dataset", "left")
 
 
