@@ -91,6 +91,11 @@ def test_sinks_round_trip(spark):
     write_predictions(df, os.path.join(d, "pred"), regression=True)
     lines = spark.read.text(os.path.join(d, "pred")).collect()
     assert sorted(r.value for r in lines) == ["0.250000", "0.500000"]
+    from vocabtrim.operators.report import write_encoded
+    enc = spark.createDataFrame([(1, [2, 5, 3], [1, 1, 1], 1.0)],
+                                "example_id long, input_ids array<int>, attention_mask array<int>, labels double")
+    write_encoded(enc, os.path.join(d, "enc"))
+    assert spark.read.parquet(os.path.join(d, "enc")).first().input_ids == [2, 5, 3]
     f = format_report(spark.createDataFrame([(1234567, 12.3456)], "n long, p double"), ["n"], ["p"]).first()
     assert f.n == "1,234,567" and f.p == "12.35"
 

@@ -117,7 +117,7 @@ def kmeans(vecs: DataFrame, k: int, seed: int = 42, rounds: int = 5, col: str =
 
 def _kmeans_mllib(vecs, k, seed, col):
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     data = vecs.withColumn("features", array_to_vector(col))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data)
     lab = model.transform(data).drop("features")

@@ -83,7 +83,6 @@ def pad_batches(df: DataFrame, pad_id: int = 0, ids: str = "input_ids", mask: st
     A batch holds ``batch_size`` rows, so the window group is bounded."""
     w = Window.partitionBy(batch)
     m = F.max(F.size(ids)).over(w)
-    extra = m - F.size(ids)
     out = df.withColumn("_m", m)
     out = out.withColumn(mask, F.concat(F.coalesce(F.col(mask), F.array_repeat(F.lit(1), F.size(ids))),
                                         F.array_repeat(F.lit(0), F.col("_m") - F.size(ids))))

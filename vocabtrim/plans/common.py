@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.corpus import documents_corpus, pair_corpus, table
 from ..operators.tokens import build_vocabulary, texts, vocab_size, words
 
-_VOCAB_CACHE: dict[tuple[int, str], tuple[DataFrame, int]] = {}
-_SHARED: dict[tuple[int, str, str], DataFrame] = {}
+_VOCAB_CACHE: dict[tuple, tuple[DataFrame, int]] = {}
+_SHARED: dict[tuple, DataFrame] = {}
 
 
 @dataclass
@@ -44,8 +44,13 @@ class Inputs:
     def vocab_rows(self) -> int:
         return self._vocab()[1]
 
+    def _key(self):
+        # the application id changes with every SparkContext, so a stopped
+        # session's frames are never reused
+        return (id(self.spark), self.spark.sparkContext.applicationId, self.sf_dir)
+
     def _vocab(self):
-        key = (id(self.spark), self.sf_dir)
+        key = self._key()
         if key not in _VOCAB_CACHE:
             v = build_vocabulary(self.words())
             _VOCAB_CACHE[key] = (v, vocab_size(v))
@@ -54,7 +59,7 @@ class Inputs:
     def shared(self, name: str, build):
         """A corpus-level intermediate (e.g. the train-split token counts) that
         several jobs read: materialised once per session in the checkpoint folder."""
-        key = (id(self.spark), self.sf_dir, name)
+        key = (*self._key(), name)
         if key not in _SHARED:
             from ..operators.ordering import materialize
             _SHARED[key] = materialize(build())

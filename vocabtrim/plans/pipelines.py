@@ -18,7 +18,7 @@ from ..operators.encoding import encode_pair, pair_arrays
 from ..operators.importance import attention_importance, count_texts, tfidf_importance, word_importance
 from ..operators.metrics import all_metrics_long, best_fold, cv_summary
 from ..operators.rank import keep_by_parameters, keep_by_percent, keep_random, removed, sorted_map
-from ..operators.remap import hybrid_lookup, reduce_embeddings, reduction_report, remap, remap_hybrid
+from ..operators.remap import reduce_embeddings, reduction_report, remap, remap_hybrid
 from ..operators.report import parse_logs, performance_drop, read_summary, run_summary, scan_logs, with_sizes
 from ..operators.split import kfold, split_train_test
 from ..operators.stats import token_stats, vocab_overlap

@@ -11,7 +11,7 @@ from ..operators.remap import remap, remap_keep_padding
 from ..operators.split import split_train_test
 from ..operators.tokens import encode, texts, words
 from .common import Inputs
-from .oracle_sql import CORPUS, PAIR_CTES, STOP, VOCAB, doc_ctes, with_ctes
+from .oracle_sql import PAIR_CTES, STOP, VOCAB, doc_ctes, with_ctes
 from .q_prune import CNTS, FMAP, P, train_counts
 from .q_splits import floor_of, sql_take_first
 from .registry import register

@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_prediction
-from ..operators.metrics import (align_history, all_metrics_long, best_fold, binary_metrics, cv_summary,
+from ..operators.metrics import (align_history, best_fold, binary_metrics, cv_summary,
                                  labelled, matthews, metric_history, pearson, spearman, task_metrics,
                                  timing_summary)
 from ..operators.ordering import with_row_number
 from ..operators.split import kfold
 from ..sources.corpus import task_metadata, TASKS
 from .common import Inputs
-from .oracle_sql import CORPUS, with_ctes
+from .oracle_sql import with_ctes
 from .q_splits import _kfold_sql
 from .registry import register
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.importance import count_texts, tfidf_importance, word_importance
 from ..operators.rank import (keep_by_parameters, keep_by_percent, keep_random, removed, sorted_map)
-from ..operators.remap import (reduce_embeddings, reduction_report, remap, truncation_map, valid_ids)
+from ..operators.remap import reduction_report, remap, truncation_map, valid_ids
 from ..operators.tokens import encode, sequences, token_counts_from_words
 from ..sources.corpus import scan_embeddings
 from .common import Inputs

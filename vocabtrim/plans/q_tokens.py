@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.stats import token_stats, vocab_overlap, ranked_counts
-from ..operators.tokens import encode, sequences, token_counts_from_words, word_counts
+from ..operators.tokens import token_counts_from_words, word_counts
 from .common import Inputs
-from .oracle_sql import doc_ctes, with_ctes, PAIRS, TEXTS, WORDS, SWORDS, VOCAB
+from .oracle_sql import doc_ctes, with_ctes
 from .registry import register
 
 
