@@ -86,18 +86,22 @@ def sequences(tokens: DataFrame, keys=("example_id", "side"), id_col: str = "tok
                   .select(*keys, *others, F.transform("_ps", lambda s: s[id_col]).alias(out)))
 
 
-def word_counts(word_rows: DataFrame, by=()) -> DataFrame:
-    """Word-level count and document frequency (texts containing the word).
+def word_counts(word_rows: DataFrame, by=(), with_df: bool = True) -> DataFrame:
+    """Word-level count and (``with_df``) document frequency (texts containing the word).
 
     Aggregated before any join, so a word holding a third of all occurrences
-    is collapsed by the map-side partial aggregate.
+    is collapsed by the map-side partial aggregate.  The distinct count behind
+    ``df`` costs a second aggregation level; callers that rank by count alone
+    skip it.
     """
-    return (word_rows.groupBy(*by, "word")
-            .agg(F.count(F.lit(1)).alias("cnt"),
-                 F.count_distinct("example_id", "side").alias("df")))
+    aggs = [F.count(F.lit(1)).alias("cnt")]
+    if with_df:
+        aggs.append(F.count_distinct("example_id", "side").alias("df"))
+    return word_rows.groupBy(*by, "word").agg(*aggs)
 
 
-def token_counts_from_words(word_rows: DataFrame, vocab: DataFrame, by=(), unk: int = UNK_ID) -> DataFrame:
+def token_counts_from_words(word_rows: DataFrame, vocab: DataFrame, by=(), unk: int = UNK_ID,
+                            with_df: bool = True) -> DataFrame:
     """A2+A3 via the word level: ``(by..., token_id, cnt, df)``.
 
     Known words map 1:1 to ids, so their counts carry over after one
@@ -108,15 +112,18 @@ def token_counts_from_words(word_rows: DataFrame, vocab: DataFrame, by=(), unk:
     """
     from .ordering import materialize
     by = list(by)
-    wc = materialize(word_counts(word_rows, by))
-    known = wc.join(vocab, "word", "inner").select(*by, "token_id", "cnt", "df")
+    wc = materialize(word_counts(word_rows, by, with_df))
+    cols = ["cnt", "df"] if with_df else ["cnt"]
+    known = wc.join(vocab, "word", "inner").select(*by, "token_id", *cols)
     unknown_words = wc.join(vocab, "word", "left_anti")
     if scalar(unknown_words, F.count(F.lit(1))) == 0:
         return known
     unknown_rows = word_rows.join(unknown_words.select(*by, "word"), [*by, "word"], "left_semi")
-    unk_counts = (unknown_rows.groupBy(*by)
-                  .agg(F.count(F.lit(1)).alias("cnt"), F.count_distinct("example_id", "side").alias("df"))
-                  .select(*by, F.lit(unk).cast("int").alias("token_id"), "cnt", "df"))
+    aggs = [F.count(F.lit(1)).alias("cnt")]
+    if with_df:
+        aggs.append(F.count_distinct("example_id", "side").alias("df"))
+    unk_counts = (unknown_rows.groupBy(*by).agg(*aggs)
+                  .select(*by, F.lit(unk).cast("int").alias("token_id"), *cols))
     return known.unionByName(unk_counts)
 
 

@@ -34,10 +34,11 @@ def train_corpus(inp: Inputs):
 
 
 def train_counts(inp: Inputs):
-    """A2+A3 on the pruning corpus: ``(token_id, cnt, df)``, materialised once per
-    session because the budgets, rankings and reports of every method read it."""
+    """A2 on the pruning corpus: ``(token_id, cnt)``, materialised once per session
+    because the budgets, rankings and reports of every method read it (the
+    methods rank by count; document frequency is computed where it is reported)."""
     return inp.shared("train_counts", lambda: token_counts_from_words(
-        inp.words(train_corpus(inp), specials=True), inp.vocab()))
+        inp.words(train_corpus(inp), specials=True), inp.vocab(), with_df=False))
 
 
 def as_map(tm):
