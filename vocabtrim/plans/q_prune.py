@@ -175,8 +175,10 @@ def m8_train_only(spark, sf_dir):
 
 # ---------------------------------------------------------------- A4 / J7 / M3
 def _tfidf(inp: Inputs, itype: int):
+    """Mean TF-IDF of the train split, materialised once per session (the
+    importance methods, their OOV variants and the reports all read it)."""
     tr = train_corpus(inp)
-    return tfidf_importance(inp.words(tr), count_texts(inp.texts(tr)), itype)
+    return inp.shared(f"tfidf{itype}", lambda: tfidf_importance(inp.words(tr), count_texts(inp.texts(tr)), itype))
 
 
 for _t in (1, 2, 3):
