@@ -108,3 +108,74 @@ def a21_size_correlation(spark, sf_dir):
     c = size_correlation(x, "lsize", "value")
     return c.select("method", *[F.round(k, 6).alias(k) for k in ("corr", "slope", "intercept")],
                     F.col("n").cast("long"))
+
+
+# ---------------------------------------------------------------- M14 (S7, S8, P15, J10) through real log files
+def run_logs(inp: Inputs):
+    """One run per document language: the metrics of its labelled predictions and
+    the vocabulary reduction of its frequency keep list, written as run logs
+    (``time - LEVEL - message`` lines, test and parameter sections) by Spark."""
+    from ..operators.metrics import binary_metrics
+    from .q_metrics import predictions
+    docs = inp.table("documents").select(F.col("doc_id").alias("example_id"), "lang")
+    m = binary_metrics(predictions(inp).join(docs, "example_id"), ["lang"])
+    w = inp.words().join(docs, "example_id")
+    fit = token_counts_from_words(w.filter(F.col("split") == "train"), inp.vocab(), by=["lang"], with_df=False)
+    kept = keep_by_percent_grouped(fit, P, ["lang"]).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    v = float(inp.vocab_rows())
+    red = kept.select("lang", ((1 - F.col("kept") / v) * 100).alias("voc"))
+    j = m.join(red, "lang")
+    line = lambda msg: F.concat(F.lit("2024-01-01 00:00:00 - INFO - "), msg)
+    text = F.concat_ws("\n",
+                       line(F.format_string("eval_loss: %.4f", 1 - F.col("accuracy_score"))),
+                       line(F.format_string("eval_accuracy: %.4f", F.col("accuracy_score"))),
+                       F.lit("=== Test Set Evaluation Results ==="),
+                       F.format_string("accuracy: %.4f", F.col("accuracy_score")),
+                       F.format_string("f1: %.4f", F.col("f1_score")),
+                       F.lit(""),
+                       F.lit("=== Parameter Reduction Statistics ==="),
+                       F.format_string("Embedding parameter reduction: %.2f%%", F.col("voc")),
+                       line(F.format_string("Vocabulary reduction: %.2f%%", F.col("voc"))))
+    return j.select(F.col("lang").alias("run"), text.alias("text"))
+
+
+M14_SQL = with_ctes(*doc_ctes(RESULTS_SQL.split(",\nte AS")[0]), r"""preds AS (
+  SELECT d.doc_id AS example_id, d.lang, CAST(coalesce(l.quality, -1) AS DOUBLE) AS label,
+         CAST(CAST('0x' || substr(md5('pred:' || CAST(d.doc_id AS VARCHAR)), 1, 4) AS INTEGER) AS DOUBLE) / 65535.0 * 0.8
+           + CASE WHEN coalesce(l.quality, -1) = 1 THEN 0.5 ELSE 0.0 END AS score
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+lp AS (SELECT *, CASE WHEN score > 0.65 THEN 1.0 ELSE 0.0 END AS pred FROM preds WHERE label <> -1),
+bm AS (
+  SELECT lang, sum(CASE WHEN label = pred THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS acc,
+         CASE WHEN sum(CASE WHEN label = 1 AND pred = 1 THEN 2 ELSE 0 END) + sum(CASE WHEN label <> 1 AND pred = 1 THEN 1 ELSE 0 END)
+                   + sum(CASE WHEN label = 1 AND pred <> 1 THEN 1 ELSE 0 END) <> 0
+              THEN sum(CASE WHEN label = 1 AND pred = 1 THEN 2 ELSE 0 END)
+                   / CAST(sum(CASE WHEN label = 1 AND pred = 1 THEN 2 ELSE 0 END) + sum(CASE WHEN label <> 1 AND pred = 1 THEN 1 ELSE 0 END)
+                          + sum(CASE WHEN label = 1 AND pred <> 1 THEN 1 ELSE 0 END) AS DOUBLE)
+              ELSE 0.0 END AS f1
+  FROM lp GROUP BY lang),
+kc AS (SELECT lang, count(*) AS kept FROM fk GROUP BY lang),
+vr AS (SELECT kc.lang, (1 - kept / CAST((SELECT v FROM vsize) AS DOUBLE)) * 100 AS voc FROM kc)""", body="""
+SELECT b.lang AS task, CAST(printf('%.4f', 1 - b.acc) AS DOUBLE) AS val_loss, CAST(printf('%.4f', b.acc) AS DOUBLE) AS val_accuracy,
+       CAST(printf('%.4f', b.acc) AS DOUBLE) AS test_accuracy, CAST(printf('%.4f', b.f1) AS DOUBLE) AS test_f1,
+       CAST(printf('%.2f', v.voc) AS DOUBLE) AS embedding_param_reduction, CAST(printf('%.2f', v.voc) AS DOUBLE) AS vocab_reduction,
+       0.0 AS total_param_reduction, 0.0 AS model_only_param_reduction
+FROM bm b JOIN vr v ON b.lang = v.lang""")
+
+
+@register("m14_summarise_runs", M14_SQL)
+def m14_summarise_runs(spark, sf_dir):
+    """M14 (+S8, S7, P15, J10): run logs written per language by Spark (text sink,
+    one folder per run) under the checkpoint folder, read back one row per file,
+    parsed with the log patterns and pivoted to one summary row per run."""
+    import uuid
+    from ..operators.report import parse_logs, run_summary, scan_logs
+    inp = Inputs(spark, sf_dir)
+    base = spark.sparkContext.getCheckpointDir().rstrip("/") + f"/run_logs/{uuid.uuid4().hex}"
+    run_logs(inp).repartition("run").write.partitionBy("run").text(base)
+    logs = scan_logs(spark, base + "/run=*/*.txt")
+    parsed = parse_logs(logs).withColumn("task", F.regexp_extract("path", r"run=([^/]+)/", 1))
+    s = run_summary(parsed)
+    cols = ["val_loss", "val_accuracy", "test_accuracy", "test_f1", "embedding_param_reduction", "vocab_reduction",
+            "total_param_reduction", "model_only_param_reduction"]
+    return s.select("task", *[F.col(c).cast("double").alias(c) for c in cols])
