@@ -179,3 +179,55 @@ def m14_summarise_runs(spark, sf_dir):
     cols = ["val_loss", "val_accuracy", "test_accuracy", "test_f1", "embedding_param_reduction", "vocab_reduction",
             "total_param_reduction", "model_only_param_reduction"]
     return s.select("task", *[F.col(c).cast("double").alias(c) for c in cols])
+
+
+# ---------------------------------------------------------------- S5 / S11 / A20 through a two-header summary file
+def write_summary_file(res, path: str) -> None:
+    """S11 + S8: the per-language results as the two-header, comma-decimal summary
+    layout (method columns by position, train columns left empty, the baseline
+    repeated in the reference column), one small file written by Spark."""
+    from ..operators.report import SUMMARY_METHODS, SUMMARY_WIDTH
+    test = res.filter(F.col("split") == "test").groupBy("dataset").pivot("method", list(METHODS)).agg(F.first("value"))
+
+    def cell(c):
+        return F.when(F.col(c).isNull(), F.lit('""')).otherwise(
+            F.concat(F.lit('"'), F.regexp_replace(F.format_string("%.4f", F.col(c)), r"\.", ","), F.lit('"')))
+    cols = [F.col("dataset"), cell("NO PRUNING")] + [F.lit('""')] * (SUMMARY_WIDTH - 3)
+    for name, _tr, te in SUMMARY_METHODS:
+        if name in METHODS:
+            cols[te] = cell(name)
+    data = test.select(F.lit(2).alias("_o"), F.concat_ws(",", *cols[: SUMMARY_WIDTH - 1]).alias("value"))
+    head1 = "," + ",".join([""] + [x for name, _t, _e in SUMMARY_METHODS[:7] for x in (name, "")] +
+                           ["FREQUENCY_OOV", "", "IMPORTANCE_OOV"])
+    head2 = ",paper," + ",".join(["train,test"] * 7 + ["test", "test"])
+    spark = res.sparkSession
+    heads = spark.createDataFrame([(0, head1), (1, head2)], "_o int, value string")
+    (heads.unionByName(data).orderBy("_o", "value").coalesce(1).select("value")
+          .write.mode("overwrite").text(path))
+
+
+@register("s5_read_summary", with_ctes(*doc_ctes(RESULTS_SQL), body="""
+, r4 AS (SELECT dataset, method, CAST(replace(printf('%.4f', value), ',', '.') AS DOUBLE) AS value FROM res),
+b4 AS (SELECT dataset, value AS b FROM r4 WHERE method = 'NO PRUNING'),
+allm AS (
+  SELECT d.dataset, m.method, coalesce(r.value, 0.0) AS value
+  FROM (SELECT DISTINCT dataset FROM r4) d
+  CROSS JOIN (VALUES ('NO PRUNING'), ('TRAIN TOKENS ONLY'), ('RANDOM'), ('CLUSTERING'), ('FREQUENCY'),
+                     ('ATTENTION'), ('IMPORTANCE'), ('FREQUENCY_OOV'), ('IMPORTANCE_OOV')) m(method)
+  LEFT JOIN r4 r ON r.dataset = d.dataset AND r.method = m.method)
+SELECT a.dataset, a.method, round(a.value, 6) AS value,
+       round(CASE WHEN a.method <> 'NO PRUNING' THEN (b.b - a.value) * 100 END, 6) AS drop_pp,
+       round((a.value - b.b) * 100, 6) AS vs_paper_pp
+FROM allm a JOIN b4 b ON a.dataset = b.dataset"""))
+def s5_read_summary(spark, sf_dir):
+    """S5 (+S8, S11, P13, A20): the method results written as the two-header,
+    comma-decimal summary file and read back by position; drop from the baseline."""
+    import uuid
+    from ..operators.report import read_summary
+    res, _ = method_results(Inputs(spark, sf_dir))
+    path = spark.sparkContext.getCheckpointDir().rstrip("/") + f"/summary/{uuid.uuid4().hex}"
+    write_summary_file(res, path)
+    back = read_summary(spark, path)
+    d = performance_drop(back)
+    return d.select("dataset", "method", F.round("value", 6).alias("value"), F.round("drop_pp", 6).alias("drop_pp"),
+                    F.round("vs_paper_pp", 6).alias("vs_paper_pp"))
