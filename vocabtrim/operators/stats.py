@@ -30,10 +30,16 @@ def ranked_counts(counts: DataFrame, by=("split",)) -> DataFrame:
     return with_row_number(r, [F.col("burstiness").desc(), F.col("token_id").asc()], name="rank_imp", groups=by)
 
 
-def token_stats(word_rows: DataFrame, vocab: DataFrame, vocab_rows: int, by=("split",)) -> DataFrame:
-    """A7 per group: total, unique, vocabulary coverage, top-p coverage (W6), overlap."""
+def token_stats(word_rows: DataFrame | None, vocab: DataFrame, vocab_rows: int, by=("split",),
+                counts: DataFrame | None = None) -> DataFrame:
+    """A7 per group: total, unique, vocabulary coverage, top-p coverage (W6), overlap.
+
+    ``counts`` (``by..., token_id, cnt, df``) can be passed in when another job
+    already materialised them; otherwise they are computed from ``word_rows``.
+    """
     by = list(by)
-    counts = materialize(token_counts_from_words(word_rows, vocab, by))
+    if counts is None:
+        counts = materialize(token_counts_from_words(word_rows, vocab, by))
     ranked = ranked_counts(counts, by)
     sizes = counts.groupBy(*by).agg(F.sum("cnt").alias("total_tokens"),
                                     F.count(F.lit(1)).alias("unique_tokens"))

@@ -51,7 +51,7 @@ A7_SQL = with_ctes(*doc_ctes(), sql_token_stats("words", "split"), body="SELECT
 def a7_token_stats(spark, sf_dir):
     """A7 (+W6 coverage, W7 ranking overlap, A5 burstiness): token statistics per split."""
     inp = Inputs(spark, sf_dir)
-    out = token_stats(inp.words(), inp.vocab(), inp.vocab_rows())
+    out = token_stats(None, inp.vocab(), inp.vocab_rows(), counts=split_counts(inp))
     return out.select(*[r6(F.col(c)).alias(c) if c.endswith("_pct") else F.col(c) for c in out.columns])
 
 
@@ -85,7 +85,9 @@ SPLIT_COUNTS = r"""sc AS (
 
 
 def split_counts(inp: Inputs):
-    return token_counts_from_words(inp.words(), inp.vocab(), by=["split"])
+    """Per-split token counts and document frequencies (no specials), materialised
+    once per session: statistics, burstiness, overlap and set queries read them."""
+    return inp.shared("split_counts", lambda: token_counts_from_words(inp.words(), inp.vocab(), by=["split"]))
 
 
 @register("a5_burstiness", with_ctes(*doc_ctes(SPLIT_COUNTS), body="""
