@@ -17,13 +17,19 @@ from .ordering import scalar
 
 
 def tfidf_importance(word_rows: DataFrame, n_texts: int, importance_type: int = 3,
-                     stop_words: DataFrame | None = None) -> DataFrame:
-    """A4: ``(word, tfidf)`` mean TF-IDF per feature word over ``n_texts`` texts."""
+                     stop_words: DataFrame | None = None, doc_freq: DataFrame | None = None) -> DataFrame:
+    """A4: ``(word, tfidf)`` mean TF-IDF per feature word over ``n_texts`` texts.
+
+    ``doc_freq`` (``word, df`` over the same texts) can come from an already
+    materialised count table; then the corpus is read once (term counts per
+    text), otherwise document frequencies are aggregated from the term counts.
+    """
     spark = word_rows.sparkSession
     stop = stop_words if stop_words is not None else stop_words_df(spark)
     feats = word_rows.join(F.broadcast(stop), "word", "left_anti")  # ~180 rows: fixed bound
     tf = feats.groupBy("example_id", "side", "word").agg(F.count(F.lit(1)).alias("tf"))
-    dfw = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    dfw = doc_freq.select("word", "df") if doc_freq is not None else \
+        tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     w = tf.join(dfw, "word").withColumn(
         "w", F.col("tf") * (F.log((F.lit(1.0) + n_texts) / (F.lit(1.0) + F.col("df"))) + 1))
     doc = Window.partitionBy("example_id", "side")  # one text's distinct words

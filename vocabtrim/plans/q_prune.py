@@ -177,8 +177,13 @@ def m8_train_only(spark, sf_dir):
 def _tfidf(inp: Inputs, itype: int):
     """Mean TF-IDF of the train split, materialised once per session (the
     importance methods, their OOV variants and the reports all read it)."""
+    from .q_tokens import split_counts
     tr = train_corpus(inp)
-    return inp.shared(f"tfidf{itype}", lambda: tfidf_importance(inp.words(tr), count_texts(inp.texts(tr)), itype))
+    # document frequencies of the train split come from the shared per-split counts
+    dfw = (split_counts(inp).filter(F.col("split") == "train").select("token_id", "df")
+           .join(inp.vocab(), "token_id").select("word", "df"))
+    return inp.shared(f"tfidf{itype}", lambda: tfidf_importance(
+        inp.words(tr), count_texts(inp.texts(tr)), itype, doc_freq=dfw))
 
 
 for _t in (1, 2, 3):
