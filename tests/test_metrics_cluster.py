@@ -119,3 +119,21 @@ def test_cluster_removed_and_prune(spark):
     assert reps <= set(k2) and sorted(k2.values()) == list(range(len(k2)))
     kept = prune_by_cluster(spark.createDataFrame([(i,) for i in range(40)], "token_id int"), vec, 50)
     assert kept.count() == 5 + (35 - 20)
+
+
+def test_eps_edges_blocks_match_brute_force(spark):
+    import random
+    from vocabtrim.operators.cluster import eps_edges
+    rnd = random.Random(11)
+    rows = []
+    for i in range(40):
+        c = i % 4
+        v = [1.0 if k == c else 0.0 for k in range(4)]
+        v = [x + rnd.gauss(0, 0.35) for x in v]
+        n = math.sqrt(sum(x * x for x in v))
+        rows.append((i, [x / n for x in v]))
+    want = {(a, b) for a, va in rows for b, vb in rows
+            if a < b and 1 - sum(x * y for x, y in zip(va, vb)) <= 0.3}
+    for block in (3, 1024):
+        got = {(r.a, r.b) for r in eps_edges(_vecs(spark, rows), 0.3, block=block).collect()}
+        assert got == want, block

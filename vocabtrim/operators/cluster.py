@@ -12,9 +12,11 @@ Vectors are ``(token_id, vec ARRAY<DOUBLE>)``.
   centre id; an empty cluster keeps its centre.  ``engine="mllib"`` runs
   ``pyspark.ml.clustering.KMeans`` instead for very large inputs.
 * eps-graph clusters (C2) = connected components of the cosine-eps graph
-  (DBSCAN with ``min_samples=2`` has no border points).  Candidate pairs come
-  from an exact band join on the distance to a pivot (triangle inequality);
-  components by min-label propagation with a checkpoint per round.
+  (DBSCAN with ``min_samples=2`` has no border points).  Candidate blocks come
+  from an exact band on the distance to a pivot (triangle inequality); each
+  pair of bounded blocks is compared with one numpy product in a cogroup task,
+  so only edges leave the tasks; components by min-label propagation with a
+  checkpoint per round.
 """
 
 from __future__ import annotations
@@ -188,28 +190,56 @@ def prune_by_cluster(token_ids: DataFrame, vecs: DataFrame, p: float, seed: int
                                                (F.col("_c") + n_special - 1).cast("int").alias("new_id")))
 
 
-def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec") -> DataFrame:
+def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec", block: int = 1024) -> DataFrame:
     """Pairs (a < b) with cosine distance ``<= eps`` on unit vectors.
 
-    Exact candidate generation: for unit vectors ``|a-b| = sqrt(2 * cosdist)``, so
-    by the triangle inequality pairs within eps differ by at most
-    ``r = sqrt(2 * eps)`` in their distance to a pivot vector.  Rows are bucketed
-    by ``floor(d(pivot) / r)`` and joined with the same and both neighbouring
-    buckets (an equi-join on the bucket key), then filtered exactly.
+    Exact, without materialising candidate pairs as rows:
+
+    * for unit vectors ``|a-b| = sqrt(2 * cosdist)``, so two points within eps
+      differ by at most ``r = sqrt(2 * eps)`` in their distance to a pivot; points
+      are bucketed by ``floor(d(pivot) / r)`` and only the same or neighbouring
+      buckets are compared;
+    * each bucket is cut into blocks of at most ``block`` points (distributed
+      numbering), and every candidate pair of blocks is one cogroup task that
+      multiplies the two blocks with numpy and emits only the edges.
+
+    No task ever holds more than ``2 * block`` points, whatever the skew of
+    the buckets.
     """
     radius = (2 * eps) ** 0.5
     first = vecs.orderBy("token_id").select(col).first()  # one vector: the pivot, as a literal
     if first is None:
         return vecs.sparkSession.createDataFrame([], "a int, b int")
     pv = F.array(*[F.lit(float(x)) for x in first[0]])
-    b = (vecs.withColumn("_bk", F.floor(F.sqrt(sq_dist(F.col(col), pv)) / radius).cast("long"))
-             .select("token_id", col, "_bk"))
-    left = b.select(F.col("token_id").alias("a"), F.col(col).alias("va"), "_bk")
-    right = b.select(F.col("token_id").alias("b"), F.col(col).alias("vb"),
-                     F.explode(F.array(F.col("_bk") - 1, F.col("_bk"), F.col("_bk") + 1)).alias("_bk"))
-    cand = left.join(right, "_bk").filter(F.col("a") < F.col("b"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-    return cand.filter((F.lit(1.0) - dot) <= eps).select("a", "b")
+    b = vecs.select("token_id", col, F.floor(F.sqrt(sq_dist(F.col(col), pv)) / radius).cast("long").alias("_bk"))
+    b = with_row_number(b, [F.col("token_id").asc()], name="_r", groups=["_bk"])
+    pts = materialize(b.select("token_id", col, "_bk",
+                               F.floor((F.col("_r") - 1) / block).cast("long").alias("_blk")))
+    blocks = pts.select("_bk", "_blk").distinct()  # one row per block: n / block + buckets
+    left = blocks.select(F.col("_bk").alias("a_bk"), F.col("_blk").alias("a_blk"))
+    right = blocks.select(F.col("_bk").alias("b_bk"), F.col("_blk").alias("b_blk"))
+    near = (left.join(right, (F.col("b_bk") >= F.col("a_bk")) & (F.col("b_bk") <= F.col("a_bk") + 1))
+                .filter((F.col("b_bk") > F.col("a_bk")) | (F.col("b_blk") >= F.col("a_blk")))
+                .withColumn("pair", F.concat_ws(":", "a_bk", "a_blk", "b_bk", "b_blk")))
+    lhs = (pts.select(F.col("_bk").alias("a_bk"), F.col("_blk").alias("a_blk"), F.col("token_id").alias("l_id"),
+                      F.col(col).alias("l_vec"))
+              .join(near.select("pair", "a_bk", "a_blk"), ["a_bk", "a_blk"]).select("pair", "l_id", "l_vec"))
+    rhs = (pts.select(F.col("_bk").alias("b_bk"), F.col("_blk").alias("b_blk"), F.col("token_id").alias("r_id"),
+                      F.col(col).alias("r_vec"))
+              .join(near.select(F.col("pair").alias("r_pair"), "b_bk", "b_blk"), ["b_bk", "b_blk"])
+              .select(F.col("r_pair").alias("pair"), "r_id", "r_vec"))
+
+    def edges(l_pdf: pd.DataFrame, r_pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(l_pdf) == 0 or len(r_pdf) == 0:
+            return pd.DataFrame({"a": pd.Series([], dtype="int32"), "b": pd.Series([], dtype="int32")})
+        la, ra = l_pdf["l_id"].to_numpy(), r_pdf["r_id"].to_numpy()
+        sim = np.stack(l_pdf["l_vec"].to_numpy()) @ np.stack(r_pdf["r_vec"].to_numpy()).T
+        i, j = np.nonzero((1.0 - sim <= eps) & (la[:, None] != ra[None, :]))
+        a_ids, b_ids = np.minimum(la[i], ra[j]), np.maximum(la[i], ra[j])
+        return pd.DataFrame({"a": a_ids.astype("int32"), "b": b_ids.astype("int32")})
+
+    # a block compared with itself yields each edge twice: keep distinct edges
+    return lhs.groupBy("pair").cogroup(rhs.groupBy("pair")).applyInPandas(edges, "a int, b int").distinct()
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
