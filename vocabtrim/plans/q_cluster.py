@@ -245,10 +245,49 @@ def m4_prune_importance_oov(spark, sf_dir):
     return _oov_method(spark, sf_dir, "importance")
 
 
-@register("c2b_split_clusters", None)
+def _c2b_sql(target: int = 12, rounds: int = ROUNDS) -> str:
+    parts = [PTS, sql_kmeans("km", "pts", str(K_DEMO)), f"""sizes AS (SELECT cluster, count(*) AS size FROM km GROUP BY cluster),
+ch AS (
+  SELECT cluster, o FROM (
+    SELECT cluster, row_number() OVER (ORDER BY size DESC, cluster DESC) AS o FROM sizes WHERE size >= 2)
+  WHERE o <= {target} - (SELECT count(*) FROM sizes)),
+sp AS (SELECT k.token_id, k.v, k.cluster, ch.o FROM km k JOIN ch ON k.cluster = ch.cluster),
+s_c0 AS (
+  SELECT cluster, r - 1 AS sub, v AS centre FROM (
+    SELECT cluster, v, row_number() OVER (PARTITION BY cluster ORDER BY md5('{SEED}:' || CAST(token_id AS VARCHAR)), token_id) AS r
+    FROM sp)
+  WHERE r <= 2)"""]
+    for i in range(1, rounds + 2):
+        parts.append(f"""s_a{i} AS (
+  SELECT token_id, v, cluster, o, sub FROM (
+    SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY d, sub) AS rn FROM (
+      SELECT p.token_id, p.v, p.cluster, p.o, c.sub,
+             list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.centre[i]) * (p.v[i] - c.centre[i]))) AS d
+      FROM sp p JOIN s_c{i - 1} c ON p.cluster = c.cluster))
+  WHERE rn = 1),
+s_m{i} AS (
+  SELECT cluster, sub, list(m ORDER BY pos) AS centre FROM (
+    SELECT cluster, sub, pos, avg(x) AS m
+    FROM (SELECT cluster, sub, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM s_a{i})
+    GROUP BY cluster, sub, pos)
+  GROUP BY cluster, sub),
+s_c{i} AS (
+  SELECT * FROM s_m{i}
+  UNION ALL SELECT * FROM s_c{i - 1} c WHERE NOT EXISTS (
+    SELECT 1 FROM s_m{i} m WHERE m.cluster = c.cluster AND m.sub = c.sub))""")
+    last = rounds + 1
+    body = f"""
+SELECT token_id, cluster FROM km WHERE cluster NOT IN (SELECT cluster FROM ch)
+UNION ALL
+SELECT token_id, CAST(CASE WHEN sub = 1 THEN (SELECT max(cluster) FROM km) + o ELSE cluster END AS INTEGER)
+FROM s_a{last}"""
+    return with_ctes(*parts, body=body)
+
+
+@register("c2b_split_clusters", _c2b_sql())
 def c2b_split_clusters(spark, sf_dir):
     """The k-means clusters (k = 8) grown to 12 by splitting the largest ones
-    with 2-means.  No oracle (iterative); unit tests check sizes and ids."""
+    with 2-means (the oracle unrolls the rounds)."""
     from ..operators.cluster import split_clusters
     vecs = vectors(Inputs(spark, sf_dir))
     lab, _ = kmeans(vecs, K_DEMO, SEED, ROUNDS)
