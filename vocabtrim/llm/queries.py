@@ -25,6 +25,13 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_katz_scoring(spark, sf_dir):
+    """Every document's log10 probability under a Katz model of the training fold."""
+    from . import lm_scoring as op
+    return op.score(table(spark, sf_dir, "documents"), order=2)
+
+
 @query()
 def op2_separator_scan(spark, sf_dir):
     """Token counts of all documents from flat token files written in the shared folder."""
@@ -50,8 +57,8 @@ def _op3_sql() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t,
-        list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+        list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 p AS (SELECT r, i, ws[i] || chr(0) || ws[i + 1] || chr(0) || ws[i + 2] AS g
       FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM p) WHERE c > 1),
@@ -61,10 +68,10 @@ c AS (SELECT doc_id, len(ws)::BIGINT AS n_words,
         length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-        len(list_filter(ws, x -> lower(x) IN ({stop})))::BIGINT AS n_stop_words,
-        len(list_filter(ws, x -> regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words, len(ls)::BIGINT AS n_lines,
-        len(list_filter(ls, x -> regexp_matches(x, '^ *[-*•]')))::BIGINT AS n_bullet_lines,
-        len(list_filter(ls, x -> regexp_matches(x, '(\.\.\.|…) *$')))::BIGINT AS n_ellipsis_lines
+        len(list_filter(ws, lambda x: lower(x) IN ({stop})))::BIGINT AS n_stop_words,
+        len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words, len(ls)::BIGINT AS n_lines,
+        len(list_filter(ls, lambda x: regexp_matches(x, '^ *[-*•]')))::BIGINT AS n_bullet_lines,
+        len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…) *$')))::BIGINT AS n_ellipsis_lines
       FROM w LEFT JOIN cov USING (r)),
 v AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
         concat_ws(',', {', '.join(broken)}) AS failed_rules FROM c)
@@ -127,7 +134,7 @@ def _op9_sql() -> str:
     plain = (r"trim(regexp_replace(translate(regexp_replace(lower(coalesce(t, '')), "
              r"'(?m)^[ \t*#/]*(?:copyright |copyright$|\(c\)|©|all rights reserved).*$', '', 'g'), '-‐‑', ''), "
              r"'[^\p{L}\p{N}]+', ' ', 'g'))")
-    spelled = (f"array_to_string(list_transform(string_split(p, ' '), w -> coalesce(map_extract(MAP {{{pairs}}}, w)[1], w)), ' ')")
+    spelled = (f"array_to_string(list_transform(string_split(p, ' '), lambda w: coalesce(map_extract(MAP {{{pairs}}}, w)[1], w)), ' ')")
     return f"""
 WITH k AS (SELECT license_id, {spelled} AS c FROM (SELECT license_id, {plain} AS p FROM (VALUES {known}) AS x(license_id, t))
            WHERE p <> '' GROUP BY ALL),

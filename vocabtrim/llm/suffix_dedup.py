@@ -269,7 +269,7 @@ def marked(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gram: int
 def spans(runs, length: int) -> list[tuple[int, int]]:
     """Maximal byte spans covered by the windows of sorted runs."""
     out: list[list[int]] = []
-    for r in runs or ():
+    for r in (() if runs is None else runs):
         a, b = r["first"], r["last"] + length
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
