@@ -15,8 +15,8 @@ Vectors are ``(token_id, vec ARRAY<DOUBLE>)``.
   (DBSCAN with ``min_samples=2`` has no border points).  Candidate blocks come
   from an exact band on the distance to a pivot (triangle inequality); each
   pair of bounded blocks is compared with one numpy product in a cogroup task,
-  so only edges leave the tasks; components by min-label propagation with a
-  checkpoint per round.
+  so only edges leave the tasks; components by min-label propagation with
+  pointer jumping and a checkpoint per round.
 """
 
 from __future__ import annotations
@@ -242,24 +242,31 @@ def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec", block: int =
     return lhs.groupBy("pair").cogroup(rhs.groupBy("pair")).applyInPandas(edges, "a int, b int").distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Min-label propagation: ``(token_id, component)`` = smallest id reachable.
-    One checkpoint per round keeps the plan short; stops when nothing changes."""
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Min-label propagation with pointer jumping: ``(token_id, component)`` = smallest id reachable.
+
+    Each round a node takes the least label of its neighbours and then the label of that
+    label, so labels travel ever longer ways and a chain needs a logarithmic number of
+    rounds.  Runs until nothing changes; one checkpoint per round keeps the plan short."""
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     und = checkpoint_once(und)  # read every round
     lab = checkpoint_once(nodes.select("token_id", F.col("token_id").alias("component")))
-    for _ in range(max_rounds):
-        nb = (und.join(lab.withColumnRenamed("token_id", "b"), "b")
-                 .groupBy("a").agg(F.min("component").alias("_m")))
-        new = (lab.join(nb.withColumnRenamed("a", "token_id"), "token_id", "left")
-                  .select("token_id", F.least("component", F.coalesce("_m", "component")).alias("component"),
-                          (F.coalesce(F.col("_m"), F.col("component")) < F.col("component")).alias("_chg")))
-        new = checkpoint_once(new)
+    while True:
+        # hook: a neighbour's least label lowers the label of the node and of its root
+        seen = und.join(lab.withColumnRenamed("token_id", "b"), "b").groupBy("a").agg(F.min("component").alias("_m"))
+        near = (lab.join(seen.withColumnRenamed("a", "token_id"), "token_id", "left")
+                   .select("token_id", "component", F.least("component", F.coalesce("_m", "component")).alias("_m")))
+        roots = near.groupBy("component").agg(F.min("_m").alias("_r")).withColumnRenamed("component", "token_id")
+        hooked = checkpoint_once(near.join(roots, "token_id", "left").select(
+            "token_id", "component", F.least("_m", F.coalesce("_r", "_m")).alias("_m")))
+        # jump: take the label of the label
+        up = hooked.select(F.col("token_id").alias("_m"), F.col("_m").alias("_j"))
+        new = checkpoint_once(hooked.join(up, "_m").select(
+            "token_id", F.col("_j").alias("component"), (F.col("_j") < F.col("component")).alias("_chg")))
         changed = int(scalar(new, F.sum(F.col("_chg").cast("int"))) or 0)
         lab = new.drop("_chg")
         if changed == 0:
-            break
-    return lab
+            return lab
 
 
 def eps_clusters(vecs: DataFrame, eps: float = 0.3, col: str = "vec") -> DataFrame:
@@ -273,7 +280,7 @@ def eps_clusters(vecs: DataFrame, eps: float = 0.3, col: str = "vec") -> DataFra
 
 
 def split_clusters(labels: DataFrame, vecs: DataFrame, n: int, seed: int = 42, rounds: int = 5,
-                   col: str = "vec", max_rounds: int = 64) -> DataFrame:
+                   col: str = "vec") -> DataFrame:
     """Grow ``labels (token_id, cluster)`` to ``n`` clusters by repeatedly
     splitting the largest clusters (size, then id, descending) with 2-means.
 
@@ -283,7 +290,7 @@ def split_clusters(labels: DataFrame, vecs: DataFrame, n: int, seed: int = 42, r
     the i-th split gets id ``max + 1 + i``.
     """
     lab = checkpoint_once(labels.select("token_id", "cluster").join(vecs.select("token_id", col), "token_id"))
-    for _ in range(max_rounds):
+    while True:  # ends when there are enough clusters or none can be split
         sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         current = int(scalar(sizes, F.count(F.lit(1))))
         if current >= n:

@@ -17,11 +17,13 @@ from .ordering import with_row_number
 def pair_arrays(tokens: DataFrame) -> DataFrame:
     """Token rows ``(example_id, side, pos, token_id)`` -> ``(example_id, ids_a, ids_b)``.
 
-    One shuffle by example; side ``b`` is NULL for single-text corpora.
+    One shuffle by example; side ``b`` is NULL for single-text corpora.  A row without
+    a token stands for an empty text, which gives an empty array.
     """
     g = tokens.groupBy("example_id").agg(
         F.array_sort(F.collect_list(F.struct("side", "pos", "token_id"))).alias("_t"))
-    ids = lambda side: F.transform(F.filter("_t", lambda x: x["side"] == side), lambda x: x["token_id"])
+    ids = lambda side: F.transform(
+        F.filter("_t", lambda x: (x["side"] == side) & x["token_id"].isNotNull()), lambda x: x["token_id"])
     has_b = F.exists("_t", lambda x: x["side"] == "b")
     return g.select("example_id", ids("a").alias("ids_a"),
                     F.when(has_b, ids("b")).alias("ids_b"))

@@ -121,11 +121,13 @@ def best_fold(fold_metrics: DataFrame, prefer=("accuracy_score", "f1_score", "ma
     (first fold wins ties); the last fold if none is present."""
     pref = F.broadcast(fold_metrics.sparkSession.createDataFrame(
         [(m, i) for i, m in enumerate(prefer)], "metric string, _pref int"))
-    cand = fold_metrics.join(pref, "metric")
-    chosen = cand.agg(F.min("_pref").alias("_pref"))
-    best = (cand.join(chosen, "_pref")
-                .agg(F.max_by(F.struct("metric", "fold", "value"), F.struct(F.col("value"), -F.col("fold")))
-                     .alias("b")))
+    m = fold_metrics.join(pref, "metric", "left")
+    found = F.col("_pref").isNotNull()
+    chosen = F.when(found, F.struct("metric", "fold", "value")).otherwise(
+        F.struct(F.lit(None).cast("string").alias("metric"), "fold", F.lit(None).cast("double").alias("value")))
+    order = F.struct(F.when(found, -F.col("_pref")).otherwise(F.lit(-len(prefer))), F.when(found, F.col("value")),
+                     F.when(found, -F.col("fold")).otherwise(F.col("fold")))
+    best = m.agg(F.max_by(chosen, order).alias("b"))
     return best.select("b.metric", "b.fold", "b.value")
 
 

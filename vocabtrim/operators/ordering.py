@@ -19,10 +19,6 @@ from ..session import ensure_checkpoint_dir
 
 _PID, _LOCAL, _N, _FIRST, _OFF = "_vt_pid", "_vt_local", "_vt_n", "_vt_first", "_vt_off"
 
-# Below this many rows (checked with a count) one sorted task is cheaper than a
-# range shuffle, and the bound is proven: e.g. an aggregated vocabulary.
-SINGLE_TASK_ROWS = 2_000_000
-
 
 def _num_partitions(df: DataFrame, requested: int | None) -> int:
     if requested:
@@ -32,7 +28,7 @@ def _num_partitions(df: DataFrame, requested: int | None) -> int:
 
 def with_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
                     groups: Sequence[str] = (), num_partitions: int | None = None,
-                    checkpoint: bool = True, single_task_rows: int | None | str = "auto") -> DataFrame:
+                    checkpoint: bool = True) -> DataFrame:
     """Add a 1-based ``name`` = row_number() over (partition by groups order by order).
 
     ``order`` must be a total order inside each group (add a unique tie-breaker),
@@ -40,17 +36,10 @@ def with_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
     ``checkpoint`` the sorted frame is written to the shared checkpoint folder so
     the offsets and the rows come from one materialisation.
 
-    A frame whose row count is at most ``single_task_rows`` (checked first) is
-    numbered with a plain window instead: the bound makes one task safe, and it
-    skips the sampling pass and the range shuffle.  Pass ``None`` to always use
-    the distributed path.
+    There is one path at every size, and no row is lost: a NULL group is a group like
+    any other.
     """
     keys = [F.col(g).asc() for g in groups] + list(order)
-    if single_task_rows == "auto":
-        single_task_rows = SINGLE_TASK_ROWS
-    if single_task_rows and scalar(df, F.count(F.lit(1))) <= single_task_rows:
-        w = Window.partitionBy(*groups).orderBy(*order) if groups else Window.orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
     n = _num_partitions(df, num_partitions)
     ranged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)
@@ -64,10 +53,15 @@ def with_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn",
     w = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(_PID, *groups, _FIRST,
                               F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF))
+    offsets = offsets.select(F.col(_PID).alias("_vt_p"), _FIRST, _OFF,
+                             *[F.col(g).alias(f"_vt_g{i}") for i, g in enumerate(groups)])
     if not groups:
         # at most one row per partition: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
-    out = ranged.join(offsets, [_PID, *groups])
+    same = F.col(_PID) == F.col("_vt_p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_vt_g{i}"))
+    out = ranged.join(offsets, same).drop("_vt_p", *[f"_vt_g{i}" for i in range(len(groups))])
     return (out.withColumn(name, (F.col(_OFF) + F.col(_LOCAL) - F.col(_FIRST) + 1).cast("long"))
                .drop(_PID, _LOCAL, _FIRST, _OFF))
 

@@ -97,6 +97,22 @@ def keep_random(counts: DataFrame, p: float, seed: int = 42, min_tokens: int = 5
     return keep_top(ranked, k, special_ids)
 
 
+def keep_random_by_parameters(counts: DataFrame, p: float, vocab_rows: int, dim: int, total_params: int,
+                              seed: int = 42, min_tokens: int = 5,
+                              special_ids: Sequence[int] = SPECIAL_IDS) -> DataFrame:
+    """W4 under the parameter budget of W3; all corpus tokens, in id order, if they meet it."""
+    ids = materialize(counts.select("token_id").distinct())
+    n = int(scalar(ids, F.count(F.lit(1))))
+    plain = ids.filter(~F.col("token_id").isin(list(special_ids)))
+    ns = int(scalar(plain, F.count(F.lit(1))))
+    k = parameter_keep_count(n, ns, p, vocab_rows, dim, total_params, min_tokens)
+    if k is None:
+        return sorted_map(ids)
+    ranked = with_row_number(plain.withColumn("_h", random_order(seed, F.col("token_id"))),
+                             [F.col("_h").asc(), F.col("token_id").asc()], name="rank")
+    return keep_top(ranked, k, special_ids)
+
+
 def sorted_map(token_ids: DataFrame) -> DataFrame:
     """W5 for the train-only method: new id = position in ascending id order."""
     r = with_row_number(token_ids.select("token_id").distinct(), [F.col("token_id").asc()], name="rank")

@@ -12,7 +12,8 @@ Remapping rewrites whole corpora, so it is written two ways:
   shuffle of the corpus at all (Spark's MAP lookup scans keys; an array index
   does not).
 
-``strategy="auto"`` picks ``map`` when the largest old id is below ``MAP_LITERAL_LIMIT``.
+``map`` is taken only when the largest old id is below ``MAP_LITERAL_LIMIT``, whoever asks;
+beyond it the join is.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ def _choose(token_map: DataFrame, strategy: str) -> tuple[str, int]:
     """Pick the strategy from the largest old id (the dense array's length)."""
     top = scalar(token_map, F.max("token_id"))
     size = 0 if top is None else int(top) + 1
-    if strategy != "auto":
+    if strategy == "join":
         return strategy, size
+    # also for a caller that asks for the lookup row: its size is bounded
     return ("map" if size <= MAP_LITERAL_LIMIT else "join"), size
 
 
@@ -134,6 +136,11 @@ def valid_ids(ids: DataFrame, embeddings: DataFrame) -> DataFrame:
     return ids.join(embeddings.select("token_id"), "token_id", "left_semi")
 
 
+def dropped_ids(ids: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """How many ids have no embedding row (one row, ``n_dropped``)."""
+    return ids.join(embeddings.select("token_id"), "token_id", "left_anti").agg(F.count(F.lit(1)).alias("n_dropped"))
+
+
 def reduce_embeddings(token_map: DataFrame, embeddings: DataFrame, clamp_missing: bool = False) -> DataFrame:
     """The reduced matrix ``(new_id, embedding)``: rows of kept tokens, new-id order.
 
@@ -160,8 +167,7 @@ def parameter_table(spark, vocab_rows: int, dim: int, body_params: int, prefix:
 def parameter_counts(params: DataFrame) -> DataFrame:
     """A10: total / embedding / model-only parameter counts by the name rule."""
     is_emb = F.col("param_name").contains("tok_embeddings.weight") | (
-        F.col("param_name").contains(".embeddings.") & F.regexp_extract("param_name", r"\.embeddings\.(.*)$", 1)
-        .contains("embed"))
+        F.regexp_extract("param_name", r"(?:^|\.)embeddings\.(.*)$", 1).contains("embed"))
     return params.agg(F.sum("numel").alias("total"),
                       F.sum(F.when(is_emb, F.col("numel")).otherwise(0)).alias("embedding")) \
                  .withColumn("model_only", F.col("total") - F.col("embedding"))

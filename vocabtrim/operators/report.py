@@ -46,14 +46,24 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
                .select("dataset", "r.method", "r.split", "r.value")
 
 
-def read_many_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names anything, on whatever file system it lies."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(conf).globStatus(p))
+
+
+def read_many_csv(spark: SparkSession, paths: Sequence[str], schema: str | None = None) -> DataFrame | None:
     """Read several CSV files with headers and union them by column name;
-    files that do not exist are skipped, columns missing in a file are NULL."""
-    import os
+    paths that do not exist (on any Hadoop file system) are skipped, columns missing in a
+    file are NULL.  With ``schema`` all files are one scan and no job infers types."""
+    found = [p for p in paths if _exists(spark, p)]
+    if not found:
+        return None
+    if schema:
+        return spark.read.csv(found, header=True, schema=schema).withColumn("source_file", F.input_file_name())
     out = None
-    for p in paths:
-        if not os.path.exists(p):
-            continue
+    for p in found:
         df = spark.read.csv(p, header=True, inferSchema=True).withColumn("source_file", F.lit(p))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
@@ -77,29 +87,29 @@ def parse_logs(logs: DataFrame, strict_legacy: bool = False) -> DataFrame:
     parameter section -> ``<type>_param_reduction``; the first
     ``Vocabulary reduction: v%`` -> ``vocab_reduction``.  Sections end at a blank
     line, or also at the next ``===`` header unless ``strict_legacy`` (which also
-    keeps the unsigned number pattern).
+    keeps the unsigned number pattern).  A value that is no number is NULL.
     """
     num = NUM_LEGACY if strict_legacy else NUM
     end = r"(?=\n\n|\Z)" if strict_legacy else r"(?=\n\n|\n[^\n]*===|\Z)"
     t = F.col("text")
     val = logs.select("path", F.posexplode(F.regexp_extract_all(t, F.lit(rf"eval_(\w+): {num}"), 0)).alias("i", "m"))
     val = val.select("path", "i", F.concat(F.lit("val_"), F.regexp_extract("m", rf"eval_(\w+): {num}", 1)).alias("metric"),
-                     F.regexp_extract("m", rf"eval_(\w+): {num}", 2).cast("double").alias("value"))
+                     F.regexp_extract("m", rf"eval_(\w+): {num}", 2).try_cast("double").alias("value"))
     test_sec = F.regexp_extract(t, rf"(?s)=== Test Set Evaluation Results ===\n(.*?){end}", 1)
     tst = logs.select("path", F.posexplode(F.regexp_extract_all(test_sec, F.lit(rf"(\w+): {num}"), 0)).alias("i", "m"))
     tst = tst.select("path", (F.col("i") + 1_000_000).alias("i"),
                      F.concat(F.lit("test_"), F.regexp_extract("m", rf"(\w+): {num}", 1)).alias("metric"),
-                     F.regexp_extract("m", rf"(\w+): {num}", 2).cast("double").alias("value"))
+                     F.regexp_extract("m", rf"(\w+): {num}", 2).try_cast("double").alias("value"))
     par_sec = F.regexp_extract(t, rf"(?s)=== Parameter Reduction Statistics ===\n(.*?){end}", 1)
     par = logs.select("path", F.posexplode(F.regexp_extract_all(par_sec, F.lit(rf"(\w+) parameter reduction: {num}%"), 0))
                       .alias("i", "m"))
     par = par.select("path", (F.col("i") + 2_000_000).alias("i"),
                      F.concat(F.lower(F.regexp_extract("m", rf"(\w+) parameter reduction: {num}%", 1)),
                               F.lit("_param_reduction")).alias("metric"),
-                     F.regexp_extract("m", rf"(\w+) parameter reduction: {num}%", 2).cast("double").alias("value"))
+                     F.regexp_extract("m", rf"(\w+) parameter reduction: {num}%", 2).try_cast("double").alias("value"))
     voc = logs.select("path", F.lit(3_000_000).alias("i"), F.lit("vocab_reduction").alias("metric"),
                       F.regexp_extract(t, rf"Vocabulary reduction: {num}%", 1).alias("_v")) \
-              .filter(F.col("_v") != "").select("path", "i", "metric", F.col("_v").cast("double").alias("value"))
+              .filter(F.col("_v") != "").select("path", "i", "metric", F.col("_v").try_cast("double").alias("value"))
     allm = val.unionByName(tst).unionByName(par).unionByName(voc)
     # last occurrence wins within a metric name (position order)
     return allm.groupBy("path", "metric").agg(F.max_by("value", "i").alias("value"))

@@ -30,17 +30,19 @@ def texts(corpus: DataFrame, a: str = "text_a", b: str | None = "text_b") -> Dat
     return out.filter(F.col("text").isNotNull())
 
 
-def words(text_rows: DataFrame, add_special_tokens: bool = False) -> DataFrame:
+def words(text_rows: DataFrame, add_special_tokens: bool = False, keep_empty: bool = False) -> DataFrame:
     """One row per word occurrence with its 0-based position in the text.
 
     With ``add_special_tokens`` the CLS / SEP markers are part of the exploded
     array (positions 0 and n+1), so one explode serves encoding and counting.
+    With ``keep_empty`` a text without a word stays as one row without position and word.
     """
     arr = word_array(F.col("text"))
     if add_special_tokens:
         arr = with_specials(arr)
     keep = [c for c in text_rows.columns if c != "text"]
-    return text_rows.select(*keep, F.posexplode(arr).alias("pos", "word"))
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return text_rows.select(*keep, explode(arr).alias("pos", "word"))
 
 
 def specials_df(spark) -> DataFrame:
@@ -73,7 +75,8 @@ def encode(word_rows: DataFrame, vocab: DataFrame, unk: int = UNK_ID) -> DataFra
     time, otherwise a shuffle join whose hot keys AQE's skew handling splits.
     """
     joined = word_rows.join(vocab, "word", "left")
-    return joined.withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(unk)).cast("int")).drop("word")
+    known = F.coalesce(F.col("token_id"), F.lit(unk)).cast("int")  # no word (an empty text): no id
+    return joined.withColumn("token_id", F.when(F.col("word").isNotNull(), known)).drop("word")
 
 
 def sequences(tokens: DataFrame, keys=("example_id", "side"), id_col: str = "token_id",
@@ -138,40 +141,37 @@ def subword_pieces(vocab: DataFrame, word_rows: DataFrame, top_words: int = 500,
         base.select(F.concat(F.lit(marker), F.col("word")).alias("piece"))).distinct()
 
 
-def encode_subwords(words_df: DataFrame, pieces: DataFrame, marker: str = "##", unk: str = "[UNK]",
-                    max_rounds: int = 1000) -> DataFrame:
+def encode_subwords(words_df: DataFrame, pieces: DataFrame, marker: str = "##", unk: str = "[UNK]") -> DataFrame:
     """Greedy longest-match subword segmentation of *distinct* words.
 
-    Each round extends every unfinished word by its longest matching piece
-    (continuation pieces carry ``marker``): all prefixes of the rest are joined
-    to the (small, bounded) piece table and the longest wins.  Words that cannot
-    be segmented become ``unk``.  Rounds are checkpointed; output
-    ``(word, pieces ARRAY<STRING>)``.
+    All substrings of a word up to the longest piece are looked up at once (an
+    equi-join with the piece table; continuation pieces carry ``marker``), the longest
+    at each place is kept, and one fold over the places of the word walks them.  There
+    are no rounds, so no word is left unfinished; words that cannot be segmented become
+    ``unk``.  Output ``(word, pieces ARRAY<STRING>)``.
     """
-    from .ordering import checkpoint_once, scalar as _scalar
-    pcs = F.broadcast(pieces.select("piece"))
-    state = checkpoint_once(words_df.select("word").distinct()
-                            .select("word", F.lit(0).alias("off"), F.array().cast("array<string>").alias("pieces")))
-    finished_parts = []  # each round's finished words, read from that round's checkpoint
-    for _ in range(max_rounds):
-        active = state.filter(F.col("off") < F.length("word"))
-        finished_parts.append(state.filter(F.col("off") >= F.length("word")))
-        if _scalar(active, F.count(F.lit(1))) == 0:
-            break
-        cand = active.select("word", "off", "pieces",
-                             F.explode(F.sequence(F.lit(1), F.length("word") - F.col("off"))).alias("l"))
-        sub = F.substring(F.col("word"), F.col("off") + 1, F.col("l"))
-        cand = cand.withColumn("piece", F.when(F.col("off") == 0, sub).otherwise(F.concat(F.lit(marker), sub)))
-        best = (cand.join(pcs, "piece", "left_semi")
-                    .groupBy("word", "off").agg(F.max_by(F.struct("l", "piece"), "l").alias("b")))
-        step = active.join(best, ["word", "off"], "left")
-        stuck = step.filter(F.col("b").isNull()).select("word", F.length("word").alias("off"),
-                                                        F.array(F.lit(unk)).alias("pieces"))
-        moved = step.filter(F.col("b").isNotNull()).select(
-            "word", (F.col("off") + F.col("b.l")).alias("off"),
-            F.concat("pieces", F.array(F.col("b.piece"))).alias("pieces"))
-        state = checkpoint_once(moved.unionByName(stuck))
-    done = finished_parts[0]
-    for part in finished_parts[1:]:
-        done = done.unionByName(part)
-    return done.select("word", "pieces")
+    from .ordering import scalar as _scalar
+    distinct = words_df.select("word").filter(F.col("word") != "").distinct()
+    pcs = pieces.select("piece").distinct()
+    longest = int(_scalar(pcs, F.max(F.length("piece"))) or 0)
+    room = F.least(F.length("word") - F.col("off"), F.lit(max(longest, 1)))
+    cand = (distinct.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("off"))
+                    .select("word", "off", F.explode(F.sequence(F.lit(1), room)).alias("l")))
+    sub = F.substring(F.col("word"), F.col("off") + 1, F.col("l"))
+    cand = cand.withColumn("piece", F.when(F.col("off") == 0, sub).otherwise(F.concat(F.lit(marker), sub)))
+    best = (cand.join(pcs, "piece", "left_semi").groupBy("word", "off").agg(F.max("l").alias("l"))
+                .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("off", "l"))).alias("best")))
+    none = F.array().cast("array<string>")
+
+    def step(state, i):
+        l = F.try_element_at(F.col("best"), i)
+        piece = F.substring(F.col("word"), i + 1, l)
+        piece = F.when(i == 0, piece).otherwise(F.concat(F.lit(marker), piece))
+        moved = F.struct((i + l).alias("next"), F.concat(state["out"], F.array(piece)).alias("out"))
+        stuck = F.struct(F.lit(-1).alias("next"), none.alias("out"))
+        return F.when(i != state["next"], state).when(l.isNull(), stuck).otherwise(moved)
+    walk = F.aggregate(F.sequence(F.lit(0), F.length("word") - 1),
+                       F.struct(F.lit(0).alias("next"), none.alias("out")), step)
+    done = distinct.join(best, "word", "left").withColumn("walk", walk)
+    return done.select("word", F.when(F.col("walk.next") == F.length("word"), F.col("walk.out"))
+                               .otherwise(F.array(F.lit(unk))).alias("pieces"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.corpus import documents_corpus, pair_corpus, table
+from ..sources.corpus import documents_corpus, documents_texts, pair_corpus, table
 from ..operators.tokens import build_vocabulary, texts, vocab_size, words
 
 _VOCAB_CACHE: dict[tuple, tuple[DataFrame, int]] = {}
@@ -29,11 +29,14 @@ class Inputs:
     def corpus(self) -> DataFrame:
         return documents_corpus(self.spark, self.sf_dir)
 
+    def text_corpus(self) -> DataFrame:
+        return documents_texts(self.spark, self.sf_dir)
+
     def pairs(self) -> DataFrame:
         return pair_corpus(self.spark, self.sf_dir)
 
     def texts(self, corpus: DataFrame | None = None) -> DataFrame:
-        return texts(self.corpus() if corpus is None else corpus)
+        return texts(self.text_corpus() if corpus is None else corpus)
 
     def words(self, corpus: DataFrame | None = None, specials: bool = False) -> DataFrame:
         return words(self.texts(corpus), add_special_tokens=specials)

@@ -17,7 +17,7 @@ from ..operators.cluster import cluster_removed, prune_by_cluster
 from ..operators.encoding import encode_pair, pair_arrays
 from ..operators.importance import attention_importance, count_texts, tfidf_importance, word_importance
 from ..operators.metrics import all_metrics_long, best_fold, cv_summary
-from ..operators.rank import keep_by_parameters, keep_by_percent, keep_random, removed, sorted_map
+from ..operators.rank import keep_by_parameters, keep_by_percent, keep_random, keep_random_by_parameters, removed, sorted_map
 from ..operators.remap import reduce_embeddings, reduction_report, remap, remap_hybrid
 from ..operators.report import parse_logs, performance_drop, read_summary, run_summary, scan_logs, with_sizes
 from ..operators.split import kfold, split_train_test
@@ -70,7 +70,10 @@ def prune(method: str, corpus: DataFrame, vocab: DataFrame, vocab_rows: int, emb
             vecs = embeddings.select("token_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
             oov, tm = cluster_removed(removed(counts, tm), tm, vecs, num_clusters, seed)
     elif method == "random":
-        tm = keep_random(counts, p, seed)
+        if param_based and total_params:
+            tm = keep_random_by_parameters(counts, p, vocab_rows, dim, total_params, seed)
+        else:
+            tm = keep_random(counts, p, seed)
     elif method == "clustering":
         vecs = embeddings.select("token_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
         tm = prune_by_cluster(counts, vecs, p, seed)
@@ -83,7 +86,7 @@ def prune(method: str, corpus: DataFrame, vocab: DataFrame, vocab_rows: int, emb
 
 def prepare(corpus: DataFrame, vocab: DataFrame, result: PruneResult, max_length: int = 128) -> DataFrame:
     """Encode every split to fixed length and rewrite it with the token map."""
-    enc = encode_pair(pair_arrays(encode(words(texts(corpus)), vocab)), max_length)
+    enc = encode_pair(pair_arrays(encode(words(texts(corpus), keep_empty=True), vocab)), max_length)
     enc = enc.join(corpus.select("example_id", "split", "label"), "example_id")
     tm = result.token_map
     if result.oov is not None:

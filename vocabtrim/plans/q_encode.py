@@ -20,7 +20,7 @@ MAXLEN = 128
 
 
 def _pair_tokens(inp: Inputs, corpus):
-    return encode(words(texts(corpus)), inp.vocab())
+    return encode(words(texts(corpus), keep_empty=True), inp.vocab())
 
 
 def encoded_pairs(inp: Inputs, corpus, pad=True, max_length=MAXLEN):
@@ -34,11 +34,12 @@ def _ids(c):
 # SQL: per example token lists, truncated lengths and the fixed-length encoding
 def sql_pair_encoding(src: str, pad: bool, max_length: int = MAXLEN, pad_id: int = 1) -> str:
     enc = rf"""pl AS (
-  SELECT t.example_id,
-         list(CAST(coalesce(v.token_id, 0) AS INTEGER) ORDER BY t.pos) FILTER (WHERE t.side = 'a') AS a,
-         list(CAST(coalesce(v.token_id, 0) AS INTEGER) ORDER BY t.pos) FILTER (WHERE t.side = 'b') AS b,
-         bool_or(t.side = 'b') AS has_b
-  FROM {src} t LEFT JOIN vocab v ON t.word = v.word GROUP BY t.example_id),
+  SELECT x.example_id,
+         list(CAST(coalesce(v.token_id, 0) AS INTEGER) ORDER BY t.pos) FILTER (WHERE x.side = 'a' AND t.word IS NOT NULL) AS a,
+         list(CAST(coalesce(v.token_id, 0) AS INTEGER) ORDER BY t.pos) FILTER (WHERE x.side = 'b' AND t.word IS NOT NULL) AS b,
+         bool_or(x.side = 'b') AS has_b
+  FROM {src.replace("words", "texts")} x LEFT JOIN {src} t ON x.example_id = t.example_id AND x.side = t.side
+  LEFT JOIN vocab v ON t.word = v.word GROUP BY x.example_id),
 pl2 AS (
   SELECT example_id, coalesce(a, []) AS a, CASE WHEN has_b THEN coalesce(b, []) END AS b FROM pl),
 pl3 AS (
@@ -156,7 +157,7 @@ FROM parts p JOIN enc e ON p.example_id = e.example_id"""))
 def d6_encoded_splits(spark, sf_dir):
     """The D2 split, every part encoded to fixed length in the same job."""
     inp = Inputs(spark, sf_dir)
-    e = encoded_pairs(inp, inp.corpus())
+    e = encoded_pairs(inp, inp.text_corpus())
     j = d2_split(inp).join(e, "example_id")
     return j.select("example_id", "part", _ids("input_ids").alias("ids"), _ids("attention_mask").alias("mask"))
 

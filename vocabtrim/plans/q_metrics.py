@@ -315,7 +315,7 @@ def m13_standard_run(spark, sf_dir):
     b = binary_metrics(predictions(inp).join(test_ids, "example_id"))
     v = inp.vocab_rows()
     rep = reduction_report(tm, v, DIM, BODY_FACTOR * v * DIM)
-    toks = encode(inp.words(inp.corpus(), specials=True), inp.vocab()).join(test_ids, "example_id")
+    toks = encode(inp.words(specials=True), inp.vocab()).join(test_ids, "example_id")
     unk = (toks.join(tm.withColumn("_k", F.lit(1)).select("token_id", "_k"), "token_id", "left")
                .agg(F.avg(F.when(F.col("_k").isNull(), 1.0).otherwise(0.0)).alias("test_unk_rate")))
 

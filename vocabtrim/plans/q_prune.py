@@ -30,7 +30,7 @@ def r6(c):
 
 
 def train_corpus(inp: Inputs):
-    return inp.corpus().filter(F.col("split") == "train")
+    return inp.text_corpus().filter(F.col("split") == "train")
 
 
 def train_counts(inp: Inputs):

@@ -65,7 +65,7 @@ FROM tokens WHERE split = 'train' GROUP BY token_id""")
 def a2_token_counts(spark, sf_dir):
     """A2 + A3: occurrences and document frequency per token id (train split, specials included)."""
     inp = Inputs(spark, sf_dir)
-    train = inp.corpus().filter(F.col("split") == "train")
+    train = inp.text_corpus().filter(F.col("split") == "train")
     c = token_counts_from_words(inp.words(train, specials=True), inp.vocab())
     return c.select("token_id", F.col("cnt").cast("long"), F.col("df").cast("long"))
 

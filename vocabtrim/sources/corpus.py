@@ -48,6 +48,13 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce(F.col("quality"), F.lit(-1)).cast("double").alias("label")))
 
 
+def documents_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents corpus without labels: what counting and encoding read, so that no
+    join stands between the scan and the tokenizer."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("example_id"), hash_split(F.col("doc_id")).alias("split"), F.col("text").alias("text_a"))
+
+
 def pair_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     user = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("text_a"))

@@ -36,6 +36,6 @@ def remap_stream(stream: DataFrame, token_map: DataFrame, col: str = "input_ids"
 def stream_token_counts(text_stream: DataFrame, vocab: DataFrame, text: str = "text", unk: int = 0) -> DataFrame:
     """A2 on a stream of texts: running occurrence counts per token id."""
     words = text_stream.select(F.explode(word_array(F.col(text))).alias("word"))
-    ids = words.join(F.broadcast(vocab), "word", "left").select(
+    ids = words.join(vocab, "word", "left").select(
         F.coalesce(F.col("token_id"), F.lit(unk)).alias("token_id"))
     return ids.groupBy("token_id").agg(F.count(F.lit(1)).alias("cnt"))
