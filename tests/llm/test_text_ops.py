@@ -32,6 +32,9 @@ def test_quality_counts(frame):
                                 r.base_failed) for r in got) == exp
     assert all(not (r.base_failed and r.kept) and r.kept == (not r.base_failed and not r.failed_rules) for r in got)
     assert Q.score(frame([])).collect() == []
+    kept = Q.kept_rows(frame(rows))
+    assert kept.columns == frame(rows).columns
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(r.doc_id for r in got if r.kept)
 
 
 def test_quality_rules_are_one_projection(frame):

@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -28,6 +28,11 @@ def need(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder under the shared checkpoint directory and read it
     back: the lineage ends there and a lost executor costs no recomputation of it."""

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, need
+from .common import SPACES, need, whole_row
 
 SYMBOLS = "#*$%&|<>"
 
@@ -50,15 +50,6 @@ RULES = (
 )
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """``body`` with ``name`` bound to ``value``, evaluated once a row."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def measures(text: Column) -> Column:
     """One struct of counts for a text (null: none of anything)."""
     t = F.coalesce(text, F.lit(""))
@@ -139,3 +130,9 @@ def score(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat_percent:
     return (m.withColumn("base_failed", base)
              .withColumn("failed_rules", compile_rules(rules))
              .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)))
+
+
+def kept_rows(docs: DataFrame, rules=RULES, **how) -> DataFrame:
+    """The rows of ``docs`` that every rule keeps, with all their columns."""
+    rows = docs.select(whole_row(docs).alias("_row"), F.col("`text`").alias("text"))
+    return score(rows, rules, keep=("_row",), **how).filter("kept").select("_row.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, chunks, mix, written
+from .common import Roller, chunks, mix, need, whole_row, written
 from .suffix_arrays import repeated
 
 LENGTH = 400
@@ -80,9 +80,11 @@ def zones_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int, roller:
 
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with the internal key of a text: its id and 32 bits of its hash."""
-    return docs.withColumns({"_id": F.col(f"`{key}`").cast("long"),
-                             "_th": F.xxhash64(F.col("`text`")).bitwiseAND(0x7FFFFFFF).cast("int")})
+    """``(_id, _th, text, _row)``: a text's key (its id and 31 bits of its hash), and the
+    whole row as a struct, so that no other column's name can clash."""
+    return docs.select(F.col(f"`{key}`").cast("long").alias("_id"),
+                       F.xxhash64(F.col("`text`")).bitwiseAND(0x7FFFFFFF).cast("int").alias("_th"),
+                       F.col("`text`").alias("text"), whole_row(docs).alias("_row"))
 
 
 def zones(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -102,7 +104,7 @@ def zones(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
                                                  names=["_id", "_th", "first", "n", "anchor", "zone"])
-    return (docs.filter(F.octet_length("`text`") >= length).select(*KEY, "`text`").mapInArrow(run, ZONES))
+    return docs.filter(F.octet_length("text") >= length).select(*KEY, "text").mapInArrow(run, ZONES)
 
 
 def _cut(rows: DataFrame, length: int) -> DataFrame:
@@ -246,7 +248,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
                       .select("at.*", F.struct("at.first", "n", (F.col("met") == 1).alias("once"), of_shard.alias("shard"),
                                                (blocks > 1).alias("hot")).alias("z"))
                       .groupBy(*KEY).agg(F.collect_list("z").alias("zs")))
-    texts = keyed.filter(F.octet_length("`text`") >= length).select(*KEY, F.col("`text`").alias("text"))
+    texts = keyed.filter(F.octet_length("text") >= length).select(*KEY, "text")
     rows = texts.join(need_text, KEY)
     parts = _cut(rows, length)
     parts = parts.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", *KEY, "first")
@@ -260,10 +262,10 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", length: int = LENGTH,
 
 def marked(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, gram: int = GRAM,
            shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with ``_runs``: its sorted runs of repeated window starts (null: none)."""
+    """``(_row, _runs)``: each row with its sorted runs of repeated window starts (null: none)."""
     runs = (repeated_windows(docs, key, length, gram, shard_bytes)
             .groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("_runs")))
-    return _keyed(docs, key).join(runs, KEY, "left").drop(*KEY)
+    return _keyed(docs, key).join(runs, KEY, "left").select("_row", "_runs")
 
 
 def spans(runs, length: int) -> list[tuple[int, int]]:
@@ -294,7 +296,7 @@ def removed(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, **how) -
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(
                 [(key, pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                  ("kept_sha256", pa.string())]))
-    rows = marked(docs.select(key, "text"), key, length, **how).select(key, "text", "_runs")
+    rows = marked(need(docs, key, "text"), key, length, **how).select(f"_row.`{key}`", "_row.text", "_runs")
     return rows.mapInArrow(run, f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -320,6 +322,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, **h
             keep.append(raw[at:])
             out.append(b"".join(keep).decode())
         return pd.Series(out, dtype=object)
-    rows = marked(docs, key, length, **how).withColumn("text", rest("text", "_runs"))
-    used_up = F.col("_runs").isNotNull() & (F.trim(F.coalesce("text", F.lit(""))) == "")
-    return rows.filter(~used_up).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = marked(docs, key, length, **how).withColumn("_left", rest(F.col("_row.text"), F.col("_runs")))
+    used_up = F.col("_runs").isNotNull() & (F.trim(F.coalesce("_left", F.lit(""))) == "")
+    return rows.filter(~used_up).select(
+        *[F.col("_left" if c == "text" else f"_row.`{c}`").alias(c) for c in docs.columns])
