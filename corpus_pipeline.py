@@ -15,8 +15,7 @@ from vocabtrim.llm.common import table, written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    scored = quality_rules.score(docs, keep=tuple(docs.columns))
-    return scored.filter("kept").select(*docs.columns)
+    return quality_rules.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
