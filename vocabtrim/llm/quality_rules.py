@@ -123,7 +123,9 @@ def compile_rules(rules=RULES) -> Column:
 def score(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat_percent: int = 50,
           keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, the counts, ``base_failed``, ``failed_rules`` and ``kept`` of each row."""
-    m = need(docs, *dict.fromkeys((*keep, "text"))).withColumn("_m", measures(F.col("text")))
+    # a one-element explode: the counts are computed once a row, whatever a later filter asks of them
+    m = need(docs, *dict.fromkeys((*keep, "text")))
+    m = m.select("*", F.explode(F.array(measures(F.col("text")))).alias("_m"))
     cols = [c for c in keep]
     m = m.select(*cols, "_m.w.*", "_m.l.*", "_m.word_chars", "_m.n_symbols")
     base = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
