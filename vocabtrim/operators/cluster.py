@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import l2_normalise
 from .ordering import checkpoint_once, materialize, scalar, with_row_number
+from .rank import parameter_keep_count
 
 MAX_CENTRES = 50_000
 
@@ -48,8 +49,8 @@ def normalise(vecs: DataFrame, col: str = "vec") -> DataFrame:
 
 def _nearest_udf(sc, centres, block: int = 64):
     """Arrow-batched nearest-centre search with the (bounded) centres in a
-    broadcast variable.  Exact squared distances, computed block-wise with
-    numpy; ``argmin`` keeps the first (lowest-id) centre on ties."""
+    broadcast variable.  A matrix product per ``block`` rows finds the near centres (``block *
+    k`` numbers at a time), exact differences decide; ties keep the lowest id."""
     ids = np.array([int(r[0]) for r in centres], dtype=np.int32)
     mat = np.array([list(r[1]) for r in centres], dtype=np.float64)
     order = np.argsort(ids, kind="stable")
@@ -61,12 +62,19 @@ def _nearest_udf(sc, centres, block: int = 64):
         x = np.stack(vec.to_numpy()) if len(vec) else np.zeros((0, mat.shape[1]))
         out_c = np.empty(len(x), dtype=np.int32)
         out_d = np.empty(len(x), dtype=np.float64)
+        cc = np.einsum("ij,ij->i", mat, mat)
         for s in range(0, len(x), block):
-            diff = x[s:s + block, None, :] - mat[None, :, :]
-            d = np.einsum("ijk,ijk->ij", diff, diff)
-            j = np.argmin(d, axis=1)
-            out_c[s:s + block] = ids[j]
-            out_d[s:s + block] = d[np.arange(len(j)), j]
+            part = x[s:s + block]
+            # |x|^2 - 2 x.c + |c|^2 in one product; centres within its rounding error of
+            # the best are compared by exact differences, so ties still go to the first
+            d = np.einsum("ij,ij->i", part, part)[:, None] - 2.0 * (part @ mat.T) + cc[None, :]
+            slack = 1e-9 * (1.0 + cc.max())
+            near_row, near_col = np.nonzero(d <= d.min(axis=1)[:, None] + slack)
+            exact = np.square(part[near_row] - mat[near_col]).sum(axis=1)
+            order = np.lexsort((near_col, exact, near_row))
+            first = order[np.unique(near_row[order], return_index=True)[1]]
+            out_c[s:s + block] = ids[near_col[first]]
+            out_d[s:s + block] = exact[first]
         return pd.DataFrame({"cluster": out_c, "dist": out_d})
     return nearest
 
@@ -171,16 +179,25 @@ def cluster_removed(removed_ids: DataFrame, keep: DataFrame, vecs: DataFrame, k:
 
 
 def prune_by_cluster(token_ids: DataFrame, vecs: DataFrame, p: float, seed: int = 42,
-                     rounds: int = 5, n_special: int = 5) -> DataFrame:
+                     rounds: int = 5, n_special: int = 5, vocab_rows: int | None = None, dim: int | None = None,
+                     total_params: int | None = None) -> DataFrame:
     """C4: keep the ``n_special`` smallest ids, cluster the rest (normalised vectors)
     into ``(n - 5) - int(n * p / 100)`` clusters and keep one representative per
-    cluster, nearest to the raw mean.  Returns the keep list ``(token_id, new_id)``."""
+    cluster, nearest to the raw mean.  Returns the keep list ``(token_id, new_id)``.
+
+    With ``vocab_rows``, ``dim`` and ``total_params`` the budget ``p`` is a share of all
+    parameters (W3): the clusters are as many as it leaves, and all tokens stay, in id
+    order, if leaving out the rest of the vocabulary already meets it."""
     pts = materialize(token_ids.select("token_id").distinct().join(vecs, "token_id", "inner"))
     r = with_row_number(pts.select("token_id"), [F.col("token_id").asc()], name="_r")
     n = int(scalar(r, F.count(F.lit(1))))
     specials = r.filter(F.col("_r") <= n_special).select("token_id", (F.col("_r") - 1).cast("int").alias("new_id"))
     prunable = r.filter(F.col("_r") > n_special).select("token_id").join(pts, "token_id")
     n_clusters = (n - n_special) - int(n * p / 100)
+    if total_params:
+        n_clusters = parameter_keep_count(n, n - min(n, n_special), p, vocab_rows, dim, total_params, 0)
+        if n_clusters is None:
+            return r.select(F.col("token_id").cast("int"), (F.col("_r") - 1).cast("int").alias("new_id"))
     if n_clusters <= 0:
         return specials
     labels, _ = kmeans(normalise(prunable), n_clusters, seed, rounds)

@@ -18,15 +18,18 @@ def pair_arrays(tokens: DataFrame) -> DataFrame:
     """Token rows ``(example_id, side, pos, token_id)`` -> ``(example_id, ids_a, ids_b)``.
 
     One shuffle by example; side ``b`` is NULL for single-text corpora.  A row without
-    a token stands for an empty text, which gives an empty array.
+    a token stands for an empty text, which gives an empty array.  Tokens cut to a first
+    part (``n_words`` from ``words(limit=...)``) also give the full lengths ``len_a, len_b``.
     """
+    cut = "n_words" in tokens.columns
+    full = [F.max(F.when(F.col("side") == s, F.col("n_words"))).alias(f"len_{s}") for s in ("a", "b")] if cut else []
     g = tokens.groupBy("example_id").agg(
-        F.array_sort(F.collect_list(F.struct("side", "pos", "token_id"))).alias("_t"))
+        F.sort_array(F.collect_list(F.struct("side", "pos", "token_id"))).alias("_t"), *full)
     ids = lambda side: F.transform(
         F.filter("_t", lambda x: (x["side"] == side) & x["token_id"].isNotNull()), lambda x: x["token_id"])
     has_b = F.exists("_t", lambda x: x["side"] == "b")
     return g.select("example_id", ids("a").alias("ids_a"),
-                    F.when(has_b, ids("b")).alias("ids_b"))
+                    F.when(has_b, ids("b")).alias("ids_b"), *(["len_a", "len_b"] if cut else []))
 
 
 def truncated_lengths(la: Column, lb: Column, budget: Column | int):
@@ -51,9 +54,13 @@ def truncated_lengths(la: Column, lb: Column, budget: Column | int):
 def encode_pair(pairs: DataFrame, max_length: int = 128, pad: bool = True, pad_id: int = PAD_ID,
                 cls_id: int = CLS_ID, sep_id: int = SEP_ID) -> DataFrame:
     """``[CLS] a [SEP] (b [SEP])``, longest-first truncation to ``max_length``,
-    right padding with ``pad_id`` and an attention mask (``pad=False``: no padding)."""
-    la = F.size("ids_a")
-    lb = F.coalesce(F.size("ids_b"), F.lit(0))
+    right padding with ``pad_id`` and an attention mask (``pad=False``: no padding).
+
+    Sides may come cut to their first ``max_length - 2`` ids with the full lengths in
+    ``len_a, len_b``: truncation goes by the full lengths and never keeps more than that."""
+    cut = "len_a" in pairs.columns
+    la = F.coalesce("len_a", F.lit(0)) if cut else F.size("ids_a")
+    lb = F.coalesce("len_b", F.lit(0)) if cut else F.coalesce(F.size("ids_b"), F.lit(0))
     single = F.col("ids_b").isNull()
     budget = F.when(single, F.lit(max_length - 2)).otherwise(F.lit(max_length - 3))
     ka, kb = truncated_lengths(la, F.when(single, F.lit(0)).otherwise(lb), budget)
@@ -62,7 +69,7 @@ def encode_pair(pairs: DataFrame, max_length: int = 128, pad: bool = True, pad_i
     b_part = F.when(kb > 0, F.slice("ids_b", 1, kb)).otherwise(F.array().cast("array<int>"))
     head = F.concat(cls, a_part, sep)
     ids = F.when(single, head).otherwise(F.concat(head, b_part, sep))
-    out = pairs.withColumn("input_ids", ids)
+    out = pairs.withColumn("input_ids", ids).drop("len_a", "len_b")
     n = F.size("input_ids")
     if pad:
         out = out.withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), n),

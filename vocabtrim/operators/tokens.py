@@ -20,9 +20,10 @@ from ..functions.text import SPECIAL_TOKENS, UNK_ID, with_specials, word_array
 from .ordering import scalar, with_row_number
 
 
-def texts(corpus: DataFrame, a: str = "text_a", b: str | None = "text_b") -> DataFrame:
-    """One row per (example, side); side ``b`` optional; NULL texts skipped."""
-    keep = [c for c in ("example_id", "split", "label") if c in corpus.columns]
+def texts(corpus: DataFrame, a: str = "text_a", b: str | None = "text_b", extra=()) -> DataFrame:
+    """One row per (example, side); side ``b`` optional; NULL texts skipped.
+    ``extra`` names further columns of the corpus to carry (e.g. a group to count by)."""
+    keep = [c for c in ("example_id", "split", "label", *extra) if c in corpus.columns]
     if b is None or b not in corpus.columns:
         out = corpus.select(*keep, F.lit("a").alias("side"), F.col(a).alias("text"))
     else:
@@ -30,21 +31,41 @@ def texts(corpus: DataFrame, a: str = "text_a", b: str | None = "text_b") -> Dat
     return out.filter(F.col("text").isNotNull())
 
 
-def words(text_rows: DataFrame, add_special_tokens: bool = False, keep_empty: bool = False) -> DataFrame:
+def words(text_rows: DataFrame, add_special_tokens: bool = False, keep_empty: bool = False,
+          limit: int | None = None) -> DataFrame:
     """One row per word occurrence with its 0-based position in the text.
 
     With ``add_special_tokens`` the CLS / SEP markers are part of the exploded
     array (positions 0 and n+1), so one explode serves encoding and counting.
     With ``keep_empty`` a text without a word stays as one row without position and word.
+    With ``limit`` only the first words of a text come out, for encodings of a fixed
+    length, and every row carries the full count as ``n_words``.
     """
     arr = word_array(F.col("text"))
     if add_special_tokens:
         arr = with_specials(arr)
     keep = [c for c in text_rows.columns if c != "text"]
     explode = F.posexplode_outer if keep_empty else F.posexplode
+    if limit is not None:
+        cut = text_rows.select(*keep, F.size(arr).alias("n_words"), F.slice(arr, 1, limit).alias("_w"))
+        return cut.select(*keep, "n_words", explode("_w").alias("pos", "word"))
     return text_rows.select(*keep, explode(arr).alias("pos", "word"))
 
 
+def counting_words(text_rows: DataFrame, add_special_tokens: bool = False) -> DataFrame:
+    """P2 for counting: one row per word occurrence, ``first`` true once per distinct word
+    of a text.  The words of a text are sorted inside its row, so document frequency is
+    the sum of ``first`` and needs no distinct aggregate."""
+    arr = word_array(F.col("text"))
+    if add_special_tokens:
+        arr = with_specials(arr)
+    keep = [c for c in text_rows.columns if c != "text"]
+    by_word = text_rows.select(*keep, F.sort_array(arr).alias("_w"))
+    before = F.concat(F.array(F.lit("")), F.col("_w"))  # no word is empty
+    zipped = by_word.select(*keep, F.inline(F.arrays_zip(F.col("_w"), before)).alias("word", "_b"))
+    return zipped.filter(F.col("word").isNotNull()).select(*keep, "word", (F.col("word") != F.col("_b")).alias("first"))
+
+
 def specials_df(spark) -> DataFrame:
     return spark.createDataFrame([(w, i) for i, w in enumerate(SPECIAL_TOKENS)], "word string, token_id int")
 
@@ -93,12 +114,13 @@ def word_counts(word_rows: DataFrame, by=(), with_df: bool = True) -> DataFrame:
     """Word-level count and (``with_df``) document frequency (texts containing the word).
 
     Aggregated before any join, so a word holding a third of all occurrences
-    is collapsed by the map-side partial aggregate.  The distinct count behind
-    ``df`` costs a second aggregation level; callers that rank by count alone
-    skip it.
+    is collapsed by the map-side partial aggregate.  Rows of ``counting_words`` give
+    ``df`` in the same aggregate; plain ``words`` rows need a distinct count for it.
     """
     aggs = [F.count(F.lit(1)).alias("cnt")]
-    if with_df:
+    if with_df and "first" in word_rows.columns:
+        aggs.append(F.sum(F.col("first").cast("long")).alias("df"))
+    elif with_df:
         aggs.append(F.count_distinct("example_id", "side").alias("df"))
     return word_rows.groupBy(*by, "word").agg(*aggs)
 

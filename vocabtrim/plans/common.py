@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.corpus import documents_corpus, documents_texts, pair_corpus, table
-from ..operators.tokens import build_vocabulary, texts, vocab_size, words
+from ..operators.tokens import build_vocabulary, counting_words, texts, vocab_size, words
 
 _VOCAB_CACHE: dict[tuple, tuple[DataFrame, int]] = {}
 _SHARED: dict[tuple, DataFrame] = {}
@@ -29,8 +29,8 @@ class Inputs:
     def corpus(self) -> DataFrame:
         return documents_corpus(self.spark, self.sf_dir)
 
-    def text_corpus(self) -> DataFrame:
-        return documents_texts(self.spark, self.sf_dir)
+    def text_corpus(self, *extra: str) -> DataFrame:
+        return documents_texts(self.spark, self.sf_dir, extra)
 
     def pairs(self) -> DataFrame:
         return pair_corpus(self.spark, self.sf_dir)
@@ -41,6 +41,9 @@ class Inputs:
     def words(self, corpus: DataFrame | None = None, specials: bool = False) -> DataFrame:
         return words(self.texts(corpus), add_special_tokens=specials)
 
+    def counting_words(self, corpus: DataFrame | None = None, specials: bool = False) -> DataFrame:
+        return counting_words(self.texts(corpus), add_special_tokens=specials)
+
     def vocab(self) -> DataFrame:
         return self._vocab()[0]
 

@@ -17,12 +17,13 @@ from ..operators.cluster import cluster_removed, prune_by_cluster
 from ..operators.encoding import encode_pair, pair_arrays
 from ..operators.importance import attention_importance, count_texts, tfidf_importance, word_importance
 from ..operators.metrics import all_metrics_long, best_fold, cv_summary
+from ..operators.ordering import materialize
 from ..operators.rank import keep_by_parameters, keep_by_percent, keep_random, keep_random_by_parameters, removed, sorted_map
 from ..operators.remap import reduce_embeddings, reduction_report, remap, remap_hybrid
 from ..operators.report import parse_logs, performance_drop, read_summary, run_summary, scan_logs, with_sizes
 from ..operators.split import kfold, split_train_test
 from ..operators.stats import token_stats, vocab_overlap
-from ..operators.tokens import encode, texts, token_counts_from_words, words
+from ..operators.tokens import counting_words, encode, texts, token_counts_from_words, words
 from ..sources.corpus import task_metadata
 
 
@@ -35,7 +36,7 @@ class PruneResult:
 
 
 def _counts(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
-    return token_counts_from_words(words(texts(corpus), add_special_tokens=True), vocab)
+    return token_counts_from_words(counting_words(texts(corpus), add_special_tokens=True), vocab)
 
 
 def prune(method: str, corpus: DataFrame, vocab: DataFrame, vocab_rows: int, embeddings: DataFrame | None = None,
@@ -76,7 +77,8 @@ def prune(method: str, corpus: DataFrame, vocab: DataFrame, vocab_rows: int, emb
             tm = keep_random(counts, p, seed)
     elif method == "clustering":
         vecs = embeddings.select("token_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-        tm = prune_by_cluster(counts, vecs, p, seed)
+        budget = dict(vocab_rows=vocab_rows, dim=dim, total_params=total_params) if param_based else {}
+        tm = prune_by_cluster(counts, vecs, p, seed, **budget)
     else:
         raise ValueError(f"unknown pruning method {method!r}")
     emb = reduce_embeddings(tm, embeddings) if embeddings is not None else None
@@ -86,7 +88,8 @@ def prune(method: str, corpus: DataFrame, vocab: DataFrame, vocab_rows: int, emb
 
 def prepare(corpus: DataFrame, vocab: DataFrame, result: PruneResult, max_length: int = 128) -> DataFrame:
     """Encode every split to fixed length and rewrite it with the token map."""
-    enc = encode_pair(pair_arrays(encode(words(texts(corpus), keep_empty=True), vocab)), max_length)
+    enc = encode_pair(pair_arrays(encode(words(texts(corpus), keep_empty=True, limit=max_length - 2), vocab)),
+                      max_length)
     enc = enc.join(corpus.select("example_id", "split", "label"), "example_id")
     tm = result.token_map
     if result.oov is not None:
@@ -97,10 +100,10 @@ def prepare(corpus: DataFrame, vocab: DataFrame, result: PruneResult, max_length
 def token_statistics(corpus: DataFrame, vocab: DataFrame, vocab_rows: int, seed: int = 42) -> DataFrame:
     """Stratified 0.9 / 0.1 split of the train split, statistics per part and the overlap."""
     parts = split_train_test(corpus.filter(F.col("split") == "train").select("example_id", "label"), 0.9, seed)
-    w = words(texts(corpus.drop("split").join(parts.select("example_id", F.col("part").alias("split")),
-                                                  "example_id")))
-    stats = token_stats(w, vocab, vocab_rows)
-    c = token_counts_from_words(w, vocab, by=["split"])
+    w = counting_words(texts(corpus.drop("split").join(parts.select("example_id", F.col("part").alias("split")),
+                                                           "example_id")))
+    c = materialize(token_counts_from_words(w, vocab, by=["split"]))
+    stats = token_stats(None, vocab, vocab_rows, counts=c)
     return stats, vocab_overlap(c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test"))
 
 

@@ -19,12 +19,10 @@ from .registry import register
 MAXLEN = 128
 
 
-def _pair_tokens(inp: Inputs, corpus):
-    return encode(words(texts(corpus), keep_empty=True), inp.vocab())
-
-
 def encoded_pairs(inp: Inputs, corpus, pad=True, max_length=MAXLEN):
-    return encode_pair(pair_arrays(_pair_tokens(inp, corpus)), max_length, pad=pad)
+    """P6 on a corpus; words past the encoded length are cut before the vocabulary join."""
+    tokens = encode(words(texts(corpus), keep_empty=True, limit=max_length - 2), inp.vocab())
+    return encode_pair(pair_arrays(tokens), max_length, pad=pad)
 
 
 def _ids(c):

@@ -305,7 +305,7 @@ def m13_standard_run(spark, sf_dir):
     + the share of test tokens that became UNK, as one long table."""
     from ..operators.rank import keep_by_percent
     from ..operators.remap import reduction_report
-    from ..operators.tokens import encode
+    from ..operators.tokens import token_counts_from_words, words
     from .q_encode import d2_split
     from .q_prune import BODY_FACTOR, DIM, P, train_counts
     inp = Inputs(spark, sf_dir)
@@ -315,9 +315,12 @@ def m13_standard_run(spark, sf_dir):
     b = binary_metrics(predictions(inp).join(test_ids, "example_id"))
     v = inp.vocab_rows()
     rep = reduction_report(tm, v, DIM, BODY_FACTOR * v * DIM)
-    toks = encode(inp.words(specials=True), inp.vocab()).join(test_ids, "example_id")
-    unk = (toks.join(tm.withColumn("_k", F.lit(1)).select("token_id", "_k"), "token_id", "left")
-               .agg(F.avg(F.when(F.col("_k").isNull(), 1.0).otherwise(0.0)).alias("test_unk_rate")))
+    # whole texts of the test part, counted per token before the map joins
+    counts = token_counts_from_words(words(inp.texts().join(test_ids, "example_id"), add_special_tokens=True),
+                                     inp.vocab(), with_df=False)
+    unk = (counts.join(tm.withColumn("_k", F.lit(1)).select("token_id", "_k"), "token_id", "left")
+                 .agg((F.sum(F.when(F.col("_k").isNull(), F.col("cnt")).otherwise(0)) / F.sum("cnt"))
+                      .alias("test_unk_rate")))
 
     def one(df, src, name):
         return df.select(F.lit(name).alias("metric"), r6(F.col(src)).alias("value"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rank import keep_by_percent_grouped
 from ..operators.report import log10_size, order_by_baseline, performance_drop, size_correlation
-from ..operators.tokens import token_counts_from_words
+from ..operators.tokens import texts, token_counts_from_words, words
 from .common import Inputs
 from .oracle_sql import doc_ctes, with_ctes
 from .registry import register
@@ -25,9 +25,9 @@ METHODS = ("NO PRUNING", "TRAIN TOKENS ONLY", "FREQUENCY", "RANDOM")
 
 def method_results(inp: Inputs):
     """Long results ``(dataset, method, split='test', value)`` and sizes per dataset."""
-    docs = inp.table("documents").select(F.col("doc_id").alias("example_id"), "lang")
-    w = inp.words().join(docs, "example_id")
-    counts = token_counts_from_words(w, inp.vocab(), by=["lang", "split"])
+    docs = inp.text_corpus("lang")
+    w = words(texts(docs, extra=("lang",)))
+    counts = token_counts_from_words(w, inp.vocab(), by=["lang", "split"], with_df=False)
     fit = counts.filter(F.col("split") == "train").drop("split")
     test = counts.filter(F.col("split") == "test").select("lang", "token_id", F.col("cnt").alias("tcnt"))
     keeps = {
@@ -119,8 +119,8 @@ def run_logs(inp: Inputs):
     from .q_metrics import predictions
     docs = inp.table("documents").select(F.col("doc_id").alias("example_id"), "lang")
     m = binary_metrics(predictions(inp).join(docs, "example_id"), ["lang"])
-    w = inp.words().join(docs, "example_id")
-    fit = token_counts_from_words(w.filter(F.col("split") == "train"), inp.vocab(), by=["lang"], with_df=False)
+    train = inp.text_corpus("lang").filter(F.col("split") == "train")
+    fit = token_counts_from_words(words(texts(train, extra=("lang",))), inp.vocab(), by=["lang"], with_df=False)
     kept = keep_by_percent_grouped(fit, P, ["lang"]).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
     v = float(inp.vocab_rows())
     red = kept.select("lang", ((1 - F.col("kept") / v) * 100).alias("voc"))

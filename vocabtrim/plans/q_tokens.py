@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.stats import token_stats, vocab_overlap, ranked_counts
-from ..operators.tokens import token_counts_from_words, word_counts
+from ..operators.tokens import counting_words, token_counts_from_words, word_counts
 from .common import Inputs
 from .oracle_sql import doc_ctes, with_ctes
 from .registry import register
@@ -66,7 +66,7 @@ def a2_token_counts(spark, sf_dir):
     """A2 + A3: occurrences and document frequency per token id (train split, specials included)."""
     inp = Inputs(spark, sf_dir)
     train = inp.text_corpus().filter(F.col("split") == "train")
-    c = token_counts_from_words(inp.words(train, specials=True), inp.vocab())
+    c = token_counts_from_words(inp.counting_words(train, specials=True), inp.vocab())
     return c.select("token_id", F.col("cnt").cast("long"), F.col("df").cast("long"))
 
 
@@ -75,7 +75,7 @@ def a2_token_counts(spark, sf_dir):
 SELECT word, count(*) AS cnt, count(DISTINCT CAST(example_id AS VARCHAR) || ':' || side) AS df FROM words GROUP BY word"""))
 def p2_word_counts(spark, sf_dir):
     """Word tokenizer (lower-cased runs of >= 2 word characters) counted over the corpus."""
-    wc = word_counts(Inputs(spark, sf_dir).words())
+    wc = word_counts(Inputs(spark, sf_dir).counting_words())
     return wc.select("word", F.col("cnt").cast("long"), F.col("df").cast("long"))
 
 
@@ -87,7 +87,7 @@ SPLIT_COUNTS = r"""sc AS (
 def split_counts(inp: Inputs):
     """Per-split token counts and document frequencies (no specials), materialised
     once per session: statistics, burstiness, overlap and set queries read them."""
-    return inp.shared("split_counts", lambda: token_counts_from_words(inp.words(), inp.vocab(), by=["split"]))
+    return inp.shared("split_counts", lambda: token_counts_from_words(inp.counting_words(), inp.vocab(), by=["split"]))
 
 
 @register("a5_burstiness", with_ctes(*doc_ctes(SPLIT_COUNTS), body="""
@@ -179,14 +179,15 @@ wide AS (
 def _m11(spark, sf_dir):
     from .q_encode import d2_split
     inp = Inputs(spark, sf_dir)
-    parts = d2_split(inp).filter(F.col("part").isin("train", "test"))
-    w = inp.words().join(parts, "example_id").drop("split").withColumnRenamed("part", "split")
-    stats = token_stats(w, inp.vocab(), inp.vocab_rows())
+    parts = d2_split(inp).filter(F.col("part").isin("train", "test")).withColumnRenamed("part", "split")
+    # the part joins whole texts, and one count serves the statistics and the overlap
+    c = inp.shared("d2_counts", lambda: token_counts_from_words(
+        counting_words(inp.texts().drop("split").join(parts, "example_id")), inp.vocab(), by=["split"]))
+    stats = token_stats(None, inp.vocab(), inp.vocab_rows(), counts=c)
     stats = stats.select(F.when(F.col("split") == "train", "Train").otherwise("Test").alias("split"),
                          F.lit("documents").alias("task"),
                          *[r6(F.col(c)).alias(c) if c.endswith("_pct") else F.col(c) for c in STAT_COLS],
                          *[F.lit(None).cast("double" if c.endswith("_pct") else "long").alias(c) for c in OVERLAP_COLS])
-    c = token_counts_from_words(w, inp.vocab(), by=["split"])
     ov = vocab_overlap(c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test"))
     ov = ov.select(F.lit("Overlap").alias("split"), F.lit("documents").alias("task"),
                    *[F.lit(None).cast("double" if c_.endswith("_pct") else "long").alias(c_) for c_ in STAT_COLS],

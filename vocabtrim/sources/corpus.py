@@ -48,11 +48,12 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce(F.col("quality"), F.lit(-1)).cast("double").alias("label")))
 
 
-def documents_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents_texts(spark: SparkSession, sf_dir: str, extra: Iterable[str] = ()) -> DataFrame:
     """The documents corpus without labels: what counting and encoding read, so that no
-    join stands between the scan and the tokenizer."""
+    join stands between the scan and the tokenizer.  ``extra`` columns come along."""
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("example_id"), hash_split(F.col("doc_id")).alias("split"), F.col("text").alias("text_a"))
+        F.col("doc_id").alias("example_id"), hash_split(F.col("doc_id")).alias("split"), F.col("text").alias("text_a"),
+        *extra)
 
 
 def pair_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
