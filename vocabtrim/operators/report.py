@@ -180,7 +180,7 @@ def performance_drop(results: DataFrame, baseline: str = "NO PRUNING", split: st
 def with_sizes(results: DataFrame, tasks: DataFrame) -> DataFrame:
     """Attach the dataset size string (``N/A`` when unknown)."""
     sizes = tasks.select(F.upper(F.split("task", "-").getItem(0)).alias("dataset"), "size").dropDuplicates(["dataset"])
-    return results.join(F.broadcast(sizes), "dataset", "left").withColumn("size", F.coalesce("size", F.lit("N/A")))
+    return results.join(sizes, "dataset", "left").withColumn("size", F.coalesce("size", F.lit("N/A")))
 
 
 def order_by_baseline(results: DataFrame, baseline: str = "NO PRUNING") -> DataFrame:

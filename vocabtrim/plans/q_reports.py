@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.rank import keep_by_percent_grouped
-from ..operators.report import log10_size, order_by_baseline, performance_drop, size_correlation
+from ..operators.report import log10_size, order_by_baseline, performance_drop, size_correlation, with_sizes
 from ..operators.tokens import texts, token_counts_from_words, words
 from .common import Inputs
 from .oracle_sql import doc_ctes, with_ctes
@@ -87,7 +87,7 @@ JOIN ordr o ON r.dataset = o.dataset"""))
 def m15_compare_methods(spark, sf_dir):
     """M15 (+A20, J11, W8): per-language method scores, drop from the baseline, sizes, order."""
     res, sizes = method_results(Inputs(spark, sf_dir))
-    d = performance_drop(res).join(sizes, "dataset")
+    d = with_sizes(performance_drop(res), sizes.select(F.col("dataset").alias("task"), "size"))
     d = order_by_baseline(d.withColumn("value", F.col("value")))
     return d.select("dataset", "size", "method", F.round("value", 6).alias("value"),
                     F.round("drop_pp", 6).alias("drop_pp"), F.col("order").cast("int").alias("order"))

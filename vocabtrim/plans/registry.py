@@ -28,5 +28,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules fills the registry
-    from . import q_tokens, q_prune, q_splits, q_metrics, q_cluster, q_encode, q_reports  # noqa: F401
+    from . import q_tokens, q_prune, q_splits, q_metrics, q_cluster, q_encode, q_reports, q_files  # noqa: F401
     return REGISTRY
