@@ -92,3 +92,14 @@ def test_label_distribution_missing_class(spark):
                                "example_id long, label double, part string")
     d = {(r.part, r.label): (r.n, r.pct) for r in label_distribution(df).collect()}
     assert d[("test", 0.0)] == (0, 0.0) and d[("train", 1.0)] == (1, 50.0)
+
+
+def test_split_and_folds_keep_rows_without_a_label(spark):
+    rows = [(i, None if i % 3 == 0 else float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "example_id long, label double")
+    parts = split_train_test(df, 0.9).collect()
+    assert sorted(r.example_id for r in parts) == list(range(60))
+    assert sum(r.part == "train" and r.label is None for r in parts) == 18
+    folds = kfold(df, 3, 0.1).collect()
+    assert sorted(r.example_id for r in folds) == list(range(60))
+    assert {r.fold for r in folds if r.part == "train" and r.label is None} == {0, 1, 2}

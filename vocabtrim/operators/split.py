@@ -6,8 +6,8 @@ allocation is largest remainder (ties by class), which gives the same class
 balance a stratified shuffle split gives.  Which rows land where is a seeded,
 engine-portable order, ``md5(seed || ':' || example_id)``, numbered per class
 with the distributed row number, so a class holding most rows is never moved
-into a single task.  The class table (one row per label) is the only thing
-brought to the driver.
+into a single task.  Quotas are a table with one row per class; rows
+without a label are a class of their own.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import with_row_number
+from .ordering import materialize, scalar, with_row_number
 
 MAX_CLASSES = 10_000
 
@@ -60,10 +60,27 @@ def _ranked(df: DataFrame, seed: int, label: str | None, name: str = "_r") -> Da
     return with_row_number(df, order, name=name, groups=[label] if label else ())
 
 
-def _quota(spark, alloc: dict, label: str):
-    """Per-class quota table (one row per class: bounded, broadcast)."""
-    return F.broadcast(spark.createDataFrame([(k, int(v)) for k, v in alloc.items()],
-                                             f"{label} double, _q long"))
+def class_table(df: DataFrame, label: str) -> DataFrame:
+    """``(_class, _c)``: rows per class, written once."""
+    return materialize(df.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_c")))
+
+
+def quotas(classes: DataFrame, n_draws: int) -> DataFrame:
+    """The largest-remainder rule of ``allocate`` as a table ``(_class, _q)``."""
+    n = int(scalar(classes, F.sum("_c")) or 0)
+    share = F.col("_c").cast("double") * F.lit(float(n_draws)) / F.lit(float(max(n, 1)))
+    c = classes.withColumn("_take", F.floor(share)).withColumn("_rest", share - F.floor(share))
+    need = n_draws - int(scalar(c, F.sum("_take")) or 0)
+    ranked = with_row_number(c, [F.col("_rest").desc(), F.col("_class").asc()], name="_o")
+    return ranked.select("_class", (F.col("_take") + F.when(F.col("_o") <= need, 1).otherwise(0)).alias("_q"))
+
+
+def _by_class(rows: DataFrame, per_class: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """Join a per-class table to the rows, NULL labels included; it is broadcast only while
+    the number of classes is within ``MAX_CLASSES``."""
+    if scalar(classes, F.count(F.lit(1))) <= MAX_CLASSES:
+        per_class = F.broadcast(per_class)
+    return rows.join(per_class, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
 
 
 def take_first(df: DataFrame, n_first: int, seed: int = 42, label: str | None = "label",
@@ -72,8 +89,8 @@ def take_first(df: DataFrame, n_first: int, seed: int = 42, label: str | None =
     if label is None:
         r = _ranked(df, seed, None)
         return r.withColumn(flag, F.col("_r") <= n_first).drop("_r")
-    alloc = allocate(class_counts(df, label), n_first)
-    r = _ranked(df, seed, label).join(_quota(df.sparkSession, alloc, label), label)
+    classes = class_table(df, label)
+    r = _by_class(_ranked(df, seed, label), quotas(classes, n_first), classes, label)
     return r.withColumn(flag, F.col("_r") <= F.col("_q")).drop("_r", "_q")
 
 
@@ -121,16 +138,10 @@ def assign_folds(pool: DataFrame, k: int, seed: int = 42, label: str | None = "l
         fold = F.when(pos < big, F.floor(pos / (q + 1))).otherwise(
             F.lit(m) + F.floor((pos - big) / F.lit(max(q, 1))))
         return r.withColumn("fold", fold.cast("int")).drop("_r")
-    # dealing the label-sorted order round robin: class offset + rank within class
-    counts = class_counts(pool, label)
-    offsets, acc = {}, 0
-    for c in sorted(counts):
-        offsets[c] = acc
-        acc += counts[c]
-    off = F.broadcast(pool.sparkSession.createDataFrame([(c, o) for c, o in offsets.items()],
-                                                        f"{label} double, _off long"))
-    r = _ranked(pool, seed + 1, label).join(off, label)
-    return r.withColumn("fold", F.pmod(F.col("_off") + F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r", "_off")
+    # dealing the label-sorted order round robin: one numbering over (label, hash)
+    order = [F.col(label).asc(), hash_order(seed + 1).asc(), F.col("example_id").asc()]
+    r = with_row_number(pool, order, name="_r")
+    return r.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r")
 
 
 def label_distribution(df: DataFrame, by: str = "part", label: str = "label") -> DataFrame:
