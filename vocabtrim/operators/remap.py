@@ -51,8 +51,9 @@ def _choose(token_map: DataFrame, strategy: str) -> tuple[str, int]:
     return ("map" if size <= MAP_LITERAL_LIMIT else "join"), size
 
 
-def _explode_join_rebuild(df: DataFrame, col: str, lookup: DataFrame, value_expr, keys) -> DataFrame:
-    """Explode ``col``, look every id up, and rebuild the arrays per text.
+def _explode_join_rebuild(df: DataFrame, col: str, lookup: DataFrame, value_expr, keys, by=()) -> DataFrame:
+    """Explode ``col``, look every id up (in the map of its ``by`` group), and rebuild the
+    arrays per text.
 
     Other columns ride along (``first`` per text) instead of being joined back,
     and ``posexplode_outer`` keeps empty arrays as one NULL row, so the input is
@@ -60,7 +61,7 @@ def _explode_join_rebuild(df: DataFrame, col: str, lookup: DataFrame, value_expr
     """
     others = [c for c in df.columns if c not in keys and c != col]
     ex = df.select(*keys, *others, F.posexplode_outer(col).alias("_pos", "_old"))
-    j = ex.join(lookup, ex["_old"] == lookup["_k"], "left")
+    j = ex.withColumn("_k", F.col("_old")).join(lookup, [*by, "_k"], "left")
     j = j.select(*keys, *others, "_pos", value_expr.cast("int").alias("_new"))
     cell = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_new"))  # NULL cells are not collected
     return (j.groupBy(*keys)
@@ -69,8 +70,12 @@ def _explode_join_rebuild(df: DataFrame, col: str, lookup: DataFrame, value_expr
 
 
 def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int = 0,
-          keys=("example_id", "side"), strategy: str = "auto") -> DataFrame:
-    """Replace every id of ``col`` by ``token_map.new_id``; ids without an entry -> ``unk``."""
+          keys=("example_id", "side"), strategy: str = "auto", by=()) -> DataFrame:
+    """Replace every id of ``col`` by ``token_map.new_id``; ids without an entry -> ``unk``.
+    With ``by`` the map holds one map a group (a fold, say) and each row uses that of its group."""
+    if by:
+        lookup = token_map.select(*by, F.col("token_id").alias("_k"), F.col("new_id").alias("_v"))
+        return _explode_join_rebuild(df, col, lookup, F.coalesce(F.col("_v"), F.lit(unk)), keys, by)
     how, size = _choose(token_map, strategy)
     if how == "map":
         # one row of at most MAP_LITERAL_LIMIT ints (checked above): broadcast to every task

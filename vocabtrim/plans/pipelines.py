@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from ..operators.cluster import cluster_removed, prune_by_cluster
 from ..operators.encoding import encode_pair, pair_arrays
 from ..operators.importance import attention_importance, count_texts, tfidf_importance, word_importance
-from ..operators.metrics import all_metrics_long, best_fold, cv_summary
+from ..functions.text import UNK_ID
+from ..operators.metrics import all_metrics_long, task_metrics
 from ..operators.ordering import materialize
-from ..operators.rank import keep_by_parameters, keep_by_percent, keep_random, keep_random_by_parameters, removed, sorted_map
+from ..operators.rank import (keep_by_parameters, keep_by_percent, keep_by_percent_grouped, keep_random,
+                              keep_random_by_parameters, removed, sorted_map)
 from ..operators.remap import reduce_embeddings, reduction_report, remap, remap_hybrid
 from ..operators.report import parse_logs, performance_drop, read_summary, run_summary, scan_logs, with_sizes
 from ..operators.split import kfold, split_train_test
@@ -107,16 +109,45 @@ def token_statistics(corpus: DataFrame, vocab: DataFrame, vocab_rows: int, seed:
     return stats, vocab_overlap(c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test"))
 
 
-def cross_validate(pool: DataFrame, predictions: DataFrame, k: int = 5, seed: int = 42):
-    """M12 (data side): folds, per-fold metrics in one grouped job, summary, best fold."""
-    folds = kfold(pool, k, 0.1, seed).filter(F.col("part") == "train").select("example_id", "fold")
-    fm = all_metrics_long(predictions.join(folds, "example_id"), ["fold"])
-    return fm, cv_summary(fm), best_fold(fm)
+def other_folds(own: DataFrame, k: int) -> DataFrame:
+    """Counts of every fold's training part, ``(fold, token_id, cnt)``: the token's total less
+    its count in the fold itself (``own``), so the corpus is counted once for all folds."""
+    total = own.groupBy("token_id").agg(F.sum("cnt").alias("_t"))
+    every = total.select("token_id", "_t", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    return (every.join(own, ["fold", "token_id"], "left")
+                 .select("fold", "token_id", (F.col("_t") - F.coalesce("cnt", F.lit(0))).alias("cnt"))
+                 .filter(F.col("cnt") > 0))
+
+
+def cross_validate(corpus: DataFrame, vocab: DataFrame, predictions: DataFrame, tasks: DataFrame, p: float = 20.0,
+                   k: int = 5, seed: int = 42, max_length: int = 128):
+    """M12 (data side): D4 folds of ``corpus``.  Each fold has the frequency keep list of the
+    other folds; its own rows are encoded and rewritten with that list (J1, one grouped job) and
+    its predictions scored with the metrics of ``tasks`` (one task, A16).
+
+    Returns ``(results (fold, metric, value), token maps (fold, token_id, new_id), rewritten
+    rows)``; the results, with ``kept_tokens`` and ``unk_rate``, go into ``cv_summary`` and
+    ``best_fold``."""
+    folds = materialize(kfold(corpus.select("example_id", "label"), k, 0.1, seed)
+                        .filter(F.col("part") == "train").select("example_id", "fold"))
+    rows = texts(corpus.join(folds, "example_id"), extra=("fold",)).drop("split", "label")
+    own = materialize(token_counts_from_words(words(rows, add_special_tokens=True), vocab, ["fold"], with_df=False))
+    maps = materialize(keep_by_percent_grouped(other_folds(own, k), p, ["fold"]))
+    enc = encode_pair(pair_arrays(encode(words(rows, keep_empty=True, limit=max_length - 2), vocab)), max_length)
+    enc = materialize(remap(enc.drop("ids_a", "ids_b").join(folds, "example_id"), maps, keys=("example_id",),
+                            by=("fold",)))
+    real = F.filter(F.arrays_zip("input_ids", "attention_mask"), lambda x: x["attention_mask"] == 1)
+    unk = (enc.select("fold", F.size(real).alias("_n"), F.size(F.filter(real, lambda x: x["input_ids"] == UNK_ID)).alias("_u"))
+              .groupBy("fold").agg(F.lit("unk_rate").alias("metric"), (F.sum("_u") / F.sum("_n")).alias("value")))
+    kept = maps.groupBy("fold").agg(F.lit("kept_tokens").alias("metric"), F.count(F.lit(1)).cast("double").alias("value"))
+    scored = all_metrics_long(predictions.join(folds, "example_id"), ["fold"]) \
+        .join(tasks.select(F.explode("metrics").alias("metric")).distinct(), "metric").select("fold", "metric", "value")
+    return scored.unionByName(kept).unionByName(unk), maps, enc
 
 
 def standard_run(test_predictions: DataFrame, tasks: DataFrame, result: PruneResult) -> DataFrame:
-    """M13 (data side): the task's metrics on the test part next to the reduction figures."""
-    m = all_metrics_long(test_predictions).join(tasks.select(F.explode("metrics").alias("metric")), "metric")
+    """M13 (data side): the task's metrics (A16) on the test part next to the reduction figures."""
+    m = task_metrics(test_predictions, tasks)
     rep = result.report.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
         for c in result.report.columns])).alias("r")).select("r.metric", "r.value")

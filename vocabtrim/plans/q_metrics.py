@@ -272,11 +272,51 @@ def j9_align_history(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M12 / M13 (data side of the runs)
-@register("m12_cross_validate", _fold_sql("SELECT fold, metric, round(value, 6) AS value FROM fm"))
+RUN_TASK = "mrpc"
+
+
+def _m12_sql() -> str:
+    from .oracle_sql import SWORDS, TEXTS, TOKENS, VOCAB
+    from .q_prune import P
+    names = ", ".join(f"'{m}'" for t in TASKS if t[0] == RUN_TASK for m in t[8])
+    return _fold_sql(",\n" + ",\n".join([TEXTS, SWORDS, VOCAB, TOKENS]) + rf""",
+own AS (SELECT f.fold, t.token_id, count(*) AS cnt FROM tokens t JOIN fk f ON t.example_id = f.example_id GROUP BY 1, 2),
+others AS (
+  SELECT CAST(k.range AS INTEGER) AS fold, o.token_id, sum(o.cnt) AS cnt
+  FROM range(5) k JOIN own o ON o.fold <> k.range GROUP BY 1, 2),
+kk AS (
+  SELECT fold, greatest(5, CAST(trunc((count(*) - 5) * (1 - CAST({P} AS DOUBLE) / 100)) AS BIGINT)) AS k
+  FROM others GROUP BY fold),
+ranked AS (
+  SELECT fold, token_id, row_number() OVER (PARTITION BY fold ORDER BY cnt DESC, token_id) AS rank
+  FROM others WHERE token_id > 4),
+maps AS (
+  SELECT r.fold, r.token_id FROM ranked r JOIN kk ON r.fold = kk.fold WHERE r.rank <= kk.k
+  UNION ALL SELECT kk.fold, CAST(x.range AS INTEGER) FROM kk, range(5) x),
+total AS (
+  SELECT f.fold, sum(2 + least(len(regexp_extract_all(lower(x.text), '[\p{{L}}\p{{N}}_]{{2,}}')), 126)) AS n
+  FROM texts x JOIN fk f ON x.example_id = f.example_id GROUP BY 1),
+gone AS (
+  SELECT f.fold, count(*) AS u
+  FROM tokens t JOIN fk f ON t.example_id = f.example_id LEFT JOIN maps m ON m.fold = f.fold AND m.token_id = t.token_id
+  WHERE t.pos BETWEEN 1 AND 126 AND m.token_id IS NULL GROUP BY 1)
+SELECT fold, metric, round(value, 6) AS value FROM fm WHERE metric IN ({names})
+UNION ALL SELECT fold, 'kept_tokens', CAST(count(*) AS DOUBLE) FROM maps GROUP BY fold
+UNION ALL SELECT t.fold, 'unk_rate', round(coalesce(g.u, 0) / CAST(t.n AS DOUBLE), 6)
+FROM total t LEFT JOIN gone g ON t.fold = g.fold""")
+
+
+@register("m12_cross_validate", _m12_sql())
 def m12_cross_validate(spark, sf_dir):
-    """M12 (+U5): every D4 fold scored in one grouped job; the per-fold tables unioned."""
-    f = fold_metrics(Inputs(spark, sf_dir))
-    return f.select("fold", "metric", r6(F.col("value")).alias("value"))
+    """M12 (+U5): every D4 fold with the keep list of the other folds: its rows encoded and
+    rewritten (J1), the task's metrics (A16), all folds in grouped jobs."""
+    from .pipelines import cross_validate
+    from .q_prune import P
+    inp = Inputs(spark, sf_dir)
+    corpus = inp.corpus().filter(F.col("split").isin("train", "validation"))
+    task = task_metadata(spark).filter(F.col("task") == RUN_TASK)
+    results, _, _ = cross_validate(corpus, inp.vocab(), predictions(inp), task, P, 5, 42)
+    return results.select("fold", "metric", r6(F.col("value")).alias("value"))
 
 
 def _m13_sql() -> str:
@@ -294,6 +334,10 @@ unk AS (SELECT avg(CASE WHEN m.new_id IS NULL THEN 1.0 ELSE 0.0 END) AS r
         WHERE p.part = 'test')
 SELECT 'test_accuracy_score' AS metric, round(accuracy_score, 6) AS value FROM binm
 UNION ALL SELECT 'test_f1_score', round(f1_score, 6) FROM binm
+UNION ALL SELECT 'kept_tokens', CAST(kept AS DOUBLE) FROM red
+UNION ALL SELECT 'removed_params', CAST((v - kept) * {DIM} AS DOUBLE) FROM red
+UNION ALL SELECT 'model_only_reduction_pct', 0.0
+UNION ALL SELECT 'embedding_reduction_pct', round((v * {DIM} - kept * {DIM}) / CAST(v * {DIM} AS DOUBLE) * 100, 6) FROM red
 UNION ALL SELECT 'vocab_reduction_pct', round((1 - kept / CAST(v AS DOUBLE)) * 100, 6) FROM red
 UNION ALL SELECT 'total_reduction_pct', round((v - kept) * {DIM} / CAST((1 + {BODY_FACTOR}) * v * {DIM} AS DOUBLE) * 100, 6) FROM red
 UNION ALL SELECT 'test_unk_rate', round(r, 6) FROM unk""")
@@ -301,20 +345,24 @@ UNION ALL SELECT 'test_unk_rate', round(r, 6) FROM unk""")
 
 @register("m13_standard_run", _m13_sql())
 def m13_standard_run(spark, sf_dir):
-    """Frequency pruning -> D2 -> J1 on the test part -> A16 metrics + A11 reduction
-    + the share of test tokens that became UNK, as one long table."""
+    """Frequency pruning -> D2 -> the task's metrics on the test part (A16) + A11 reduction
+    + the share of test tokens that became UNK, written as CSV (S8) and read back (S6)."""
     from ..operators.rank import keep_by_percent
     from ..operators.remap import reduction_report
+    from ..operators.report import read_many_csv, write_csv
     from ..operators.tokens import token_counts_from_words, words
+    from .pipelines import PruneResult, standard_run
     from .q_encode import d2_split
+    from .q_files import _folder
     from .q_prune import BODY_FACTOR, DIM, P, train_counts
     inp = Inputs(spark, sf_dir)
     parts = d2_split(inp)
     test_ids = parts.filter(F.col("part") == "test").select("example_id")
     tm = keep_by_percent(train_counts(inp), P)
-    b = binary_metrics(predictions(inp).join(test_ids, "example_id"))
     v = inp.vocab_rows()
-    rep = reduction_report(tm, v, DIM, BODY_FACTOR * v * DIM)
+    result = PruneResult(tm, None, None, reduction_report(tm, v, DIM, BODY_FACTOR * v * DIM))
+    task = task_metadata(spark).filter(F.col("task") == RUN_TASK)
+    out = standard_run(predictions(inp).join(test_ids, "example_id"), task, result)
     # whole texts of the test part, counted per token before the map joins
     counts = token_counts_from_words(words(inp.texts().join(test_ids, "example_id"), add_special_tokens=True),
                                      inp.vocab(), with_df=False)
@@ -322,9 +370,7 @@ def m13_standard_run(spark, sf_dir):
                  .agg((F.sum(F.when(F.col("_k").isNull(), F.col("cnt")).otherwise(0)) / F.sum("cnt"))
                       .alias("test_unk_rate")))
 
-    def one(df, src, name):
-        return df.select(F.lit(name).alias("metric"), r6(F.col(src)).alias("value"))
-    return (one(b, "accuracy_score", "test_accuracy_score").unionByName(one(b, "f1_score", "test_f1_score"))
-            .unionByName(one(rep, "vocab_reduction_pct", "vocab_reduction_pct"))
-            .unionByName(one(rep, "total_reduction_pct", "total_reduction_pct"))
-            .unionByName(one(unk, "test_unk_rate", "test_unk_rate")))
+    out = out.unionByName(unk.select(F.lit("test_unk_rate").alias("metric"), F.col("test_unk_rate").alias("value")))
+    path = _folder(spark, "standard-run")
+    write_csv(out.select("metric", r6(F.col("value")).alias("value")), path)
+    return read_many_csv(spark, [path]).select("metric", F.col("value").cast("double"))
