@@ -91,3 +91,61 @@ def test_no_join_before_the_tokenizer(spark):
     from vocabtrim.plans.common import Inputs
     plan = Inputs(spark, "/root/testdata/sf0.001").words()._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_eps_forest_connects_what_the_edges_connect(spark):
+    import random
+
+    from vocabtrim.operators.cluster import connected_components, eps_edges, normalise
+    rnd = random.Random(3)
+    rows = [(i, [rnd.gauss(0, 1) + 3 * (i % 4 == k) for k in range(4)]) for i in range(120)]
+    unit = normalise(spark.createDataFrame(rows, "token_id int, vec array<double>"))
+    nodes = unit.select("token_id")
+    for block in (7, 500):
+        whole, forest = (eps_edges(unit, 0.1, block=block, forest=f) for f in (False, True))
+        want = {r.token_id: r.component for r in connected_components(nodes, whole).collect()}
+        assert want == {r.token_id: r.component for r in connected_components(nodes, forest).collect()}
+        assert block < 500 or forest.count() <= 2 * len(rows) < whole.count()
+
+
+def test_zero_vectors_are_their_own_clusters(spark):
+    from vocabtrim.operators.cluster import eps_clusters
+    rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.1]), (4, [0.0, 0.0])]
+    vecs = spark.createDataFrame(rows, "token_id int, vec array<double>")
+    got = {r.token_id: r.cluster for r in eps_clusters(vecs).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 2}
+    only = eps_clusters(vecs.filter("token_id in (1, 4)"))
+    assert {r.token_id: r.cluster for r in only.collect()} == {1: 0, 4: 1}
+
+
+def test_grouped_remap_uses_the_map_of_the_row(spark):
+    from vocabtrim.operators.remap import remap
+    rows = spark.createDataFrame([(1, 0, [5, 6, 5]), (2, 1, [5, 6]), (3, 2, [6]), (4, 0, [])],
+                                 "example_id long, fold int, input_ids array<int>")
+    maps = spark.createDataFrame([(0, 5, 10), (1, 5, 20), (1, 6, 21)], "fold int, token_id int, new_id int")
+    got = {r.example_id: list(r.input_ids) for r in remap(rows, maps, keys=("example_id",), by=("fold",)).collect()}
+    assert got == {1: [10, 0, 10], 2: [20, 21], 3: [0], 4: []}
+
+
+def test_counts_of_the_other_folds(spark):
+    from vocabtrim.plans.pipelines import other_folds
+    own = spark.createDataFrame([(0, 7, 3), (1, 7, 2), (1, 8, 4)], "fold int, token_id int, cnt long")
+    got = {(r.fold, r.token_id): r.cnt for r in other_folds(own, 3).collect()}
+    assert got == {(0, 7): 2, (1, 7): 3, (2, 7): 5, (0, 8): 4, (2, 8): 4}
+
+
+def test_label_distribution_of_many_classes_and_nulls(spark):
+    from vocabtrim.operators.split import label_distribution
+    rows = [("a", float(i)) for i in range(12_000)] + [("b", None), ("b", 1.0)]
+    got = label_distribution(spark.createDataFrame(rows, "part string, label double"))
+    assert got.count() == 2 * 12_001
+    assert got.filter("part = 'b' and n > 0").count() == 2
+    assert got.filter("part = 'b' and label is null").first()["pct"] == 50.0
+
+
+def test_replaced_files_are_read_anew(spark):
+    from vocabtrim.plans.common import Inputs
+    d = tempfile.mkdtemp(prefix="vocabtrim-test-")
+    for text, words in (("aa bb", 2), ("aa bb cc dd", 4)):
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.mode("overwrite").parquet(d + "/documents.parquet")
+        assert Inputs(spark, d).vocab_rows() == 5 + words

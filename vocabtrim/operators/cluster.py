@@ -31,6 +31,7 @@ from .ordering import checkpoint_once, materialize, scalar, with_row_number
 from .rank import parameter_keep_count
 
 MAX_CENTRES = 50_000
+PIVOTS = 4
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -207,37 +208,50 @@ def prune_by_cluster(token_ids: DataFrame, vecs: DataFrame, p: float, seed: int
                                                (F.col("_c") + n_special - 1).cast("int").alias("new_id")))
 
 
-def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec", block: int = 1024) -> DataFrame:
-    """Pairs (a < b) with cosine distance ``<= eps`` on unit vectors.
+def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec", block: int = 1024,
+              forest: bool = False) -> DataFrame:
+    """Pairs (a < b) with cosine distance ``<= eps`` on unit vectors.  With ``forest`` only
+    pairs that connect the same points: each task names its connected points by their
+    least id, so it emits at most ``2 * block`` rows however dense the graph is.
 
     Exact, without materialising candidate pairs as rows:
 
     * for unit vectors ``|a-b| = sqrt(2 * cosdist)``, so two points within eps
-      differ by at most ``r = sqrt(2 * eps)`` in their distance to a pivot; points
+      differ by at most ``r = sqrt(2 * eps)`` in their distance to any pivot; points
       are bucketed by ``floor(d(pivot) / r)`` and only the same or neighbouring
-      buckets are compared;
-    * each bucket is cut into blocks of at most ``block`` points (distributed
-      numbering), and every candidate pair of blocks is one cogroup task that
-      multiplies the two blocks with numpy and emits only the edges.
+      buckets are compared, joined on the bucket;
+    * each bucket is cut into blocks of at most ``block`` points, near ones together
+      by their cells of the other pivots (distributed numbering); pairs of blocks
+      whose distances to some pivot are further apart than ``r`` are left out;
+    * every other pair of blocks is one cogroup task that multiplies the two blocks
+      with numpy and emits only the edges.
 
     No task ever holds more than ``2 * block`` points, whatever the skew of
-    the buckets.
+    the buckets.  Points about equally far from every pivot are all compared: the
+    work is quadratic there.
     """
-    radius = (2 * eps) ** 0.5
-    first = vecs.orderBy("token_id").select(col).first()  # one vector: the pivot, as a literal
-    if first is None:
+    radius = (2 * eps) ** 0.5 + 1e-9
+    pivots = vecs.select("token_id", col).orderBy("token_id").limit(PIVOTS).collect()  # literals
+    if not pivots:
         return vecs.sparkSession.createDataFrame([], "a int, b int")
-    pv = F.array(*[F.lit(float(x)) for x in first[0]])
-    b = vecs.select("token_id", col, F.floor(F.sqrt(sq_dist(F.col(col), pv)) / radius).cast("long").alias("_bk"))
-    b = with_row_number(b, [F.col("token_id").asc()], name="_r", groups=["_bk"])
-    pts = materialize(b.select("token_id", col, "_bk",
+    ds = [f"_d{i}" for i in range(len(pivots))]
+    b = vecs.select("token_id", col, *[
+        F.sqrt(sq_dist(F.col(col), F.array(*[F.lit(float(x)) for x in p[col]]))).alias(d) for d, p in zip(ds, pivots)])
+    b = b.withColumn("_bk", F.floor(F.col("_d0") / radius).cast("long"))
+    near_first = [F.floor(F.col(d) / radius).asc() for d in ds[1:]]
+    b = with_row_number(b, [*near_first, F.col("token_id").asc()], name="_r", groups=["_bk"])
+    pts = materialize(b.select("token_id", col, "_bk", *ds,
                                F.floor((F.col("_r") - 1) / block).cast("long").alias("_blk")))
-    blocks = pts.select("_bk", "_blk").distinct()  # one row per block: n / block + buckets
-    left = blocks.select(F.col("_bk").alias("a_bk"), F.col("_blk").alias("a_blk"))
-    right = blocks.select(F.col("_bk").alias("b_bk"), F.col("_blk").alias("b_blk"))
-    near = (left.join(right, (F.col("b_bk") >= F.col("a_bk")) & (F.col("b_bk") <= F.col("a_bk") + 1))
-                .filter((F.col("b_bk") > F.col("a_bk")) | (F.col("b_blk") >= F.col("a_blk")))
-                .withColumn("pair", F.concat_ws(":", "a_bk", "a_blk", "b_bk", "b_blk")))
+    # one row per block: n / block + buckets
+    blocks = pts.groupBy("_bk", "_blk").agg(*[f(d).alias(f"{n}{d}") for d in ds for n, f in (("lo", F.min), ("hi", F.max))])
+    spans = [f"{n}{d}" for d in ds for n in ("lo", "hi")]
+    left = blocks.select(F.col("_bk").alias("a_bk"), F.col("_blk").alias("a_blk"), *[F.col(c).alias(f"a_{c}") for c in spans],
+                         F.explode(F.array(F.col("_bk"), F.col("_bk") + 1)).alias("b_bk"))
+    right = blocks.select(F.col("_bk").alias("b_bk"), F.col("_blk").alias("b_blk"), *[F.col(c).alias(f"b_{c}") for c in spans])
+    near = left.join(right, "b_bk").filter((F.col("b_bk") > F.col("a_bk")) | (F.col("b_blk") >= F.col("a_blk")))
+    for d in ds:
+        near = near.filter((F.col(f"a_lo{d}") <= F.col(f"b_hi{d}") + radius) & (F.col(f"b_lo{d}") <= F.col(f"a_hi{d}") + radius))
+    near = near.select("a_bk", "a_blk", "b_bk", "b_blk", F.concat_ws(":", "a_bk", "a_blk", "b_bk", "b_blk").alias("pair"))
     lhs = (pts.select(F.col("_bk").alias("a_bk"), F.col("_blk").alias("a_blk"), F.col("token_id").alias("l_id"),
                       F.col(col).alias("l_vec"))
               .join(near.select("pair", "a_bk", "a_blk"), ["a_bk", "a_blk"]).select("pair", "l_id", "l_vec"))
@@ -250,15 +264,31 @@ def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec", block: int =
         if len(l_pdf) == 0 or len(r_pdf) == 0:
             return pd.DataFrame({"a": pd.Series([], dtype="int32"), "b": pd.Series([], dtype="int32")})
         la, ra = l_pdf["l_id"].to_numpy(), r_pdf["r_id"].to_numpy()
-        sim = np.stack(l_pdf["l_vec"].to_numpy()) @ np.stack(r_pdf["r_vec"].to_numpy()).T
-        i, j = np.nonzero((1.0 - sim <= eps) & (la[:, None] != ra[None, :]))
-        a_ids, b_ids = np.minimum(la[i], ra[j]), np.maximum(la[i], ra[j])
+        close = 1.0 - np.stack(l_pdf["l_vec"].to_numpy()) @ np.stack(r_pdf["r_vec"].to_numpy()).T <= eps
+        if forest:
+            a_ids, b_ids = _stars(close, la, ra)
+        else:
+            i, j = np.nonzero(close & (la[:, None] != ra[None, :]))
+            a_ids, b_ids = np.minimum(la[i], ra[j]), np.maximum(la[i], ra[j])
         return pd.DataFrame({"a": a_ids.astype("int32"), "b": b_ids.astype("int32")})
 
     # a block compared with itself yields each edge twice: keep distinct edges
     return lhs.groupBy("pair").cogroup(rhs.groupBy("pair")).applyInPandas(edges, "a int, b int").distinct()
 
 
+def _stars(close: np.ndarray, la: np.ndarray, ra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each point of two blocks with the least id it is connected to (``close``: the edges)."""
+    left, right, none = la.astype("int64"), ra.astype("int64"), np.iinfo("int64").max
+    while True:
+        new_right = np.minimum(right, np.where(close, left[:, None], none).min(axis=0))
+        new_left = np.minimum(left, np.where(close, new_right[None, :], none).min(axis=1))
+        if (new_right == right).all() and (new_left == left).all():
+            break
+        left, right = new_left, new_right
+    root, point = np.concatenate([left, right]), np.concatenate([la, ra])
+    return root[root != point], point[root != point]
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Min-label propagation with pointer jumping: ``(token_id, component)`` = smallest id reachable.
 
@@ -287,10 +317,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def eps_clusters(vecs: DataFrame, eps: float = 0.3, col: str = "vec") -> DataFrame:
-    """Cosine-eps graph components; a point without neighbours is its own cluster.
+    """Cosine-eps graph components; a point without neighbours is its own cluster, and
+    so is a zero vector, which has no direction.
     ``cluster`` = dense index of the component ordered by its smallest id."""
     unit = normalise(vecs, col)
-    comp = connected_components(unit.select("token_id"), eps_edges(unit, eps, col))
+    directed = unit.filter(~F.exists(col, lambda x: x.isNull()))
+    comp = connected_components(unit.select("token_id"), eps_edges(directed, eps, col, forest=True))
     firsts = comp.select("component").distinct()
     dense = with_row_number(firsts, [F.col("component").asc()], name="_c")
     return comp.join(dense, "component").select("token_id", (F.col("_c") - 1).cast("int").alias("cluster"))

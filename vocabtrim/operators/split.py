@@ -26,13 +26,6 @@ def hash_order(seed: int, id_col: str = "example_id"):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def class_counts(df: DataFrame, label: str = "label") -> dict:
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes for a stratified split; use the unstratified one")
-    return {r[0]: int(r[1]) for r in rows}
-
-
 def allocate(counts: dict, n_draws: int) -> dict:
     """Largest-remainder allocation of ``n_draws`` over classes (ties: class order)."""
     n = sum(counts.values())
@@ -147,16 +140,17 @@ def assign_folds(pool: DataFrame, k: int, seed: int = 42, label: str | None = "l
 def label_distribution(df: DataFrame, by: str = "part", label: str = "label") -> DataFrame:
     """Count and percent per (part, label); classes missing from a part -> 0.
 
-    A pivot over the (bounded) class list gives every part a column per class,
-    so missing classes come out as 0 without pairing tables.
+    Every class gets a zero for every part (a split has a few, fetched as literals), and
+    one aggregate adds the counts, so there may be any number of classes; rows without
+    a label are a class of their own.
     """
-    classes = sorted(class_counts(df, label))
-    names = [f"_c{i}" for i in range(len(classes))]
-    piv = df.groupBy(by).pivot(label, classes).agg(F.count(F.lit(1)))
-    piv = piv.toDF(by, *names).fillna(0, subset=names)
-    total = sum((F.col(c) for c in names), F.lit(0))
-    stacked = piv.select(by, total.alias("_t"), F.explode(F.array(*[
-        F.struct(F.lit(v).cast("double").alias(label), F.col(c).cast("long").alias("n"))
-        for v, c in zip(classes, names)])).alias("_s"))
-    return stacked.select(by, F.col("_s")[label].alias(label), F.col("_s")["n"].alias("n"),
-                          (F.col("_s")["n"] / F.col("_t") * 100).alias("pct"))
+    counts = materialize(df.groupBy(by, F.col(label).cast("double").alias(label)).agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy(by).agg(F.sum("n").alias("_t"))
+    parts = [r[0] for r in totals.select(by).collect()]
+    if parts:
+        zeros = counts.select(label).distinct().select(F.explode(F.array(*map(F.lit, parts))).alias(by), label,
+                                                       F.lit(0).cast("long").alias("n"))
+        counts = counts.unionByName(zeros).groupBy(by, label).agg(F.sum("n").alias("n"))
+    totals = totals.withColumnRenamed(by, "_part")
+    return (counts.join(totals, F.col(by).eqNullSafe(F.col("_part")))
+                  .select(by, label, "n", (F.col("n") / F.col("_t") * 100).alias("pct")))

@@ -52,8 +52,15 @@ class Inputs:
 
     def _key(self):
         # the application id changes with every SparkContext, so a stopped
-        # session's frames are never reused
-        return (id(self.spark), self.spark.sparkContext.applicationId, self.sf_dir)
+        # session's frames are never reused; nor are those of files replaced since
+        return (id(self.spark), self.spark.sparkContext.applicationId, self.sf_dir, self._listing())
+
+    def _listing(self):
+        """Names, lengths and times of the document files, on whatever file system they lie."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/documents.parquet")
+        return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime())
+                     for f in path.getFileSystem(conf).listStatus(path))
 
     def _vocab(self):
         key = self._key()
