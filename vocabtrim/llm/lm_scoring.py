@@ -79,22 +79,30 @@ def part_of(h: np.ndarray, n: int) -> np.ndarray:
 def _blocks(batches, tokens: int = BLOCK_TOKENS):
     """Gather ``(ids, held, word hashes, row of each word)`` of runs of whole texts."""
     roller = Roller(1)
-    ids, held, words, rows, n_rows, n_words = [], [], [], [], 0, 0
+    got, n_rows, n_words = ([], [], [], []), 0, 0
+
+    def take():
+        # nothing here keeps the block alive once it is handed on
+        out = [np.concatenate(x) for x in got]
+        for x in got:
+            x.clear()
+        return out
     for batch in batches:
         for first, last, data, offs in chunks(batch):
             s, e, row = word_bounds(data, offs)
-            low = LOWER[data]
-            words.append(roller.spans(roller.prefix(low), s, e))
-            rows.append(row + n_rows)
-            ids.append(batch.column("doc_id").slice(first, last - first).to_numpy(zero_copy_only=False))
-            held.append(batch.column("held").slice(first, last - first).to_numpy(zero_copy_only=False))
+            new = (batch.column("doc_id").slice(first, last - first).to_numpy(zero_copy_only=False),
+                   batch.column("held").slice(first, last - first).to_numpy(zero_copy_only=False),
+                   roller.spans(roller.prefix(LOWER[data]), s, e), (row + n_rows).astype(np.int32))
+            for x, y in zip(got, new):
+                x.append(y)
             n_rows += last - first
             n_words += len(s)
             if n_words >= tokens or n_rows >= 2 ** 18:
-                yield tuple(np.concatenate(x) for x in (ids, held, words, rows))
-                ids, held, words, rows, n_rows, n_words = [], [], [], [], 0, 0
+                del new, s, e, row
+                yield take()
+                n_rows, n_words = 0, 0
     if n_rows:
-        yield tuple(np.concatenate(x) for x in (ids, held, words, rows))
+        yield take()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -127,52 +135,100 @@ def count_words(docs: DataFrame) -> DataFrame:
     return packed.mapInArrow(merge, "w long, c long")
 
 
+def _index(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values and the place of each value among them (32 bits)."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return x[new], place
+
+
+def _block_bigrams(block: list, size: np.ndarray):
+    """Bigrams of a block: ``h, w`` (sorted), the places of their rows, rows that hold each,
+    those rows and the times there.  ``block`` ends with the words and their rows, which are
+    taken from it; ``size`` are the words of each row.  Arrays go as soon as they are used,
+    so a block's peak is a few times its tokens."""
+    m = len(size)
+    at, words = block.pop(), block.pop()
+    at = at + np.arange(len(words))  # among the tokens
+    last = np.cumsum(size + 1) - 1  # a text of k words has k + 1 bigrams
+    seen = np.empty(len(words) + m, np.uint64)
+    seen[at + 1], seen[last - size] = words, np.uint64(BEGIN % 2 ** 64)
+    hs, hid = _index(seen)
+    seen[at], seen[last] = words, np.uint64(END % 2 ** 64)
+    del words, at
+    ws, wid = _index(seen)
+    del seen, last
+    key = hid.astype(np.uint64)
+    del hid
+    key *= np.uint64(len(ws))
+    key += wid.astype(np.uint64)
+    del wid
+    doc = np.repeat(np.arange(m, dtype=np.int32), size + 1)
+    new = np.ones(len(key), bool)
+    if len(hs) * len(ws) < 2 ** 63 // max(m, 1):
+        key *= np.uint64(m)
+        key += doc.astype(np.uint64)
+        key.sort()
+        new[1:] = key[1:] != key[:-1]
+        times = np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.int32)
+        key = key[new]
+        doc = (key % np.uint64(m)).astype(np.int32)
+        key //= np.uint64(m)
+    else:
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        times = np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.int32)
+        key, doc = key[new], doc[new]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    many = np.diff(np.append(first, len(key))).astype(np.int32)
+    key = key[first]
+    h = hs[(key // np.uint64(len(ws))).astype(np.int64)]
+    key %= np.uint64(len(ws))
+    return h, ws[key.astype(np.int64)], first, many, doc, times
+
+
 def send_bigrams(docs: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
     """Rows ``(part, kind, block, data)``: of each block its rows (``d``) and, by part, its
     bigrams with the rows that hold them (``b``)."""
     def run(batches):
         name = TaskContext.get().partitionId() << 32
-        for ids, held, words, rows in _blocks(batches):
-            m = len(ids)
-            size = np.bincount(rows, minlength=m)
-            at = np.arange(len(words)) + rows  # a text of k words has k + 1 bigrams
-            last = np.cumsum(size + 1) - 1
-            h, w = np.empty(len(words) + m, np.uint64), np.empty(len(words) + m, np.uint64)
-            w[at], w[last] = words, np.uint64(END % 2 ** 64)
-            h[at + 1], h[last - size] = words, np.uint64(BEGIN % 2 ** 64)
-            doc = np.repeat(np.arange(m), size + 1)
-            hs, hid = np.unique(h, return_inverse=True)
-            ws, wid = np.unique(w, return_inverse=True)
-            key = (hid.astype(np.uint64) * np.uint64(len(ws)) + wid.astype(np.uint64))
-            if len(hs) * len(ws) < 2 ** 63 // max(m, 1):
-                key, times = np.unique(key * np.uint64(m) + doc.astype(np.uint64), return_counts=True)
-                doc, key = (key % np.uint64(m)).astype(np.int64), key // np.uint64(m)
-            else:
-                order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-                times = np.diff(np.concatenate((np.flatnonzero(new), [len(new)])))
-                key, doc = key[new], doc[new]
-            b = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            many = np.diff(np.concatenate((b, [len(key)])))
-            h, w = hs[(key[b] // np.uint64(len(ws))).astype(np.int64)], ws[(key[b] % np.uint64(len(ws))).astype(np.int64)]
-            part = part_of(np.where(np.isin(h, hot), pair_hash(h, w), h), n)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(n + 1))
-            yield _rows([(name % n, "d", name, pack(ids.astype("<i8"), held.astype("<u1"), size.astype("<i8")))])
-            for k in range(n):
-                o = order[cuts[k]:cuts[k + 1]]
-                if len(o):
-                    run_of = np.flatnonzero(np.concatenate(([True], h[o][1:] != h[o][:-1])))
-                    reps = many[o]
-                    post = np.repeat(b[o] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
-                    yield _rows([(k, "b", name, pack(h[o][run_of], _narrow(np.diff(np.append(run_of, len(o)))), w[o],
-                                                     _narrow(reps), _narrow(doc[post]), _narrow(times[post]),
-                                                     np.packbits(held), np.array([m], "<i8")))])
+        for block in _blocks(batches):
+            yield from _shares(name, n, hot, block)
             name += 1
+
     return docs.mapInArrow(run, "part long, kind string, block long, data binary")
 
 
+def _shares(name: int, n: int, hot: np.ndarray, block: list):
+    """The packed rows of one block (see ``send_bigrams``)."""
+    ids, held = block[:2]
+    m = len(ids)
+    size = np.bincount(block[3], minlength=m)
+    h, w, b, many, doc, times = _block_bigrams(block, size)
+    part = part_of(h, n).astype(np.int32)
+    common = np.isin(h, hot)
+    part[common] = part_of(pair_hash(h[common], w[common]), n)
+    del common
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(n + 1))
+    del part
+    yield _rows([(name % n, "d", name, pack(ids.astype("<i8"), held.astype("<u1"), size.astype("<i8")))])
+    for k in range(n):
+        o = order[cuts[k]:cuts[k + 1]]
+        if len(o):
+            run_of = np.flatnonzero(np.concatenate(([True], h[o][1:] != h[o][:-1])))
+            reps = many[o].astype(np.int64)
+            post = np.repeat(b[o] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
+            yield _rows([(k, "b", name, pack(h[o][run_of], _narrow(np.diff(np.append(run_of, len(o)))), w[o],
+                                             _narrow(reps), _narrow(doc[post]), _narrow(times[post]),
+                                             np.packbits(held), np.array([m], "<i8")))])
+
+
 def _rows(rows) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
