@@ -41,8 +41,10 @@ from .common import LOWER, Roller, chunks, mix, pair_hash, parts as shuffle_part
 
 BEGIN = int(mix(np.array([0xB0], np.uint64)).view(np.int64)[0])
 END = int(mix(np.array([0xE0], np.uint64)).view(np.int64)[0])
-BLOCK_TOKENS = 3_000_000
-"""Tokens of a block, and of a part's share of one pass over the corpus."""
+BLOCK_TOKENS = 1_000_000
+"""Tokens of a block of texts."""
+PART_TOKENS = 3_000_000
+"""Tokens of a part's share of the corpus."""
 K = 5
 """Counts up to this one are discounted."""
 
@@ -310,7 +312,7 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, fold: int = 5, he
         norm1 = float(tokens)
     unknown = left / norm1 if tokens else 1.0
 
-    n = max(1, -(-tokens // BLOCK_TOKENS), min(shuffle_parts(spark), 12))
+    n = max(1, -(-tokens // PART_TOKENS), min(shuffle_parts(spark), 12))
     often = words.filter(F.col("c") > max(1, tokens // (4 * n))).collect()  # at most 4 * n rows
     end = next((r["c"] for r in words.filter(F.col("w") == END).collect()), 0)
     hot = {r["w"] % 2 ** 64: r["c"] for r in often if r["w"] != END} | {BEGIN % 2 ** 64: end}
