@@ -155,3 +155,27 @@ def test_pipeline(spark):
     out = P.run(spark, sf)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
     assert 0 < out.select("doc_id").distinct().count() <= len(classes)
+
+
+LONG = "This sentence of the article has a few more words than the notices around it do. "
+
+
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'aria-hidden="false"', 'data-hidden="1"', 'class="post no-sidebar"', 'class="has-sidebar"',
+    'id="related-work"', 'id="search-algorithms"', 'class="sidebar"', "id=search title='a hidden gem'"])
+def test_attributes_that_drop_no_text(attributes):
+    from vocabtrim.llm.html_density import main_text
+    text = "\n".join(f"{k} " + (3 * LONG).strip() for k in range(4))
+    inner = "".join(f"<p>{x}</p>" for x in text.split("\n"))
+    page = PAGE.format(body=f"<div {attributes}>{inner}</div>")
+    assert main_text(page) == text
+    assert main_text(f'<div><h2 id="search">Search</h2><p><a href="/hidden-gems">See</a> {LONG}</p></div>') \
+        == "Search\nSee " + LONG.strip()
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'aria-hidden="true"', 'class="x sidebar"', 'id="related-posts"',
+                                        'class="main-nav"', 'role="navigation"', 'aria-label="Share"'])
+def test_attributes_that_drop_noise(attributes):
+    from vocabtrim.llm.html_density import main_text
+    article = "".join(f"<p>{3 * LONG}</p>" for _ in range(4))
+    assert "Noise" not in main_text(f"<div><div>{article}</div><div {attributes}><p>Noise and more.</p></div></div>")

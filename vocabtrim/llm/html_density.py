@@ -29,7 +29,8 @@ from .common import need
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+TELLING = re.compile(r"class|id|role|aria-|hidden", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog",
@@ -43,36 +44,50 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}),
           "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 SCOPE = {"body", "html", "table", "td", "th", "button", "article", "section", "div", "li", "blockquote"}
-HINT = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|side-?bar|footer|masthead|breadcrumbs?|ads?|advert\w*|"
-                  r"banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|pop-?up|modal|overlay|comments?|"
-                  r"comment-?list|disqus|replies|related|recommend\w*|share|sharing|social|newsletter|subscribe|"
-                  r"login|search|pagination|pager|toolbar|skip-?link)(?:$|[\s_-])", re.I)
+# whole class or id tokens, or a whole label; a hint alone drops no large dense node (see _outweighs)
+HINT = re.compile(r"(?:(?:main|site|page|top|bottom|left|right|primary|secondary|global|mobile|user|post|article)[\s_-])?"
+                  r"(?:nav(?:bar|igation)?|menu|side-?bar|footer|masthead|breadcrumbs?|ads?|advert(?:s|ising|isements?)?|"
+                  r"banner|sponsor(?:s|ed)?|promos?|promotions?|cookies?|consent|gdpr|notice|pop-?up|modal|overlay|"
+                  r"comments?|disqus|replies|related|recommend(?:ed|ations?)|share|sharing|social|newsletter|subscribe|"
+                  r"login|search|pagination|pager|toolbar|skip-?link)"
+                  r"(?:[\s_-](?:nav|menu|bar|list|links?|box|container|wrap(?:per)?|section|area|block|widget|panel|form|"
+                  r"banner|notice|consent|buttons?|icons?|media|posts?|articles?|stories|items?|slot|unit|thread|signup|"
+                  r"left|right|top|bottom|\d+))*", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu",
          "menubar", "form", "toolbar"}
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "skip", "chars", "tags", "link_chars", "link_tags", "density", "sum", "parent")
+    __slots__ = ("tag", "kids", "skip", "hint", "chars", "tags", "link_chars", "link_tags", "density", "sum", "parent",
+                 "block", "top", "kept")
 
-    def __init__(self, tag, parent, skip):
-        self.tag, self.parent, self.skip, self.kids = tag, parent, skip, []
+    def __init__(self, tag, parent, skip, hint=False):
+        self.tag, self.parent, self.skip, self.hint, self.kids = tag, parent, skip, hint, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.block = self.kept = False
+        self.top = self
 
 
-def _noise(tag: str, attributes: str, inside_article: bool) -> bool:
+def _noise(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether the element takes no part, and whether its names hint that it should not."""
     if tag in SKIP or tag == "header" and not inside_article:
-        return True
-    if tag in ("body", "html", "article", "main") or not attributes:
-        return False
+        return True, False
+    if tag in ("body", "html", "article", "main") or not TELLING.search(attributes):
+        return False, False
+    hint = False
     for name, *values in ATTRIBUTE.findall(attributes):
-        value, name = next((v for v in values if v), ""), name.lower()
-        if name == "hidden" or name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id", "aria-label") and HINT.search(value):
-            return True
-    return False
+        value, name = next((v for v in values if v), "").strip(), name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" \
+                or name == "role" and value.lower() in ROLES:
+            return True, False
+        if name == "class" or name == "id" and tag not in HEADINGS:  # a heading's id names its subject
+            hint = hint or any(HINT.fullmatch(x) for x in value.split())
+        elif name == "aria-label":
+            hint = hint or HINT.fullmatch(value) is not None
+    return False, hint
 
 
 def parse(page: str) -> Node:
@@ -118,7 +133,7 @@ def parse(page: str) -> Node:
                     del stack[i:]
         top = stack[-1]
         attributes = m.group(3)
-        node = Node(tag, top, _noise(tag, attributes, any(x.tag in ("article", "main") for x in stack)))
+        node = Node(tag, top, *_noise(tag, attributes, any(x.tag in ("article", "main") for x in stack)))
         top.kids.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
@@ -138,22 +153,42 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
-def select(root: Node) -> Node:
-    """The subtree of the largest density sum at or above the body-path threshold."""
-    nodes = _nodes(root)
+def _count(nodes: list[Node]) -> None:
+    """Counts and densities; ``nodes`` holds parents before children, the root first."""
     for n in reversed(nodes):
         own = sum(len(SPACE.sub("", k)) for k in n.kids if isinstance(k, str))
         kids = [k for k in n.kids if isinstance(k, Node) and not k.skip]
         n.chars = own + sum(k.chars for k in kids)
-        n.tags = len(kids) + sum(k.tags for k in kids)
+        n.tags = sum(k.tags + (k.tag != "") for k in kids)
         n.link_chars = n.chars if n.tag == "a" else sum(k.link_chars for k in kids)
         n.link_tags = (n.tag == "a") + sum(k.link_tags for k in kids)
+        n.block = n.tag in BLOCK and n.tag not in VOID or n.tag == "" or any(k.block for k in kids)
+    root = nodes[0]
     ratio = root.link_chars / max(1, root.chars)
     for n in nodes:
+        n.density = 0.0
         if n.chars:
             c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
             base = math.log(c / max(1, c - n.link_chars) * n.link_chars + ratio * c + math.e)
             n.density = c / t * max(0.0, math.log(c / lc * (t / lt))) / math.log(1 + base)
+
+
+def _outweighs(n: Node, root: Node) -> bool:
+    """Whether a hinted node is large and at least as dense as the page, or nearly all of it."""
+    own, page = n.chars - n.link_chars, root.chars - root.link_chars
+    large = own >= 100 and 2 * own >= page or own >= 400 and 10 * own >= page
+    return large and (n.density >= root.density or 10 * own >= 9 * page)
+
+
+def select(root: Node) -> Node:
+    """The subtree of the largest density sum at or above the body-path threshold."""
+    nodes = _nodes(root)
+    if any(n.hint for n in nodes):
+        _count(nodes)
+        for n in nodes:
+            n.skip = n.hint and not _outweighs(n, root)
+        nodes = _nodes(root)
+    _count(nodes)
     for n in nodes:
         n.sum = sum(k.density for k in n.kids if isinstance(k, Node) and not k.skip)
     best = max(nodes, key=lambda n: n.sum)
