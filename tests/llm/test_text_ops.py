@@ -179,3 +179,18 @@ def test_attributes_that_drop_noise(attributes):
     from vocabtrim.llm.html_density import main_text
     article = "".join(f"<p>{3 * LONG}</p>" for _ in range(4))
     assert "Noise" not in main_text(f"<div><div>{article}</div><div {attributes}><p>Noise and more.</p></div></div>")
+
+
+def test_sibling_blocks_above_the_threshold():
+    from vocabtrim.llm.html_density import main_text
+    p = lambda a, b: "".join(f"<p>{k} {2 * LONG}</p>" for k in range(a, b))
+    text = lambda a, b: "\n".join(f"{k} {2 * LONG}".strip() for k in range(a, b))
+    menu = "<div>" + "".join(f"<div><a href=/{k}>Link {k}</a></div>" for k in range(8)) + "</div>"
+    for other in ("", menu):  # with links and without
+        assert main_text(PAGE.format(body=f"<div>{p(0, 3)}</div>{other}<div>{p(3, 13)}</div>")) == text(0, 13)
+    # text outside of a small article is not overridden by it
+    assert main_text(f"<div>{p(0, 10)}</div><article>{p(10, 22)}</article><div>{p(22, 30)}</div>") == text(0, 30)
+    assert main_text(f"<main>{menu}<div>{p(0, 3)}</div><div>{p(3, 13)}</div></main>").endswith(text(0, 13))
+    # bare text beside blocks
+    bare = (5 * LONG).strip()
+    assert main_text(f"<div>{bare}<div>{p(0, 6)}</div><b>Also</b> {bare}</div>") == f"{bare}\n{text(0, 6)}\nAlso {bare}"

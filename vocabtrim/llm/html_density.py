@@ -6,10 +6,15 @@ characters LC and link tags LT of its subtree give the link-adjusted density
     C/T * log_b((C/LC) * (T/LT)),   b = 1 + ln(C/(C-LC) * LC + LC_body/C_body * C + e)
 
 (zero denominators count as one).  A node's density sum adds the densities of its
-children.  The node of the largest sum is found, the smallest density on its path
-to the body is the threshold, and among the nodes at or above the threshold the
-subtree of the largest sum is the article.  Elements that never hold article text
-(menus, footers, forms, notices, adverts, comments, scripts) take no part.
+children; text between block elements counts as a child.  The node of the largest sum
+is found, and the smallest density on its path to the body is the threshold.  From the
+body down, every branch at or above the threshold keeps its subtree of the largest sum,
+and the kept subtrees in page order are the article.  As the logarithm of a branch
+without links grows with its size alone, a branch also passes with at least the fewest
+characters a tag and at most the largest share of link characters on that path.  An
+``article`` or ``main`` of which at least half is kept is taken whole.  Elements that
+never hold article text (menus, footers, forms, notices, adverts, comments, scripts)
+take no part.
 
 Edge cases: a null or empty page, or one without text, gives the empty string and
 n_chars 0; repeated rows come back repeated; equal sums go to the outer, earlier
@@ -180,34 +185,87 @@ def _outweighs(n: Node, root: Node) -> bool:
     return large and (n.density >= root.density or 10 * own >= 9 * page)
 
 
-def select(root: Node) -> Node:
-    """The subtree of the largest density sum at or above the body-path threshold."""
+def _part_runs(nodes: list[Node]) -> bool:
+    """Text and inline elements between block elements become nodes of their own, without a tag;
+    whether there were any."""
+    any_ = False
+    for n in nodes:
+        if not any(isinstance(k, Node) and not k.skip and k.block for k in n.kids):
+            continue
+        kids, run = [], []
+        for k in [*n.kids, None]:
+            if k is not None and not (isinstance(k, Node) and k.block):
+                run.append(k)
+                continue
+            if any(x.strip() if isinstance(x, str) else x.chars and not x.skip for x in run):
+                node = Node("", n, False)
+                node.kids, run, any_ = run, [node], True
+                for x in node.kids:
+                    if isinstance(x, Node):
+                        x.parent = node
+            kids += run
+            run = []
+            if k is not None:
+                kids.append(k)
+        n.kids = kids
+    return any_
+
+
+def select(root: Node) -> list[Node]:
+    """The subtrees that hold the article, in page order."""
     nodes = _nodes(root)
-    if any(n.hint for n in nodes):
-        _count(nodes)
-        for n in nodes:
-            n.skip = n.hint and not _outweighs(n, root)
-        nodes = _nodes(root)
     _count(nodes)
     for n in nodes:
-        n.sum = sum(k.density for k in n.kids if isinstance(k, Node) and not k.skip)
-    best = max(nodes, key=lambda n: n.sum)
-    threshold, n = best.density, best
-    while n is not None:
-        threshold, n = min(threshold, n.density), n.parent
-    best = max((n for n in nodes if n.density >= threshold), key=lambda n: n.sum, default=root)
+        n.skip = n.hint and not _outweighs(n, root)
+    if any(n.skip for n in nodes):
+        nodes = _nodes(root)
+        _count(nodes)
+    if _part_runs(nodes):
+        nodes = _nodes(root)
+        _count(nodes)
+    for n in reversed(nodes):
+        kids = [k for k in n.kids if isinstance(k, Node) and not k.skip]
+        n.sum, n.top = sum(k.density for k in kids), n
+        for k in kids:  # equal sums go to the outer, earlier node
+            if k.block and k.top.sum > n.top.sum:
+                n.top = k.top
+    best = root.top
     if best.sum == 0.0:
-        best = root
-    n = best
-    while n is not None:  # an article is taken whole
-        if n.tag in ("article", "main"):
-            best = n
-        n = n.parent
-    return best
+        return [root]
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    rate, share = min(n.chars / max(1, n.tags) for n in path), max(n.link_chars / n.chars for n in path)
+
+    def reaches(n):
+        # without links the logarithm grows with size alone: as dense and no more linked will do
+        return n.chars > 0 and (n.density >= threshold
+                                or n.chars / max(1, n.tags) >= rate and n.link_chars / n.chars <= share)
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if reaches(n) and not n.kept:
+            n.top.kept = True
+            todo.extend(k for k in n.kids if isinstance(k, Node) and not k.skip and k.block)
+    inside = {}  # characters under kept nodes
+    for n in reversed(nodes):
+        inside[n] = n.chars if n.kept else sum(inside[k] for k in n.kids if isinstance(k, Node) and not k.skip)
+    for n in nodes:  # an article that is mostly kept is taken whole
+        if n.tag in ("article", "main") and 2 * inside[n] >= n.chars > 0:
+            n.kept = True
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if n.kept:
+            out.append(n)
+        else:
+            todo.extend(k for k in reversed(n.kids) if isinstance(k, Node) and not k.skip)
+    return out
 
 
-def text_of(node: Node) -> str:
-    """Blocks of the subtree in page order, one a line."""
+def text_of(nodes: list[Node]) -> str:
+    """Blocks of the subtrees in page order, one a line."""
     blocks, line = [], []
 
     def flush():
@@ -215,7 +273,7 @@ def text_of(node: Node) -> str:
             if text := SPACE.sub(" ", "".join(line)).strip():
                 blocks.append(text)
             line.clear()
-    todo: list = [node]
+    todo: list = [x for n in reversed(nodes) for x in (None, n)]
     while todo:
         x = todo.pop()
         if x is None:
