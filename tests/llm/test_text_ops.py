@@ -194,3 +194,17 @@ def test_sibling_blocks_above_the_threshold():
     # bare text beside blocks
     bare = (5 * LONG).strip()
     assert main_text(f"<div>{bare}<div>{p(0, 6)}</div><b>Also</b> {bare}</div>") == f"{bare}\n{text(0, 6)}\nAlso {bare}"
+
+
+def test_linked_blocks_of_the_article_stay():
+    from vocabtrim.llm.html_density import main_text
+    p = "".join(f"<p>{k} {2 * LONG}</p>" for k in range(6))
+    text = "\n".join(f"{k} {2 * LONG}".strip() for k in range(6))
+    links = [f"Reference number {k}" for k in range(5)]
+    items = "".join(f"<li><a href=/r{k}>{x}</a></li>" for k, x in enumerate(links))
+    cells = "".join(f"<tr><td><a href=/t{k}>{x}</a></td></tr>" for k, x in enumerate(links))
+    for block in (f"<ul>{items}</ul>", f"<ol>{items}</ol>", f"<table>{cells}</table>", f"<div><ul>{items}</ul></div>"):
+        assert main_text(PAGE.format(body=f"<article>{p}{block}</article>")) == "\n".join([text, *links])
+    assert main_text(f"<div>{''.join(f'<div><a href=/{x}>{x}</a>.</div>' for x in links)}</div>") \
+        == "\n".join(x + "." for x in links)
+    assert "Home" not in main_text(f"<article>{p}<nav><a href=/>Home</a></nav><ul role=menu><li>Home</ul></article>")

@@ -280,8 +280,7 @@ def text_of(nodes: list[Node]) -> str:
             flush()
         elif isinstance(x, str):
             line.append(x)
-        elif not x.skip and not (x.tag in ("ul", "ol", "table", "div") and x.link_tags > 2
-                                 and x.link_chars > 0.7 * x.chars):
+        elif not x.skip:
             if x.tag in BLOCK:
                 flush()
                 todo.append(None)
