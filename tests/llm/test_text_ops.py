@@ -208,3 +208,21 @@ def test_linked_blocks_of_the_article_stay():
     assert main_text(f"<div>{''.join(f'<div><a href=/{x}>{x}</a>.</div>' for x in links)}</div>") \
         == "\n".join(x + "." for x in links)
     assert "Home" not in main_text(f"<article>{p}<nav><a href=/>Home</a></nav><ul role=menu><li>Home</ul></article>")
+
+
+def test_whole_license_texts(spark, frame):
+    from vocabtrim.llm import license_scan as Q
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    first = {}
+    for k, t in Q.whole_texts():
+        first.setdefault(k, t)
+    rows = [(i, first[k]) for i, k in enumerate(names)]
+    rows += [(100 + i, re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", first[k]).upper()) for i, k in enumerate(names)]
+    rows += [(200, first["Apache-2.0"].split("APPENDIX")[0]), (201, first["GPL-2.0"][:-4000])]
+    bsd = open("/usr/share/common-licenses/BSD").read()
+    rows += [(300, bsd), (301, next(t for k, t in Q.KNOWN if k == "BSD-2-Clause")),
+             (302, bsd.replace("REGENTS", "COPYRIGHT HOLDERS", 1).replace("REGENTS", "COPYRIGHT OWNER")
+              .replace("the University nor", "the copyright holder nor"))]
+    got = {(r.doc_id, r.license_id) for r in Q.scan(frame(rows)).filter("unit = 'document'").collect()}
+    assert got == {*enumerate(names), *((100 + i, k) for i, k in enumerate(names)), (200, "Apache-2.0"),
+                   (300, "BSD-3-Clause"), (301, "BSD-2-Clause"), (302, "BSD-3-Clause")}

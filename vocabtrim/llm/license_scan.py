@@ -13,6 +13,9 @@ ignored; an empty known table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +50,33 @@ IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
 INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
 THIS SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAME = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+"""
+_BSD_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD2, _BSD3 = _BSD + _BSD_AS_IS, _BSD + _BSD_NAME + _BSD_AS_IS
+_REGENTS = (_BSD + _BSD_NAME + _BSD_AS_IS).replace("the copyright holder nor", "the University nor") \
+    .replace("COPYRIGHT HOLDERS AND", "REGENTS AND").replace("COPYRIGHT HOLDER OR", "REGENTS OR")
+
 
-# Known licence texts and the usual one-line notices.
+def _bullets(text: str) -> str:
+    return re.sub(r"(?m)^\d\. ", "* ", text)
+
+
+# Known short licence texts and the usual one-line notices.
 KNOWN = (
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC),
     ("MIT", "Released under the MIT License."),
@@ -61,12 +89,30 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
+    *((k, t + x) for k, title, x in (("BSD-2-Clause", "BSD 2-Clause License\n", _BSD2),
+                                     ("BSD-3-Clause", "BSD 3-Clause License\n", _BSD3),
+                                     ("BSD-3-Clause", "", _REGENTS))
+      for x in (x, _bullets(x)) for t in dict.fromkeys(("", title))),
 )
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """``(license_id, text)`` of the long licences in ``licenses/``: as given and with one line a
+    paragraph, each with and without what follows the end of the terms (how to apply them)."""
+    out = {}
+    for file in sorted((resources.files(__package__) / "licenses").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            text = file.read_text(encoding="utf-8")
+            end = re.search(r"END OF TERMS AND CONDITIONS", text)
+            for t in (text, text[:end.end()] if end else text, text[:end.start()] if end else text):
+                for x in (t, re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", t)):
+                    out[file.name.removesuffix(".txt"), x] = None
+    return list(out)
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """The built-in ``(license_id, text)`` table; any table of that shape can take its place."""
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame([*KNOWN, *whole_texts()], "license_id string, text string")
 
 
 def plain(text: Column) -> Column:
