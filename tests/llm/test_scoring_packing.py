@@ -153,3 +153,15 @@ def test_separator_scan_of_raw_files(spark, tmp_path):
     got = sorted((r.stream[-1], r.doc_no, r.start, r.n_tokens, r.terminated) for r in Q.documents(blocks, end=9).collect())
     assert got == [("a", 0, 0, 0, True), ("a", 1, 1, 2, True), ("a", 2, 4, 2, False), ("b", 0, 0, 0, True),
                    ("d", 0, 0, 7, False)]
+
+
+def test_query_stores_bigrams_met_once(spark, tmp_path):
+    from vocabtrim.llm import lm_scoring as Q
+    from vocabtrim.llm.queries import QUERIES
+    rows = _texts(60, seed=3) + EDGE + [(5000 + k, f"once{k} seen{k} words and") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["op1_katz_scoring"](spark, str(tmp_path)).collect()))
+    exp = _katz(rows, Q, min_count=1)
+    assert len(got) == len(exp)
+    for a, b in zip(got, exp):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=1e-6)

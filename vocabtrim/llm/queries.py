@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 def op1_katz_scoring(spark, sf_dir):
     """Every document's log10 probability under a Katz model of the training fold."""
     from . import lm_scoring as op
-    return op.score(table(spark, sf_dir, "documents"), order=2)
+    return op.score(table(spark, sf_dir, "documents"), order=2, min_count=1)
 
 
 @query()
