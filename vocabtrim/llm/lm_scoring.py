@@ -18,7 +18,9 @@ The work:
    to the part of the bigram's first word.  Words that would fill a part alone (at most
    ``4 * parts`` of them, found in 1.) are dealt by the whole bigram instead.  This is one
    shuffle, read twice: to count, and to score against the part's share of the model.
-3. The model is a pair of tables by part: bigrams and contexts, written to the shared folder.
+3. A part makes its share of the model itself, from its bigrams and the counts of their
+   second words, which it asks of the word table (each distinct word once a part).  Only the
+   sums of contexts that are dealt over parts are put together outside.
 4. The parts' sums are added per text.
 
 Words are known by 64-bit hashes.  Edge cases: null and empty texts have one token, the
@@ -34,7 +36,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Roller, chunks, mix, pair_hash, parts as shuffle_parts, word_bounds, written
@@ -282,12 +284,9 @@ def discounts(n: dict[int, int], k: int = K) -> list[float]:
     return out
 
 
-def _discounted(c: Column, d: list[float]) -> Column:
+def _times(c: np.ndarray, d) -> np.ndarray:
     """Discount of the count times the count."""
-    out = F.lit(1.0)
-    for r in range(len(d) - 1, 0, -1):
-        out = F.when(c == r, F.lit(d[r])).otherwise(out)
-    return out * c
+    return np.asarray(d)[np.minimum(c, len(d) - 1) * (c < len(d))] * c
 
 
 def score(docs: DataFrame, order: int = 2, min_count: int = 2, fold: int = 5, held_fold: int = 1) -> DataFrame:
@@ -328,59 +327,84 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, fold: int = 5, he
                 by.setdefault(part, []).append(data)
         for part, blobs in by.items():
             h, w, c = _train_counts(blobs)
-            some = c >= min_count
             counts = np.bincount(np.minimum(c, K + 2), minlength=K + 3).astype(np.int64)
-            yield part, counts.tolist(), bytearray(pack(h[some], w[some], c[some]))
+            h, w, c = (x[c >= min_count] for x in (h, w, c))
+            common = np.isin(h, hot_keys)
+            w, place = _index(w)
+            yield part, counts.tolist(), bytearray(pack(w)), bytearray(
+                pack(_narrow(np.searchsorted(hot_keys, h[common])), _narrow(place[common]), _narrow(c[common])))
 
-    model = None
+    asked = hot_x = hot_p1 = None
     if order == 2 and tokens:
-        counted = written(spark.createDataFrame(sent.mapPartitions(count),
-                                                "part long, counts array<long>, data binary"), "bigram-counts")
+        counted = written(spark.createDataFrame(sent.mapPartitions(count), "part long, counts array<long>, data binary, "
+                                                                           "hot binary"), "bigram-counts")
         got = counted.select(F.posexplode("counts").alias("c", "x")).groupBy("c").agg(F.sum("x").alias("x")).collect()
-        d2 = discounts({r["c"]: r["x"] for r in got})
+        d2 = np.array(discounts({r["c"]: r["x"] for r in got}))
 
-        def rows_of(batches):
+        def words_of(batches):
             for b in batches:
                 for part, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist()):
-                    h, w, c = unpack(data)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(h), part)), pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c)],
-                        names=["part", "h", "w", "c"])
-        stored = counted.select("part", "data").mapInArrow(rows_of, "part long, h long, w long, c long")
-        p1 = _discounted(F.col("c1"), d1) / F.lit(norm1)
-        bigrams = written(
-            stored.join(words.withColumnRenamed("c", "c1"), "w")
-                  .select("part", "h", "w", _discounted(F.col("c"), d2).alias("x"), p1.alias("p1")), "bigrams")
-        context = words.unionByName(spark.createDataFrame([(BEGIN, end)], "w long, c long"))
-        sums = bigrams.groupBy("h").agg(F.sum("x").alias("x"), F.sum("p1").alias("p1"))
-        norm = F.when(F.col("x") < F.col("c"), F.col("c")).otherwise(F.col("c") + 1)
-        own = F.shiftrightunsigned("h", 33) % n
-        to = F.when(F.col("h").isin([int(np.uint64(x).view(np.int64)) for x in hot_keys]),
-                    F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).otherwise(F.array(own))
-        contexts = written(
-            sums.join(context.withColumnRenamed("w", "h"), "h")
-                .select("h", F.log10(norm).alias("norm"),
-                        (F.log10(1 - F.col("x") / norm) - F.log10(1 - F.col("p1"))).alias("back"))
-                .withColumn("part", F.explode(to)), "contexts")
-        rows = bigrams.select("part", "h", "w", (F.log10("x") - F.log10("p1")).alias("a"), F.lit(0.0).alias("b")) \
-                      .unionByName(contexts.select("part", "h", F.lit(BEGIN).alias("w"), F.col("norm").alias("a"),
-                                                   F.col("back").alias("b")))
+                    w = unpack(data)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), part)), pa.array(w.view(np.int64))],
+                                                     names=["part", "w"])
 
         def by_part(batches):
             held_: dict[int, list] = {}
             for b in batches:
-                cols = [b.column(c).to_numpy() for c in ("part", "h", "w", "a", "b")]
+                cols = [b.column(c).to_numpy() for c in ("part", "w", "c")]
                 order_ = np.argsort(cols[0], kind="stable")
                 cols = [c[order_] for c in cols]
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1, [len(order_)])) if len(order_) else [0]
                 for x, y in zip(cuts[:-1], cuts[1:]):
                     held_.setdefault(int(cols[0][x]), []).append([c[x:y] for c in cols[1:]])
             for part, got_ in held_.items():
-                h, w, a, b = (np.concatenate(x) for x in zip(*got_))
-                yield _rows([(part, "m", 0, pack(h.view("<u8"), w.view("<u8"), a, b))])
-        packed = rows.repartition(n, "part").mapInArrow(by_part, "part long, kind string, block long, data binary")
-        model = packed.rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3])))).partitionBy(sent.getNumPartitions())
-
+                w, c = (np.concatenate(x) for x in zip(*got_))
+                w = w.view("<u8")
+                o = np.argsort(w)
+                yield _rows([(part, "m", 0, pack(w[o], _narrow(c[o])))])
+        need_counts = counted.select("part", "data").mapInArrow(words_of, "part long, w long")
+        asked = written(need_counts.join(words, "w").select("part", "w", "c").repartition(n, "part")
+                                   .mapInArrow(by_part, "part long, kind string, block long, data binary"), "part-words")
+
+        def hot_sums(batches):
+            for b in batches:
+                for data, hot_ in zip(b.column("data").to_pylist(), b.column("hot").to_pylist()):
+                    c1 = unpack(data)[1].astype(np.int64)
+                    k, place, c = (x.astype(np.int64) for x in unpack(hot_))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(len(hot_keys))), pa.array(np.bincount(k, _times(c, d2), len(hot_keys))),
+                         pa.array(np.bincount(k, _times(c1[place], d1) / norm1, len(hot_keys)))], names=["k", "x", "p1"])
+        sums = (counted.select("part", "hot").join(asked, "part").select("data", "hot")
+                       .mapInArrow(hot_sums, "k long, x double, p1 double")
+                       .groupBy("k").agg(F.sum("x").alias("x"), F.sum("p1").alias("p1")).collect())
+        hot_x, hot_p1 = np.zeros(len(hot_keys)), np.zeros(len(hot_keys))
+        for r in sums:
+            hot_x[r["k"]], hot_p1[r["k"]] = r["x"], r["p1"]
+
+    def share(h, w, c, asked_):
+        """The part's share of the model: contexts, their norms and backoff weights (logarithms);
+        its bigrams, and what each adds to the backed-off score."""
+        context, where = np.unique(h, return_inverse=True)
+        total_ = np.bincount(where, c, len(context))
+        k = c >= min_count
+        w, c, where = w[k], c[k], where[k]
+        x = _times(c, d2)
+        p1 = _times(_look_up(w, *asked_, 0).astype(np.int64), d1) / norm1
+        sx, sp = (np.bincount(where, v, len(context)) for v in (x, p1))
+        g = pair_hash(context[where], w)
+        own = ~np.isin(context, hot_keys)
+        at = np.searchsorted(np.sort(np.concatenate((context[own], hot_keys))), context)
+        o = np.argsort(np.concatenate((context[own], hot_keys)))
+        context, total_, sx, sp = (np.concatenate((u[own], v))[o] for u, v in (
+            (context, hot_keys), (total_, hot_counts), (sx, hot_x), (sp, hot_p1)))
+        norm = np.maximum(np.where(sx < total_, total_, total_ + 1), 1)
+        ca = np.log10(norm)
+        cb = np.where(sx > 0, np.log10(1 - sx / norm) - np.log10(1 - sp), 0.0)
+        ga = np.log10(x) - np.log10(p1) - (ca + cb)[at[where]]
+        o = np.argsort(g)
+        return context, cb, g[o], ga[o]
+
+    fitted = asked is not None
     base_norm = math.log10(tokens + 0.5 * (known + 1))
     factors = np.array(d1)
 
@@ -400,18 +424,10 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, fold: int = 5, he
             h, w, c = _train_counts(x[2] for x in items if x[0] == "b")
             seen, where = np.unique(h, return_inverse=True)
             count_ = np.bincount(where, c, len(seen)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-            ch = ca = cb = g = ga = None
-            model_ = [unpack(x[2]) for x in items if x[0] == "m"]
-            if model_:
-                mh, mw, ma, mb = (np.concatenate(x) for x in zip(*model_))
-                ctx = mw == np.uint64(BEGIN % 2 ** 64)
-                o = np.argsort(mh[ctx])
-                ch, ca, cb = mh[ctx][o], ma[ctx][o], mb[ctx][o]
-                g = pair_hash(mh[~ctx], mw[~ctx])
-                at = np.searchsorted(ch, mh[~ctx])
-                ga = ma[~ctx] - ca[at] - cb[at]
-                o = np.argsort(g)
-                g, ga = g[o], ga[o]
+            if fitted:
+                asked_ = next((unpack(x[2]) for x in items if x[0] == "m"), [np.zeros(0, np.uint64)] * 2)
+                ch, cb, g, ga = share(h, w, c, asked_)
+                del asked_
             sums: dict[int, np.ndarray] = {}
             for kind, block, data in items:
                 if kind != "b":
@@ -421,7 +437,7 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, fold: int = 5, he
                 c = np.where(np.isin(h, hot_keys), _look_up(h, hot_keys, hot_counts, 0), c)
                 word = h != np.uint64(BEGIN % 2 ** 64)
                 value = np.where(word, unigram(c), 0.0)
-                if model_:
+                if fitted:
                     value = value + _look_up(h, ch, cb, 0.0) + _look_up(pair_hash(h, w), g, ga, 0.0)
                 base = np.where(word, np.log10(c + 0.5), 0.0)
                 got_ = sums.setdefault(block, np.zeros((3, m)))
@@ -429,7 +445,9 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, fold: int = 5, he
                     got_[k] += np.bincount(doc, np.repeat(v, many) * times, m)
             for block, got_ in sums.items():
                 yield block, "s", bytearray(got_.tobytes())
-    both = sent if model is None else sent.union(model)
+    both = sent
+    if asked is not None:
+        both = sent.union(asked.rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3])))).partitionBy(n))
     results = spark.createDataFrame(both.mapPartitions(add), "block long, kind string, data binary")
     end_score = float(unigram(np.array([end]))[0])
 
