@@ -157,3 +157,16 @@ def op10_decontamination(spark, sf_dir):
     """Documents that hold a benchmark passage within the edit budget."""
     from . import decontaminate as op
     return op.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op11_sentencepiece(spark, sf_dir):
+    """Ids of every document through the distinct-chunk table, and their decoded text."""
+    from public_tokenizers import path
+
+    from . import sentencepiece_chunks as op
+    model = path("piece_bpe_32k.model")
+    out = op.decode(op.encode(table(spark, sf_dir, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                      F.sha2("text", 256).alias("decoded_sha256"))
