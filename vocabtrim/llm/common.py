@@ -79,12 +79,13 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray):
-    """Starts, ends and row numbers of the words ``[^\\x20\\x09-\\x0D]+`` of a chunk."""
+def word_bounds(data: np.ndarray, offs: np.ndarray, between: np.ndarray = IS_SPACE):
+    """Starts, ends and row numbers of the words ``[^\\x20\\x09-\\x0D]+`` of a chunk, or of
+    the runs of bytes that ``between`` does not mark."""
     if len(data) == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~IS_SPACE[data]
+    word = ~between[data]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     end = word.copy()

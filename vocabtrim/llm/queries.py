@@ -170,3 +170,71 @@ def op11_sentencepiece(spark, sf_dir):
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def _op12_sql() -> str:
+    crc = """list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+             lambda acc, x: list_reduce(range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END,
+                                        xor(acc, x)), 4294967295)"""
+    return rf"""
+WITH own AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER
+               (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+             FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list({{'r': r, 't': t}} ORDER BY i) AS s FROM own GROUP BY conv_id),
+h AS (SELECT conv_id, s, xor({crc}, 4294967295) % 4 AS h FROM s),
+b AS (SELECT h.conv_id, list_concat(coalesce(start.s[1:h.h], []), h.s[h.h + 1:]) AS s
+      FROM h LEFT JOIN s AS start ON start.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, s[1:d] AS k, len(s) AS n, s[d].t AS t FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM b)),
+node AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+           (count(*) - 1) * any_value(CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) END) AS w,
+           sha256(coalesce(string_agg(CASE WHEN n = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+         FROM p GROUP BY k, d),
+child AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS c FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(c, 0) AS c FROM node LEFT JOIN child USING (k, d)),
+sub AS (SELECT k[1:e] AS k, e AS d, sum((c = 0)::INT)::BIGINT AS n_leaves, sum(w)::BIGINT AS saved_tokens
+        FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_node) GROUP BY ALL)
+SELECT v.conv_id, v.d::BIGINT AS depth, up.conv_id AS parent_conv_id, v.n_convs::BIGINT AS n_convs,
+  v.c::BIGINT AS n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM full_node v JOIN sub USING (k, d) LEFT JOIN node up ON v.d > 0 AND up.d = v.d - 1 AND up.k = v.k[1:v.d - 1]"""
+
+
+@query(_op12_sql())
+def op12_prefix_trie(spark, sf_dir):
+    """Prefix trie of all conversations, rebuilt on common starts."""
+    from . import prefix_trie as op
+    return op.trie(op.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT lang, source, r, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, r, term, count(*) AS n FROM w GROUP BY ALL),
+kept AS (SELECT lang, term FROM c GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, sum(n) AS n FROM c JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN n USING (lang, source) GROUP BY ALL),
+ln AS (SELECT lang, sum(total) AS total FROM gn GROUP BY lang),
+p AS (SELECT gn.lang, gn.source, k.term, coalesce(n.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(n.n, 0)::HUGEINT + 5)) // (gn.total::HUGEINT + 5 * v.v::HUGEINT) AS p
+      FROM gn JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = gn.lang AND n.source = gn.source AND n.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n)::HUGEINT + 5)) // (any_value(ln.total)::HUGEINT + 5 * any_value(v.v)::HUGEINT) AS q
+      FROM n JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value
+         FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+           FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+@query(OP13_SQL)
+def op13_source_divergence(spark, sf_dir):
+    """How far the sources of each language lie apart, and the terms that set them apart."""
+    from . import source_divergence as op
+    return op.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
