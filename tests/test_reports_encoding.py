@@ -203,3 +203,90 @@ def test_pipelines_prune_and_compare(spark):
     assert cmp.filter(F.col("size") == "393k").count() > 0
     logs = summarise_runs(spark, _write(LOG, "cola_x.log"))
     assert logs.first()["test_accuracy"] == 0.83
+
+
+def test_one_log_a_task_by_pattern(spark):
+    import pathlib
+    from vocabtrim.operators.report import choose_logs, scan_chosen_logs
+    root = tempfile.mkdtemp(prefix="vocabtrim-test-")
+    files = {"a/a_importance_token_prune20.log": "first", "a/a_importance_prune20.0.log": "second", "b/b_importance_prune20.0.log": "b",
+             "b/b_importance_prune20x0.log": "no dot", "c/c_importance_v1_prune5.log": "old", "c/c_importance_v2_prune5.log": "new",
+             "d/e_importance_token_prune20.log": "another task", "x.log": "none"}
+    for k, (name, text) in enumerate(files.items()):
+        p = pathlib.Path(root, name)
+        p.parent.mkdir(exist_ok=True)
+        p.write_text(text)
+        os.utime(p, (1_000_000 + k, 1_000_000 + k))
+    tasks = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "task string")
+    patterns = ("{task}/{task}_importance_token_prune20.log", "{task}/{task}_importance_prune20.0.log",
+                "{task}/{task}_importance*prune*.log")
+    chosen = choose_logs(spark, root, tasks, patterns)
+    assert {r.task for r in chosen.filter("path is null").collect()} == {"d"}
+    got = {r.task: r.text for r in scan_chosen_logs(spark, chosen).collect()}
+    assert got == {"a": "first", "b": "b", "c": "new"}
+    assert scan_chosen_logs(spark, chosen.filter("task = 'd'")).count() == 0
+
+
+def test_hooks(spark):
+    from pyspark.sql import functions as F
+    from vocabtrim.operators import metrics as M
+    from vocabtrim.operators.tokens import encode_with, token_counts_of
+    rows = spark.createDataFrame([(1, "aab"), (2, ""), (3, "b")], "example_id long, text string")
+    hook = F.pandas_udf(lambda t: t.map(lambda x: [ord(c) for c in x] or None), "array<int>", F.PandasUDFType.SCALAR)
+    enc = encode_with(rows, hook)
+    assert {r.example_id: list(r.input_ids) for r in enc.collect()} == {1: [97, 97, 98], 2: [], 3: [98]}
+    assert {tuple(r) for r in token_counts_of(enc).collect()} == {(97, 2, 1), (98, 2, 2)}
+    preds = spark.createDataFrame([(1, 1.0, 1.0, .9), (2, 0.0, 1.0, .8), (3, -1.0, 0.0, .1)],
+                                  "example_id long, label double, pred double, score double")
+    before = list(M.FAMILIES)
+    try:
+        @M.register_metric("mean_score")
+        def mean_score(p, by=()):
+            return M.labelled(p).groupBy(*by).agg(F.avg("score").alias("mean_score"))
+        got = {r.metric: r.value for r in M.all_metrics_long(preds, metrics=["mean_score", "accuracy_score"]).collect()}
+        assert {k: round(v, 9) for k, v in got.items()} == {"mean_score": 0.85, "accuracy_score": 0.5}
+        tasks = spark.createDataFrame([("t", ["mean_score"])], "task string, metrics array<string>")
+        assert [(r.task, r.metric, round(r.value, 9)) for r in M.task_metrics(preds, tasks).collect()] == [("t", "mean_score", 0.85)]
+    finally:
+        M.FAMILIES[:] = before
+
+
+def test_dropped_ids_are_observed(spark):
+    from pyspark.sql import Observation
+    from vocabtrim.operators.remap import valid_ids
+    ids = spark.createDataFrame([(1, 5), (2, 6), (9, 7)], "token_id int, cnt int")
+    seen = Observation("dropped")
+    emb = spark.createDataFrame([(1,), (2,), (2,)], "token_id int")
+    kept = valid_ids(ids, emb, seen)
+    assert sorted(map(tuple, kept.collect())) == [(1, 5), (2, 6)] and seen.get["n_dropped"] == 1
+
+
+def test_split_is_a_partition_filter(spark):
+    from vocabtrim.plans.common import Inputs
+    inp = Inputs(spark, "/root/testdata/sf0.001")
+    plan = inp.text_corpus().filter("split = 'test'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan
+    whole = inp.text_corpus().groupBy("split").count().collect()
+    assert sum(r["count"] for r in whole) == inp.table("documents").count() and {r.split for r in whole} == {"train", "validation", "test"}
+
+
+def test_subwords_of_the_whole_vocabulary(spark):
+    import random
+    from vocabtrim.operators.tokens import encode_subwords
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choices("abc", k=rnd.randint(1, 12))) for _ in range(300)})
+    body = sorted({"".join(rnd.choices("abc", k=rnd.randint(1, 7))) for _ in range(120)}) + ["a", "b"]
+    pieces = set(body[::2]) | {"##" + b for b in body[1::2]} | {"a", "##a", "##b", "##c"}
+
+    def greedy(w):
+        out, at = [], 0
+        while at < len(w):
+            l = next((l for l in range(len(w) - at, 0, -1) if ("##" if at else "") + w[at:at + l] in pieces), 0)
+            if not l:
+                return ["[UNK]"]
+            out.append(("##" if at else "") + w[at:at + l])
+            at += l
+        return out
+    got = encode_subwords(spark.createDataFrame([(w,) for w in words + ["d"]], "word string"),
+                          spark.createDataFrame([(p,) for p in pieces], "piece string")).collect()
+    assert {r.word: list(r.pieces) for r in got} == {w: greedy(w) for w in words + ["d"]}

@@ -1,37 +1,34 @@
 """Vector clustering for pruning (C1, C2, C2b, C4, C5, C6 via remap, J8, P18, A22).
 
-Vectors are ``(token_id, vec ARRAY<DOUBLE>)``.
-
-* k-means (C1) runs a fixed number of Lloyd rounds.  The k centres (k is a
-  budget, checked) travel in a broadcast variable; each point finds its
-  nearest centre in an Arrow-batched pandas UDF (numpy, exact distances) — no
-  pairing of tables, and no interpreted higher-order functions in the hot loop.  New centres
-  are per-(cluster, dimension) averages, i.e. a partial+final aggregate, so a
-  cluster holding a third of the points is never gathered in one place.
-  Initial centres: the k smallest ``md5(seed:token_id)``; ties go to the lowest
-  centre id; an empty cluster keeps its centre.  ``engine="mllib"`` runs
-  ``pyspark.ml.clustering.KMeans`` instead for very large inputs.
-* eps-graph clusters (C2) = connected components of the cosine-eps graph
-  (DBSCAN with ``min_samples=2`` has no border points).  Candidate blocks come
-  from an exact band on the distance to a pivot (triangle inequality); each
-  pair of bounded blocks is compared with one numpy product in a cogroup task,
-  so only edges leave the tasks; components by min-label propagation with
-  pointer jumping and a checkpoint per round.
+Vectors are ``(token_id, vec ARRAY<DOUBLE>)``; searches run over packed blocks of them
+(:mod:`.vectors`).
+
+* k-means (C1): points and centres are tables of blocks.  A task holds a block of points
+  and one of centres; the best of all centre blocks and the partial sums of the new
+  centres are put together per block, so neither points nor centres go through the driver
+  and any k will do.  Initial centres: the k smallest ``md5(seed:token_id)``; ties go to
+  the lowest centre id; an empty cluster keeps its centre.  It ends after ``rounds``, or
+  before that when no centre moves; ``rounds=None`` runs until none does.
+  ``engine="mllib"`` runs ``pyspark.ml.clustering.KMeans`` instead.
+* eps-graph clusters (C2) = connected components of the cosine-eps graph (DBSCAN with
+  ``min_samples=2`` has no border points).  Pairs of blocks are compared with a partial
+  product and, where the norms of the rest allow it, the whole one; a task hands on
+  spanning stars of its close points.  Components by min-label propagation with pointer
+  jumping and a checkpoint per round.
+* Average linkage (C3) and merging by it (C2a) are in :mod:`.linkage`.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import l2_normalise
-from .ordering import checkpoint_once, materialize, scalar, with_row_number
-from .rank import parameter_keep_count
-
-MAX_CENTRES = 50_000
-PIVOTS = 4
+from . import vectors as V
+from .ordering import checkpoint_once, scalar, stored, with_row_number
+from .rank import parameter_keep_count, union_keep
 
 
 def sq_dist(a: Column, b: Column) -> Column:
@@ -48,57 +45,36 @@ def normalise(vecs: DataFrame, col: str = "vec") -> DataFrame:
     return vecs.withColumn(col, l2_normalise(F.col(col)))
 
 
-def _nearest_udf(sc, centres, block: int = 64):
-    """Arrow-batched nearest-centre search with the (bounded) centres in a
-    broadcast variable.  A matrix product per ``block`` rows finds the near centres (``block *
-    k`` numbers at a time), exact differences decide; ties keep the lowest id."""
-    ids = np.array([int(r[0]) for r in centres], dtype=np.int32)
-    mat = np.array([list(r[1]) for r in centres], dtype=np.float64)
-    order = np.argsort(ids, kind="stable")
-    bc = sc.broadcast((ids[order], mat[order]))
-
-    @F.pandas_udf("cluster int, dist double")
-    def nearest(vec: pd.Series) -> pd.DataFrame:
-        ids, mat = bc.value
-        x = np.stack(vec.to_numpy()) if len(vec) else np.zeros((0, mat.shape[1]))
-        out_c = np.empty(len(x), dtype=np.int32)
-        out_d = np.empty(len(x), dtype=np.float64)
-        cc = np.einsum("ij,ij->i", mat, mat)
-        for s in range(0, len(x), block):
-            part = x[s:s + block]
-            # |x|^2 - 2 x.c + |c|^2 in one product; centres within its rounding error of
-            # the best are compared by exact differences, so ties still go to the first
-            d = np.einsum("ij,ij->i", part, part)[:, None] - 2.0 * (part @ mat.T) + cc[None, :]
-            slack = 1e-9 * (1.0 + cc.max())
-            near_row, near_col = np.nonzero(d <= d.min(axis=1)[:, None] + slack)
-            exact = np.square(part[near_row] - mat[near_col]).sum(axis=1)
-            order = np.lexsort((near_col, exact, near_row))
-            first = order[np.unique(near_row[order], return_index=True)[1]]
-            out_c[s:s + block] = ids[near_col[first]]
-            out_d[s:s + block] = exact[first]
-        return pd.DataFrame({"cluster": out_c, "dist": out_d})
-    return nearest
-
-
-def assign(vecs: DataFrame, centres: DataFrame, col: str = "vec") -> DataFrame:
-    """Nearest centre per point (squared Euclidean; ties -> lowest cluster id).
-
-    The k centres are a budget (at most ``MAX_CENTRES`` rows, checked by the
-    caller), fetched once and shipped to the Python workers as a closure
-    constant; the points stay distributed and are scored in Arrow batches.
-    """
-    rows = centres.select("cluster", "centre").collect()
-    best = _nearest_udf(vecs.sparkSession.sparkContext, rows)(F.col(col))
-    return vecs.withColumn("_b", best).withColumn("cluster", F.col("_b.cluster")) \
-               .withColumn("dist", F.col("_b.dist")).drop("_b")
-
-
 def mean_vectors(labelled: DataFrame, col: str = "vec", key: str = "cluster") -> DataFrame:
-    """Element-wise mean vector per cluster: ``(cluster, centre)``."""
-    cells = labelled.select(key, F.posexplode(col).alias("_p", "_x"))
-    means = cells.groupBy(key, "_p").agg(F.avg("_x").alias("_m"))
-    return (means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "_m"))).alias("_s"))
-                 .select(key, F.transform("_s", lambda s: s["_m"]).alias("centre")))
+    """Element-wise mean vector per cluster: ``(key, centre)``.
+
+    Tasks add up their rows by cluster first, so a cluster holding a third of the points is
+    a few partial sums by the time it is shuffled."""
+    kind = labelled.schema[key].dataType.simpleString()
+
+    def rows(keys, n, total):
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(n, pa.int64()),
+             pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * total.shape[1], pa.int32()), pa.array(total.ravel()))],
+            names=["k", "n", "total"])
+
+    def add(batches, weighted):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            coded = batch.column("k").dictionary_encode()
+            at = np.asarray(coded.indices)
+            x = V.matrix(batch, "total" if weighted else "v")
+            total = np.zeros((len(coded.dictionary), x.shape[1]))
+            np.add.at(total, at, x)
+            n = np.bincount(at, batch.column("n").to_numpy() if weighted else None, len(coded.dictionary))
+            yield rows(coded.dictionary, n.astype(np.int64), total)
+    schema = f"k {kind}, n long, total array<double>"
+    part = labelled.select(F.col(key).alias("k"), F.col(col).alias("v")).mapInArrow(lambda b: add(b, False), schema)
+    cells = part.select("k", "n", F.posexplode("total").alias("p", "x"))
+    sums = cells.groupBy("k", "p").agg((F.sum("x") / F.sum("n")).alias("m"))
+    return (sums.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "m"))).alias("s"))
+                .select(F.col("k").alias(key), F.transform("s", lambda s: s["m"]).alias("centre")))
 
 
 def initial_centres(vecs: DataFrame, k: int, seed: int = 42, col: str = "vec") -> DataFrame:
@@ -108,22 +84,148 @@ def initial_centres(vecs: DataFrame, k: int, seed: int = 42, col: str = "vec") -
                                              F.col(col).alias("centre"))
 
 
-def kmeans(vecs: DataFrame, k: int, seed: int = 42, rounds: int = 5, col: str = "vec",
+_BEST = "blk int, c_blk int, ids binary, cluster binary, dist binary, mat binary"
+_BEST_ARROW = pa.schema([("blk", pa.int32()), ("c_blk", pa.int32()), ("ids", pa.binary()), ("cluster", pa.binary()),
+                         ("dist", pa.binary()), ("mat", pa.binary())])
+
+
+def _best_of_block(points: DataFrame, centres: DataFrame, c_blocks: int) -> DataFrame:
+    """For each block of points and each of centres: the nearest of these centres."""
+    def run(batches):
+        for blk, c_blk, (ids, x), (clusters, mat) in V.each_pair(batches):
+            place, dist = V.nearest_rows(x, mat)
+            yield pa.RecordBatch.from_pylist(
+                [{"blk": blk, "c_blk": c_blk, "ids": ids.tobytes(), "cluster": clusters[place].tobytes(),
+                  "dist": dist.tobytes(), "mat": None}], schema=_BEST_ARROW)
+    return V.pairs(points, centres, c_blocks).mapInArrow(run, _BEST)
+
+
+def _by_block(best: DataFrame, blocks: int):
+    """The rows of each block of points next to each other."""
+    n = min(blocks, V.tasks_of(best))
+    return best.repartition(n, "blk").sortWithinPartitions("blk", F.col("mat").isNotNull(), "c_blk")
+
+
+def _reduced(batches):
+    """``(blk, ids, cluster, dist, mat)`` of each block: the nearest centre of all its rows."""
+    held = None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            get = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
+            blk = get("blk")
+            if held is not None and held[0] != blk:
+                yield held
+                held = None
+            if get("mat") is not None:
+                held = (*held[:4], np.frombuffer(get("mat"), "<f8").reshape(len(held[1]), -1))
+                continue
+            ids, cluster, dist = (np.frombuffer(get(c), t) for c, t in (("ids", "<i8"), ("cluster", "<i8"), ("dist", "<f8")))
+            if held is None:
+                held = (blk, ids, cluster, dist, None)
+            else:
+                # centre blocks come in order, so the lowest centre keeps a tie
+                nearer = dist < held[3]
+                held = (blk, ids, np.where(nearer, cluster, held[2]), np.where(nearer, dist, held[3]), None)
+    if held is not None:
+        yield held
+
+
+_SUMS = "c_blk int, ids binary, n binary, total binary, old binary"
+_SUMS_ARROW = pa.schema([("c_blk", pa.int32()), ("ids", pa.binary()), ("n", pa.binary()), ("total", pa.binary()),
+                         ("old", pa.binary())])
+_CENTRES = V.BLOCK + ", moved long"
+
+
+def _next_centres(points: DataFrame, centres: DataFrame, p_blocks: int, c_blocks: int, c_rows: int) -> DataFrame:
+    """One round: blocks of the new centres, with the number of those that moved."""
+    mats = points.select("blk", F.lit(None).cast("int").alias("c_blk"), "ids", F.lit(None).cast("binary").alias("cluster"),
+                         F.lit(None).cast("binary").alias("dist"), "mat")
+
+    def sums(batches):
+        for _, _, cluster, _, x in _reduced(batches):
+            some, at = np.unique(cluster, return_inverse=True)
+            total = np.zeros((len(some), x.shape[1]))
+            np.add.at(total, at, x)
+            n = np.bincount(at, minlength=len(some))
+            of = some // c_rows
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])) if len(of) else [0]
+            yield pa.RecordBatch.from_pylist(
+                [{"c_blk": int(of[a]), "ids": some[a:b].tobytes(), "n": n[a:b].tobytes(), "total": total[a:b].tobytes(),
+                  "old": None} for a, b in zip(cut[:-1], cut[1:])], schema=_SUMS_ARROW)
+
+    def new(batches):
+        schema = pa.schema([*V._BLOCK, ("moved", pa.int64())])
+
+        def done():
+            some = n > 0
+            fresh = old.copy()
+            fresh[some] = total[some] / n[some, None]
+            return pa.RecordBatch.from_pylist(
+                [V.packed(blk, ids, fresh) | {"moved": int((fresh != old).any(axis=1).sum())}], schema=schema)
+        blk = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda c: batch.column(c)[i].as_py()  # noqa: E731, B023
+                if get("old") is not None:
+                    if blk is not None:
+                        yield done()
+                    blk = get("c_blk")
+                    ids, old = V.unpacked(get("ids"), get("old"))
+                    total, n = np.zeros(old.shape), np.zeros(len(ids), np.int64)
+                    continue
+                at = np.searchsorted(ids, np.frombuffer(get("ids"), "<i8"))
+                total[at] += np.frombuffer(get("total"), "<f8").reshape(len(at), -1)
+                n[at] += np.frombuffer(get("n"), "<i8")
+        if blk is not None:
+            yield done()
+    none = F.lit(None).cast("binary")
+    best = _by_block(_best_of_block(points, centres, c_blocks).unionByName(mats), p_blocks)
+    part = best.mapInArrow(sums, _SUMS).unionByName(
+        centres.select(F.col("blk").alias("c_blk"), "ids", none.alias("n"), none.alias("total"), F.col("mat").alias("old")))
+    tasks = min(c_blocks, V.tasks_of(points))
+    ordered = part.repartition(tasks, "c_blk").sortWithinPartitions("c_blk", F.col("old").isNull())
+    return ordered.mapInArrow(new, _CENTRES)
+
+
+def kmeans(vecs: DataFrame, k: int, seed: int = 42, rounds: int | None = 5, col: str = "vec",
            engine: str = "fixed") -> tuple[DataFrame, DataFrame]:
     """Returns ``(labels (token_id, cluster, dist), centres (cluster, centre))``."""
     if engine == "mllib":
         return _kmeans_mllib(vecs, k, seed, col)
-    if k > MAX_CENTRES:
-        raise ValueError(f"k={k} centres exceed the broadcast budget; use engine='mllib'")
-    # the points are read every round: materialise them once (shared checkpoint folder)
-    vecs = checkpoint_once(vecs.select("token_id", col))
-    centres = checkpoint_once(initial_centres(vecs, k, seed, col))
-    for _ in range(rounds):
-        lab = assign(vecs, centres, col)
-        new = mean_vectors(lab, col)
-        kept = centres.join(new.select("cluster"), "cluster", "left_anti")  # empty clusters keep theirs
-        centres = checkpoint_once(new.unionByName(kept))  # cut lineage every round
-    return assign(vecs, centres, col), centres
+    vecs = stored(vecs.select("token_id", col), "points")
+    size = vecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
+    spark, n, dim = vecs.sparkSession, size["n"], size["d"] or 1
+    if n == 0 or k <= 0:
+        return (spark.createDataFrame([], "token_id int, cluster int, dist double"),
+                spark.createDataFrame([], "cluster int, centre array<double>"))
+    p_blocks, c_blocks = V.block_count(n, dim, V.tasks_of(vecs)), V.block_count(min(k, n), dim, 0)
+    c_rows = -(-min(k, n) // c_blocks)
+    points = stored(V.pack(vecs, p_blocks, col=col), "point-blocks")
+    centres = stored(V.pack(initial_centres(vecs, k, seed, col), c_blocks, by=F.floor(F.col("cluster") / c_rows).cast("int"),
+                            key="cluster", col="centre"), "centre-blocks")
+    done = 0
+    while rounds is None or done < rounds:
+        centres = stored(_next_centres(points, centres, p_blocks, c_blocks, c_rows), "centre-blocks")
+        done += 1
+        if not scalar(centres, F.sum("moved")):
+            break
+    kind = vecs.schema["token_id"].dataType.simpleString()
+
+    def labels(batches):
+        for _, ids, cluster, dist, _ in _reduced(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cluster.astype(np.int32)), pa.array(dist)],
+                                             names=["token_id", "cluster", "dist"])
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, mat = V.unpacked(batch.column("ids")[i].as_py(), batch.column("mat")[i].as_py())
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * mat.shape[1], pa.int32()), pa.array(mat.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), flat], names=["cluster", "centre"])
+    lab = _by_block(_best_of_block(points, centres, c_blocks), p_blocks).mapInArrow(
+        labels, "token_id long, cluster int, dist double")
+    return (stored(lab.withColumn("token_id", F.col("token_id").cast(kind)), "labels"),
+            centres.mapInArrow(rows, "cluster int, centre array<double>"))
 
 
 def _kmeans_mllib(vecs, k, seed, col):
@@ -163,7 +265,7 @@ def cluster_removed(removed_ids: DataFrame, keep: DataFrame, vecs: DataFrame, k:
     """K-means the removed tokens that have vectors (P11) into ``min(k, n)``
     clusters; representative = nearest to the centre.  Returns
     ``(oov (token_id, rep_id), keep' = keep + representatives appended in cluster order)``."""
-    pts = materialize(removed_ids.select("token_id").join(vecs, "token_id", "inner"))
+    pts = stored(removed_ids.select("token_id").join(vecs, "token_id", "inner"), "removed")
     n = int(scalar(pts, F.count(F.lit(1))))
     if n == 0:
         spark = keep.sparkSession
@@ -171,122 +273,88 @@ def cluster_removed(removed_ids: DataFrame, keep: DataFrame, vecs: DataFrame, k:
     labels, _ = kmeans(pts, min(k, n), seed, rounds)
     reps = representatives(labels)
     oov = labels.join(reps, "cluster").select(F.col("token_id").cast("int"), F.col("rep_id").cast("int"))
-    base = int(scalar(keep, F.count(F.lit(1))))
-    add = reps.join(keep.select(F.col("token_id").alias("rep_id")), "rep_id", "left_anti")
-    add = with_row_number(add, [F.col("cluster").asc()], name="_r")
-    keep2 = keep.unionByName(add.select(F.col("rep_id").cast("int").alias("token_id"),
-                                        (F.col("_r") + base - 1).cast("int").alias("new_id")))
-    return oov, keep2
+    return oov, union_keep(keep, reps.select(F.col("rep_id").alias("token_id"), "cluster"), "cluster")
+
+
+def cluster_to(vecs: DataFrame, n: int, method: str = "kmeans", seed: int = 42, rounds: int = 5, eps: float = 0.3) -> DataFrame:
+    """``(token_id, cluster)``: ``n`` clusters of the vectors by direction.
+
+    ``kmeans`` (C1), ``agglomerative`` (C3), or ``dbscan``: eps-graph components (C2),
+    merged by average linkage (C2a) or split with 2-means (C2b) to the number wanted."""
+    from .linkage import average_linkage, merge_clusters
+    unit = normalise(vecs)
+    if method == "kmeans":
+        return kmeans(unit, n, seed, rounds)[0].select("token_id", "cluster")
+    if method == "agglomerative":
+        return average_linkage(unit, n)
+    if method != "dbscan":
+        raise ValueError(f"unknown clustering method {method!r}")
+    labels = stored(eps_clusters(vecs, eps), "eps-clusters")
+    found = int(scalar(labels, F.count_distinct("cluster")))
+    if found > n:
+        return merge_clusters(labels, unit, n)
+    return split_clusters(labels, unit, n, seed, rounds) if found < n else labels
 
 
 def prune_by_cluster(token_ids: DataFrame, vecs: DataFrame, p: float, seed: int = 42,
                      rounds: int = 5, n_special: int = 5, vocab_rows: int | None = None, dim: int | None = None,
-                     total_params: int | None = None) -> DataFrame:
-    """C4: keep the ``n_special`` smallest ids, cluster the rest (normalised vectors)
-    into ``(n - 5) - int(n * p / 100)`` clusters and keep one representative per
-    cluster, nearest to the raw mean.  Returns the keep list ``(token_id, new_id)``.
+                     total_params: int | None = None, method: str = "kmeans") -> DataFrame:
+    """C4: keep the ``n_special`` smallest ids, cluster the rest (normalised vectors, see
+    :func:`cluster_to` for ``method``) into ``(n - 5) - int(n * p / 100)`` clusters and keep
+    one representative per cluster, nearest to the raw mean.  Returns the keep list
+    ``(token_id, new_id)``.
 
     With ``vocab_rows``, ``dim`` and ``total_params`` the budget ``p`` is a share of all
     parameters (W3): the clusters are as many as it leaves, and all tokens stay, in id
     order, if leaving out the rest of the vocabulary already meets it."""
-    pts = materialize(token_ids.select("token_id").distinct().join(vecs, "token_id", "inner"))
-    r = with_row_number(pts.select("token_id"), [F.col("token_id").asc()], name="_r")
-    n = int(scalar(r, F.count(F.lit(1))))
-    specials = r.filter(F.col("_r") <= n_special).select("token_id", (F.col("_r") - 1).cast("int").alias("new_id"))
-    prunable = r.filter(F.col("_r") > n_special).select("token_id").join(pts, "token_id")
+    pts = stored(token_ids.select("token_id").distinct().join(vecs, "token_id", "inner"), "tokens")
+    n = int(scalar(pts, F.count(F.lit(1))))
+    first = [r["token_id"] for r in pts.select("token_id").orderBy("token_id").limit(n_special).collect()]  # n_special rows
+    spark = pts.sparkSession
+    specials = spark.createDataFrame([(int(t), i) for i, t in enumerate(first)], "token_id int, new_id int")
+    prunable = pts.filter(F.col("token_id") > first[-1]) if first else pts
     n_clusters = (n - n_special) - int(n * p / 100)
     if total_params:
         n_clusters = parameter_keep_count(n, n - min(n, n_special), p, vocab_rows, dim, total_params, 0)
         if n_clusters is None:
+            r = with_row_number(pts.select("token_id"), [F.col("token_id").asc()], name="_r")
             return r.select(F.col("token_id").cast("int"), (F.col("_r") - 1).cast("int").alias("new_id"))
     if n_clusters <= 0:
         return specials
-    labels, _ = kmeans(normalise(prunable), n_clusters, seed, rounds)
-    reps = representatives(labels.select("token_id", "cluster"), prunable)
-    ordered = with_row_number(reps, [F.col("cluster").asc()], name="_c")
-    return specials.unionByName(ordered.select(F.col("rep_id").cast("int").alias("token_id"),
-                                               (F.col("_c") + n_special - 1).cast("int").alias("new_id")))
+    labels = cluster_to(prunable, n_clusters, method, seed, rounds)
+    reps = representatives(labels, prunable)
+    return union_keep(specials, reps.select(F.col("rep_id").alias("token_id"), "cluster"), "cluster")
 
 
-def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec", block: int = 1024,
+def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec", block: int | None = None,
               forest: bool = False) -> DataFrame:
-    """Pairs (a < b) with cosine distance ``<= eps`` on unit vectors.  With ``forest`` only
-    pairs that connect the same points: each task names its connected points by their
-    least id, so it emits at most ``2 * block`` rows however dense the graph is.
-
-    Exact, without materialising candidate pairs as rows:
-
-    * for unit vectors ``|a-b| = sqrt(2 * cosdist)``, so two points within eps
-      differ by at most ``r = sqrt(2 * eps)`` in their distance to any pivot; points
-      are bucketed by ``floor(d(pivot) / r)`` and only the same or neighbouring
-      buckets are compared, joined on the bucket;
-    * each bucket is cut into blocks of at most ``block`` points, near ones together
-      by their cells of the other pivots (distributed numbering); pairs of blocks
-      whose distances to some pivot are further apart than ``r`` are left out;
-    * every other pair of blocks is one cogroup task that multiplies the two blocks
-      with numpy and emits only the edges.
-
-    No task ever holds more than ``2 * block`` points, whatever the skew of
-    the buckets.  Points about equally far from every pivot are all compared: the
-    work is quadratic there.
-    """
-    radius = (2 * eps) ** 0.5 + 1e-9
-    pivots = vecs.select("token_id", col).orderBy("token_id").limit(PIVOTS).collect()  # literals
-    if not pivots:
-        return vecs.sparkSession.createDataFrame([], "a int, b int")
-    ds = [f"_d{i}" for i in range(len(pivots))]
-    b = vecs.select("token_id", col, *[
-        F.sqrt(sq_dist(F.col(col), F.array(*[F.lit(float(x)) for x in p[col]]))).alias(d) for d, p in zip(ds, pivots)])
-    b = b.withColumn("_bk", F.floor(F.col("_d0") / radius).cast("long"))
-    near_first = [F.floor(F.col(d) / radius).asc() for d in ds[1:]]
-    b = with_row_number(b, [*near_first, F.col("token_id").asc()], name="_r", groups=["_bk"])
-    pts = materialize(b.select("token_id", col, "_bk", *ds,
-                               F.floor((F.col("_r") - 1) / block).cast("long").alias("_blk")))
-    # one row per block: n / block + buckets
-    blocks = pts.groupBy("_bk", "_blk").agg(*[f(d).alias(f"{n}{d}") for d in ds for n, f in (("lo", F.min), ("hi", F.max))])
-    spans = [f"{n}{d}" for d in ds for n in ("lo", "hi")]
-    left = blocks.select(F.col("_bk").alias("a_bk"), F.col("_blk").alias("a_blk"), *[F.col(c).alias(f"a_{c}") for c in spans],
-                         F.explode(F.array(F.col("_bk"), F.col("_bk") + 1)).alias("b_bk"))
-    right = blocks.select(F.col("_bk").alias("b_bk"), F.col("_blk").alias("b_blk"), *[F.col(c).alias(f"b_{c}") for c in spans])
-    near = left.join(right, "b_bk").filter((F.col("b_bk") > F.col("a_bk")) | (F.col("b_blk") >= F.col("a_blk")))
-    for d in ds:
-        near = near.filter((F.col(f"a_lo{d}") <= F.col(f"b_hi{d}") + radius) & (F.col(f"b_lo{d}") <= F.col(f"a_hi{d}") + radius))
-    near = near.select("a_bk", "a_blk", "b_bk", "b_blk", F.concat_ws(":", "a_bk", "a_blk", "b_bk", "b_blk").alias("pair"))
-    lhs = (pts.select(F.col("_bk").alias("a_bk"), F.col("_blk").alias("a_blk"), F.col("token_id").alias("l_id"),
-                      F.col(col).alias("l_vec"))
-              .join(near.select("pair", "a_bk", "a_blk"), ["a_bk", "a_blk"]).select("pair", "l_id", "l_vec"))
-    rhs = (pts.select(F.col("_bk").alias("b_bk"), F.col("_blk").alias("b_blk"), F.col("token_id").alias("r_id"),
-                      F.col(col).alias("r_vec"))
-              .join(near.select(F.col("pair").alias("r_pair"), "b_bk", "b_blk"), ["b_bk", "b_blk"])
-              .select(F.col("r_pair").alias("pair"), "r_id", "r_vec"))
-
-    def edges(l_pdf: pd.DataFrame, r_pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(l_pdf) == 0 or len(r_pdf) == 0:
-            return pd.DataFrame({"a": pd.Series([], dtype="int32"), "b": pd.Series([], dtype="int32")})
-        la, ra = l_pdf["l_id"].to_numpy(), r_pdf["r_id"].to_numpy()
-        close = 1.0 - np.stack(l_pdf["l_vec"].to_numpy()) @ np.stack(r_pdf["r_vec"].to_numpy()).T <= eps
-        if forest:
-            a_ids, b_ids = _stars(close, la, ra)
-        else:
-            i, j = np.nonzero(close & (la[:, None] != ra[None, :]))
-            a_ids, b_ids = np.minimum(la[i], ra[j]), np.maximum(la[i], ra[j])
-        return pd.DataFrame({"a": a_ids.astype("int32"), "b": b_ids.astype("int32")})
-
-    # a block compared with itself yields each edge twice: keep distinct edges
-    return lhs.groupBy("pair").cogroup(rhs.groupBy("pair")).applyInPandas(edges, "a int, b int").distinct()
-
-
-def _stars(close: np.ndarray, la: np.ndarray, ra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each point of two blocks with the least id it is connected to (``close``: the edges)."""
-    left, right, none = la.astype("int64"), ra.astype("int64"), np.iinfo("int64").max
-    while True:
-        new_right = np.minimum(right, np.where(close, left[:, None], none).min(axis=0))
-        new_left = np.minimum(left, np.where(close, new_right[None, :], none).min(axis=1))
-        if (new_right == right).all() and (new_left == left).all():
-            break
-        left, right = new_left, new_right
-    root, point = np.concatenate([left, right]), np.concatenate([la, ra])
-    return root[root != point], point[root != point]
+    """Pairs (a < b) of unit vectors with cosine distance ``<= eps``; with ``forest`` only
+    pairs that connect the same points, at most one a point and pair of blocks.  ``block``:
+    about this many points a block."""
+    size = vecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
+    blocks = -(-size["n"] // block) if block else V.block_count(size["n"], size["d"] or 1, V.tasks_of(vecs))
+    blocks = max(blocks, 1)
+    return V.close_stars(stored(V.pack(vecs, blocks, col=col), "unit-blocks"), blocks, 1 - eps, forest)
+
+
+def eps_clusters(vecs: DataFrame, eps: float = 0.3, col: str = "vec") -> DataFrame:
+    """Cosine-eps graph components; a point without neighbours is its own cluster, and
+    so is a zero vector, which has no direction.
+    ``cluster`` = dense index of the component ordered by its smallest id."""
+    unit = stored(normalise(vecs.select("token_id", F.col(col).alias("vec"))), "unit")
+    directed = unit.filter(~F.exists("vec", lambda x: x.isNull()))
+    edges = stored(eps_edges(directed, eps, forest=True), "eps-stars")
+    ids = unit.select("token_id")
+    if edges.isEmpty():
+        dense = with_row_number(ids, [F.col("token_id").asc()], name="_c")
+        return dense.select("token_id", (F.col("_c") - 1).cast("int").alias("cluster"))
+    # only points with a neighbour need propagation
+    linked = edges.select(F.explode(F.array("a", "b")).alias("token_id")).distinct()
+    comp = connected_components(linked, edges)
+    full = ids.join(comp, "token_id", "left").withColumn("component", F.coalesce("component", "token_id"))
+    firsts = full.filter(F.col("component") == F.col("token_id")).select("component")
+    dense = with_row_number(firsts, [F.col("component").asc()], name="_c")
+    return full.join(dense, "component").select("token_id", (F.col("_c") - 1).cast("int").alias("cluster"))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -316,6 +384,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return lab
 
 
+def eps_edges(vecs: DataFrame, eps: float = 0.3, col: str = "vec", block: int | None = None,
+              forest: bool = False) -> DataFrame:
+    """Pairs (a < b) of unit vectors with cosine distance ``<= eps``; with ``forest`` only
+    pairs that connect the same points, at most one a point and pair of blocks.  ``block``:
+    about this many points a block."""
+    size = vecs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
+    blocks = -(-size["n"] // block) if block else V.block_count(size["n"], size["d"] or 1, V.tasks_of(vecs))
+    blocks = max(blocks, 1)
+    return V.close_stars(stored(V.pack(vecs, blocks, col=col), "unit-blocks"), blocks, 1 - eps, forest)
+
+
 def eps_clusters(vecs: DataFrame, eps: float = 0.3, col: str = "vec") -> DataFrame:
     """Cosine-eps graph components; a point without neighbours is its own cluster, and
     so is a zero vector, which has no direction.
@@ -360,8 +439,9 @@ def split_clusters(labels: DataFrame, vecs: DataFrame, n: int, seed: int = 42, r
             d = pts.join(cents, "cluster").withColumn("_d", sq_dist(F.col(col), F.col("centre")))
             best = d.groupBy("token_id", "cluster").agg(F.min_by("sub", F.struct("_d", "sub")).alias("sub"))
             assigned = pts.join(best, ["token_id", "cluster"])
-            new = mean_vectors(assigned.withColumn("_key", F.struct("cluster", "sub")), col, key="_key") \
-                .select("_key.cluster", "_key.sub", "centre")
+            halves = assigned.withColumn("_key", F.col("cluster").cast("long") * 2 + F.col("sub"))
+            new = mean_vectors(halves, col, key="_key").select(
+                F.floor(F.col("_key") / 2).cast("int").alias("cluster"), F.pmod("_key", F.lit(2)).cast("int").alias("sub"), "centre")
             cents = checkpoint_once(
                 new.unionByName(cents.join(new.select("cluster", "sub"), ["cluster", "sub"], "left_anti")))
         moved = assigned.select("token_id", F.when(F.col("sub") == 1, F.lit(top) + F.col("_o")).otherwise(F.col("cluster"))

@@ -81,9 +81,17 @@ def encode_pair(pairs: DataFrame, max_length: int = 128, pad: bool = True, pad_i
 
 
 def with_batch(df: DataFrame, batch_size: int, order=("example_id",), name: str = "batch") -> DataFrame:
-    """``floor((row_number - 1) / batch_size)`` in input order (distributed numbering)."""
-    r = with_row_number(df, [F.col(c).asc() for c in order], name="_bn")
-    return r.withColumn(name, F.floor((F.col("_bn") - 1) / F.lit(batch_size)).cast("long")).drop("_bn")
+    """``floor((row_number - 1) / batch_size)`` in input order, which names each row.
+
+    Only the ``order`` columns are numbered; the rows themselves are joined with their
+    number and neither sorted nor checkpointed."""
+    keys = list(order)
+    r = with_row_number(df.select(*keys), [F.col(c).asc() for c in keys], name="_bn")
+    r = r.select(*[F.col(c).alias(f"_o_{c}") for c in keys], F.floor((F.col("_bn") - 1) / F.lit(batch_size)).cast("long").alias(name))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return df.join(r, same).drop(*[f"_o_{c}" for c in keys])
 
 
 def pad_batches(df: DataFrame, pad_id: int = 0, ids: str = "input_ids", mask: str = "attention_mask",

@@ -9,37 +9,39 @@ with joins and aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import stop_words_df
 from .ordering import scalar
+from .tokens import counting_words, text_word_counts, word_counts
 
 
-def tfidf_importance(word_rows: DataFrame, n_texts: int, importance_type: int = 3,
-                     stop_words: DataFrame | None = None, doc_freq: DataFrame | None = None) -> DataFrame:
+def tfidf_importance(text_rows: DataFrame, n_texts: int, importance_type: int = 3,
+                     stop_words: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """A4: ``(word, tfidf)`` mean TF-IDF per feature word over ``n_texts`` texts.
 
-    ``doc_freq`` (``word, df`` over the same texts) can come from an already
-    materialised count table; then the corpus is read once (term counts per
-    text), otherwise document frequencies are aggregated from the term counts.
-    """
-    spark = word_rows.sparkSession
-    stop = stop_words if stop_words is not None else stop_words_df(spark)
-    feats = word_rows.join(F.broadcast(stop), "word", "left_anti")  # ~180 rows: fixed bound
-    tf = feats.groupBy("example_id", "side", "word").agg(F.count(F.lit(1)).alias("tf"))
-    dfw = doc_freq.select("word", "df") if doc_freq is not None else \
-        tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(dfw, "word").withColumn(
-        "w", F.col("tf") * (F.log((F.lit(1.0) + n_texts) / (F.lit(1.0) + F.col("df"))) + 1))
-    doc = Window.partitionBy("example_id", "side")  # one text's distinct words
-    if importance_type == 3:
-        w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc)))
-    elif importance_type == 2:
-        w = w.withColumn("w", F.col("w") / F.sum(F.abs(F.col("w"))).over(doc))
-    elif importance_type != 1:
+    ``counts`` (``word, cnt, df`` over the same texts) can come from an already materialised
+    count table; otherwise the texts are counted first.  Type 1 has no norm, so the sum over
+    texts is ``cnt * idf`` and needs no row a text.  For the others a text's words are
+    counted inside its row, its distinct words meet their idf, and go back to the text once,
+    where the norm is taken."""
+    if importance_type not in (1, 2, 3):
         raise ValueError("importance_type must be 1, 2 or 3 for TF-IDF")
-    return w.groupBy("word").agg((F.sum("w") / F.lit(float(n_texts))).alias("tfidf"))
+    stop = stop_words if stop_words is not None else stop_words_df(text_rows.sparkSession)
+    wc = counts if counts is not None else word_counts(counting_words(text_rows))
+    wc = wc.join(F.broadcast(stop), "word", "left_anti")  # ~180 rows: fixed bound
+    idf = F.log((F.lit(1.0) + n_texts) / (F.lit(1.0) + F.col("df"))) + 1
+    n = F.lit(float(n_texts))
+    if importance_type == 1:
+        return wc.select("word", (F.col("cnt") * idf / n).alias("tfidf"))
+    tf = (text_word_counts(text_rows).join(wc.select("word", idf.alias("idf")), "word")
+          .select("example_id", "side", "word", (F.col("tf") * F.col("idf")).alias("w")))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w"))) if importance_type == 3 else F.sum(F.abs("w"))
+    # one row a text holds its distinct words
+    per_text = tf.groupBy("example_id", "side").agg(norm.alias("norm"), F.collect_list(F.struct("word", "w")).alias("ws"))
+    back = per_text.select("norm", F.inline("ws"))
+    return back.groupBy("word").agg((F.sum(F.col("w") / F.col("norm")) / n).alias("tfidf"))
 
 
 def count_texts(text_rows: DataFrame) -> int:

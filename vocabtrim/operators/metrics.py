@@ -8,7 +8,7 @@ one job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,26 +88,45 @@ def spearman(preds: DataFrame, by: Sequence[str] = (), x: str = "label", y: str
     return r.groupBy(*by).agg(safe_corr("_rx", "_ry").alias("spearmanr"))
 
 
-def all_metrics_long(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """A12-A15 as one long table ``(by..., metric, value)``."""
-    by = list(by)
-    b = binary_metrics(preds, by)
-    cls = b.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-        for m in ("accuracy_score", "f1_score", "precision_score", "recall_score")])).alias("_m"))
-    cls = cls.select(*by, "_m.metric", "_m.value")
+#: Metric families by the metrics they give: ``family(preds, by)`` has a column for each.
+FAMILIES: list[tuple[tuple[str, ...], Callable[..., DataFrame]]] = [
+    (("accuracy_score", "f1_score", "precision_score", "recall_score"), binary_metrics),
+    (("matthews_corrcoef",), matthews), (("pearsonr",), pearson), (("spearmanr",), spearman)]
+
+
+def register_metric(*names: str):
+    """Add a metric family: a function ``(preds, by) -> DataFrame(by..., names...)``.  A metric
+    registered again is taken from the last family that has it."""
+    def add(fn):
+        FAMILIES.append((names, fn))
+        return fn
+    return add
+
 
-    def one(df, m):
-        return df.select(*by, F.lit(m).alias("metric"), F.col(m).alias("value"))
-    return (cls.unionByName(one(matthews(preds, by), "matthews_corrcoef"))
-               .unionByName(one(pearson(preds, by), "pearsonr"))
-               .unionByName(one(spearman(preds, by), "spearmanr")))
+def all_metrics_long(preds: DataFrame, by: Sequence[str] = (), metrics: Sequence[str] | None = None) -> DataFrame:
+    """A12-A15 and registered metrics as one long table ``(by..., metric, value)``; only the
+    families that have one of ``metrics`` are computed (None: all)."""
+    by, out, done = list(by), None, set()
+    for names, family in reversed(FAMILIES):
+        mine = [m for m in names if m not in done and (metrics is None or m in metrics)]
+        done.update(names)
+        if not mine:
+            continue
+        cells = family(preds, by).select(*by, F.explode(F.array(*[
+            F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in mine])).alias("_m"))
+        cells = cells.select(*by, "_m.metric", "_m.value")
+        out = cells if out is None else out.unionByName(cells)
+    if out is None:
+        raise ValueError(f"no metric of {metrics} is registered")
+    return out
 
 
 def task_metrics(preds: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Each task's metric list scored on the predictions, long ``(task, metric, value)``."""
+    """Each task's metric list scored on the predictions, long ``(task, metric, value)``.
+    Only metrics that some task asks for are computed."""
     want = tasks.select("task", F.explode("metrics").alias("metric"))
-    return want.join(all_metrics_long(preds), "metric", "inner").select("task", "metric", "value")
+    names = [r["metric"] for r in want.select("metric").distinct().collect()]  # names of the task registry
+    return want.join(all_metrics_long(preds, metrics=names), "metric", "inner").select("task", "metric", "value")
 
 
 def cv_summary(fold_metrics: DataFrame) -> DataFrame:

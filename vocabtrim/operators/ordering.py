@@ -10,6 +10,7 @@ partition numbers its rows locally, and a table with one row per
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,6 +90,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return checkpoint_once(df)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` to a new folder under the shared checkpoint folder and read it back: one
+    job, after which the lineage starts at the files."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scalar(df: DataFrame, expr: Column):
     """Evaluate a one-row aggregate on the driver (budgets and loop counts only)."""
     return df.agg(expr.alias("v")).first()["v"]

@@ -135,12 +135,6 @@ def union_keep(first: DataFrame, extra: DataFrame, extra_order: str) -> DataFram
                                       (F.col("_r") + base - 1).cast("int").alias("new_id")))
 
 
-def with_batch(df: DataFrame, batch_size: int, order: Sequence[Column], name: str = "batch") -> DataFrame:
-    """Batch number ``floor((row_number - 1) / batch_size)`` in input order."""
-    r = with_row_number(df, order, name="_bn")
-    return r.withColumn(name, F.floor((F.col("_bn") - 1) / F.lit(batch_size)).cast("long"))
-
-
 def keep_by_percent_grouped(counts: DataFrame, p: float, by: Sequence[str], score: str = "cnt",
                             min_tokens: int = 5, special_ids: Sequence[int] = SPECIAL_IDS,
                             random_seed: int | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ beyond it the join is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp
@@ -136,9 +136,15 @@ def truncation_map(vocab: DataFrame, k: int) -> DataFrame:
                         .alias("new_id"))
 
 
-def valid_ids(ids: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Keep ids that have an embedding row (left-semi join)."""
-    return ids.join(embeddings.select("token_id"), "token_id", "left_semi")
+def valid_ids(ids: DataFrame, embeddings: DataFrame, dropped: Observation | None = None) -> DataFrame:
+    """Keep ids that have an embedding row.  ``dropped`` observes on the way how many
+    have none (``n_dropped``), known once the kept rows have been computed."""
+    rows = embeddings.select("token_id")
+    if dropped is None:
+        return ids.join(rows, "token_id", "left_semi")
+    known = ids.join(rows.distinct().withColumn("_known", F.lit(True)), "token_id", "left")
+    return (known.observe(dropped, F.count_if(F.col("_known").isNull()).alias("n_dropped"))
+                 .filter("_known").drop("_known").select(*ids.columns))
 
 
 def dropped_ids(ids: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ with the DataFrame writer (``partitionBy`` per task where useful).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,12 +70,47 @@ def read_many_csv(spark: SparkSession, paths: Sequence[str], schema: str | None
     return out
 
 
+def choose_logs(spark: SparkSession, root: str, tasks: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """The log of each task under ``root``: ``(task, path)``, null if there is none.
+
+    ``patterns`` are relative paths in which ``{task}`` stands for the task and ``*`` for any
+    characters of one name, the best first.  Among several logs of the best pattern that
+    has any, the latest is taken, then the first by name.  Only the listing is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root) \
+                 .select("path", F.col("modificationTime").alias("time"))
+    found = []
+    for i, p in enumerate(patterns):
+        part = lambda x: "[^/]*".join(re.escape(y) for y in x.split("*"))
+        before, after = p.split("{task}", 1)
+        # later places of {task} must repeat the first
+        regex = "/" + part(before) + "([^/]+?)" + part(after).replace(re.escape("{task}"), r"\1") + "$"
+        found.append(F.struct(F.lit(i).alias("pattern"), F.regexp_extract("path", regex, 1).alias("task")))
+    named = files.select("path", "time", F.explode(F.array(*found)).alias("m")).select("path", "time", "m.*")
+    best = (named.filter(F.col("task") != "").join(tasks.select("task").distinct(), "task", "left_semi")
+                 .groupBy("task").agg(F.min_by("path", F.struct("pattern", -F.unix_micros("time"), "path")).alias("path")))
+    return tasks.select("task").distinct().join(best, "task", "left")
+
+
+def scan_chosen_logs(spark: SparkSession, chosen: DataFrame) -> DataFrame:
+    """The chosen logs ``(task, path, text)``; the other files are not opened."""
+    paths = chosen.filter(F.col("path").isNotNull())
+    listed = [r["path"] for r in paths.select("path").distinct().collect()]  # one a task
+    if not listed:
+        return spark.createDataFrame([], "task string, path string, text string")
+    # both columns are file URIs, spelled with one or three slashes
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    logs = spark.read.text(listed, wholetext=True).select(plain(F.input_file_name()).alias("_p"), F.col("value").alias("text"))
+    return paths.withColumn("_p", plain(F.col("path"))).join(logs, "_p").select("task", "path", "text")
+
+
 def scan_logs(spark: SparkSession, pattern: str) -> DataFrame:
     """One row per run log ``(path, text)``."""
     return spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"),
                                                            F.col("value").alias("text"))
 
 
+# Numbers, section titles and metric names as run logs write them (here and in
+# the patterns of parse_logs).
 NUM = r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
 NUM_LEGACY = r"([0-9.]+)"
 

@@ -13,11 +13,13 @@ then ``4 + row_number`` over (count DESC, word ASC) of the vocabulary corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPECIAL_TOKENS, UNK_ID, with_specials, word_array
-from .ordering import scalar, with_row_number
+from .ordering import scalar, stored, with_row_number
 
 
 def texts(corpus: DataFrame, a: str = "text_a", b: str | None = "text_b", extra=()) -> DataFrame:
@@ -66,22 +68,41 @@ def counting_words(text_rows: DataFrame, add_special_tokens: bool = False) -> Da
     return zipped.filter(F.col("word").isNotNull()).select(*keep, "word", (F.col("word") != F.col("_b")).alias("first"))
 
 
+def text_word_counts(text_rows: DataFrame) -> DataFrame:
+    """One row per distinct word of a text, ``(columns..., word, tf)``: the words are sorted
+    inside the text's row and their runs measured, so nothing is shuffled."""
+    keep = [c for c in text_rows.columns if c != "text"]
+    w = text_rows.select(*keep, F.sort_array(word_array(F.col("text"))).alias("_w")).filter(F.size("_w") > 0)
+    last = F.size("_w") - 1
+    begins = F.filter(F.sequence(F.lit(0), last),
+                      lambda i: (i == 0) | (F.try_element_at("_w", i + 1) != F.try_element_at("_w", F.greatest(i, F.lit(1)))))
+    w = w.select(*keep, "_w", begins.alias("_b"))
+    runs = F.transform("_b", lambda b, k: F.struct(
+        F.try_element_at("_w", b + 1).alias("word"),
+        (F.coalesce(F.try_element_at("_b", k + 2), last + 1) - b).alias("tf")))
+    return w.select(*keep, F.inline(runs))
+
+
 def specials_df(spark) -> DataFrame:
     return spark.createDataFrame([(w, i) for i, w in enumerate(SPECIAL_TOKENS)], "word string, token_id int")
 
 
 def build_vocabulary(word_rows: DataFrame) -> DataFrame:
-    """Vocabulary table ``(word, token_id INT)``: reserved 0-4, then by count desc, word asc.
+    """Vocabulary table ``(word, token_id INT)`` of word rows: see :func:`vocabulary_of`."""
+    return vocabulary_of(word_rows.groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def vocabulary_of(counts: DataFrame) -> DataFrame:
+    """Vocabulary table ``(word, token_id INT)`` of ``(word, cnt)``: reserved 0-4, then by count
+    desc, word asc.
 
     Counting is a partial+final hash aggregate; the dense numbering uses the
     range-partitioned row number, so no single task sees the whole vocabulary.
     """
-    from .ordering import materialize
-    counts = materialize(word_rows.groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
-    ranked = with_row_number(counts, [F.col("cnt").desc(), F.col("word").asc()])
+    ranked = with_row_number(counts.select("word", "cnt"), [F.col("cnt").desc(), F.col("word").asc()])
     vocab = ranked.select("word", (F.col("rn") + 4).cast("int").alias("token_id"))
     # every encoding query reads it: written once to the checkpoint folder
-    return materialize(vocab.unionByName(specials_df(word_rows.sparkSession)))
+    return stored(vocab.unionByName(specials_df(counts.sparkSession)), "vocabulary")
 
 
 def vocab_size(vocab: DataFrame) -> int:
@@ -100,6 +121,26 @@ def encode(word_rows: DataFrame, vocab: DataFrame, unk: int = UNK_ID) -> DataFra
     return joined.withColumn("token_id", F.when(F.col("word").isNotNull(), known)).drop("word")
 
 
+def encode_with(text_rows: DataFrame, tokenizer: Callable[[Column], Column], col: str = "input_ids") -> DataFrame:
+    """P3 by a tokenizer of one's own: ``tokenizer`` maps the text column to an id array, as a
+    pandas UDF returning ``array<int>`` does in Arrow batches.  Rows keep their columns but
+    ``text`` and get ``col``; a null array is empty."""
+    keep = [c for c in text_rows.columns if c not in ("text", col)]
+    ids = tokenizer(F.col("text")).cast("array<int>")
+    return text_rows.select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias(col))
+
+
+def token_counts_of(encoded: DataFrame, by=(), col: str = "input_ids") -> DataFrame:
+    """A2 + A3 of encoded rows: ``(by..., token_id, cnt, df)``.  The ids of a row are sorted in
+    it and each distinct one flagged once, so ``df`` needs no distinct aggregate."""
+    ids = F.sort_array(col)
+    before = F.concat(F.array(F.lit(None).cast("int")), ids)
+    rows = encoded.select(*by, F.inline(F.arrays_zip(ids.alias("i"), before.alias("b"))).alias("token_id", "_b"))
+    rows = rows.filter(F.col("token_id").isNotNull())
+    return rows.groupBy(*by, "token_id").agg(
+        F.count(F.lit(1)).alias("cnt"), F.count_if(~F.col("token_id").eqNullSafe(F.col("_b"))).alias("df"))
+
+
 def sequences(tokens: DataFrame, keys=("example_id", "side"), id_col: str = "token_id",
               out: str = "input_ids") -> DataFrame:
     """Rebuild ordered id arrays per text (one shuffle by example)."""
@@ -152,37 +193,62 @@ def token_counts_from_words(word_rows: DataFrame, vocab: DataFrame, by=(), unk:
     return known.unionByName(unk_counts)
 
 
-def subword_pieces(vocab: DataFrame, word_rows: DataFrame, top_words: int = 500, marker: str = "##") -> DataFrame:
-    """Piece inventory for P4, derived from the vocabulary: the ``top_words`` most
-    frequent words and every character seen, each as an initial piece and as a
-    ``##`` continuation piece.  Bounded by ``2 * (top_words + alphabet)`` rows."""
-    top = vocab.filter((F.col("token_id") >= 5) & (F.col("token_id") < 5 + top_words)).select("word")
+def subword_pieces(vocab: DataFrame, word_rows: DataFrame, marker: str = "##") -> DataFrame:
+    """Piece inventory for P4, derived from the vocabulary: every word and every character
+    seen, each as an initial piece and as a ``##`` continuation piece."""
+    whole = vocab.filter(F.col("token_id") >= len(SPECIAL_TOKENS)).select("word")
     chars = word_rows.select(F.explode(F.split("word", "")).alias("word")).filter(F.col("word") != "").distinct()
-    base = top.unionByName(chars).distinct()
-    return base.select(F.col("word").alias("piece")).unionByName(
-        base.select(F.concat(F.lit(marker), F.col("word")).alias("piece"))).distinct()
+    base = whole.unionByName(chars).distinct()
+    return base.select(F.explode(F.array(F.col("word"), F.concat(F.lit(marker), F.col("word")))).alias("piece")).distinct()
+
+
+def piece_prefixes(pieces: DataFrame, marker: str = "##") -> tuple[DataFrame, int]:
+    """``(inner, prefix, best)`` and the number of bisection steps: for a piece of length L the
+    prefixes whose lengths are the leading bits of L, at most log2(L) + 1 of them, each with
+    the length of the longest piece that begins it (0: none).  ``inner``: for the inside of words."""
+    inner = F.startswith("piece", F.lit(marker))
+    pcs = pieces.select(inner.alias("inner"), F.when(inner, F.substring(F.col("piece"), len(marker) + 1, F.length("piece")))
+                        .otherwise(F.col("piece")).alias("body")).filter(F.col("body") != "").distinct()
+    steps = int(scalar(pcs, F.max(F.length("body"))) or 0).bit_length()
+    size = F.length("body")
+    leading = F.transform(F.sequence(F.lit(0), F.lit(max(steps - 1, 0))),
+                          lambda j: F.call_function("shiftleft", F.call_function("shiftright", size, j), j))
+    marks = (pcs.select("inner", "body", F.explode(F.array_distinct(leading)).alias("l")).filter("l > 0")
+                .select("inner", F.substring(F.col("body"), F.lit(1), F.col("l")).alias("prefix")).distinct())
+    begins = (marks.select("inner", "prefix", F.explode(F.sequence(F.lit(1), F.length("prefix"))).alias("l"))
+                   .withColumn("body", F.substring(F.col("prefix"), F.lit(1), F.col("l"))))
+    best = begins.join(pcs, ["inner", "body"], "left_semi").groupBy("inner", "prefix").agg(F.max("l").alias("best"))
+    return marks.join(best, ["inner", "prefix"], "left").fillna(0, ["best"]), steps
 
 
 def encode_subwords(words_df: DataFrame, pieces: DataFrame, marker: str = "##", unk: str = "[UNK]") -> DataFrame:
     """Greedy longest-match subword segmentation of *distinct* words.
 
-    All substrings of a word up to the longest piece are looked up at once (an
-    equi-join with the piece table; continuation pieces carry ``marker``), the longest
-    at each place is kept, and one fold over the places of the word walks them.  There
-    are no rounds, so no word is left unfinished; words that cannot be segmented become
-    ``unk``.  Output ``(word, pieces ARRAY<STRING>)``.
+    A word that is a piece is its own segmentation.  For the others the longest piece at
+    each place is found by bisection over lengths in the table of piece prefixes: one row
+    a place, one equi-join a bit of the longest piece's length, whatever the number of
+    pieces.  One fold over the places of a word then walks them; words that cannot be
+    segmented become ``unk``.  Output ``(word, pieces ARRAY<STRING>)``.
     """
-    from .ordering import scalar as _scalar
-    distinct = words_df.select("word").filter(F.col("word") != "").distinct()
-    pcs = pieces.select("piece").distinct()
-    longest = int(_scalar(pcs, F.max(F.length("piece"))) or 0)
-    room = F.least(F.length("word") - F.col("off"), F.lit(max(longest, 1)))
-    cand = (distinct.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("off"))
-                    .select("word", "off", F.explode(F.sequence(F.lit(1), room)).alias("l")))
-    sub = F.substring(F.col("word"), F.col("off") + 1, F.col("l"))
-    cand = cand.withColumn("piece", F.when(F.col("off") == 0, sub).otherwise(F.concat(F.lit(marker), sub)))
-    best = (cand.join(pcs, "piece", "left_semi").groupBy("word", "off").agg(F.max("l").alias("l"))
-                .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("off", "l"))).alias("best")))
+    distinct = stored(words_df.select("word").filter(F.col("word") != "").distinct(), "words")
+    known = distinct.join(pieces.select(F.col("piece").alias("word")).filter(~F.startswith("word", F.lit(marker))).distinct(),
+                          "word", "left_semi")
+    whole = known.select("word", F.array("word").alias("pieces"))
+    rest = stored(distinct.join(known, "word", "left_anti"), "split-words")
+    if rest.isEmpty():
+        return whole
+    table, steps = piece_prefixes(pieces, marker)
+    table = stored(table, "piece-prefixes")
+    at = rest.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("off"))
+    at = at.withColumns({"inner": F.col("off") > 0, "cur": F.lit(0), "l": F.lit(0)})
+    for j in range(steps - 1, -1, -1):
+        probe = F.col("cur") + (1 << j)
+        ask = F.when(F.col("off") + probe <= F.length("word"), F.substring(F.col("word"), F.col("off") + 1, probe))
+        at = (at.withColumn("prefix", ask).join(table, ["inner", "prefix"], "left")
+                .select("word", "off", "inner", F.when(F.col("best").isNull(), F.col("cur")).otherwise(probe).alias("cur"),
+                        F.coalesce("best", "l").alias("l")))
+    best = (at.filter("l > 0").groupBy("word")
+              .agg(F.map_from_entries(F.collect_list(F.struct("off", "l"))).alias("best")))
     none = F.array().cast("array<string>")
 
     def step(state, i):
@@ -194,6 +260,6 @@ def encode_subwords(words_df: DataFrame, pieces: DataFrame, marker: str = "##",
         return F.when(i != state["next"], state).when(l.isNull(), stuck).otherwise(moved)
     walk = F.aggregate(F.sequence(F.lit(0), F.length("word") - 1),
                        F.struct(F.lit(0).alias("next"), none.alias("out")), step)
-    done = distinct.join(best, "word", "left").withColumn("walk", walk)
-    return done.select("word", F.when(F.col("walk.next") == F.length("word"), F.col("walk.out"))
-                               .otherwise(F.array(F.lit(unk))).alias("pieces"))
+    done = rest.join(best, "word", "left").withColumn("walk", walk)
+    return whole.unionByName(done.select("word", F.when(F.col("walk.next") == F.length("word"), F.col("walk.out"))
+                                                  .otherwise(F.array(F.lit(unk))).alias("pieces")))

@@ -7,15 +7,21 @@ a distributed ranking — and reused by every query that encodes text.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..sources.corpus import documents_corpus, documents_texts, pair_corpus, table
-from ..operators.tokens import build_vocabulary, counting_words, texts, vocab_size, words
+from ..session import ensure_checkpoint_dir
+from ..sources.corpus import lay_out, pair_corpus, scan_layout, table, with_labels
+from ..functions.text import SPECIAL_TOKENS
+from ..operators.ordering import stored
+from ..operators.tokens import counting_words, texts, vocab_size, vocabulary_of, word_counts, words
 
 _VOCAB_CACHE: dict[tuple, tuple[DataFrame, int]] = {}
 _SHARED: dict[tuple, DataFrame] = {}
+_LAYOUTS: dict[tuple, str] = {}
 
 
 @dataclass
@@ -26,11 +32,20 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def layout(self, *groups: str) -> DataFrame:
+        """The documents corpus laid out by split, written once per session."""
+        key = (*self._key(), "layout")
+        if key not in _LAYOUTS:
+            path = f"{ensure_checkpoint_dir(self.spark)}/corpus-{uuid.uuid4().hex}"
+            lay_out(self.spark, self.sf_dir, path)
+            _LAYOUTS[key] = path
+        return scan_layout(self.spark, _LAYOUTS[key], groups)
+
     def corpus(self) -> DataFrame:
-        return documents_corpus(self.spark, self.sf_dir)
+        return with_labels(self.spark, self.sf_dir, self.text_corpus())
 
     def text_corpus(self, *extra: str) -> DataFrame:
-        return documents_texts(self.spark, self.sf_dir, extra)
+        return self.layout(*extra).select("example_id", "split", "text_a", *extra)
 
     def pairs(self) -> DataFrame:
         return pair_corpus(self.spark, self.sf_dir)
@@ -65,15 +80,20 @@ class Inputs:
     def _vocab(self):
         key = self._key()
         if key not in _VOCAB_CACHE:
-            v = build_vocabulary(self.words())
+            counts = self.split_words().filter(~F.col("word").isin(list(SPECIAL_TOKENS)))
+            v = vocabulary_of(counts.groupBy("word").agg(F.sum("cnt").alias("cnt")))
             _VOCAB_CACHE[key] = (v, vocab_size(v))
         return _VOCAB_CACHE[key]
 
+    def split_words(self) -> DataFrame:
+        """``(split, word, cnt, df)`` of the documents corpus, CLS and SEP of each text among
+        the words: the one pass over the texts that the vocabulary and all counts come from."""
+        return self.shared("split_words", lambda: word_counts(self.counting_words(specials=True), ["split"]))
+
     def shared(self, name: str, build):
         """A corpus-level intermediate (e.g. the train-split token counts) that
         several jobs read: materialised once per session in the checkpoint folder."""
         key = (*self._key(), name)
         if key not in _SHARED:
-            from ..operators.ordering import materialize
-            _SHARED[key] = materialize(build())
+            _SHARED[key] = stored(build(), name)
         return _SHARED[key]

@@ -8,6 +8,7 @@ and attention weights come in as tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -41,51 +42,118 @@ def _counts(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
     return token_counts_from_words(counting_words(texts(corpus), add_special_tokens=True), vocab)
 
 
+@dataclass
+class PruneJob:
+    """What a pruning method sees: the counts of the fitting corpus and the parameters of the call."""
+    counts: DataFrame               # (token_id, cnt, df)
+    corpus: DataFrame
+    vocab: DataFrame                # (word, token_id)
+    vocab_rows: int
+    embeddings: DataFrame | None    # (token_id, embedding)
+    p: float
+    dim: int
+    total_params: int | None
+    param_based: bool
+    seed: int
+    options: dict
+
+    def vectors(self) -> DataFrame:
+        return self.embeddings.select("token_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+    def best(self, scores: DataFrame, score: str = "cnt") -> DataFrame:
+        """Keep list of the best scores under the call's budget."""
+        if self.param_based and self.total_params:
+            return keep_by_parameters(scores, self.p, self.vocab_rows, self.dim, self.total_params, score=score)
+        return keep_by_percent(scores, self.p, score=score)
+
+    def with_oov(self, tm: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The keep list with representatives of what it removes (C5), and their map."""
+        oov, keep = cluster_removed(removed(self.counts, tm), tm, self.vectors(), self.options.get("num_clusters", 50), self.seed)
+        return keep, oov
+
+
+METHODS: dict[str, Callable] = {}
+
+
+def register_method(name: str):
+    """Register a pruning method: a function of a :class:`PruneJob` that returns its token map
+    ``(token_id, new_id)``, or the map and the representatives ``(token_id, rep_id)``."""
+    def add(fn):
+        METHODS[name] = fn
+        return fn
+    return add
+
+
+@register_method("no_pruning")
+def _no_pruning(job: PruneJob):
+    return job.vocab.select("token_id", F.col("token_id").alias("new_id"))
+
+
+@register_method("train_only")
+def _train_only(job: PruneJob):
+    return sorted_map(job.counts)
+
+
+@register_method("frequency")
+def _frequency(job: PruneJob):
+    return job.best(job.counts)
+
+
+@register_method("frequency_oov")
+def _frequency_oov(job: PruneJob):
+    return job.with_oov(job.best(job.counts))
+
+
+@register_method("importance")
+def _importance(job: PruneJob):
+    kind = job.options.get("importance_type", 3)
+    tf = None if kind == 0 else tfidf_importance(texts(job.corpus), count_texts(texts(job.corpus)), kind)
+    scores = word_importance(job.counts, job.vocab, tf)
+    return job.best(scores.select("token_id", F.round("importance", 6).alias("importance")), "importance")
+
+
+@register_method("importance_oov")
+def _importance_oov(job: PruneJob):
+    return job.with_oov(_importance(job))
+
+
+@register_method("attention")
+def _attention(job: PruneJob):
+    scores = attention_importance(job.options["attention"], job.options["attention_tokens"], job.counts)
+    return job.best(scores.select("token_id", F.round("importance", 6).alias("importance")), "importance")
+
+
+@register_method("random")
+def _random(job: PruneJob):
+    if job.param_based and job.total_params:
+        return keep_random_by_parameters(job.counts, job.p, job.vocab_rows, job.dim, job.total_params, job.seed)
+    return keep_random(job.counts, job.p, job.seed)
+
+
+@register_method("clustering")
+def _clustering(job: PruneJob):
+    budget = dict(vocab_rows=job.vocab_rows, dim=job.dim, total_params=job.total_params) if job.param_based else {}
+    return prune_by_cluster(job.counts, job.vectors(), job.p, job.seed,
+                            method=job.options.get("clustering_method", "agglomerative"), **budget)
+
+
 def prune(method: str, corpus: DataFrame, vocab: DataFrame, vocab_rows: int, embeddings: DataFrame | None = None,
           p: float = 20.0, dim: int = 768, total_params: int | None = None, param_based: bool = False,
-          seed: int = 42, num_clusters: int = 50, importance_type: int = 3, attention: DataFrame | None = None,
-          attention_tokens: DataFrame | None = None, mode: str = "intended") -> PruneResult:
+          seed: int = 42, **options) -> PruneResult:
     """M1-M9 by name: frequency, frequency_oov, importance, importance_oov, random,
-    attention, clustering, train_only, no_pruning.  ``corpus`` is the fitting
-    corpus (e.g. the train split); ``embeddings`` is ``(token_id, embedding)``."""
-    counts = _counts(corpus, vocab)
-    body = (total_params - vocab_rows * dim) if total_params else 0
-    oov = None
-    if method == "no_pruning":
-        tm = vocab.select("token_id", F.col("token_id").alias("new_id"))
-    elif method == "train_only":
-        tm = sorted_map(counts)
-    elif method in ("frequency", "frequency_oov", "importance", "importance_oov", "attention"):
-        if method.startswith("importance"):
-            tf = None if importance_type == 0 else tfidf_importance(words(texts(corpus)), count_texts(texts(corpus)),
-                                                                     importance_type)
-            scores = word_importance(counts, vocab, tf).select("token_id", F.round("importance", 6).alias("cnt"))
-        elif method == "attention":
-            scores = attention_importance(attention, attention_tokens, counts).select(
-                "token_id", F.round("importance", 6).alias("cnt"))
-        else:
-            scores = counts
-        if param_based and total_params:
-            tm = keep_by_parameters(scores, p, vocab_rows, dim, total_params)
-        else:
-            tm = keep_by_percent(scores, p)
-        if method.endswith("_oov"):
-            vecs = embeddings.select("token_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-            oov, tm = cluster_removed(removed(counts, tm), tm, vecs, num_clusters, seed)
-    elif method == "random":
-        if param_based and total_params:
-            tm = keep_random_by_parameters(counts, p, vocab_rows, dim, total_params, seed)
-        else:
-            tm = keep_random(counts, p, seed)
-    elif method == "clustering":
-        vecs = embeddings.select("token_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-        budget = dict(vocab_rows=vocab_rows, dim=dim, total_params=total_params) if param_based else {}
-        tm = prune_by_cluster(counts, vecs, p, seed, **budget)
-    else:
+    attention, clustering, train_only, no_pruning, or a method of :func:`register_method`.
+    ``corpus`` is the fitting corpus (e.g. the train split); ``embeddings`` is ``(token_id,
+    embedding)``.  Options: num_clusters, importance_type, attention, attention_tokens,
+    clustering_method (agglomerative, kmeans, dbscan) and those of registered methods."""
+    if method not in METHODS:
         raise ValueError(f"unknown pruning method {method!r}")
+    job = PruneJob(_counts(corpus, vocab), corpus, vocab, vocab_rows, embeddings, p, dim, total_params, param_based,
+                   seed, options)
+    found = METHODS[method](job)
+    tm, oov = found if isinstance(found, tuple) else (found, None)
+    body = (total_params - vocab_rows * dim) if total_params else 0
     emb = reduce_embeddings(tm, embeddings) if embeddings is not None else None
-    rep = reduction_report(tm, vocab_rows, dim, body)
-    return PruneResult(tm, oov, emb, rep)
+    return PruneResult(tm, oov, emb, reduction_report(tm, vocab_rows, dim, body))
 
 
 def prepare(corpus: DataFrame, vocab: DataFrame, result: PruneResult, max_length: int = 128) -> DataFrame:

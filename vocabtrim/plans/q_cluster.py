@@ -154,6 +154,83 @@ def m7_prune_clustering(spark, sf_dir):
     return keep.select(F.col("token_id").alias("old_id"), "new_id")
 
 
+# ---------------------------------------------------------------- C3 / C2a / C4 by other methods
+def sql_linkage(name: str, pts: str, n: str) -> str:
+    """Average linkage of ``pts (token_id, v)`` (unit vectors), the nearest pair joined one at a
+    time until ``n`` clusters are left: ``{name}`` (token_id, cluster).  Needs WITH RECURSIVE."""
+    best = f"SELECT a AS ma, b AS mb, na AS nma, nb AS nmb FROM {name}_s ORDER BY d, a, b LIMIT 1"
+    return f"""{name}_n AS (SELECT greatest(count(*) - greatest(({n}), 1), 0) AS need FROM {pts}),
+{name}_s(step, a, b, d, na, nb, ma, mb) AS (
+  SELECT 0, x.token_id, y.token_id, 1 - list_inner_product(x.v, y.v), 1, 1, -1, -1
+  FROM {pts} x JOIN {pts} y ON x.token_id < y.token_id
+  UNION ALL
+  SELECT step + 1, least(x, y), greatest(x, y), sum(d * w) / sum(w), CAST(any_value(CASE WHEN x < y THEN nx ELSE ny END) AS INTEGER),
+         CAST(any_value(CASE WHEN x < y THEN ny ELSE nx END) AS INTEGER), any_value(ma), any_value(mb)
+  FROM (SELECT s.step, s.d, m.ma, m.mb, CASE WHEN a = m.mb THEN m.ma ELSE a END AS x, CASE WHEN b = m.mb THEN m.ma ELSE b END AS y,
+               CASE WHEN a = m.ma OR a = m.mb THEN na WHEN b = m.ma OR b = m.mb THEN nb ELSE 1 END AS w,
+               CASE WHEN a = m.ma OR a = m.mb THEN nma + nmb ELSE na END AS nx,
+               CASE WHEN b = m.ma OR b = m.mb THEN nma + nmb ELSE nb END AS ny
+        FROM {name}_s s, ({best}) m
+        WHERE NOT (a = m.ma AND b = m.mb) AND s.step < (SELECT need FROM {name}_n)) AS j
+  GROUP BY step, least(x, y), greatest(x, y)),
+{name}_m AS (SELECT DISTINCT step, ma AS a, mb AS b FROM {name}_s WHERE step > 0),
+{name}_l(step, token_id, id) AS (
+  SELECT 0, token_id, token_id FROM {pts}
+  UNION ALL
+  SELECT m.step, l.token_id, CASE WHEN l.id = m.b THEN m.a ELSE l.id END FROM {name}_l l JOIN {name}_m m ON m.step = l.step + 1),
+{name} AS (SELECT token_id, CAST(dense_rank() OVER (ORDER BY id) - 1 AS INTEGER) AS cluster
+           FROM {name}_l WHERE step = (SELECT need FROM {name}_n))"""
+
+
+UNIT = "unit AS (SELECT token_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM pts)"
+K_MANY = 40
+
+
+def recursive(*parts: str, body: str) -> str:
+    return with_ctes(*parts, body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+# SQL that joins one pair at a time takes minutes on the whole table: C3, and C4 by it, are tested
+# against plain loops; C2a, which is C3 on fewer points, has SQL.
+@register("c3_average_linkage")
+def c3_average_linkage(spark, sf_dir):
+    """Average linkage (cosine) of all vectors, cut at 80 % as many clusters."""
+    from ..operators.linkage import average_linkage
+    vecs = normalise(vectors(Inputs(spark, sf_dir)))
+    return average_linkage(vecs, int(vecs.count() * 0.8)).select("token_id", "cluster")
+
+
+@register("c2a_merge_clusters", recursive(PTS, UNIT, sql_kmeans("km", "unit", str(K_MANY)), r"""means AS (
+  SELECT CAST(cluster AS INTEGER) AS token_id, list(m ORDER BY pos) AS c FROM (
+    SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM km)
+    GROUP BY cluster, pos) GROUP BY cluster),
+cu AS (SELECT token_id, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS v FROM means)""",
+                                          sql_linkage("al", "cu", "SELECT 12"), body="""
+SELECT km.token_id, al.cluster FROM km JOIN al ON km.cluster = al.token_id"""))
+def c2a_merge_clusters(spark, sf_dir):
+    """K-means clusters (k = 40) of the directions merged to 12 by average linkage of their means."""
+    from ..operators.linkage import merge_clusters
+    vecs = normalise(vectors(Inputs(spark, sf_dir)))
+    labels, _ = kmeans(vecs, K_MANY, SEED, ROUNDS)
+    return merge_clusters(labels, vecs, 12).select("token_id", "cluster")
+
+
+@register("c4_agglomerative")
+def c4_agglomerative(spark, sf_dir):
+    """C4 with average linkage (the usual method): 20 % of the train tokens pruned."""
+    inp = Inputs(spark, sf_dir)
+    keep = prune_by_cluster(train_counts(inp), vectors(inp), P, SEED, ROUNDS, method="agglomerative")
+    return keep.select(F.col("token_id").alias("old_id"), "new_id")
+
+
+@register("c4_dbscan")
+def c4_dbscan(spark, sf_dir):
+    """C4 with eps-graph clusters, merged (C2a) to the number wanted."""
+    inp = Inputs(spark, sf_dir)
+    keep = prune_by_cluster(train_counts(inp), vectors(inp), P, SEED, ROUNDS, method="dbscan")
+    return keep.select(F.col("token_id").alias("old_id"), "new_id")
+
+
 # ---------------------------------------------------------------- C5 / C6 / J2 / M2 / M4 (benchmark corpus)
 def bench_counts(inp: Inputs):
     b = table(inp.spark, inp.sf_dir, "benchmark").select(
@@ -210,7 +287,7 @@ def _oov_method(spark, sf_dir, score: str, mode: str = "intended"):
     inp = Inputs(spark, sf_dir)
     corpus, counts = bench_counts(inp)
     if score == "importance":
-        tf = tfidf_importance(words(texts(corpus)), count_texts(texts(corpus)), 3)
+        tf = tfidf_importance(texts(corpus), count_texts(texts(corpus)), 3)
         counts = word_importance(counts, inp.vocab(), tf).select(
             "token_id", F.round("importance", 6).alias("importance"))
     keep = keep_by_percent(counts, P, score=score)

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators.encoding import (encode_pair, label_or_default, pad_batches, pair_arrays, prediction_only,
                                   standardise_label, with_batch)
+from ..operators.ordering import stored
 from ..operators.rank import keep_by_percent
 from ..operators.remap import remap, remap_keep_padding
 from ..operators.split import split_train_test
-from ..operators.tokens import encode, texts, words
+from ..operators.tokens import encode, encode_with, texts, token_counts_of, words
 from .common import Inputs
-from .oracle_sql import PAIR_CTES, STOP, VOCAB, doc_ctes, with_ctes
-from .q_prune import CNTS, FMAP, P, train_counts
+from .oracle_sql import CORPUS, PAIR_CTES, STOP, TEXTS, VOCAB, doc_ctes, with_ctes
+from .q_prune import CNTS, FMAP, P, sql_percent_map, train_counts
 from .q_splits import floor_of, sql_take_first
 from .registry import register
 
@@ -191,3 +192,44 @@ def p19_head_sample(spark, sf_dir):
     from ..operators.encoding import head_sample
     s = head_sample(Inputs(spark, sf_dir).pairs(), 100)
     return s.select("example_id", concat_pair(F.col("text_a"), F.col("text_b")).alias("text"))
+
+
+# ---------------------------------------------------------------- hooks: a tokenizer and a method of one's own
+BYTES_SQL = f"""bytes AS (
+  SELECT example_id, CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) + 5 AS token_id
+  FROM (SELECT example_id, h, unnest(range(length(h) // 2)) AS i
+        FROM (SELECT example_id, hex(encode(text)) AS h FROM texts WHERE split = 'train'))),
+cnts AS (SELECT token_id, count(*) AS cnt, count(DISTINCT example_id) AS df FROM bytes GROUP BY token_id)"""
+
+
+@register("hook_tokenizer", with_ctes(CORPUS, TEXTS, BYTES_SQL, sql_percent_map("bm", "cnts", "cnt"), body="""
+SELECT m.token_id, m.new_id, CAST(coalesce(c.cnt, 0) AS BIGINT) AS cnt, CAST(coalesce(c.df, 0) AS BIGINT) AS df
+FROM bm m LEFT JOIN cnts c USING (token_id)"""))
+def hook_tokenizer(spark, sf_dir):
+    """P3 with a tokenizer hook (a pandas UDF: one id a UTF-8 byte, after the specials), counted
+    (A2, A3) and pruned by frequency at 20 %."""
+    utf8 = F.pandas_udf(lambda text: text.map(lambda t: [b + 5 for b in t.encode()]), "array<int>", F.PandasUDFType.SCALAR)
+    inp = Inputs(spark, sf_dir)
+    rows = texts(inp.text_corpus().filter(F.col("split") == "train"))
+    counts = stored(token_counts_of(encode_with(rows, utf8)), "byte-counts")
+    return (keep_by_percent(counts, P).join(counts, "token_id", "left")
+            .select("token_id", "new_id", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"),
+                    F.coalesce("df", F.lit(0)).cast("long").alias("df")))
+
+
+@register("hook_method", with_ctes(*doc_ctes(STOP), CNTS, """burst AS (
+  SELECT token_id, round(CASE WHEN df > 0 THEN cnt / CAST(df AS DOUBLE) ELSE 0.0 END, 6) AS burstiness FROM cnts)""",
+                                   sql_percent_map("bmap", "burst", "burstiness"), body="""
+SELECT token_id AS old_id, new_id FROM bmap"""))
+def hook_method(spark, sf_dir):
+    """``prune`` with a method registered by the caller: tokens ranked by burstiness (A5)."""
+    from ..operators.importance import burstiness
+    from .pipelines import prune, register_method
+
+    @register_method("burstiness")
+    def by_burstiness(job):
+        return job.best(burstiness(job.counts).select("token_id", F.round("burstiness", 6).alias("burstiness")), "burstiness")
+    inp = Inputs(spark, sf_dir)
+    train = inp.text_corpus().filter(F.col("split") == "train")
+    tm = prune("burstiness", train, inp.vocab(), inp.vocab_rows(), p=P).token_map
+    return tm.select(F.col("token_id").alias("old_id"), "new_id")

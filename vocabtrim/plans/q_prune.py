@@ -8,12 +8,15 @@ figures: ``V`` vocabulary rows (from the data), ``DIM`` = 64 (the width of the
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from ..functions.text import SPECIAL_TOKENS
 from ..operators.importance import count_texts, tfidf_importance, word_importance
+from ..operators.ordering import stored
 from ..operators.rank import (keep_by_parameters, keep_by_percent, keep_random, removed, sorted_map)
 from ..operators.remap import reduction_report, remap, truncation_map, valid_ids
-from ..operators.tokens import encode, sequences, token_counts_from_words
+from ..operators.tokens import encode, sequences
 from ..sources.corpus import scan_embeddings
 from .common import Inputs
 from .oracle_sql import STOP, doc_ctes, with_ctes
@@ -37,8 +40,12 @@ def train_counts(inp: Inputs):
     """A2 on the pruning corpus: ``(token_id, cnt)``, materialised once per session
     because the budgets, rankings and reports of every method read it (the
     methods rank by count; document frequency is computed where it is reported)."""
-    return inp.shared("train_counts", lambda: token_counts_from_words(
-        inp.words(train_corpus(inp), specials=True), inp.vocab(), with_df=False))
+    return inp.shared("train_counts", lambda: train_words(inp).join(inp.vocab(), "word").select("token_id", "cnt"))
+
+
+def train_words(inp: Inputs):
+    """``(word, cnt, df)`` of the train split, from the shared counts."""
+    return inp.split_words().filter(F.col("split") == "train").drop("split")
 
 
 def as_map(tm):
@@ -177,13 +184,9 @@ def m8_train_only(spark, sf_dir):
 def _tfidf(inp: Inputs, itype: int):
     """Mean TF-IDF of the train split, materialised once per session (the
     importance methods, their OOV variants and the reports all read it)."""
-    from .q_tokens import split_counts
-    tr = train_corpus(inp)
-    # document frequencies of the train split come from the shared per-split counts
-    dfw = (split_counts(inp).filter(F.col("split") == "train").select("token_id", "df")
-           .join(inp.vocab(), "token_id").select("word", "df"))
+    rows = inp.texts(train_corpus(inp))
     return inp.shared(f"tfidf{itype}", lambda: tfidf_importance(
-        inp.words(tr), count_texts(inp.texts(tr)), itype, doc_freq=dfw))
+        rows, count_texts(rows), itype, counts=train_words(inp).filter(~F.col("word").isin(list(SPECIAL_TOKENS)))))
 
 
 for _t in (1, 2, 3):
@@ -204,8 +207,15 @@ def importance_scores(inp: Inputs):
     return imp.select("token_id", r6(F.col("importance")).alias("importance"))
 
 
-@register("j7_word_importance", with_ctes(*ctes(sql_tfidf("tfidf3", 3), IMP),
-                                          body="SELECT token_id, importance FROM imp"))
+def _materialised(sql: str, *names: str) -> str:
+    """Shared CTEs that DuckDB computes once."""
+    for n in names:
+        sql = sql.replace(f"{n} AS (", f"{n} AS MATERIALIZED (", 1)
+    return sql
+
+
+@register("j7_word_importance", _materialised(with_ctes(*ctes(sql_tfidf("tfidf3", 3), IMP), body="""
+SELECT token_id, importance FROM imp"""), "vocab", "tokens", "cnts", "tfidf3_tf", "tfidf3_df", "tfidf3"))
 def j7_word_importance(spark, sf_dir):
     """Token -> word -> mean TF-IDF, else the token's count (mixed scales, as shipped)."""
     return importance_scores(Inputs(spark, sf_dir))
@@ -326,7 +336,12 @@ def j5_reduce_embeddings(spark, sf_dir):
 
 
 @register("p11_valid_ids", with_ctes(*ctes(), body="""
-SELECT token_id FROM cnts WHERE token_id IN (SELECT CAST(vec_id AS INTEGER) FROM embeddings)"""))
+SELECT token_id, (SELECT count(*) FROM cnts WHERE token_id NOT IN (SELECT CAST(vec_id AS INTEGER) FROM embeddings)) AS n_dropped
+FROM cnts WHERE token_id IN (SELECT CAST(vec_id AS INTEGER) FROM embeddings)"""))
 def p11_valid_ids(spark, sf_dir):
-    """Corpus ids that have an embedding row (left-semi join)."""
-    return valid_ids(train_counts(Inputs(spark, sf_dir)), scan_embeddings(spark, sf_dir)).select("token_id")
+    """Corpus ids that have an embedding row, and the number of those that have none,
+    observed by the same job."""
+    dropped = Observation("p11")
+    kept = stored(valid_ids(train_counts(Inputs(spark, sf_dir)), scan_embeddings(spark, sf_dir), dropped)
+                  .select("token_id"), "valid-ids")
+    return kept.withColumn("n_dropped", F.lit(dropped.get["n_dropped"]).cast("long"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.ordering import stored
 from ..operators.rank import keep_by_percent_grouped
 from ..operators.report import log10_size, order_by_baseline, performance_drop, size_correlation, with_sizes
 from ..operators.tokens import texts, token_counts_from_words, words
@@ -163,18 +164,27 @@ SELECT b.lang AS task, CAST(printf('%.4f', 1 - b.acc) AS DOUBLE) AS val_loss, CA
 FROM bm b JOIN vr v ON b.lang = v.lang""")
 
 
+LOG_PATTERNS = ("run={task}_frequency_token_prune20/*.txt", "run={task}_frequency_prune20/*.txt", "run={task}_frequency*prune*/*.txt")
+
+
 @register("m14_summarise_runs", M14_SQL)
 def m14_summarise_runs(spark, sf_dir):
-    """M14 (+S8, S7, P15, J10): run logs written per language by Spark (text sink,
-    one folder per run) under the checkpoint folder, read back one row per file,
-    parsed with the log patterns and pivoted to one summary row per run."""
+    """M14 (+S8, S7, P15, J10): run logs written per language by Spark (text sink, one folder
+    per run), two a language: the right one under a name of varying priority and another
+    with other figures.  One log a task is chosen by pattern, read, parsed and pivoted."""
     import uuid
-    from ..operators.report import parse_logs, run_summary, scan_logs
+    from ..operators.report import choose_logs, parse_logs, run_summary, scan_chosen_logs
     inp = Inputs(spark, sf_dir)
     base = spark.sparkContext.getCheckpointDir().rstrip("/") + f"/run_logs/{uuid.uuid4().hex}"
-    run_logs(inp).repartition("run").write.partitionBy("run").text(base)
-    logs = scan_logs(spark, base + "/run=*/*.txt")
-    parsed = parse_logs(logs).withColumn("task", F.regexp_extract("path", r"run=([^/]+)/", 1))
+    logs = stored(run_logs(inp), "logs")
+    even = F.pmod(F.crc32("run"), F.lit(2)) == 0
+    right = logs.withColumn("run", F.concat("run", F.when(even, "_frequency_token_prune20").otherwise("_frequency_prune20")))
+    other = logs.select(F.concat("run", F.when(even, "_frequency_prune20").otherwise("_frequency_old_prune5")).alias("run"),
+                        F.regexp_replace("text", "0[.][0-9]", "0.0").alias("text"))
+    right.unionByName(other).repartition("run").write.partitionBy("run").text(base)
+    chosen = choose_logs(spark, base, logs.select(F.col("run").alias("task")), LOG_PATTERNS)
+    texts = scan_chosen_logs(spark, chosen)
+    parsed = parse_logs(texts.select(F.col("task").alias("path"), "text")).withColumn("task", F.col("path"))
     s = run_summary(parsed)
     cols = ["val_loss", "val_accuracy", "test_accuracy", "test_f1", "embedding_param_reduction", "vocab_reduction",
             "total_param_reduction", "model_only_param_reduction"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import SPECIAL_TOKENS
 from ..operators.stats import token_stats, vocab_overlap, ranked_counts
 from ..operators.tokens import counting_words, token_counts_from_words, word_counts
 from .common import Inputs
@@ -87,7 +88,9 @@ SPLIT_COUNTS = r"""sc AS (
 def split_counts(inp: Inputs):
     """Per-split token counts and document frequencies (no specials), materialised
     once per session: statistics, burstiness, overlap and set queries read them."""
-    return inp.shared("split_counts", lambda: token_counts_from_words(inp.counting_words(), inp.vocab(), by=["split"]))
+    return inp.shared("split_counts", lambda: (
+        inp.split_words().filter(~F.col("word").isin(list(SPECIAL_TOKENS)))
+           .join(inp.vocab(), "word").select("split", "token_id", "cnt", "df")))
 
 
 @register("a5_burstiness", with_ctes(*doc_ctes(SPLIT_COUNTS), body="""
@@ -216,7 +219,7 @@ def _p4_sql() -> str:
     from .oracle_sql import PAIR_CTES
     ctes = list(doc_ctes(*PAIR_CTES))
     ctes.append(r"""base AS (
-  SELECT word FROM vocab WHERE token_id >= 5 AND token_id < 505
+  SELECT word FROM vocab WHERE token_id >= 5
   UNION SELECT DISTINCT c AS word FROM (SELECT unnest(string_split(word, '')) AS c FROM words) WHERE c <> ''),
 pieces AS (SELECT word AS piece FROM base UNION SELECT '##' || word FROM base),
 dw AS (SELECT DISTINCT word FROM pwords)""")
@@ -248,7 +251,7 @@ def p4_subword_encode(spark, sf_dir):
     from ..functions.text import strip_marker
     from ..operators.tokens import encode_subwords, subword_pieces
     inp = Inputs(spark, sf_dir)
-    pieces = subword_pieces(inp.vocab(), inp.words(), 500)
+    pieces = subword_pieces(inp.vocab(), inp.words())
     seg = encode_subwords(inp.words(inp.pairs()), pieces)
     rejoined = F.when(F.array_contains("pieces", "[UNK]"), F.lit("[UNK]")).otherwise(
         F.array_join(F.transform("pieces", lambda x: strip_marker(x)), ""))

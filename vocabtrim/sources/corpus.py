@@ -36,16 +36,7 @@ def hash_split(id_col: Column) -> Column:
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    # labels is keyed by doc_id (at most one row per document): a left join keeps
-    # every document exactly once; AQE broadcasts it when its runtime size is small.
-    return (docs.join(labels, "doc_id", "left")
-                .select(F.col("doc_id").alias("example_id"),
-                        hash_split(F.col("doc_id")).alias("split"),
-                        F.col("text").alias("text_a"),
-                        F.lit(None).cast("string").alias("text_b"),
-                        F.coalesce(F.col("quality"), F.lit(-1)).cast("double").alias("label")))
+    return with_labels(spark, sf_dir, documents_texts(spark, sf_dir))
 
 
 def documents_texts(spark: SparkSession, sf_dir: str, extra: Iterable[str] = ()) -> DataFrame:
@@ -56,6 +47,38 @@ def documents_texts(spark: SparkSession, sf_dir: str, extra: Iterable[str] = ())
         *extra)
 
 
+GROUPS = ("lang", "source")
+
+
+def lay_out(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the documents corpus with one folder a split, so that a scan of some splits
+    reads no other file.  A table of fewer files than the session has cores is dealt over
+    as many; larger ones are written as they are read, without a shuffle."""
+    there = table(spark, sf_dir, "documents").columns
+    docs = documents_texts(spark, sf_dir, [c for c in GROUPS if c in there])
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
+    docs.write.partitionBy("split").parquet(path)
+
+
+def scan_layout(spark: SparkSession, path: str, groups: Iterable[str] = ()) -> DataFrame:
+    """The corpus that :func:`lay_out` wrote, with some of its group columns; filters on
+    ``split`` become partition filters."""
+    schema = "example_id long, text_a string, " + "".join(f"{g} string, " for g in groups) + "split string"
+    return spark.read.schema(schema).parquet(path)
+
+
+def with_labels(spark: SparkSession, sf_dir: str, texts: DataFrame) -> DataFrame:
+    """Corpus rows of ``(example_id, split, text_a)`` with their label (see the module's head)."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("example_id"), "quality")
+    # labels is keyed by doc_id (at most one row per document): a left join keeps
+    # every document exactly once; AQE broadcasts it when its runtime size is small.
+    return (texts.join(labels, "example_id", "left")
+                 .select("example_id", "split", "text_a", F.lit(None).cast("string").alias("text_b"),
+                         F.coalesce(F.col("quality"), F.lit(-1)).cast("double").alias("label")))
+
+
 def pair_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     user = conv.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("text_a"))
