@@ -30,6 +30,8 @@ def test_edges(spark, frame, block, segment):
     rows = [(None if i == 3 else i // 2, t) for i, t in enumerate(EDGES)] * 2
     got = op.decode(op.encode(frame(rows), MODEL, block_bytes=block, segment_bytes=segment), MODEL).collect()
     assert Counter((r.doc_id, tuple(r.ids), r.text) for r in got) == expected(rows)
+    both = op.encode(frame(rows), MODEL, with_text=True, block_bytes=block, segment_bytes=segment).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.text) for r in both) == expected(rows)
 
 
 def test_empty_table(frame):

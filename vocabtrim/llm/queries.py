@@ -166,7 +166,7 @@ def op11_sentencepiece(spark, sf_dir):
 
     from . import sentencepiece_chunks as op
     model = path("piece_bpe_32k.model")
-    out = op.decode(op.encode(table(spark, sf_dir, "documents"), model), model)
+    out = op.encode(table(spark, sf_dir, "documents"), model, with_text=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                       F.sha2("text", 256).alias("decoded_sha256"))

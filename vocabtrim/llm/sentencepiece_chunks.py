@@ -34,10 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import Roller, chunks, need, parts
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 SEGMENT_BYTES = 64 << 20
 """Text bytes a segment bucket, which sets the number of buckets: its distinct chunks are
 what a task holds in its table."""
+RUN = 1 << 18
+"""Chunks whose ids are put together, or ids that are decoded, at a time, or those of one longer text."""
 
 MARK = "▁"
 PACKED = ("block long, bucket int, keys array<long>, counts array<int>, n int, data binary")
@@ -60,20 +62,23 @@ def check_model(model_path: str) -> None:
         raise ValueError(f"pieces of {model_path} may cross white-space markers")
 
 
-def _squeeze(raw: bytes) -> bytes:
-    return pa.compress(raw, codec="zstd", asbytes=True)
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers as byte planes, which compress better than words."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _expand(data: bytes, size: int) -> bytes:
-    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+def _values(raw: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def _with_size(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + (_squeeze(raw) if raw else b"")
+def _squeeze(raw: bytes) -> bytes:
+    """Compressed bytes behind their size."""
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True) if raw else b"")
 
 
-def _sized(data: bytes) -> bytes:
-    return _expand(data[8:], int.from_bytes(data[:8], "little"))
+def _expand(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
 
 
 def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -85,44 +90,55 @@ def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("key"), text], names=["key", "text"])
 
 
+def _buckets(table: pa.Array, roller: Roller, buckets: int) -> np.ndarray:
+    """Segment bucket of each chunk, by its hash."""
+    out = np.zeros(len(table), np.int32)
+    if len(table) == 0:
+        return out
+    ends = np.frombuffer(table.buffers()[1], np.int32, len(table) + 1).astype(np.int64)
+    raw = np.frombuffer(table.buffers()[2], np.uint8)
+    for a in range(0, len(table), 1 << 16):
+        e = ends[a:a + (1 << 16) + 1]
+        prefix = roller.prefix(raw[e[0]:e[-1]])
+        out[a:a + len(e) - 1] = roller.spans(prefix, e[:-1] - e[0], e[1:] - e[0]) % np.uint64(buckets)
+    return out
+
+
 def _blocks(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
     """Packed blocks of ``(key, text)``: a row of positions (bucket -1) and rows of chunks."""
     def run(batches):
         roller, task, k = Roller(11), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            batch = marked(batch)
-            for first, last, data, offs in chunks(batch, size=block_bytes):
-                space = data == 32
-                start = space.copy()
-                start[1:] &= ~space[:-1]
+            for first, last, _, _ in chunks(batch, size=block_bytes):
+                # copies are made of one block at a time
+                keys = batch.column("key").slice(first, last - first).to_pylist()
+                (_, _, data, offs), = chunks(marked(batch.slice(first, last - first)), size=1 << 62)
+                start = data == 32
+                start[1:] &= data[:-1] != 32
                 start[offs[:-1][np.diff(offs) > 0]] = True
-                at = np.flatnonzero(start)
-                counts = np.diff(np.searchsorted(at, offs)).astype(np.int32)
-                borders = np.append(at, len(data)).astype(np.int64)
-                words = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(at), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))])
-                coded = words.dictionary_encode()
-                table = coded.dictionary
-                ends = np.frombuffer(table.buffers()[1], np.int64, len(table) + 1)
-                raw = np.frombuffer(table.buffers()[2], np.uint8) if len(table) else np.zeros(0, np.uint8)
-                h = roller.spans(roller.prefix(raw), ends[:-1], ends[1:]) if len(table) else np.zeros(0, np.uint64)
-                bucket = (h % np.uint64(buckets)).astype(np.int32)
+                borders = np.append(np.flatnonzero(start).astype(np.int32), np.int32(len(data)))
+                del start
+                counts = np.diff(np.searchsorted(borders[:-1], offs)).astype(np.int32)
+                coded = pa.BinaryArray.from_buffers(pa.binary(), len(borders) - 1, [
+                    None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+                del data, borders
+                table, indices = coded.dictionary, np.asarray(coded.indices)
+                del coded
+                # frequent chunks get small numbers; the places of a bucket keep their order
+                ranked = np.argsort(-np.bincount(indices, minlength=len(table)), kind="stable").astype(np.int32)
+                number = np.empty(len(ranked), np.int32)
+                number[ranked] = np.arange(len(ranked))
+                bucket = _buckets(table, roller, buckets)[ranked]
                 order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(order), np.uint32)
-                place[order] = np.arange(len(order), dtype=np.uint32)
-                position = place[np.asarray(coded.indices)] if len(table) else place
-                # byte planes of the positions compress better than their words
-                planes = np.ascontiguousarray(position.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-                out = [{"block": task + k, "bucket": -1, "keys": batch.column("key").slice(first, last - first).to_pylist(),
-                        "counts": counts, "n": len(table), "data": _with_size(planes)}]
-                sizes = np.diff(ends)[order].astype("<u4")
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)])) if len(order) else [0]
-                table = table.take(pa.array(order))
-                ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+                out = [{"block": task + k, "bucket": -1, "keys": keys, "counts": counts, "n": len(table),
+                        "data": _squeeze(_planes(bucket) + _planes(number[indices]))}]
+                table, bucket = table.take(pa.array(ranked[order])), bucket[order]
+                ends = np.frombuffer(table.buffers()[1], np.int32, len(table) + 1) if len(table) else np.zeros(1, np.int32)
                 raw = (table.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+                cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0]
                 for a, b in zip(cut[:-1], cut[1:]):
-                    out.append({"block": task + k, "bucket": int(bucket[order[a]]), "keys": None, "counts": None,
-                                "n": int(b - a), "data": _with_size(sizes[a:b].tobytes() + raw[ends[a]:ends[b]])})
+                    out.append({"block": task + k, "bucket": int(bucket[a]), "keys": None, "counts": None, "n": int(b - a),
+                                "data": _squeeze(_planes(np.diff(ends[a:b + 1])) + raw[ends[a]:ends[b]])})
                 yield pa.RecordBatch.from_pylist(out, schema=_PACKED)
                 k += 1
     return docs.mapInArrow(run, PACKED)
@@ -133,59 +149,73 @@ def _segment(rows: DataFrame, model_path: str) -> DataFrame:
     bucket, each distinct chunk of a bucket segmented once."""
     def run(batches):
         sp, table, bucket = processor(model_path), {}, None
-        table_of_one = np.array([sp.piece_to_id(MARK)], "<u4").tobytes()
+        alone = np.array([sp.piece_to_id(MARK)], "<u4").tobytes()
+        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())])
         for batch in batches:
             out = []
             for block, b, n, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "n", "data"))):
                 if b != bucket:
                     # a marker alone is the one chunk that the library cannot be given
-                    bucket, table = b, {b" ": table_of_one}
-                raw = _sized(data)
-                ends = (4 * n + np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)))).tolist()
+                    bucket, table = b, {b" ": alone}
+                raw = _expand(data)
+                ends = (4 * n + np.concatenate(([0], np.cumsum(_values(raw, n))))).tolist()
                 words = [raw[x:y] for x, y in zip(ends[:-1], ends[1:])]
-                new = list(dict.fromkeys(w for w in words if w not in table))
+                new = [w for w in words if w not in table]
                 # the library puts the first marker in front by itself
                 for w, ids in zip(new, sp.encode([w[1:].decode() for w in new], num_threads=1)):
                     table[w] = np.array(ids, "<u4").tobytes()
                 found = [table[w] for w in words]
-                sizes = np.fromiter((len(f) // 4 for f in found), "<u4", n)
-                out.append((block, b, n, _with_size(sizes.tobytes() + b"".join(found))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
-                if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary())],
-                names=["block", "bucket", "n", "ids"])
+                sizes = np.fromiter((len(f) // 4 for f in found), np.int64, n)
+                ids = np.frombuffer(b"".join(found), "<u4")
+                out.append({"block": block, "bucket": b, "n": n, "ids": _squeeze(_planes(sizes) + _planes(ids))})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
     return rows.mapInArrow(run, "block long, bucket int, n int, ids binary")
 
 
-def _join_by_position(blocks: DataFrame) -> DataFrame:
-    """Documents of blocks that carry the ids of their chunks."""
+def _join_by_position(blocks: DataFrame, model_path: str | None) -> DataFrame:
+    """Documents of blocks that carry the ids of their chunks: ``(key, ids)``, and with a model
+    their decoded ``text``.  Positions are taken apart a run of documents at a time."""
     def run(batches):
+        sp = processor(model_path) if model_path else None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("keys", "counts", "n", "data", "found")]
-            for keys, counts, n, data, found in zip(*cols):
-                sizes, ids = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
+            for row in range(batch.num_rows):
+                keys, counts, n, data, found = (batch.column(c)[row].as_py() for c in ("keys", "counts", "n", "data", "found"))
+                sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
                 for part in sorted(found or (), key=lambda p: p["bucket"]):
-                    raw = _sized(part["ids"])
-                    sizes.append(np.frombuffer(raw, "<u4", part["n"]))
-                    ids.append(np.frombuffer(raw, "<u4", offset=4 * part["n"]))
-                sizes, ids = np.concatenate(sizes).astype(np.int64), np.concatenate(ids).astype(np.int32)
-                begin = np.cumsum(sizes) - sizes
-                position = np.frombuffer(_sized(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-                many = sizes[position]
-                ends = np.concatenate(([0], np.cumsum(many)))
-                flat = ids[np.repeat(begin[position] - ends[:-1], many) + np.arange(ends[-1])]
-                offs = ends[np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))],
-                    names=["key", "ids"])
-    return blocks.mapInArrow(run, "key long, ids array<int>")
-
-
-def encode(docs: DataFrame, model_path: str, key: str = "doc_id", block_bytes: int = BLOCK_BYTES,
-           segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+                    raw = _expand(part["ids"])
+                    sizes.append(_values(raw, part["n"]))
+                    ids.append(_values(raw, len(raw) // 4 - part["n"], 4 * part["n"]).astype(np.int32))
+                del found
+                sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+                raw = _expand(data)
+                order = np.argsort(_values(raw, n), kind="stable")
+                many, begin = np.empty(n, np.int64), np.empty(n, np.int64)
+                many[order], begin[order] = sizes, np.cumsum(sizes) - sizes
+                m = len(raw) // 4 - n
+                planes = [np.frombuffer(raw, np.uint8, m, 4 * n + k * m) for k in range(4)]
+                cut = np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
+                first = 0
+                while first < len(keys):
+                    last = max(first + 1, int(np.searchsorted(cut, cut[first] + RUN, "right")) - 1)
+                    x, y = int(cut[first]), int(cut[last])
+                    mine = sum(p[x:y].astype(np.int32) << (8 * k) for k, p in enumerate(planes))
+                    size = many[mine]
+                    ends = np.concatenate(([0], np.cumsum(size)))
+                    flat = ids[np.repeat(begin[mine] - ends[:-1], size) + np.arange(int(ends[-1]))]
+                    offs = ends[cut[first:last + 1] - x].astype(np.int32)
+                    cols = [pa.array(keys[first:last], pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))]
+                    if sp:
+                        cols.append(pa.array(sp.decode(cols[1].to_pylist()), pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "ids", "text"][:len(cols)])
+                    first = last
+    return blocks.mapInArrow(run, "key long, ids array<int>" + (", text string" if model_path else ""))
+
+
+def encode(docs: DataFrame, model_path: str, key: str = "doc_id", with_text: bool = False,
+           block_bytes: int = BLOCK_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """``(key, ids)`` of every row's whole text: what the library gives without begin and
-    end ids and without sampling."""
+    end ids and without sampling.  ``with_text`` adds ``text``, what its decode gives for the
+    ids, as :func:`decode` would."""
     from ..session import ensure_checkpoint_dir
     check_model(model_path)
     spark = docs.sparkSession
@@ -202,7 +232,8 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", block_bytes: i
     found = (_segment(words, model_path).repartition(parts(spark), "block")
              .groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "ids")).alias("found")))
     blocks = packed.filter("bucket = -1").join(found.hint("merge"), "block", "left")
-    return _join_by_position(blocks.select("keys", "counts", blocks["n"], "data", "found")).withColumnRenamed("key", key)
+    out = _join_by_position(blocks.select("keys", "counts", blocks["n"], "data", "found"), model_path if with_text else None)
+    return out.withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -216,8 +247,14 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         sp = processor(model_path)
         for batch in batches:
-            ids = [x or [] for x in batch.column("ids").to_pylist()]
-            text = pa.array(sp.decode(ids) if ids else [], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), batch.column("ids"), text],
-                                             names=[*key, "ids", "text"])
+            ends = np.cumsum(batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            first = 0
+            while first < batch.num_rows:
+                # ids become Python numbers: a bounded run of rows at a time, or one row
+                done = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + RUN, "right")))
+                some, first = batch.slice(first, last - first), last
+                text = sp.decode([x or [] for x in some.column("ids").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in key), some.column("ids"), pa.array(text, pa.string())],
+                                                 names=[*key, "ids", "text"])
     return encoded.select(*[f"`{c}`" for c in key], "ids").mapInArrow(run, f"{kept}ids array<int>, text string")
