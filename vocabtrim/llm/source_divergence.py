@@ -47,16 +47,16 @@ NOT_TERM[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def levels():
-    """Prefix lengths in bytes: 2, 4, ... 16, then half as long again."""
-    length = 2
+    """Prefix lengths in bytes: 3, 5, 8, 12, 18, 27, each about half as long again."""
+    length = 3
     while True:
         yield length
-        length = length + 2 if length < 16 else length * 3 // 2
+        length += (length + 1) // 2
 
 
 # ---------------------------------------------------------------- blocks
 
-BLOCK = "langs array<string>, sources array<string>, n_terms int, data binary"
+BLOCK = "langs array<string>, sources array<string>, n_terms int, data binary, counts binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -112,23 +112,26 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 pairs_of = np.bincount(key // max(n, 1), minlength=len(of))
                 yield pa.RecordBatch.from_pylist(
                     [{"langs": [g[0] for g in group], "sources": [g[1] for g in group], "n_terms": n,
-                      "data": _pack(docs_of, pairs_of, key % max(n, 1), count, sizes, text)}],
+                      "data": _pack(docs_of, pairs_of, key % max(n, 1), sizes, text), "counts": _pack(count, text[:0])}],
                     schema=pa.schema([("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())),
-                                      ("n_terms", pa.int32()), ("data", pa.binary())]))
+                                      ("n_terms", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())]))
     return docs.select("lang", "source", "text").mapInArrow(run, BLOCK)
 
 
 class Block:
     """One unpacked block."""
 
-    def __init__(self, langs, sources, n_terms, data, roller: Roller):
+    def __init__(self, langs, sources, n_terms, data, counts, roller: Roller):
         self.langs, self.sources = langs, sources
-        docs_of, pairs_of, self.term, self.count, self.size, self.text = _unpack(data, 5)
+        docs_of, pairs_of, self.term, self.size, self.text = _unpack(data, 4)
+        self.count = None if counts is None else _unpack(counts, 1)[0]
         self.begin = np.concatenate(([0], np.cumsum(self.size)))
         self.doc = np.repeat(np.arange(len(pairs_of)), pairs_of)
         pairs = np.concatenate(([0], np.cumsum(pairs_of)))
         self.cut = pairs[np.concatenate(([0], np.cumsum(docs_of)))]
         self.roller, self.sums = roller, roller.prefix(self.text)
+        self.keys = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), n_terms, [None, pa.py_buffer(self.begin.astype(np.int64)), pa.py_buffer(self.text)])
 
     def spans(self, by_source: bool):
         """(lang, source, first pair, last pair + 1) by language or by (lang, source)."""
@@ -141,14 +144,28 @@ class Block:
                 yield self.langs[k], self.sources[k], int(self.cut[k]), int(self.cut[e])
             k = e
 
+    def terms(self, x: int, y: int, weights: np.ndarray | None = None):
+        """Distinct terms of pairs x .. y, and with ``weights`` their sums."""
+        term, n = self.term[x:y], len(self.size)
+        if 8 * (y - x) < n:
+            some, at = np.unique(term, return_inverse=True)
+            return some, None if weights is None else np.bincount(at, weights[x:y]).astype(np.int64)
+        if weights is None:
+            seen = np.zeros(n, bool)
+            seen[term] = True
+            return np.flatnonzero(seen), None
+        total = np.bincount(term, weights[x:y], n)
+        some = np.flatnonzero(total)
+        return some, total[some].astype(np.int64)
+
     def hashes(self, lang: str, terms: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Hashes of the first ``size`` bytes of ``terms`` in ``lang``."""
         a = self.begin[terms]
         return mix(self.roller.spans(self.sums, a, a + size) ^ np.uint64(_of_lang(lang)))
 
-    def bytes_of(self, terms: np.ndarray, size: np.ndarray) -> list[bytes]:
-        raw, a = self.text.tobytes(), self.begin[terms]
-        return [raw[x:y] for x, y in zip(a.tolist(), (a + size).tolist())]
+    def prefixes(self, terms: np.ndarray, length: int | None = None) -> pa.Array:
+        keys = self.keys.take(pa.array(terms)).cast(pa.binary())
+        return keys if length is None else pc.binary_slice(keys, 0, length)
 
 
 def _of_lang(lang: str) -> int:
@@ -158,8 +175,10 @@ def _of_lang(lang: str) -> int:
 def _each(batches):
     roller = Roller(13)
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("langs", "sources", "n_terms", "data"))):
-            yield Block(*row, roller)
+        names = [c for c in ("langs", "sources", "n_terms", "data", "counts") if c in batch.schema.names]
+        for i in range(batch.num_rows):
+            row = [batch.column(c)[i].as_py() for c in names]
+            yield Block(*row, *[None] * (5 - len(row)), roller)
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -228,7 +247,7 @@ def _prefix_counts(packed: DataFrame, length: int, before: int, live) -> DataFra
         for b in _each(batches):
             for lang, _, x, y in b.spans(by_source=False):
                 term, doc = b.term[x:y], b.doc[x:y]
-                some = np.unique(term)
+                some, _ = b.terms(x, y)
                 if live is not None:
                     some = some[b.size[some] > before]
                     some = some[_has(live.value, b.hashes(lang, some, np.full(len(some), before)))]
@@ -247,9 +266,9 @@ def _prefix_counts(packed: DataFrame, length: int, before: int, live) -> DataFra
                 first[1:] = (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])
                 n = np.bincount(c[first], minlength=int(new.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), pa.array(b.bytes_of(some[new], size[new]), pa.binary()),
-                     pa.array(whole[new]), pa.array(n)], schema=schema)
-    return packed.mapInArrow(run, "lang string, key binary, complete boolean, n long")
+                    [pa.repeat(pa.scalar(lang), len(n)), b.prefixes(some[new], length), pa.array(whole[new]), pa.array(n)],
+                    schema=schema)
+    return packed.drop("counts").mapInArrow(run, "lang string, key binary, complete boolean, n long")
 
 
 def kept_terms(packed: DataFrame, min_docs: int = 30, bits: int = BITS) -> DataFrame:
@@ -279,13 +298,12 @@ def term_counts(packed: DataFrame, kept: DataFrame, bits: int = BITS) -> DataFra
     def run(batches):
         for b in _each(batches):
             for lang, source, x, y in b.spans(by_source=True):
-                some, where = np.unique(b.term[x:y], return_inverse=True)
-                n = np.bincount(where, weights=b.count[x:y]).astype(np.int64)
+                some, n = b.terms(x, y, b.count)
                 mine = _has(live.value, b.hashes(lang, some, b.size[some]))
                 some, n = some[mine], n[mine]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()),
-                     pa.array(b.bytes_of(some, b.size[some]), pa.binary()), pa.array(n)], schema=schema)
+                    [pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(source), len(n)), b.prefixes(some), pa.array(n)],
+                    schema=schema)
     counts = packed.mapInArrow(run, "lang string, source string, key binary, count long")
     return (counts.groupBy("lang", "source", "key").agg(F.sum("count").alias("count"))
                   .join(kept.select("lang", "key"), ["lang", "key"], "left_semi"))
