@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocabtrim.llm import decontaminate, packing, quality_rules, simhash, suffix_dedup
-from vocabtrim.llm.common import table, written
+from vocabtrim.llm.common import table, whole_row, written
+
+#: Passages of over 50 words have 285 bytes or more in the given tables; much shorter strings repeat by chance.
+REPEAT_BYTES = 260
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,18 +22,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class (3-word shingles, 3 bits): that of the smallest id."""
-    classes = simhash.near_duplicates(docs, shingle=3, max_distance=3)
-    first = classes.select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    # an id that came with several rows keeps one of them
-    return (kept.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r"))
-                .select("doc_id", "r.*").select(*docs.columns))
+    """One document of each SimHash class (3-word shingles, 3 bits): that of the smallest id,
+    null last.  Rows are told apart by a number of their own, not by their id."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), whole_row(docs).alias("doc")), "numbered")
+    classes = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")),
+                                      shingle=3, max_distance=3)
+    named = classes.select(F.col("doc_id").alias("row"), "component_id").join(
+        rows.select("row", F.col("doc.doc_id").alias("id")), "row")
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    first = named.groupBy("component_id").agg(F.min(order).alias("m")).select(F.col("m.row").alias("row"))
+    return rows.join(first, "row", "left_semi").select("doc.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 400-byte strings that also start elsewhere."""
-    out = suffix_dedup.deduplicated(docs, length=400)
+    """Documents without the bytes of strings of ``REPEAT_BYTES`` that also start elsewhere."""
+    out = suffix_dedup.deduplicated(docs, length=REPEAT_BYTES)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -12,7 +12,8 @@ The probe index travels to the tasks in blocks of at most ``INDEX_BYTES`` of ben
 text; a larger benchmark takes several passes over the documents.
 
 Edge cases: null or empty texts and items match nothing; an item shorter than a q-gram
-must occur exactly, between spaces; repeated rows come back once a (doc_id, item_id);
+must occur exactly, between spaces; repeated rows come back once a (doc_id, item_id), and
+rows without an id as those of one id, null; ``clean`` judges each row by itself;
 empty tables give an empty result; extra columns are ignored.
 """
 
@@ -183,20 +184,23 @@ def _matches(index: Index, data, offs, roller):
     return found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, probe: int = PROBE, rate: float = EDIT_RATE,
-          index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """``(doc_id, item_id, n_probes, n_regions, min_edits)``: documents with a region
-    within the edit budget of a probe of an item."""
-    spark = docs.sparkSession
+def _indexes(benchmark: DataFrame, q: int, probe: int, rate: float, index_bytes: int):
+    """Broadcast probe indexes, each of at most about ``index_bytes`` of benchmark text."""
     items = need(benchmark, "item_id", "text").filter(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // index_bytes))
-    schema = "doc_id long, item_id long, probe int, edits int"
-    out = None
     for b in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(Index(sorted({(r["item_id"], r["text"]) for r in mine}), q, rate, probe))
+        yield benchmark.sparkSession.sparkContext.broadcast(
+            Index(sorted({(r["item_id"], r["text"]) for r in mine}, key=repr), q, rate, probe))
 
+
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, probe: int = PROBE, rate: float = EDIT_RATE,
+          index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``(doc_id, item_id, n_probes, n_regions, min_edits)``: documents with a region
+    within the edit budget of a probe of an item."""
+    out = None
+    for shared in _indexes(benchmark, q, probe, rate, index_bytes):
         def run(batches, shared=shared):
             index, roller = shared.value, Roller(10)
             for batch in batches:
@@ -209,14 +213,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, probe: int = PROBE,
                 cols = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
                                                  names=["doc_id", "item_id", "probe", "edits"])
-        part = need(docs, "doc_id", "text").mapInArrow(run, schema)
+        part = need(docs, "doc_id", "text").mapInArrow(run, "doc_id long, item_id long, probe int, edits int")
         out = part if out is None else out.unionByName(part)
     return (out.groupBy("doc_id", "item_id")
                .agg(F.count_distinct("probe").alias("n_probes"), F.count(F.lit(1)).alias("n_regions"),
                     F.min("edits").alias("min_edits")))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    bad = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_leak"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, probe: int = PROBE, rate: float = EDIT_RATE,
+          index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark passage.  Each row is judged by its
+    own text where it lies, whatever its id."""
+    for shared in _indexes(benchmark, q, probe, rate, index_bytes):
+        def run(batches, shared=shared):
+            index, roller = shared.value, Roller(10)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for first, last, data, offs in chunks(batch):
+                    data, offs, _ = fold(data, offs)
+                    keep[[first + r for r, _, _, _ in _matches(index, data, offs, roller)]] = False
+                yield batch.filter(pa.array(keep))
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

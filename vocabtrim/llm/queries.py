@@ -121,7 +121,8 @@ def op8_language_id(spark, sf_dir):
     """Language of every document, learned from those outside the held-out fold."""
     from . import language_id as op
     docs = table(spark, sf_dir, "documents")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    # a row without an id is not held out
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     model = op.train(docs.filter(~held))
     return op.label(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_spans")
 

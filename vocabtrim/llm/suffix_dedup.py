@@ -18,8 +18,8 @@ that also starts somewhere else.
 Substring hashes are 64-bit; a zone is known by its anchor's and its own hash.
 
 Edge cases: null, empty and short texts lose nothing; rows that repeat a whole text lose
-all of it; ids that come with several texts keep them apart; extra columns stay; an
-empty table gives an empty result.
+all of it; ids that come with several texts keep them apart; rows without an id are known
+by their text; extra columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,9 +80,9 @@ def zones_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int, roller:
 
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
-    """``(_id, _th, text, _row)``: a text's key (its id and 31 bits of its hash), and the
-    whole row as a struct, so that no other column's name can clash."""
-    return docs.select(F.col(f"`{key}`").cast("long").alias("_id"),
+    """``(_id, _th, text, _row)``: a text's key (its id, or its hash for want of one, and 31
+    bits of its hash), and the whole row as a struct, so that no other column's name can clash."""
+    return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.xxhash64(F.col("`text`"), F.lit("no id"))).alias("_id"),
                        F.xxhash64(F.col("`text`")).bitwiseAND(0x7FFFFFFF).cast("int").alias("_th"),
                        F.col("`text`").alias("text"), whole_row(docs).alias("_row"))
 
