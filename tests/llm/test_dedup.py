@@ -53,8 +53,8 @@ def test_near_duplicates(frame):
     assert Q.near_duplicates(frame([])).collect() == []
 
 
-@pytest.mark.parametrize("block", [4000, 7])
-def test_links_of_dense_cells(spark, block):
+@pytest.mark.parametrize("hot", [2000, 7, 1])
+def test_links_of_dense_cells(spark, hot):
     from vocabtrim.llm import simhash as Q
     from vocabtrim.llm.components import components
     rng = np.random.default_rng(2)
@@ -68,12 +68,42 @@ def test_links_of_dense_cells(spark, block):
             fps.add(x)
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), k) for k, f in enumerate(fps)], "fp long, rep long")
-    got = {r.id: r.component for r in components(Q.linked(df, block=block)).collect()}
+    got = {r.id: r.component for r in components(Q.linked(df, hot=hot)).collect()}
     n = len(fps)
     exp = _classes(range(n), [(a, b) for a in range(n) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
     assert {k: got.get(k, k) for k in range(n)} == exp
 
 
+@pytest.mark.parametrize("size", [1, 3, 10, 1000])
+def test_cells_over_batches(size):
+    """Cells that go on over any number of batches: small ones are compared, large ones handed on whole."""
+    import pyarrow as pa
+    from vocabtrim.llm import simhash as Q
+    rnd = random.Random(size)
+    rows = sorted((rnd.randrange(3), rnd.choice([1, 1, 1, 2, 3, 4 + k]), rnd.randrange(2 ** 40), k) for k in range(400))
+    names = ["p", "key", "fp", "rep"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + size]), kinds)], names=names)
+               for i in range(0, 400, size)]
+    cells = collections.defaultdict(list)
+    for p, key, fp, rep in rows:
+        cells[p, key].append((fp, rep))
+    got, hot = set(), []
+    for out in Q._cells(iter(batches), 3, 10):
+        for r in out.to_pylist():
+            if r["edge"]:
+                got.add((r["a"], r["b"]))
+            else:
+                hot.append((r["p"], r["key"], r["a"], r["b"]))
+    assert sorted(hot) == [r for r in rows if len(cells[r[:2]]) > 10]
+    want = set()
+    for c in cells.values():
+        if 1 < len(c) <= 10:
+            a, b = Q._stars(np.array([f for f, _ in c]), np.array([r for _, r in c]), 3)
+            want |= set(zip(a.tolist(), b.tolist()))
+    assert got == want
+
+
 def test_components_of_a_chain(spark):
     from vocabtrim.llm.components import components
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
