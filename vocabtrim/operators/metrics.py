@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import with_row_number
+from .ordering import stored, with_row_number
 
 
 def labelled(df: DataFrame, label: str = "label") -> DataFrame:
@@ -105,13 +105,17 @@ def register_metric(*names: str):
 
 def all_metrics_long(preds: DataFrame, by: Sequence[str] = (), metrics: Sequence[str] | None = None) -> DataFrame:
     """A12-A15 and registered metrics as one long table ``(by..., metric, value)``; only the
-    families that have one of ``metrics`` are computed (None: all)."""
-    by, out, done = list(by), None, set()
+    families that have one of ``metrics`` are computed (None: all).  Several families read
+    the labelled predictions from one written copy, so the predictions are computed once."""
+    by, out, done, wanted = list(by), None, set(), []
     for names, family in reversed(FAMILIES):
         mine = [m for m in names if m not in done and (metrics is None or m in metrics)]
         done.update(names)
-        if not mine:
-            continue
+        if mine:
+            wanted.append((mine, family))
+    if len(wanted) > 1:
+        preds = stored(labelled(preds), "predictions")
+    for mine, family in wanted:
         cells = family(preds, by).select(*by, F.explode(F.array(*[
             F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in mine])).alias("_m"))
         cells = cells.select(*by, "_m.metric", "_m.value")

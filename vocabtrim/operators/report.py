@@ -193,6 +193,23 @@ def format_report(df: DataFrame, int_cols: Sequence[str] = (), dec_cols: Sequenc
     return out
 
 
+def report_rows(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), sep: str = " & ", end: str = " \\\\") -> DataFrame:
+    """The columns of a row joined into one line of report text, ``(by..., line)``; a
+    missing value is empty."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    return df.select(*by, F.concat(F.concat_ws(sep, *cells), F.lit(end)).alias("line"))
+
+
+def wide_summary(drops: DataFrame, methods: Sequence[str], baseline: str = "NO PRUNING") -> DataFrame:
+    """M15's table: ``dataset, size`` and for each method ``<method>_performance`` and, but for
+    the baseline, ``<method>_drop`` (of rows ``dataset, size, method, value, drop_pp``)."""
+    p = drops.groupBy("dataset", "size").pivot("method", list(methods)).agg(F.first("value").alias("v"), F.first("drop_pp").alias("d"))
+    name = lambda m: m.lower().replace(" ", "_")
+    cols = [F.col(f"`{m}_v`").alias(f"{name(m)}_performance") for m in methods]
+    cols += [F.col(f"`{m}_d`").alias(f"{name(m)}_drop") for m in methods if m != baseline]
+    return p.select("dataset", "size", *cols)
+
+
 def split_pivot(stats: DataFrame, values: Sequence[str], splits: Sequence[str], key: str = "task",
                 split_col: str = "split") -> DataFrame:
     """One row per ``key``; ``<value>_<split>`` = mean of the value in that split."""

@@ -171,14 +171,20 @@ SELECT p.example_id, p.part, rm.ids, array_to_string(e.mask, ',') AS mask, c.lab
 FROM parts p JOIN rm ON p.example_id = rm.example_id JOIN enc e ON p.example_id = e.example_id
 JOIN corpus c ON p.example_id = c.example_id"""))
 def m10_prepare_datasets(spark, sf_dir):
-    """M10 = S1 -> D2 -> P6 -> J1 (frequency map) -> model-ready rows for every part."""
+    """M10 = S1 -> D2 -> P6 -> J1 (frequency map) -> S10: model-ready rows of every part, written
+    as Parquet and read back."""
+    import uuid
+
+    from ..operators.report import write_encoded
     inp = Inputs(spark, sf_dir)
     corpus = inp.corpus()
     tm = keep_by_percent(train_counts(inp), P)
     e = encoded_pairs(inp, corpus)
     r = remap(e.select("example_id", "input_ids", "attention_mask"), tm, keys=("example_id",))
     out = (d2_split(inp).join(r, "example_id").join(corpus.select("example_id", "label"), "example_id"))
-    out = standardise_label(out)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/prepared/{uuid.uuid4().hex}"
+    write_encoded(standardise_label(out).select("example_id", "part", "input_ids", "attention_mask", "labels"), path)
+    out = spark.read.parquet(path)
     return out.select("example_id", "part", _ids("input_ids").alias("ids"), _ids("attention_mask").alias("mask"),
                       "labels")
 

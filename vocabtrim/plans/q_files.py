@@ -108,6 +108,30 @@ def s11_format_report(spark, sf_dir):
     return format_report(s, ["total_tokens", "unique_tokens"], pct)
 
 
+ROW_COLS = ("total_tokens", "unique_tokens", "vocab_coverage_pct", "top20_coverage_pct", "freq_importance_overlap_pct")
+
+
+def _rows_sql() -> str:
+    cell = lambda c, s: (f"format('{{:,}}', CAST(max(CASE WHEN split = '{s}' THEN {c} END) AS BIGINT))" if c.endswith("tokens")
+                         else f"printf('%.2f', max(CASE WHEN split = '{s}' THEN {c} END))")
+    cells = ["'documents'"] + [cell(c, s) for c in ROW_COLS for s in ("train", "test")]
+    return with_ctes(*doc_ctes(), sql_token_stats("words", "split"), body=f"""
+SELECT concat_ws(' & ', {", ".join(cells)}) || ' \\\\' AS line FROM stats""")
+
+
+@register("s11_report_rows", _rows_sql())
+def s11_report_rows(spark, sf_dir):
+    """S11 + A19: the statistics of train and test beside each other, one joined line a task."""
+    from ..operators.report import report_rows, split_pivot
+    inp = Inputs(spark, sf_dir)
+    s = token_stats(None, inp.vocab(), inp.vocab_rows(), counts=split_counts(inp)).withColumn("task", F.lit("documents"))
+    s = s.select("task", "split", *[F.round(c, 6).alias(c) if c.endswith("pct") else F.col(c) for c in ROW_COLS])
+    wide = split_pivot(s, ROW_COLS, ("train", "test"))
+    cols = [f"{c}_{part}" for c in ROW_COLS for part in ("train", "test")]
+    text = format_report(wide, [c for c in cols if "tokens" in c], [c for c in cols if "pct" in c])
+    return report_rows(text, ["task", *cols])
+
+
 # ---------------------------------------------------------------- A10
 @register("a10_parameter_counts", f"""
 WITH e AS (SELECT count(*) * max(len(embedding)) AS n FROM embeddings),

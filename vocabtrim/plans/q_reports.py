@@ -94,6 +94,26 @@ def m15_compare_methods(spark, sf_dir):
                     F.round("drop_pp", 6).alias("drop_pp"), F.col("order").cast("int").alias("order"))
 
 
+def _wide_sql() -> str:
+    name = lambda m: m.lower().replace(" ", "_")
+    cols = [f"round(max(CASE WHEN r.method = '{m}' THEN r.value END), 6) AS {name(m)}_performance" for m in METHODS]
+    cols += [f"round(max(CASE WHEN r.method = '{m}' THEN (b.b - r.value) * 100 END), 6) AS {name(m)}_drop"
+             for m in METHODS if m != "NO PRUNING"]
+    return with_ctes(*doc_ctes(RESULTS_SQL), body=f"""
+SELECT r.dataset, s.size, {", ".join(cols)}
+FROM res r JOIN base b ON r.dataset = b.dataset JOIN sizes s ON r.dataset = s.dataset GROUP BY r.dataset, s.size""")
+
+
+@register("m15_wide_summary", _wide_sql())
+def m15_wide_summary(spark, sf_dir):
+    """M15 as the summary with sizes is laid out: one column a method, its drop beside it."""
+    from ..operators.report import wide_summary
+    res, sizes = method_results(Inputs(spark, sf_dir))
+    d = with_sizes(performance_drop(res), sizes.select(F.col("dataset").alias("task"), "size"))
+    wide = wide_summary(d, METHODS)
+    return wide.select("dataset", "size", *[F.round(c, 6).alias(c) for c in wide.columns[2:]])
+
+
 @register("a21_size_correlation", with_ctes(*doc_ctes(RESULTS_SQL), body="""
 , x AS (SELECT r.method, r.value, log10(CASE WHEN lower(s.size) LIKE '%k' THEN CAST(rtrim(lower(s.size), 'k') AS DOUBLE) * 1000
                                              ELSE CAST(s.size AS DOUBLE) END) AS lsize
