@@ -24,8 +24,9 @@ The work:
 4. The parts' sums are added per text.
 
 Words are known by 64-bit hashes.  Edge cases: null and empty texts have one token, the
-end; repeated rows come back repeated; without training text nothing is known; ties do
-not arise; an empty table gives an empty result; extra columns are ignored.
+end; a row without an id is learned from and keeps its null; repeated rows come back
+repeated; without training text nothing is known; ties do not arise; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ BEGIN = int(mix(np.array([0xB0], np.uint64)).view(np.int64)[0])
 END = int(mix(np.array([0xE0], np.uint64)).view(np.int64)[0])
 BLOCK_TOKENS = 1_000_000
 """Tokens of a block of texts."""
-PART_TOKENS = 3_000_000
+PART_TOKENS = 2_000_000
 """Tokens of a part's share of the corpus."""
 K = 5
 """Counts up to this one are discounted."""
@@ -87,14 +88,15 @@ def _blocks(batches, tokens: int = BLOCK_TOKENS):
 
     def take():
         # nothing here keeps the block alive once it is handed on
-        out = [np.concatenate(x) for x in got]
+        out = [np.concatenate(x, axis=-1) for x in got]
         for x in got:
             x.clear()
         return out
     for batch in batches:
         for first, last, data, offs in chunks(batch):
             s, e, row = word_bounds(data, offs)
-            new = (batch.column("doc_id").slice(first, last - first).to_numpy(zero_copy_only=False),
+            doc = batch.column("doc_id").slice(first, last - first)
+            new = (np.stack((doc.cast(pa.int64()).fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False))),
                    batch.column("held").slice(first, last - first).to_numpy(zero_copy_only=False),
                    roller.spans(roller.prefix(LOWER[data]), s, e), (row + n_rows).astype(np.int32))
             for x, y in zip(got, new):
@@ -102,7 +104,7 @@ def _blocks(batches, tokens: int = BLOCK_TOKENS):
             n_rows += last - first
             n_words += len(s)
             if n_words >= tokens or n_rows >= 2 ** 18:
-                del new, s, e, row
+                del new, s, e, row, doc
                 yield take()
                 n_rows, n_words = 0, 0
     if n_rows:
@@ -210,7 +212,7 @@ def send_bigrams(docs: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
 
 def _shares(name: int, n: int, hot: np.ndarray, block: list):
     """The packed rows of one block (see ``send_bigrams``)."""
-    ids, held = block[:2]
+    (ids, no_id), held = block[:2]
     m = len(ids)
     size = np.bincount(block[3], minlength=m)
     h, w, b, many, doc, times = _block_bigrams(block, size)
@@ -221,7 +223,7 @@ def _shares(name: int, n: int, hot: np.ndarray, block: list):
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(n + 1))
     del part
-    yield _rows([(name % n, "d", name, pack(ids.astype("<i8"), held.astype("<u1"), size.astype("<i8")))])
+    yield _rows([(name % n, "d", name, pack(ids.astype("<i8"), held.astype("<u1"), size.astype("<i8"), no_id.astype("<u1")))])
     for k in range(n):
         o = order[cuts[k]:cuts[k + 1]]
         if len(o):
@@ -372,8 +374,10 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, fold: int = 5, he
                     c1 = unpack(data)[1].astype(np.int64)
                     k, place, c = (x.astype(np.int64) for x in unpack(hot_))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(len(hot_keys))), pa.array(np.bincount(k, _times(c, d2), len(hot_keys))),
-                         pa.array(np.bincount(k, _times(c1[place], d1) / norm1, len(hot_keys)))], names=["k", "x", "p1"])
+                        [pa.array(np.arange(len(hot_keys))),  # a part without such bigrams gives whole zeros
+                         pa.array(np.bincount(k, _times(c, d2), len(hot_keys)).astype(float)),
+                         pa.array(np.bincount(k, _times(c1[place], d1) / norm1, len(hot_keys)).astype(float))],
+                        names=["k", "x", "p1"])
         sums = (counted.select("part", "hot").join(asked, "part").select("data", "hot")
                        .mapInArrow(hot_sums, "k long, x double, p1 double")
                        .groupBy("k").agg(F.sum("x").alias("x"), F.sum("p1").alias("p1")).collect())
@@ -455,11 +459,11 @@ def score(docs: DataFrame, order: int = 2, min_count: int = 2, fold: int = 5, he
         block, rows_, sums = None, None, None
 
         def out():
-            ids, held_, size = unpack(rows_)
+            ids, held_, size, no_id = unpack(rows_)
             s = sums if sums is not None else np.zeros((3, len(ids)))
             size_ = size + 1
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids.astype(np.int64)), pa.array(held_.astype(bool)), pa.array(size_.astype(np.int64)),
+                [pa.array(ids.astype(np.int64), mask=no_id.astype(bool)), pa.array(held_.astype(bool)), pa.array(size_.astype(np.int64)),
                  pa.array(np.rint(s[2]).astype(np.int64) + (end > 0)), pa.array(np.full(len(ids), tokens, np.int64)),
                  pa.array(s[1] + math.log10(end + 0.5) - size_ * base_norm), pa.array(s[0] + end_score)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
