@@ -226,3 +226,50 @@ def test_whole_license_texts(spark, frame):
     got = {(r.doc_id, r.license_id) for r in Q.scan(frame(rows)).filter("unit = 'document'").collect()}
     assert got == {*enumerate(names), *((100 + i, k) for i, k in enumerate(names)), (200, "Apache-2.0"),
                    (300, "BSD-3-Clause"), (301, "BSD-2-Clause"), (302, "BSD-3-Clause")}
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    from vocabtrim.llm.html_density import main_text
+    spent = []
+    for depth in (4000, 40000):
+        page = "<div>" * depth + f"<p>{LONG}</p>" + "</div><i></b>" * depth
+        start = time.perf_counter()
+        assert main_text(page) == LONG.strip()
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 30 * spent[0] + 1
+
+
+def test_density_against_plain_counts():
+    """Counts and densities of every node against recursion over the tree."""
+    import math
+    from vocabtrim.llm import html_density as H
+    rnd = random.Random(6)
+
+    def page(depth=0):
+        if depth > 5 or rnd.random() < 0.2:
+            return rnd.choice(["text ", "more words here ", "", "x"])
+        tag = rnd.choice(["div", "p", "a", "span", "ul", "li", "section", "b"])
+        return f"<{tag}>" + "".join(page(depth + 1) for _ in range(rnd.randint(0, 4))) + f"</{tag}>"
+
+    def counts(n):
+        kids = [k for k in n.kids if not isinstance(k, str) and not k.skip]
+        below = [counts(k) for k in kids]
+        chars = sum(len("".join(k.split())) for k in n.kids if isinstance(k, str)) + sum(c[0] for c in below)
+        tags = sum(c[1] for c in below) + len(kids)
+        links = chars if n.tag == "a" else sum(c[2] for c in below)
+        return chars, tags, links, (n.tag == "a") + sum(c[3] for c in below)
+    for _ in range(40):
+        root = H.parse("".join(page() for _ in range(6)))
+        nodes = H._nodes(root)
+        H._count(nodes)
+        c0 = counts(root)
+        for n in nodes:
+            c = counts(n)
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == c
+            want = 0.0
+            if c[0]:
+                lc, lt, t = max(1, c[2]), max(1, c[3]), max(1, c[1])
+                base = math.log(c[0] / max(1, c[0] - c[2]) * c[2] + c0[2] / max(1, c0[0]) * c[0] + math.e)
+                want = c[0] / t * max(0.0, math.log(c[0] * t / (lc * lt))) / math.log(1 + base)
+            assert n.density == pytest.approx(want)

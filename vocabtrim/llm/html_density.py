@@ -26,6 +26,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,13 +67,14 @@ SPACE = re.compile(r"\s+")
 
 class Node:
     __slots__ = ("tag", "kids", "skip", "hint", "chars", "tags", "link_chars", "link_tags", "density", "sum", "parent",
-                 "block", "top", "kept")
+                 "block", "top", "kept", "article")
 
     def __init__(self, tag, parent, skip, hint=False):
         self.tag, self.parent, self.skip, self.hint, self.kids = tag, parent, skip, hint, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.block = self.kept = False
+        self.article = tag in ("article", "main") or parent is not None and parent.article
         self.top = self
 
 
@@ -99,6 +101,11 @@ def parse(page: str) -> Node:
     """The tree of a page; text is a str among ``kids``."""
     root = Node("body", None, False)
     stack, at = [root], 0
+    open_ = Counter()  # tags on the stack above the root, so that a tag that is not open is not sought
+
+    def close(i):
+        open_.subtract(x.tag for x in stack[i:])
+        del stack[i:]
     while True:
         m = TOKEN.match(page, at)
         if m is None:
@@ -111,40 +118,41 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if m.group(1):
-            if tag in ("body", "html"):
+            if tag in ("body", "html") or not open_[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break  # an inline end tag closes nothing beyond its block
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCK and tag != "br":
+        if tag in BLOCK and tag != "br" and open_["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPE:
                     break
         if tag in CLOSES:
             closed, scope = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_[x] for x in closed) else ():
                 if stack[i].tag in scope:
                     break
                 if stack[i].tag in closed:
-                    del stack[i:]
+                    close(i)
         top = stack[-1]
         attributes = m.group(3)
-        node = Node(tag, top, *_noise(tag, attributes, any(x.tag in ("article", "main") for x in stack)))
+        node = Node(tag, top, *_noise(tag, attributes, top.article))
         top.kids.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            open_[tag] += 1
 
 
 def _nodes(root: Node) -> list[Node]:
