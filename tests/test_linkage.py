@@ -43,10 +43,10 @@ def parts(rows):
     return {frozenset(c) for c in by.values()}
 
 
-@pytest.mark.parametrize("n,blocks,groups", [(20, None, 0), (40, 3, 5), (1, 2, 4), (60, None, 0)])
+@pytest.mark.parametrize("n,blocks,groups", [(12, None, 0), (30, 3, 5), (1, 2, 4), (40, None, 0)])
 def test_average_linkage(spark, n, blocks, groups):
-    x = unit(60, groups=groups)
-    ids = [7 * k + 3 for k in range(60)]
+    x = unit(40, groups=groups)
+    ids = [7 * k + 3 for k in range(40)]
     got = average_linkage(frame(spark, x, ids), n, blocks=blocks).collect()
     assert parts(got) == one_at_a_time(x, ids, n)
 

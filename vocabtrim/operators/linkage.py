@@ -40,10 +40,8 @@ def joins(vecs: DataFrame, need: int, col: str = "vec", blocks: int | None = Non
                               F.lit(0.0).alias("top")), "live")
     dim = scalar(live, F.max(F.size("total"))) or 1
     found, near, looking, k, limit = None, None, live, 0, None
-    while True:
-        n_live = int(scalar(live, F.count(F.lit(1))))
-        if n_live < 2:
-            break
+    n_live = points = int(scalar(live, F.count(F.lit(1))))
+    while n_live > 1:
         m = blocks or V.block_count(n_live, dim, V.tasks_of(live))
         mean = F.transform("total", lambda x: x / F.col("size"))
         packed = lambda df: V.pack(df.select("id", mean.alias("mean")), m, key="id", col="mean")  # noqa: E731, B023
@@ -74,7 +72,9 @@ def joins(vecs: DataFrame, need: int, col: str = "vec", blocks: int | None = Non
         now = pair.select(F.lit(k).alias("round"), "a", "b", "height")
         found = now if found is None else found.unionByName(now)
         k += 1
-        limit = _bound(found, need)
+        n_live -= pair.count()
+        if points - n_live >= need:
+            limit = _bound(found, need)
         gone = pair.select(F.explode(F.array("a", "b")).alias("id"))
         fresh = pair.select(F.col("a").alias("id"), (F.col("size_a") + F.col("size_b")).alias("size"),
                             F.zip_with("total_a", "total_b", lambda x, y: x + y).alias("total"), F.col("height").alias("top"))
@@ -82,7 +82,7 @@ def joins(vecs: DataFrame, need: int, col: str = "vec", blocks: int | None = Non
         stay = near.join(gone, "id", "left_anti")
         near = stay.join(gone.withColumnRenamed("id", "other"), "other", "left_anti")
         lost = stay.join(gone.withColumnRenamed("id", "other"), "other", "left_semi").select("id")
-        looking = stored(live.join(lost.unionByName(fresh.select("id")), "id", "left_semi"), "looking")
+        looking = live.join(lost.unionByName(fresh.select("id")), "id", "left_semi")
     if found is None:
         return vecs.sparkSession.createDataFrame([], "round int, a long, b long, height double")
     r = with_row_number(found, [F.col("height").asc(), F.col("round").asc(), F.col("a").asc()])
