@@ -79,6 +79,20 @@ def part_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
+def _split(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2**24 as their low bytes and, compressed, the rest: rows of a block are
+    few, so the rest takes some bits each, which the shuffle's own compression does not find."""
+    high = (a >> 8).astype("<u2")
+    return (a & 255).astype("<u1"), np.frombuffer(pa.compress(high.tobytes(), codec="zstd", asbytes=True), "<u1")
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    if len(low) == 0:
+        return np.zeros(0, np.int64)
+    raw = pa.decompress(high.tobytes(), decompressed_size=2 * len(low), codec="zstd", asbytes=True)
+    return low + (np.frombuffer(raw, "<u2").astype(np.int64) << 8)
+
+
 # ------------------------------------------------------------- tokens of a block
 
 def _blocks(batches, tokens: int = BLOCK_TOKENS):
@@ -231,7 +245,7 @@ def _shares(name: int, n: int, hot: np.ndarray, block: list):
             reps = many[o].astype(np.int64)
             post = np.repeat(b[o] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
             yield _rows([(k, "b", name, pack(h[o][run_of], _narrow(np.diff(np.append(run_of, len(o)))), w[o],
-                                             _narrow(reps), _narrow(doc[post]), _narrow(times[post]),
+                                             _narrow(reps), *_split(doc[post]), _narrow(times[post]),
                                              np.packbits(held), np.array([m], "<i8")))])
 
 
@@ -243,9 +257,9 @@ def _rows(rows) -> pa.RecordBatch:
 
 def _entries(data: bytes):
     """A packed share of a block: h, w, postings a bigram, their rows and times, held, rows."""
-    hs, runs, w, many, doc, times, held, m = unpack(data)
+    hs, runs, w, many, low, high, times, held, m = unpack(data)
     m = int(m[0])
-    return np.repeat(hs, runs), w, many.astype(np.int64), doc.astype(np.int64), times.astype(np.int64), \
+    return np.repeat(hs, runs), w, many.astype(np.int64), _joined(low, high), times.astype(np.int64), \
         np.unpackbits(held)[:m].astype(bool), m
 
 
