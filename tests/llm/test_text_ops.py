@@ -132,13 +132,14 @@ def test_sql_of_the_queries(spark):
     from vocabtrim.llm.queries import ORACLE, QUERIES
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     for name, sql in ORACLE.items():
         got = QUERIES[name](spark, sf)
         exp = con.sql(sql)
         cols = sorted(got.columns)
         assert cols == sorted(exp.columns)
-        assert sorted(map(tuple, got.select(cols).collect())) == sorted(exp.select(*cols).fetchall()), name
+        assert sorted(map(tuple, got.select(cols).collect()), key=repr) == sorted(exp.select(*cols).fetchall(), key=repr), name
 
 
 def test_pipeline(spark):
