@@ -2,10 +2,9 @@
 
 Remapping rewrites whole corpora, so it is written two ways:
 
-* ``strategy="join"`` — explode the id arrays, equi-join the token map, and
-  rebuild the arrays per text.  Scales with any map size; if the input is
-  already hash-partitioned by example (it is right after :func:`sequences`),
-  the rebuild needs no extra shuffle.
+* ``strategy="join"`` — equi-join the distinct ids of blocks of rows with the token map and
+  rewrite the arrays inside the block (:mod:`.blocks`).  Scales with any map size; the
+  corpus itself is shuffled once, whole rows by their keys.
 * ``strategy="map"`` — for a map whose largest id has been checked to be
   small, fold it into one dense lookup array (index = old id), broadcast that
   single row and rewrite every array with ``transform``: no explode and no
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp
+from .blocks import looked_up, merged
 from .ordering import scalar
 
 MAP_LITERAL_LIMIT = 200_000
@@ -51,22 +51,13 @@ def _choose(token_map: DataFrame, strategy: str) -> tuple[str, int]:
     return ("map" if size <= MAP_LITERAL_LIMIT else "join"), size
 
 
-def _explode_join_rebuild(df: DataFrame, col: str, lookup: DataFrame, value_expr, keys, by=()) -> DataFrame:
-    """Explode ``col``, look every id up (in the map of its ``by`` group), and rebuild the
-    arrays per text.
-
-    Other columns ride along (``first`` per text) instead of being joined back,
-    and ``posexplode_outer`` keeps empty arrays as one NULL row, so the input is
-    read once.
-    """
+def _by_blocks(df: DataFrame, col: str, lookup: DataFrame, unk: int, keys, by=()) -> DataFrame:
+    """Look up the distinct ids of blocks of rows (in the map of their ``by`` group) and rewrite the
+    arrays by place; rows of the same keys become one, their other columns those of one of them."""
     others = [c for c in df.columns if c not in keys and c != col]
-    ex = df.select(*keys, *others, F.posexplode_outer(col).alias("_pos", "_old"))
-    j = ex.withColumn("_k", F.col("_old")).join(lookup, [*by, "_k"], "left")
-    j = j.select(*keys, *others, "_pos", value_expr.cast("int").alias("_new"))
-    cell = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_new"))  # NULL cells are not collected
-    return (j.groupBy(*keys)
-             .agg(F.array_sort(F.collect_list(cell)).alias("_ps"), *[F.first(c).alias(c) for c in others])
-             .select(*keys, *others, F.transform("_ps", lambda s: s["_new"]).alias(col)))
+    rows = looked_up(df, col, lookup, unk, by)
+    return (rows.groupBy(*keys).agg(F.collect_list(col).alias("_a"), *[F.first(c).alias(c) for c in others])
+                .select(*keys, *others, merged(F.col("_a")).alias(col)))
 
 
 def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int = 0,
@@ -75,7 +66,7 @@ def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int
     With ``by`` the map holds one map a group (a fold, say) and each row uses that of its group."""
     if by:
         lookup = token_map.select(*by, F.col("token_id").alias("_k"), F.col("new_id").alias("_v"))
-        return _explode_join_rebuild(df, col, lookup, F.coalesce(F.col("_v"), F.lit(unk)), keys, by)
+        return _by_blocks(df, col, lookup, unk, keys, by)
     how, size = _choose(token_map, strategy)
     if how == "map":
         # one row of at most MAP_LITERAL_LIMIT ints (checked above): broadcast to every task
@@ -85,10 +76,9 @@ def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int
             F.try_element_at(F.col("_lut"), x + 1), F.lit(unk)))).drop("_one", "_lut")
     lookup = token_map.select(F.col("token_id").alias("_k"), F.col("new_id").alias("_v"))
     if size <= BROADCAST_MAP_IDS:
-        # the id space is bounded (checked above): ship the map, keep the corpus in place,
-        # so the rebuild reuses the input's partitioning by text
+        # the id space is bounded (checked above): ship the map, keep the blocks in place
         lookup = F.broadcast(lookup)
-    return _explode_join_rebuild(df, col, lookup, F.coalesce(F.col("_v"), F.lit(unk)), keys)
+    return _by_blocks(df, col, lookup, unk, keys)
 
 
 def hybrid_lookup(token_map: DataFrame, oov: DataFrame, mode: str = "intended",

@@ -26,7 +26,7 @@ from ..operators.remap import reduce_embeddings, reduction_report, remap, remap_
 from ..operators.report import parse_logs, performance_drop, read_summary, run_summary, scan_logs, with_sizes
 from ..operators.split import kfold, split_train_test
 from ..operators.stats import token_stats, vocab_overlap
-from ..operators.tokens import counting_words, encode, texts, token_counts_from_words, words
+from ..operators.tokens import counting_words, encode_texts, texts, token_counts_from_words, words
 from ..sources.corpus import task_metadata
 
 
@@ -158,7 +158,7 @@ def prune(method: str, corpus: DataFrame, vocab: DataFrame, vocab_rows: int, emb
 
 def prepare(corpus: DataFrame, vocab: DataFrame, result: PruneResult, max_length: int = 128) -> DataFrame:
     """Encode every split to fixed length and rewrite it with the token map."""
-    enc = encode_pair(pair_arrays(encode(words(texts(corpus), keep_empty=True, limit=max_length - 2), vocab)),
+    enc = encode_pair(pair_arrays(encode_texts(texts(corpus), vocab, limit=max_length - 2)),
                       max_length)
     enc = enc.join(corpus.select("example_id", "split", "label"), "example_id")
     tm = result.token_map
@@ -201,7 +201,7 @@ def cross_validate(corpus: DataFrame, vocab: DataFrame, predictions: DataFrame,
     rows = texts(corpus.join(folds, "example_id"), extra=("fold",)).drop("split", "label")
     own = materialize(token_counts_from_words(words(rows, add_special_tokens=True), vocab, ["fold"], with_df=False))
     maps = materialize(keep_by_percent_grouped(other_folds(own, k), p, ["fold"]))
-    enc = encode_pair(pair_arrays(encode(words(rows, keep_empty=True, limit=max_length - 2), vocab)), max_length)
+    enc = encode_pair(pair_arrays(encode_texts(rows, vocab, limit=max_length - 2)), max_length)
     enc = materialize(remap(enc.drop("ids_a", "ids_b").join(folds, "example_id"), maps, keys=("example_id",),
                             by=("fold",)))
     real = F.filter(F.arrays_zip("input_ids", "attention_mask"), lambda x: x["attention_mask"] == 1)
