@@ -165,3 +165,15 @@ def test_query_stores_bigrams_met_once(spark, tmp_path):
     assert len(got) == len(exp)
     for a, b in zip(got, exp):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=1e-6)
+
+
+def test_packing_evolves_by_default():
+    """The default population and generations find fewer bins than best fit, where there are fewer."""
+    from vocabtrim.llm import packing as Q
+    rng = np.random.default_rng(5)
+    assert Q.POPULATION >= 8 and Q.GENERATIONS >= 24
+    size = [int(v) for v in rng.integers(15, 60, 120)]
+    first = Q.best_fit([], range(len(size)), size, 100)
+    out = Q.evolve(size, [], 100, 3, Q.POPULATION, Q.GENERATIONS)
+    assert sorted(i for b in out for i in b) == list(range(len(size))) and max(sum(size[i] for i in b) for b in out) <= 100
+    assert Q.fitness(out, size, 100) > Q.fitness(first, size, 100)

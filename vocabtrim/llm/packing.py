@@ -30,7 +30,7 @@ from .separator_scan import tokenizer_path
 LENGTH = 2048
 PROBLEM = 2048
 """Pieces of a problem, on average (a hash deals them)."""
-ISLANDS, ROUNDS, POPULATION, GENERATIONS = 2, 2, 3, 3
+ISLANDS, ROUNDS, POPULATION, GENERATIONS = 2, 2, 8, 24
 LOOSE = 0.97
 """Bins filled below this share are pooled and packed again."""
 
@@ -112,19 +112,21 @@ def evolve(size: list[int], guests, cap: int, seed, population: int, generations
     """Best solution of one island after some generations; ``guests`` join the start."""
     rng = np.random.default_rng(seed)
     floor = -(-sum(size) // cap)
-    pool = [g for g in guests if g] or [best_fit([], range(len(size)), size, cap)]
+    rated = lambda b: (fitness(b, size, cap), b)
+    best = lambda pool: sorted(pool, key=lambda x: x[0], reverse=True)[:population]
+    pool = [rated(g) for g in guests if g] or [rated(best_fit([], range(len(size)), size, cap))]
     while len(pool) < population:
-        pool.append(mutate(pool[0], size, cap, rng))
-    pool.sort(key=lambda b: fitness(b, size, cap), reverse=True)
+        pool.append(rated(mutate(pool[0][1], size, cap, rng)))
+    pool = best(pool)
     for _ in range(generations):
-        if len(pool[0]) <= floor:
-            break
+        if len(pool[0][1]) <= floor:
+            break  # no packing has fewer bins
         a, b = rng.choice(len(pool), 2, replace=False).tolist()
-        child = crossover(pool[min(a, b)], pool[max(a, b)], size, cap, rng)
+        child = crossover(pool[min(a, b)][1], pool[max(a, b)][1], size, cap, rng)
         if rng.random() < 0.5:
             child = mutate(child, size, cap, rng)
-        pool = sorted([*pool, child], key=lambda b: fitness(b, size, cap), reverse=True)[:population]
-    return pool[0]
+        pool = best([*pool, rated(child)])
+    return pool[0][1]
 
 
 def _bins(label) -> list[list[int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators.encoding import (encode_pair, label_or_default, pad_batches, pair_arrays, prediction_only,
@@ -10,7 +11,7 @@ from ..operators.ordering import stored
 from ..operators.rank import keep_by_percent
 from ..operators.remap import remap, remap_keep_padding
 from ..operators.split import split_train_test
-from ..operators.tokens import encode, encode_with, texts, token_counts_of, words
+from ..operators.tokens import encode_texts, encode_with, texts, token_counts_of
 from .common import Inputs
 from .oracle_sql import CORPUS, PAIR_CTES, STOP, TEXTS, VOCAB, doc_ctes, with_ctes
 from .q_prune import CNTS, FMAP, P, sql_percent_map, train_counts
@@ -22,7 +23,7 @@ MAXLEN = 128
 
 def encoded_pairs(inp: Inputs, corpus, pad=True, max_length=MAXLEN):
     """P6 on a corpus; words past the encoded length are cut before the vocabulary join."""
-    tokens = encode(words(texts(corpus), keep_empty=True, limit=max_length - 2), inp.vocab())
+    tokens = encode_texts(texts(corpus), inp.vocab(), limit=max_length - 2)
     return encode_pair(pair_arrays(tokens), max_length, pad=pad)
 
 
@@ -214,7 +215,9 @@ FROM bm m LEFT JOIN cnts c USING (token_id)"""))
 def hook_tokenizer(spark, sf_dir):
     """P3 with a tokenizer hook (a pandas UDF: one id a UTF-8 byte, after the specials), counted
     (A2, A3) and pruned by frequency at 20 %."""
-    utf8 = F.pandas_udf(lambda text: text.map(lambda t: [b + 5 for b in t.encode()]), "array<int>", F.PandasUDFType.SCALAR)
+    # arrays of 4 bytes an id, not lists of Python ints
+    utf8 = F.pandas_udf(lambda text: text.map(lambda t: np.frombuffer(t.encode(), np.uint8).astype(np.int32) + 5),
+                        "array<int>", F.PandasUDFType.SCALAR)
     inp = Inputs(spark, sf_dir)
     rows = texts(inp.text_corpus().filter(F.col("split") == "train"))
     counts = stored(token_counts_of(encode_with(rows, utf8)), "byte-counts")

@@ -248,10 +248,11 @@ def p4_subword_encode(spark, sf_dir):
     """P4 (+P5): greedy longest-match subword segmentation of the pair corpus's
     distinct words over pieces derived from the vocabulary; pieces re-joined
     after stripping the ``##`` marker."""
-    from ..functions.text import strip_marker
+    from ..functions.text import SPECIAL_TOKENS, strip_marker
     from ..operators.tokens import encode_subwords, subword_pieces
     inp = Inputs(spark, sf_dir)
-    pieces = subword_pieces(inp.vocab(), inp.words())
+    # the words of the one counting pass, which has the markers too
+    pieces = subword_pieces(inp.vocab(), inp.split_words().filter(~F.col("word").isin(list(SPECIAL_TOKENS))))
     seg = encode_subwords(inp.words(inp.pairs()), pieces)
     rejoined = F.when(F.array_contains("pieces", "[UNK]"), F.lit("[UNK]")).otherwise(
         F.array_join(F.transform("pieces", lambda x: strip_marker(x)), ""))
