@@ -53,11 +53,12 @@ def _choose(token_map: DataFrame, strategy: str) -> tuple[str, int]:
 
 def _by_blocks(df: DataFrame, col: str, lookup: DataFrame, unk: int, keys, by=()) -> DataFrame:
     """Look up the distinct ids of blocks of rows (in the map of their ``by`` group) and rewrite the
-    arrays by place; rows of the same keys become one, their other columns those of one of them."""
+    arrays by place; rows of the same keys become one, their other columns those of the first."""
     others = [c for c in df.columns if c not in keys and c != col]
-    rows = looked_up(df, col, lookup, unk, by)
-    return (rows.groupBy(*keys).agg(F.collect_list(col).alias("_a"), *[F.first(c).alias(c) for c in others])
-                .select(*keys, *others, merged(F.col("_a")).alias(col)))
+    rows = looked_up(df.withColumn("_at", F.monotonically_increasing_id()), col, lookup, unk, by)
+    first = F.min_by(F.struct("_at", *others), "_at").alias("_f")
+    return (rows.groupBy(*keys).agg(F.collect_list(col).alias("_a"), first)
+                .select(*keys, *[F.col(f"_f.{c}").alias(c) for c in others], merged(F.col("_a")).alias(col)))
 
 
 def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int = 0,
