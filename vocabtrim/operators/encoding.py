@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CLS_ID, PAD_ID, SEP_ID
-from .blocks import merged
 from .ordering import with_row_number
 
 
@@ -23,8 +22,6 @@ def pair_arrays(tokens: DataFrame) -> DataFrame:
     part (``n_words`` from ``words(limit=...)``) also give the full lengths ``len_a, len_b``.
     """
     cut = "n_words" in tokens.columns
-    if "input_ids" in tokens.columns:
-        return _pairs_of_texts(tokens, cut)
     full = [F.max(F.when(F.col("side") == s, F.col("n_words"))).alias(f"len_{s}") for s in ("a", "b")] if cut else []
     g = tokens.groupBy("example_id").agg(
         F.sort_array(F.collect_list(F.struct("side", "pos", "token_id"))).alias("_t"), *full)
@@ -35,16 +32,6 @@ def pair_arrays(tokens: DataFrame) -> DataFrame:
                     F.when(has_b, ids("b")).alias("ids_b"), *(["len_a", "len_b"] if cut else []))
 
 
-def _pairs_of_texts(rows: DataFrame, cut: bool) -> DataFrame:
-    """:func:`pair_arrays` of one row a text, ``(example_id, side, input_ids)`` and ``n_words``."""
-    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
-    full = [F.max(of(s, "n_words")).alias(f"len_{s}") for s in ("a", "b")] if cut else []
-    g = rows.groupBy("example_id").agg(F.collect_list(of("a", "input_ids")).alias("_a"),
-                                       F.collect_list(of("b", "input_ids")).alias("_b"), *full)
-    return g.select("example_id", merged(F.col("_a")).alias("ids_a"),
-                    F.when(F.size("_b") > 0, merged(F.col("_b"))).alias("ids_b"), *(["len_a", "len_b"] if cut else []))
-
-
 def truncated_lengths(la: Column, lb: Column, budget: Column | int):
     """Longest-first truncation to ``budget`` tokens: (kept_a, kept_b).
 
