@@ -137,3 +137,29 @@ def test_eps_edges_blocks_match_brute_force(spark):
     for block in (3, 1024):
         got = {(r.a, r.b) for r in eps_edges(_vecs(spark, rows), 0.3, block=block).collect()}
         assert got == want, block
+
+
+def test_history_is_not_dealt_by_run(spark, monkeypatch):
+    """Entries that come dealt by run: no task gets all of a run, and the series are the plain ones."""
+    from collections import Counter
+    from vocabtrim.operators import metrics
+    parts = {}
+
+    def seen(df, *args, **kw):
+        parts.update(Counter(r[0] for r in df.select(F.spark_partition_id()).collect()))
+        return numbered(df, *args, **kw)
+    numbered = metrics.with_row_number
+    monkeypatch.setattr(metrics, "with_row_number", seen)
+    rows = [(run, s, k, None if k == "note" else float(s)) for run in ("a", None) for s in range(300)
+            for k in (("eval_loss", "epoch") if s % 3 == 0 else ("loss", "epoch", "other", "note"))]
+    df = spark.createDataFrame(rows, "run string, step long, key string, value double").repartition(2, "run")
+    got = {}
+    for r in metrics.metric_history(df).collect():
+        got.setdefault((r.run, r.phase, r.metric), {})[r.idx] = r.value
+    want = {}
+    for run, s, k, v in rows:
+        if s % 3 == 0 or k in metrics.TRAIN_KEYS:
+            name = (run, "eval" if s % 3 == 0 else "train", k.removeprefix("eval_"))
+            want.setdefault(name, {})[len(want.get(name, {}))] = v
+    assert got == want
+    assert max(parts.values()) < sum(parts.values()) / 2

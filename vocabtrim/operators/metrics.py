@@ -162,6 +162,8 @@ def timing_summary(timings: DataFrame, run: str = "run", value: str = "seconds")
 
 
 TRAIN_KEYS = ("loss", "learning_rate", "epoch")
+ENTRIES = 1 << 19
+"""Log entries that a task sorts, on average."""
 
 
 def metric_history(events: DataFrame) -> DataFrame:
@@ -173,17 +175,19 @@ def metric_history(events: DataFrame) -> DataFrame:
     the series, ordered by step.
     """
     from pyspark.sql import Window
-    num = events.filter(F.col("value").isNotNull())
+    # dealt by run and step into parts of bounded size: what the entries come from may be dealt
+    # by run alone, and then a task would sort all entries of a run
+    num = stored(events.filter(F.col("value").isNotNull()).select("run", "step", "key", "value"), "entries")
+    n = max(int(num.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-num.count() // ENTRIES))
     is_eval = F.max(F.col("key").startswith("eval_").cast("int")).over(Window.partitionBy("run", "step")) == 1
-    e = num.withColumn("_eval", is_eval)
-    ev = e.filter(F.col("_eval") & (F.col("key").startswith("eval_") | (F.col("key") == "epoch"))) \
-          .select("run", "step", F.lit("eval").alias("phase"),
-                  F.regexp_replace("key", "^eval_", "").alias("metric"), "value")
-    tr = e.filter(~F.col("_eval") & F.col("key").isin(list(TRAIN_KEYS))) \
-          .select("run", "step", F.lit("train").alias("phase"), F.col("key").alias("metric"), "value")
-    s = ev.unionByName(tr)
+    e = num.repartition(n, "run", "step").withColumn("_eval", is_eval)
+    kept = F.when(F.col("_eval"), F.col("key").startswith("eval_") | (F.col("key") == "epoch")) \
+            .when(~F.col("_eval"), F.col("key").isin(list(TRAIN_KEYS)))
+    s = e.filter(kept).select(
+        "run", "step", F.when(F.col("_eval"), "eval").otherwise("train").alias("phase"),
+        F.when(F.col("_eval"), F.regexp_replace("key", "^eval_", "")).otherwise(F.col("key")).alias("metric"), "value")
     # one series can hold a large share of all entries: distributed numbering
-    s = with_row_number(s, [F.col("step").asc()], name="_i", groups=["run", "phase", "metric"])
+    s = with_row_number(s, [F.col("step").asc()], name="_i", groups=["run", "phase", "metric"], num_partitions=n)
     return s.withColumn("idx", (F.col("_i") - 1).cast("long")).drop("step", "_i")
 
 
