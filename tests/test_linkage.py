@@ -169,3 +169,27 @@ def test_components_below_the_bound_are_finished_at_once(spark, monkeypatch):
         assert parts(L.average_linkage(vecs, 17, blocks=1).collect()) == one_at_a_time(x, range(25), 17)
         if members == 2048:
             assert len(searches) == 1
+
+
+def test_cells_hold_few_blocks_and_meet_each_pair_once(spark):
+    """40 blocks: no cell has more than HELD of the left, no block goes to each of the others,
+    and each pair of blocks is met once."""
+    from collections import Counter
+    vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(400)], "token_id int, vec array<double>")
+    blocks = V.pack(vecs, 40, by=F.floor(F.col("token_id") / 10).cast("int"))
+    right = blocks.filter("blk < 13")
+
+    def met(half):
+        def run(batches):
+            import pyarrow as pa
+            for cell, a, b, (x, _), (y, _) in V.each_pair(batches, half):
+                assert x[0] // 10 == a and y[-1] // 10 == b and len(x) == len(y) == 10
+                yield pa.RecordBatch.from_pydict({"cell": [cell], "a": [a], "b": [b]})
+        return run
+    for half, other, n in ((False, right, 13), (True, blocks, 40)):
+        cells = V.pairs(blocks, other, 40, n, half)
+        got = Counter((r.a, r.b) for r in cells.mapInArrow(met(half), "cell long, a long, b long").collect())
+        assert got == Counter((a, b) for a in range(40) for b in range(n) if not half or a <= b)
+        rows = Counter((r.cell, r.side) for r in cells.select("cell", "side").collect())
+        assert max(v for (_, side), v in rows.items() if side == 0) <= V.HELD
+        assert sum(rows.values()) < 40 * n / 2

@@ -3,8 +3,8 @@
 Vectors are ``(token_id, vec ARRAY<DOUBLE>)``; searches run over packed blocks of them
 (:mod:`.vectors`).
 
-* k-means (C1): points and centres are tables of blocks.  A task holds a block of points
-  and one of centres; the best of all centre blocks and the partial sums of the new
+* k-means (C1): points and centres are tables of blocks.  A task holds some blocks of points
+  and meets blocks of centres one after another; the best of all centre blocks and the partial sums of the new
   centres are put together per block, so neither points nor centres go through the driver
   and any k will do.  Initial centres: the k smallest ``md5(seed:token_id)``; ties go to
   the lowest centre id; an empty cluster keeps its centre.  It ends after ``rounds``, or
@@ -89,15 +89,30 @@ _BEST_ARROW = pa.schema([("blk", pa.int32()), ("c_blk", pa.int32()), ("ids", pa.
                          ("dist", pa.binary()), ("mat", pa.binary())])
 
 
-def _best_of_block(points: DataFrame, centres: DataFrame, c_blocks: int) -> DataFrame:
-    """For each block of points and each of centres: the nearest of these centres."""
-    def run(batches):
-        for blk, c_blk, (ids, x), (clusters, mat) in V.each_pair(batches):
-            place, dist = V.nearest_rows(x, mat)
+def _best_of_block(points: DataFrame, centres: DataFrame, p_blocks: int, c_blocks: int) -> DataFrame:
+    """For each block of points and each strip of blocks of centres: the nearest of these centres."""
+    def rows(best):
+        for blk, (c_blk, ids, cluster, dist) in best.items():
             yield pa.RecordBatch.from_pylist(
-                [{"blk": blk, "c_blk": c_blk, "ids": ids.tobytes(), "cluster": clusters[place].tobytes(),
+                [{"blk": blk, "c_blk": c_blk, "ids": ids.tobytes(), "cluster": cluster.tobytes(),
                   "dist": dist.tobytes(), "mat": None}], schema=_BEST_ARROW)
-    return V.pairs(points, centres, c_blocks).mapInArrow(run, _BEST)
+
+    def run(batches):
+        now, best = None, {}
+        for cell, blk, c_blk, (ids, x), (clusters, mat) in V.each_pair(batches):
+            if cell != now:
+                yield from rows(best)
+                now, best = cell, {}
+            place, dist = V.nearest_rows(x, mat)
+            cluster = clusters[place]
+            if blk in best:
+                # centre blocks come in order, so the lowest centre keeps a tie
+                c_blk, _, c, d = best[blk]
+                nearer = dist < d
+                cluster, dist = np.where(nearer, cluster, c), np.where(nearer, dist, d)
+            best[blk] = (c_blk, ids, cluster, dist)
+        yield from rows(best)
+    return V.pairs(points, centres, p_blocks, c_blocks).mapInArrow(run, _BEST)
 
 
 def _by_block(best: DataFrame, blocks: int):
@@ -179,7 +194,7 @@ def _next_centres(points: DataFrame, centres: DataFrame, p_blocks: int, c_blocks
         if blk is not None:
             yield done()
     none = F.lit(None).cast("binary")
-    best = _by_block(_best_of_block(points, centres, c_blocks).unionByName(mats), p_blocks)
+    best = _by_block(_best_of_block(points, centres, p_blocks, c_blocks).unionByName(mats), p_blocks)
     part = best.mapInArrow(sums, _SUMS).unionByName(
         centres.select(F.col("blk").alias("c_blk"), "ids", none.alias("n"), none.alias("total"), F.col("mat").alias("old")))
     tasks = min(c_blocks, V.tasks_of(points))
@@ -222,7 +237,7 @@ def kmeans(vecs: DataFrame, k: int, seed: int = 42, rounds: int | None = 5, col:
                 ids, mat = V.unpacked(batch.column("ids")[i].as_py(), batch.column("mat")[i].as_py())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * mat.shape[1], pa.int32()), pa.array(mat.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), flat], names=["cluster", "centre"])
-    lab = _by_block(_best_of_block(points, centres, c_blocks), p_blocks).mapInArrow(
+    lab = _by_block(_best_of_block(points, centres, p_blocks, c_blocks), p_blocks).mapInArrow(
         labels, "token_id long, cluster int, dist double")
     return (stored(lab.withColumn("token_id", F.col("token_id").cast(kind)), "labels"),
             centres.mapInArrow(rows, "cluster int, centre array<double>"))

@@ -1,8 +1,8 @@
 """Vectors in packed blocks, and exact searches over pairs of blocks.
 
 A block is one row: the ids and the matrix of at most ``BLOCK_BYTES`` of vectors.  A
-search pairs blocks with blocks; a task holds two of them and multiplies tiles, so only
-its answers (a best match a row, or spanning stars of the close points) leave it.  No
+search deals the pairs of blocks to cells: a task holds a few blocks of the left and meets
+those of the right one after another, and multiplies tiles, so only its answers (a best match a row, or spanning stars of the close points) leave it.  No
 pair of points is ever a row, and no vector goes through the driver.
 
 The work of a search is one product a pair of points, in matrix form.  Searches with a
@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+HELD = 8
+"""Blocks of the left that a task may hold."""
 LEAST_ROWS = 128
 TILE = 512
 
@@ -85,22 +87,46 @@ def pack(vecs: DataFrame, blocks: int, by=None, key: str = "token_id", col: str
     return rows.repartition(n, "blk").sortWithinPartitions("blk", "id").mapInArrow(run, BLOCK)
 
 
-def pairs(left: DataFrame, right: DataFrame, right_blocks: int, half: bool = False) -> DataFrame:
-    """Every block of ``left`` beside every block of ``right`` (``half``: beside those of no
-    smaller number, for a search of one set against itself)."""
-    first = F.col("blk") if half else F.lit(0)
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in ("blk", "n", "ids", "mat")],
-                    F.explode(F.sequence(first, F.lit(right_blocks - 1))).alias("r_blk"))
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in ("blk", "n", "ids", "mat")])
-    # dealt by the pair, so that the partners of one block are spread over tasks
-    return a.join(b, "r_blk").repartition(tasks_of(left), "l_blk", "r_blk")
+def strips(left: int, right: int, tasks: int, half: bool = False) -> tuple[int, int]:
+    """Strips that the blocks of the left and of the right are cut into.  A cell is a pair of
+    strips; each block goes once to every strip of the other side, so strips are as few as
+    ``HELD`` blocks of the left and work for ``tasks`` tasks allow."""
+    least = -(-left // HELD)
+    if half:
+        n = max(least, min(left, math.isqrt(2 * tasks)))
+        return n, n
+    n = max(least, min(left, math.isqrt(tasks) + 1))
+    return n, min(right, -(-tasks // n))
 
 
-def each_pair(batches):
+def pairs(left: DataFrame, right: DataFrame, left_blocks: int, right_blocks: int, half: bool = False) -> DataFrame:
+    """Every block of ``left`` beside every block of ``right`` (``half``: beside those of no
+    smaller number, for a search of one set against itself), as rows of cells for :func:`each_pair`."""
+    tasks = min(tasks_of(left), 2 * left.sparkSession.sparkContext.defaultParallelism)
+    n, m = strips(left_blocks, right_blocks, tasks, half)
+    row = F.floor(F.col("blk") * n / F.lit(left_blocks))
+    col = F.floor(F.col("blk") * m / F.lit(right_blocks))
+    cells = lambda df, side, cell: df.select(F.explode(cell).alias("cell"), F.lit(side).alias("side"), "blk", "ids", "mat")
+    a = cells(left, 0, F.transform(F.sequence(row if half else F.lit(0).cast("long"), F.lit(m - 1).cast("long")), lambda c: row * m + c))
+    b = cells(right, 1, F.transform(F.sequence(F.lit(0).cast("long"), col if half else F.lit(n - 1).cast("long")), lambda r: r * m + col))
+    return a.unionByName(b).repartition(max(tasks_of(left), n * m), "cell").sortWithinPartitions("cell", "side", "blk")
+
+
+def each_pair(batches, half: bool = False):
+    """``(cell, l_blk, r_blk, left, right)`` of the rows of cells; a cell's right blocks come in order."""
+    now, held = None, []
     for batch in batches:
-        for row in range(batch.num_rows):
-            get = lambda c: batch.column(c)[row].as_py()  # noqa: E731, B023
-            yield get("l_blk"), get("r_blk"), unpacked(get("l_ids"), get("l_mat")), unpacked(get("r_ids"), get("r_mat"))
+        cell, side, blk = (batch.column(c).to_pylist() for c in ("cell", "side", "blk"))
+        for i in range(batch.num_rows):
+            if cell[i] != now:
+                now, held = cell[i], []
+            ids, mat = unpacked(batch.column("ids")[i].as_buffer(), batch.column("mat")[i].as_buffer())
+            if side[i] == 0:
+                held.append((blk[i], (ids.copy(), mat.copy())))
+                continue
+            for l_blk, block in held:
+                if not half or l_blk <= blk[i]:
+                    yield now, l_blk, blk[i], block, (ids, mat)
 
 
 # ---------------------------------------------------------------- nearest centre
@@ -143,16 +169,29 @@ def best_products(a_ids, a, b_ids, b):
     return best, value
 
 
-def neighbours(left: DataFrame, right: DataFrame, right_blocks: int) -> DataFrame:
+def neighbours(left: DataFrame, right: DataFrame, left_blocks: int, right_blocks: int) -> DataFrame:
     """``(id, other, product)``: for each vector of ``left`` the one of ``right``, other than
     itself, of the greatest inner product (ties: lowest id)."""
-    def run(batches):
-        for _, _, (a_ids, a), (b_ids, b) in each_pair(batches):
-            best, value = best_products(a_ids, a, b_ids, b)
-            some = best >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(a_ids[some]), pa.array(best[some]), pa.array(value[some])],
+    def rows(best):
+        for ids, other, product in best.values():
+            some = other >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[some]), pa.array(product[some])],
                                              names=["id", "other", "product"])
-    found = pairs(left, right, right_blocks).mapInArrow(run, "id long, other long, product double")
+
+    def run(batches):
+        now, best = None, {}
+        for cell, blk, _, (a_ids, a), (b_ids, b) in each_pair(batches):
+            if cell != now:
+                yield from rows(best)
+                now, best = cell, {}
+            other, value = best_products(a_ids, a, b_ids, b)
+            if blk in best:
+                _, o, v = best[blk]
+                more = (other >= 0) & ((value > v) | ((value == v) & (other < o)))
+                other, value = np.where(more, other, o), np.where(more, value, v)
+            best[blk] = (a_ids, other, value)
+        yield from rows(best)
+    found = pairs(left, right, left_blocks, right_blocks).mapInArrow(run, "id long, other long, product double")
     return (found.groupBy("id").agg(F.max_by(F.struct("other", "product"), F.struct("product", -F.col("other"))).alias("b"))
                  .select("id", "b.other", "b.product"))
 
@@ -203,11 +242,11 @@ def close_stars(blocks: DataFrame, n_blocks: int, least: float, forest: bool = T
     at least ``least``: of each pair of blocks spanning stars, at most one row a point.
     Without ``forest`` all such pairs."""
     def run(batches):
-        for la, lb, (a_ids, a), (b_ids, b) in each_pair(batches):
+        for _, la, lb, (a_ids, a), (b_ids, b) in each_pair(batches, half=True):
             i, j = close_pairs(a, b, least)
             if la == lb:
                 i, j = i[i < j], j[i < j]
             x, y = a_ids[i], b_ids[j]
             x, y = stars(x, y) if forest else (np.minimum(x, y), np.maximum(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-    return pairs(blocks, blocks, n_blocks, half=True).mapInArrow(run, "a long, b long").distinct()
+    return pairs(blocks, blocks, n_blocks, n_blocks, half=True).mapInArrow(run, "a long, b long").distinct()
