@@ -177,3 +177,35 @@ def test_packing_evolves_by_default():
     out = Q.evolve(size, [], 100, 3, Q.POPULATION, Q.GENERATIONS)
     assert sorted(i for b in out for i in b) == list(range(len(size))) and max(sum(size[i] for i in b) for b in out) <= 100
     assert Q.fitness(out, size, 100) >= Q.fitness(first, size, 100)
+
+
+def test_ids_of_a_chunk_are_the_tokenizer_s(monkeypatch):
+    """Words of a chunk looked up once each: the ids of every text as the tokenizer gives them,
+    with far fewer look-ups than words."""
+    import itertools
+    import numpy as np
+    import pyarrow as pa
+    from vocabtrim.llm.common import CachedBpe, chunks
+    from vocabtrim.llm.separator_scan import tokenizer_path
+    bpe = CachedBpe(tokenizer_path())
+    parts = ["'s", "'re", "'LL", "'", " ", "  ", "\n", "\t", "a", "é", "ll", "x9", "..", "12", "×", "\x0b", "ǀɏ", "日本", "\u00a0"]
+    texts = ["".join(p) for n in (1, 2, 3) for p in itertools.product(parts, repeat=n)]
+    texts += ["", None, "they'll we've I'd it'st 'r 'v'l 's's x''s \n's", "end  ", " \r\n ", "ÿ÷", "é'", "'"]
+    rnd = np.random.default_rng(5)
+    texts += ["".join(rnd.choice(parts, 12)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    for size in (300, 1 << 20):
+        got = [ids[a:b].tolist() for _, _, data, offs in chunks(batch, size=size) for ids, at in [bpe.many(data, offs)]
+               for a, b in zip(at[:-1], at[1:])]
+        assert got == [bpe.enc.encode_ordinary(t or "") for t in texts]
+    class Seen(dict):
+        asked = 0
+
+        def __getitem__(self, piece):
+            Seen.asked += 1
+            return bpe._ids(piece)
+    monkeypatch.setattr(bpe, "cache", Seen())
+    words = pa.RecordBatch.from_pydict({"text": ["one two three\n" * 50] * 20})
+    (_, _, data, offs), = chunks(words)
+    bpe.many(data, offs)
+    assert Seen.asked < 10

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CachedBpe, need, written
+from .common import CachedBpe, chunks, need, written
 from .separator_scan import tokenizer_path
 
 LENGTH = 2048
@@ -37,6 +37,10 @@ LOOSE = 0.97
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+CHUNK = 4 << 20
+"""Text bytes that are cut into words at a time."""
+
+
 def pieces(docs: DataFrame, length: int = LENGTH, end: int = 0, path: str | None = None) -> DataFrame:
     """Token pieces of every document: its ids, then the id ``end``.  A document longer
     than ``length`` is cut so that only its first piece is shorter.  ``uid`` numbers the
@@ -47,9 +51,12 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = 0, path: str | None
         encode, tail = CachedBpe(where), np.array([end], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text or "") + tail
+            out, docs = [[] for _ in range(6)], batch.column("doc_id").to_pylist()
+            # each distinct word of a chunk is looked up once
+            texts = ((docs[first + k], found[a:b]) for first, _, data, offs in chunks(batch, size=CHUNK)
+                     for found, at in [encode.many(data, offs)] for k, (a, b) in enumerate(zip(at[:-1], at[1:])))
+            for doc, found in texts:
+                ids = found.tobytes() + tail
                 n = len(ids) // 4
                 cuts = [0, *range(n % length or length, n + 1, length)] if n > length else [0, n]
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -66,7 +73,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, end: int = 0, path: str | None
 
 def best_fit(bins: list[list[int]], items, size, cap: int) -> list[list[int]]:
     """Put items, longest first, into the fullest bin that takes them, else a new one."""
-    free = sorted((cap - sum(size[i] for i in b), k) for k, b in enumerate(bins))
+    free = sorted((cap - sum(map(size.__getitem__, b)), k) for k, b in enumerate(bins))
     for i in sorted(items, key=lambda i: (-size[i], i)):
         at = bisect_left(free, (size[i], -1))
         if at == len(free):
@@ -81,12 +88,12 @@ def best_fit(bins: list[list[int]], items, size, cap: int) -> list[list[int]]:
 
 def fitness(bins, size, cap: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones (sum of squared fills)."""
-    return -len(bins), sum((sum(size[i] for i in b) / cap) ** 2 for b in bins)
+    return -len(bins), sum((sum(map(size.__getitem__, b)) / cap) ** 2 for b in bins)
 
 
 def crossover(one, two, size, cap: int, rng) -> list[list[int]]:
     """Inject well-filled bins of ``two`` whole into ``one``."""
-    fills = np.array([sum(size[i] for i in b) for b in two])
+    fills = np.array([sum(map(size.__getitem__, b)) for b in two])
     good = np.flatnonzero(fills >= np.quantile(fills, 0.5))
     some = rng.choice(good, max(1, len(good) // 3), replace=False)
     child = [list(two[k]) for k in some.tolist()]
@@ -102,7 +109,7 @@ def crossover(one, two, size, cap: int, rng) -> list[list[int]]:
 
 def mutate(bins, size, cap: int, rng) -> list[list[int]]:
     """Empty the worst-filled bins and a few others, and put their pieces back."""
-    fills = np.array([sum(size[i] for i in b) for b in bins]) + rng.random(len(bins)) * cap * 0.2
+    fills = np.array([sum(map(size.__getitem__, b)) for b in bins]) + rng.random(len(bins)) * cap * 0.2
     gone = set(np.argsort(fills, kind="stable")[:max(1, len(bins) // 20)].tolist())
     return best_fit([list(b) for k, b in enumerate(bins) if k not in gone],
                     [i for k in gone for i in bins[k]], size, cap)
