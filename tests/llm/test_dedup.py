@@ -189,6 +189,35 @@ def test_texts_without_repeats(frame):
     assert Q.removed(frame([])).collect() == []
 
 
+def test_zones_are_shuffled_once(frame, monkeypatch):
+    from vocabtrim.llm import suffix_dedup as Q
+    rnd = random.Random(8)
+    rows = _repeat_cases() + [(2000 + k, " ".join(f"{rnd.random()}" for _ in range(200))) for k in range(20)]
+    found = Q.zones(Q._keyed(frame(rows), "doc_id"), 400, 64).collect()
+    met, kinds, want = collections.Counter((z.anchor, z.zone) for z in found), collections.defaultdict(dict), collections.Counter()
+    for z in found:
+        kinds[z.anchor][z.zone] = z.n
+    seen = set()
+    for z in sorted(found):
+        of = kinds[z.anchor]
+        lead = (z.anchor, z.zone) not in seen and len(of) > 1 and any(met[z.anchor, k] == 1 for k in of)
+        seen.add((z.anchor, z.zone))
+        if met[z.anchor, z.zone] > 1 or lead:
+            want[(*z, met[z.anchor, z.zone], lead, sum(of.values()) + 400 * len(of))] += 1
+    saved = []
+
+    def written(df, name, write=Q.written):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        saved.append((name, plan.count("Exchange hashpartitioning"), out := write(df, name)))
+        return out
+    monkeypatch.setattr(Q, "written", written)
+    Q.removed(frame(rows)).collect()
+    (name, shuffles, out), = [x for x in saved if x[0].startswith("zone")]
+    got = out.select("_id", "_th", "first", "n", "anchor", "zone", "met", "lead", "bytes").collect()
+    assert shuffles == 1 and collections.Counter(map(tuple, got)) == want
+    assert 0 < len(got) < len(found)
+
+
 def _edit(rnd, t, n):
     t = list(t)
     for _ in range(n):
