@@ -279,3 +279,51 @@ def test_leaks_match_brute_force(spark, frame):
     assert kept == {i for i, _ in rows} - {i for i, _ in exp}
     assert Q.leaks(frame([]), bench).collect() == []
     assert Q.leaks(frame(rows), bench.limit(0)).collect() == []
+
+
+def test_frequent_grams_are_counted_in_bounded_parts(monkeypatch):
+    import tracemalloc
+
+    from vocabtrim.llm import decontaminate as Q
+    from vocabtrim.llm.common import Roller
+    rnd = random.Random(8)
+    items = [(k, " ".join(rnd.choices(["0 1 0 1 0 1", "7"], [9, 1], k=12))) for k in range(10)]
+    index = Q.Index(items, Q.Q, Q.EDIT_RATE, Q.PROBE)
+
+    def made(n):
+        texts = [" ".join(rnd.choices(["0 1 0 1", "7 7", "5"], [6, 1, 1], k=n)).encode() for _ in range(3)]
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    data, offs = made(20)
+    whole = sorted(Q._matches(index, data, offs, Roller(10)))
+    monkeypatch.setattr(Q, "HITS", 500, raising=False)
+    assert sorted(Q._matches(index, data, offs, Roller(10))) == whole != []
+    monkeypatch.undo()
+
+    index.bound += 10 ** 6  # no band reaches it: only the counting takes memory
+    data, offs = made(3000)
+    tracemalloc.start()
+    Q._matches(index, data, offs, Roller(10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def _python_steps(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("ArrowEvalPython"), plan.count("MapInArrow")
+
+
+def test_rows_go_through_python_once(spark, frame):
+    from vocabtrim.llm import decontaminate, suffix_dedup
+    rnd = random.Random(4)
+    shared = "".join(rnd.choices("abcdef ", k=500))
+    rows = [(k, "".join(rnd.choices("abcdef ", k=300)) + shared) for k in range(4)] + [(9, None), (10, shared)]
+    bench = spark.createDataFrame([(1, shared[:90])], "item_id long, text string")
+    # the texts of the rows are cut by one function, once; the other step makes the runs
+    cut = suffix_dedup.deduplicated(frame(rows), length=400)
+    assert _python_steps(cut)[0] == 1
+    assert {r.doc_id for r in cut.collect()} == {0, 1, 2, 3, 9}
+    # rows are judged by their texts alone
+    kept = decontaminate.clean(frame(rows), bench)
+    assert _python_steps(kept) == (1, 0)
+    assert [r.doc_id for r in kept.collect()] == [9]

@@ -9,7 +9,8 @@ are aligned to the probe with a banded edit-distance table, and kept if the dist
 is within the budget.  Nothing within the budget is lost.
 
 The probe index travels to the tasks in blocks of at most ``INDEX_BYTES`` of benchmark
-text; a larger benchmark takes several passes over the documents.
+text; a larger benchmark takes several passes over the documents.  A task works on ``WORK_BYTES``
+of text and about ``HITS`` hits at a time; ``clean`` sends it the texts alone.
 
 Edge cases: null or empty texts and items match nothing; an item shorter than a q-gram
 must occur exactly, between spaces; repeated rows come back once a (doc_id, item_id), and
@@ -19,6 +20,8 @@ empty tables give an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,10 @@ PROBE = 100
 """Bytes of a probe; longer items have probes at every half of it."""
 EDIT_RATE = 0.07
 INDEX_BYTES = 8 << 20
+WORK_BYTES = 1 << 18
+"""Text bytes a task holds in its work arrays at a time (one longer text is taken alone)."""
+HITS = 1 << 18
+"""Hits counted at a time; those that may share a band with the last of them come on top."""
 MASK = (1 << 22) - 1
 
 
@@ -128,6 +135,40 @@ class Index:
         self.edits = np.array(self.edits, np.int64)
         self.bound = np.maximum(1, size_ - q + 1 - self.edits * q)
         self.width = 2 * (2 * self.edits + 1)
+        self.reach = int((size_ + self.width).max(initial=0))
+
+
+def _slices(at: np.ndarray, times: np.ndarray, reach: int):
+    """Slices of the sorted places ``at`` with about ``HITS`` hits each.  A slice goes on for
+    ``reach`` bytes into the next, so the band of a hit that begins in it is whole there."""
+    total, begin = np.cumsum(times), 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] - times[begin] + HITS, "right")))
+        yield slice(begin, int(np.searchsorted(at, at[end - 1] + reach, "right")))
+        begin = end
+
+
+def _bands(index: Index, at, lo, hi, row, n: int) -> set[tuple[int, int, int, int]]:
+    """``(row, probe, diagonal, width)`` of the diagonal bands that reach the bound."""
+    times = hi - lo
+    post = np.repeat(lo - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
+    probe, row = index.owner[post], np.repeat(row, times)
+    diagonal = np.repeat(at, times) - index.place[post] + n  # never negative
+    width, hits = index.width[probe], set()
+    for shift in (0, 1):
+        band = (diagonal + shift * (width // 2)) // width
+        key = np.stack((row, probe, band))
+        order = np.lexsort(key[::-1])
+        key = key[:, order]
+        new = np.ones(key.shape[1], bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+        begin = np.flatnonzero(new)
+        count = np.diff(np.concatenate((begin, [key.shape[1]])))
+        enough = count >= index.bound[key[1, begin]]
+        for r, p, b in key[:, begin[enough]].T.tolist():
+            w = int(index.width[p])
+            hits.add((r, p, b * w - shift * (w // 2) - n, w))
+    return hits
 
 
 def _matches(index: Index, data, offs, roller):
@@ -144,25 +185,9 @@ def _matches(index: Index, data, offs, roller):
         row = np.searchsorted(offs, at, "right") - 1
         ok = (hi > lo) & (at + q <= offs[row + 1])
         at, lo, hi, row = at[ok], lo[ok], hi[ok], row[ok]
-        times = hi - lo
-        post = np.repeat(lo - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-        probe, row = index.owner[post], np.repeat(row, times)
-        diagonal = np.repeat(at, times) - index.place[post] + len(data)  # never negative
-        width = index.width[probe]
-        hits = []
-        for shift in (0, 1):
-            band = (diagonal + shift * (width // 2)) // width
-            key = np.stack((row, probe, band))
-            order = np.lexsort(key[::-1])
-            key = key[:, order]
-            new = np.ones(key.shape[1], bool)
-            new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-            begin = np.flatnonzero(new)
-            count = np.diff(np.concatenate((begin, [key.shape[1]])))
-            enough = count >= index.bound[key[1, begin]]
-            for r, p, b in key[:, begin[enough]].T.tolist():
-                w = int(index.width[p])
-                hits.append((r, p, b * w - shift * (w // 2) - len(data), w))
+        hits = set()
+        for part in _slices(at, hi - lo, index.reach):
+            hits |= _bands(index, at[part], lo[part], hi[part], row[part], len(data))
         tried = set()
         for r, p, d, w in sorted(hits):
             e, m = int(index.edits[p]), len(index.probes[p])
@@ -206,7 +231,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, probe: int = PROBE,
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 rows = []
-                for first, last, data, offs in chunks(batch):
+                for first, last, data, offs in chunks(batch, size=WORK_BYTES):
                     data, offs, _ = fold(data, offs)
                     rows += [(ids[first + r], index.items[p], p, e) for r, p, e, _ in _matches(index, data, offs, roller)]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -225,13 +250,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, probe: int = PROBE,
     """``docs`` without the rows that hold a benchmark passage.  Each row is judged by its
     own text where it lies, whatever its id."""
     for shared in _indexes(benchmark, q, probe, rate, index_bytes):
-        def run(batches, shared=shared):
-            index, roller = shared.value, Roller(10)
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for first, last, data, offs in chunks(batch):
-                    data, offs, _ = fold(data, offs)
-                    keep[[first + r for r, _, _, _ in _matches(index, data, offs, roller)]] = False
-                yield batch.filter(pa.array(keep))
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.filter(_free(shared)(F.col("`text`")))
     return docs
+
+
+def _free(shared):
+    """Whether a text matches no probe of a broadcast index.  Only texts go to Python, and
+    only the answer comes back."""
+    @F.arrow_udf("boolean")
+    def free(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index, roller = shared.value, Roller(10)
+        for text in texts:
+            keep = np.ones(len(text), bool)
+            for first, _, data, offs in chunks(pa.RecordBatch.from_arrays([text], names=["text"]), size=WORK_BYTES):
+                data, offs, _ = fold(data, offs)
+                keep[[first + r for r, _, _, _ in _matches(index, data, offs, roller)]] = False
+            yield pa.array(keep)
+    return free
