@@ -3,9 +3,11 @@
 Remapping rewrites whole corpora, so it is written two ways:
 
 * ``strategy="join"`` — explode the id arrays, equi-join the token map, and
-  rebuild the arrays per text.  Scales with any map size; if the input is
+  rebuild the arrays per text.  A map of bounded ids is broadcast; if the input is
   already hash-partitioned by example (it is right after :func:`sequences`),
-  the rebuild needs no extra shuffle.
+  the rebuild needs no extra shuffle.  A larger map, or rows that do not lie by example, are
+  joined by blocks of rows (:mod:`.blocks`): the distinct ids of a block are exploded
+  and joined, and its arrays rebuilt in it.
 * ``strategy="map"`` — for a map whose largest id has been checked to be
   small, fold it into one dense lookup array (index = old id), broadcast that
   single row and rewrite every array with ``transform``: no explode and no
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp
+from .blocks import looked_up
 from .ordering import scalar
 
 MAP_LITERAL_LIMIT = 200_000
@@ -70,9 +73,10 @@ def _explode_join_rebuild(df: DataFrame, col: str, lookup: DataFrame, value_expr
 
 
 def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int = 0,
-          keys=("example_id", "side"), strategy: str = "auto", by=()) -> DataFrame:
+          keys=("example_id", "side"), strategy: str = "auto", by=(), together: bool = True) -> DataFrame:
     """Replace every id of ``col`` by ``token_map.new_id``; ids without an entry -> ``unk``.
-    With ``by`` the map holds one map a group (a fold, say) and each row uses that of its group."""
+    With ``by`` the map holds one map a group (a fold, say) and each row uses that of its group.
+    ``together``: the rows of ``keys`` lie in one partition, so that exploded rows need no shuffle."""
     if by:
         lookup = token_map.select(*by, F.col("token_id").alias("_k"), F.col("new_id").alias("_v"))
         return _explode_join_rebuild(df, col, lookup, F.coalesce(F.col("_v"), F.lit(unk)), keys, by)
@@ -84,11 +88,11 @@ def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int
         return j.withColumn(col, F.transform(col, lambda x: F.coalesce(
             F.try_element_at(F.col("_lut"), x + 1), F.lit(unk)))).drop("_one", "_lut")
     lookup = token_map.select(F.col("token_id").alias("_k"), F.col("new_id").alias("_v"))
-    if size <= BROADCAST_MAP_IDS:
-        # the id space is bounded (checked above): ship the map, keep the corpus in place,
-        # so the rebuild reuses the input's partitioning by text
-        lookup = F.broadcast(lookup)
-    return _explode_join_rebuild(df, col, lookup, F.coalesce(F.col("_v"), F.lit(unk)), keys)
+    if size > BROADCAST_MAP_IDS or not together:
+        return looked_up(df, col, lookup, size, keys, unk)
+    # the id space is bounded (checked above): ship the map, keep the corpus in place,
+    # so the rebuild reuses the input's partitioning by text
+    return _explode_join_rebuild(df, col, F.broadcast(lookup), F.coalesce(F.col("_v"), F.lit(unk)), keys)
 
 
 def hybrid_lookup(token_map: DataFrame, oov: DataFrame, mode: str = "intended",
