@@ -193,3 +193,25 @@ def test_cells_hold_few_blocks_and_meet_each_pair_once(spark):
         rows = Counter((r.cell, r.side) for r in cells.select("cell", "side").collect())
         assert max(v for (_, side), v in rows.items() if side == 0) <= V.HELD
         assert sum(rows.values()) < 40 * n / 2
+
+
+def test_kmeans_searches_only_for_points_that_need_it(spark, monkeypatch):
+    """Many centres: the same labels as searches for every point, with far fewer points searched for."""
+    import random
+
+    from vocabtrim.operators import cluster
+    rnd = random.Random(8)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    # equal vectors, a repeated id, a zero and its negative, one with a null
+    rows += [(300, rows[4][1]), (301, rows[4][1]), (5, [0.5] * 6), (302, [0.0] * 6), (303, [-0.0] * 6), (304, [None] * 6)]
+    df = spark.createDataFrame(rows, "token_id int, vec array<double>")
+    asked, nearest = [], cluster._nearest
+    monkeypatch.setattr(cluster, "_nearest", lambda rows, n, *a: asked.append(n) or nearest(rows, n, *a))
+    want = kmeans(df, 240, rounds=3)
+    assert not asked
+    got = kmeans(df, 240, rounds=3, least=0)
+    assert 0 < sum(asked) < 3 * len(rows)
+    plain = lambda x: sorted((r.token_id, r.cluster, round(r.dist, 9)) for r in x.collect())
+    assert plain(got[0]) == plain(want[0])
+    centres = lambda x: {r.cluster: [round(v, 9) + 0.0 for v in r.centre] for r in x.collect()}
+    assert centres(got[1]) == centres(want[1])

@@ -6,7 +6,8 @@ Vectors are ``(token_id, vec ARRAY<DOUBLE>)``; searches run over packed blocks o
 * k-means (C1): points and centres are tables of blocks.  A task holds some blocks of points
   and meets blocks of centres one after another; the best of all centre blocks and the partial sums of the new
   centres are put together per block, so neither points nor centres go through the driver
-  and any k will do.  Initial centres: the k smallest ``md5(seed:token_id)``; ties go to
+  and any k will do.  A point that equals a centre needs no search, and one whose centre has not moved is
+  compared with the moved centres alone.  Initial centres: the k smallest ``md5(seed:token_id)``; ties go to
   the lowest centre id; an empty cluster keeps its centre.  It ends after ``rounds``, or
   before that when no centre moves; ``rounds=None`` runs until none does.
   ``engine="mllib"`` runs ``pyspark.ml.clustering.KMeans`` instead.
@@ -20,6 +21,8 @@ Vectors are ``(token_id, vec ARRAY<DOUBLE>)``; searches run over packed blocks o
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -145,38 +148,164 @@ def _reduced(batches):
         yield held
 
 
+_ASSIGNED = "row long, cluster long, dist double"
+
+
+def _nearest(rows: DataFrame, n: int, dim: int, centres: DataFrame, c_blocks: int) -> DataFrame:
+    """``(row, cluster, dist)`` of ``n`` points ``(row, vec)``: the nearest of the centres."""
+    def flat(batches):
+        for _, ids, cluster, dist, _ in _reduced(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cluster), pa.array(dist)], names=["row", "cluster", "dist"])
+    blocks = V.block_count(n, dim, V.tasks_of(rows))
+    return _by_block(_best_of_block(V.pack(rows, blocks, key="row"), centres, blocks, c_blocks), blocks).mapInArrow(flat, _ASSIGNED)
+
+
+def _digests(mat: np.ndarray) -> pa.Array:
+    """Equal vectors have equal digests; a vector with a value that is no number has none."""
+    rows = np.ascontiguousarray(mat + 0.0)  # no -0.0
+    odd = np.isnan(rows).any(axis=1).tolist()
+    return pa.array([None if o else blake2b(r, digest_size=16).digest() for o, r in zip(odd, rows)], pa.binary())
+
+
+def _equal(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """Points that equal a centre, which no other is nearer to: ``(row, cluster, dist)`` with the lowest of them."""
+    def keys(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, mat = V.unpacked(batch.column("ids")[i].as_py(), batch.column("mat")[i].as_py())
+                own = (batch.column("blk")[i].as_py() << 32) + np.arange(len(ids))
+                yield pa.RecordBatch.from_arrays([_digests(mat), pa.array(own), pa.array(ids)], names=["key", "row", "id"])
+    hashed = lambda df: df.select("blk", "ids", "mat").mapInArrow(keys, "key binary, row long, id long").filter("key is not null")
+    first = hashed(centres).groupBy("key").agg(F.min("id").alias("cluster"))
+    return hashed(points).join(first, "key").select("row", "cluster", F.lit(0.0).alias("dist"))
+
+
+def _of_blocks(points: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+    """Blocks of points with the places and the given columns of those of their points that ``rows`` names."""
+    at = rows.select(F.expr("cast(shiftright(row, 32) as int)").alias("blk"), (F.col("row") % (1 << 32)).cast("int").alias("at"), *cols)
+    some = at.groupBy("blk").agg(F.collect_list(F.struct("at", *cols)).alias("some"))
+    return points.join(some, "blk").select("blk", "ids", "mat", "some")
+
+
+def _each_of_blocks(batches, *cols: str):
+    """``(blk, ids, mat, at, columns...)`` of the rows of :func:`_of_blocks`, places in order."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            some = batch.column("some")[i].values
+            at = some.field("at").to_numpy()
+            order = np.argsort(at, kind="stable")
+            yield (batch.column("blk")[i].as_py(), *V.unpacked(batch.column("ids")[i].as_py(), batch.column("mat")[i].as_py()),
+                   at[order], *(some.field(c).to_numpy()[order] for c in cols))
+
+
+def _vectors_of(points: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(row, vec)`` of the points that ``rows`` names."""
+    def run(batches):
+        for blk, _, mat, at in _each_of_blocks(batches):
+            part = mat[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((blk << 32) + at.astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * part.shape[1], pa.int32()), pa.array(part.ravel()))],
+                names=["row", "vec"])
+    return _of_blocks(points, rows).mapInArrow(run, "row long, vec array<double>")
+
+
+def _moved(centres: DataFrame) -> DataFrame:
+    """The blocks of the centres that the last round moved."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                ids, mat = V.unpacked(batch.column("ids")[i].as_py(), batch.column("mat")[i].as_py())
+                some = np.frombuffer(batch.column("mask")[i].as_py(), bool)
+                out.append(V.packed(batch.column("blk")[i].as_py(), ids[some], mat[some]))
+            yield pa.RecordBatch.from_pylist([x for x in out if x["n"]], schema=V._BLOCK)
+    return centres.mapInArrow(run, V.BLOCK)
+
+
+def _assigned(points: DataFrame, dim: int, centres: DataFrame, c_blocks: int, before: DataFrame | None) -> DataFrame:
+    """``(row, cluster, dist)``: the nearest centre of each point, by searches for those points alone that need one.
+    A point that equals a centre is nearest to it.  ``before``: the nearest centres of the round
+    before; a point whose centre has not moved compares it with the moved ones alone."""
+    equal = stored(_equal(points, centres), "equal-points")
+    parts = [equal]
+    if before is None:
+        def run(batches):
+            for batch in batches:
+                for blk, n in zip(batch.column("blk").to_pylist(), batch.column("n").to_pylist()):
+                    yield pa.RecordBatch.from_arrays([pa.array((blk << 32) + np.arange(n))], names=["row"])
+        whole = points.select("blk", "n").mapInArrow(run, "row long").join(equal, "row", "left_anti")
+        kept = None
+    else:
+        def ids(batches):
+            for batch in batches:
+                for x in batch.column("ids").to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8"))], names=["cluster"])
+        moved = stored(_moved(centres), "moved-centres")
+        gone = moved.select("ids").mapInArrow(ids, "cluster long")
+        other = before.join(equal, "row", "left_anti")
+        whole = other.join(gone, "cluster", "left_semi").select("row")
+        kept = stored(other.join(gone, "cluster", "left_anti").select("row", "cluster", "dist"), "kept-points")
+    whole = stored(whole, "points-to-search")
+    if n := whole.count():
+        parts.append(_nearest(_vectors_of(points, whole), n, dim, centres, c_blocks))
+    if kept is not None and (n := kept.count()):
+        if not moved.isEmpty():
+            near = _nearest(_vectors_of(points, kept), n, dim, moved, c_blocks)
+            kept = (kept.unionByName(near).groupBy("row").agg(F.min(F.struct("dist", "cluster")).alias("m"))
+                        .select("row", "m.cluster", "m.dist"))
+        parts.append(kept)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return stored(out, "assigned")
+
+
 _SUMS = "c_blk int, ids binary, n binary, total binary, old binary"
 _SUMS_ARROW = pa.schema([("c_blk", pa.int32()), ("ids", pa.binary()), ("n", pa.binary()), ("total", pa.binary()),
                          ("old", pa.binary())])
-_CENTRES = V.BLOCK + ", moved long"
+_CENTRES = V.BLOCK + ", moved long, mask binary"
+
+
+def _sums(clustered, c_rows: int):
+    """Sums by cluster of each block of ``(clusters, matrix)``, cut by the blocks of the centres."""
+    for cluster, x in clustered:
+        some, at = np.unique(cluster, return_inverse=True)
+        total = np.zeros((len(some), x.shape[1]))
+        np.add.at(total, at, x)
+        n = np.bincount(at, minlength=len(some))
+        of = some // c_rows
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])) if len(of) else [0]
+        yield pa.RecordBatch.from_pylist(
+            [{"c_blk": int(of[a]), "ids": some[a:b].tobytes(), "n": n[a:b].tobytes(), "total": total[a:b].tobytes(),
+              "old": None} for a, b in zip(cut[:-1], cut[1:])], schema=_SUMS_ARROW)
 
 
-def _next_centres(points: DataFrame, centres: DataFrame, p_blocks: int, c_blocks: int, c_rows: int) -> DataFrame:
-    """One round: blocks of the new centres, with the number of those that moved."""
+def _sums_of_search(points: DataFrame, centres: DataFrame, p_blocks: int, c_blocks: int, c_rows: int) -> DataFrame:
+    """Sums of a search for the nearest centre of every point."""
     mats = points.select("blk", F.lit(None).cast("int").alias("c_blk"), "ids", F.lit(None).cast("binary").alias("cluster"),
                          F.lit(None).cast("binary").alias("dist"), "mat")
+    best = _by_block(_best_of_block(points, centres, p_blocks, c_blocks).unionByName(mats), p_blocks)
+    return best.mapInArrow(lambda batches: _sums(((c, x) for _, _, c, _, x in _reduced(batches)), c_rows), _SUMS)
+
+
+def _sums_of_assigned(points: DataFrame, assigned: DataFrame, c_rows: int) -> DataFrame:
+    return _of_blocks(points, assigned, "cluster").mapInArrow(
+        lambda batches: _sums(((c, x) for _, _, x, _, c in _each_of_blocks(batches, "cluster")), c_rows), _SUMS)
 
-    def sums(batches):
-        for _, _, cluster, _, x in _reduced(batches):
-            some, at = np.unique(cluster, return_inverse=True)
-            total = np.zeros((len(some), x.shape[1]))
-            np.add.at(total, at, x)
-            n = np.bincount(at, minlength=len(some))
-            of = some // c_rows
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)])) if len(of) else [0]
-            yield pa.RecordBatch.from_pylist(
-                [{"c_blk": int(of[a]), "ids": some[a:b].tobytes(), "n": n[a:b].tobytes(), "total": total[a:b].tobytes(),
-                  "old": None} for a, b in zip(cut[:-1], cut[1:])], schema=_SUMS_ARROW)
 
+def _next_centres(points: DataFrame, centres: DataFrame, sums: DataFrame, c_blocks: int) -> DataFrame:
+    """One round: blocks of the new centres, with the number and a mask of those that moved."""
     def new(batches):
-        schema = pa.schema([*V._BLOCK, ("moved", pa.int64())])
+        schema = pa.schema([*V._BLOCK, ("moved", pa.int64()), ("mask", pa.binary())])
 
         def done():
             some = n > 0
             fresh = old.copy()
             fresh[some] = total[some] / n[some, None]
+            mask = (fresh != old).any(axis=1)
             return pa.RecordBatch.from_pylist(
-                [V.packed(blk, ids, fresh) | {"moved": int((fresh != old).any(axis=1).sum())}], schema=schema)
+                [V.packed(blk, ids, fresh) | {"moved": int(mask.sum()), "mask": mask.tobytes()}], schema=schema)
         blk = None
         for batch in batches:
             for i in range(batch.num_rows):
@@ -194,16 +323,19 @@ def _next_centres(points: DataFrame, centres: DataFrame, p_blocks: int, c_blocks
         if blk is not None:
             yield done()
     none = F.lit(None).cast("binary")
-    best = _by_block(_best_of_block(points, centres, p_blocks, c_blocks).unionByName(mats), p_blocks)
-    part = best.mapInArrow(sums, _SUMS).unionByName(
+    part = sums.unionByName(
         centres.select(F.col("blk").alias("c_blk"), "ids", none.alias("n"), none.alias("total"), F.col("mat").alias("old")))
     tasks = min(c_blocks, V.tasks_of(points))
     ordered = part.repartition(tasks, "c_blk").sortWithinPartitions("c_blk", F.col("old").isNull())
     return ordered.mapInArrow(new, _CENTRES)
 
 
+LEAST_PRODUCTS = 1 << 28
+"""Pairs of points and centres a round from which on points that need no search are looked for."""
+
+
 def kmeans(vecs: DataFrame, k: int, seed: int = 42, rounds: int | None = 5, col: str = "vec",
-           engine: str = "fixed") -> tuple[DataFrame, DataFrame]:
+           engine: str = "fixed", least: int = LEAST_PRODUCTS) -> tuple[DataFrame, DataFrame]:
     """Returns ``(labels (token_id, cluster, dist), centres (cluster, centre))``."""
     if engine == "mllib":
         return _kmeans_mllib(vecs, k, seed, col)
@@ -218,16 +350,23 @@ def kmeans(vecs: DataFrame, k: int, seed: int = 42, rounds: int | None = 5, col:
     points = stored(V.pack(vecs, p_blocks, col=col), "point-blocks")
     centres = stored(V.pack(initial_centres(vecs, k, seed, col), c_blocks, by=F.floor(F.col("cluster") / c_rows).cast("int"),
                             key="cluster", col="centre"), "centre-blocks")
-    done = 0
-    while rounds is None or done < rounds:
-        centres = stored(_next_centres(points, centres, p_blocks, c_blocks, c_rows), "centre-blocks")
+    # few centres a point, or few products: every round searches for every point in one job
+    every = 4 * k < n or n * min(k, n) < least
+    done, near, still = 0, None, False
+    while not still and (rounds is None or done < rounds):
+        if every:
+            sums = _sums_of_search(points, centres, p_blocks, c_blocks, c_rows)
+        else:
+            near = _assigned(points, dim, centres, c_blocks, near)
+            sums = _sums_of_assigned(points, near, c_rows)
+        centres = stored(_next_centres(points, centres, sums, c_blocks), "centre-blocks")
         done += 1
-        if not scalar(centres, F.sum("moved")):
-            break
+        still = not scalar(centres, F.sum("moved"))
     kind = vecs.schema["token_id"].dataType.simpleString()
 
     def labels(batches):
-        for _, ids, cluster, dist, _ in _reduced(batches):
+        for ids, cluster, dist in (((ids, c, d) for _, ids, c, d, _ in _reduced(batches)) if every else
+                                   ((ids[at], c, d) for _, ids, _, at, c, d in _each_of_blocks(batches, "cluster", "dist"))):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cluster.astype(np.int32)), pa.array(dist)],
                                              names=["token_id", "cluster", "dist"])
 
@@ -237,8 +376,12 @@ def kmeans(vecs: DataFrame, k: int, seed: int = 42, rounds: int | None = 5, col:
                 ids, mat = V.unpacked(batch.column("ids")[i].as_py(), batch.column("mat")[i].as_py())
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * mat.shape[1], pa.int32()), pa.array(mat.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), flat], names=["cluster", "centre"])
-    lab = _by_block(_best_of_block(points, centres, p_blocks, c_blocks), p_blocks).mapInArrow(
-        labels, "token_id long, cluster int, dist double")
+    if every:
+        found = _by_block(_best_of_block(points, centres, p_blocks, c_blocks), p_blocks)
+    else:
+        # centres that have not moved leave the last search as it is
+        found = _of_blocks(points, near if still else _assigned(points, dim, centres, c_blocks, near), "cluster", "dist")
+    lab = found.mapInArrow(labels, "token_id long, cluster int, dist double")
     return (stored(lab.withColumn("token_id", F.col("token_id").cast(kind)), "labels"),
             centres.mapInArrow(rows, "cluster int, centre array<double>"))
 
