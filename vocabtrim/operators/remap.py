@@ -5,7 +5,7 @@ Remapping rewrites whole corpora, so it is written two ways:
 * ``strategy="join"`` — explode the id arrays, equi-join the token map, and
   rebuild the arrays per text.  A map of bounded ids is broadcast; if the input is
   already hash-partitioned by example (it is right after :func:`sequences`),
-  the rebuild needs no extra shuffle.  A larger map, or rows that do not lie by example, are
+  the rebuild needs no extra shuffle.  Rows that do not lie by example (``together=False``) are
   joined by blocks of rows (:mod:`.blocks`): the distinct ids of a block are exploded
   and joined, and its arrays rebuilt in it.
 * ``strategy="map"`` — for a map whose largest id has been checked to be
@@ -88,11 +88,13 @@ def remap(df: DataFrame, token_map: DataFrame, col: str = "input_ids", unk: int
         return j.withColumn(col, F.transform(col, lambda x: F.coalesce(
             F.try_element_at(F.col("_lut"), x + 1), F.lit(unk)))).drop("_one", "_lut")
     lookup = token_map.select(F.col("token_id").alias("_k"), F.col("new_id").alias("_v"))
-    if size > BROADCAST_MAP_IDS or not together:
+    if not together:
         return looked_up(df, col, lookup, size, keys, unk)
-    # the id space is bounded (checked above): ship the map, keep the corpus in place,
-    # so the rebuild reuses the input's partitioning by text
-    return _explode_join_rebuild(df, col, F.broadcast(lookup), F.coalesce(F.col("_v"), F.lit(unk)), keys)
+    if size <= BROADCAST_MAP_IDS:
+        # the id space is bounded (checked above): ship the map, keep the corpus in place,
+        # so the rebuild reuses the input's partitioning by text
+        lookup = F.broadcast(lookup)
+    return _explode_join_rebuild(df, col, lookup, F.coalesce(F.col("_v"), F.lit(unk)), keys)
 
 
 def hybrid_lookup(token_map: DataFrame, oov: DataFrame, mode: str = "intended",
